@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from .chat import OP8_SQL, op8_chat_format
+from .fingerprints import op2_fingerprints
+from .mixing import OP10_SQL, op10_mixing
 from .pii import op7_pii
+from .quality_rules import OP4_SQL, op4_quality_rules
 from .secrets import op1_secret_scan
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op7_pii)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_fingerprints, op4_quality_rules, op7_pii, op8_chat_format, op10_mixing)}
+SQL = {"op4_quality_rules": OP4_SQL, "op8_chat_format": OP8_SQL, "op10_mixing": OP10_SQL}
