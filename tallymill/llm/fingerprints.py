@@ -116,11 +116,10 @@ def with_next(rows: DataFrame, names: list[str], n_ranges: int | None = None) ->
         F.when(begins, F.array(at(F.col("home") - 1, 1))).otherwise(F.array().cast("array<struct<range:int,turn:int>>")),
         F.when(first, F.array(at(F.lit(last), 2))).otherwise(F.array().cast("array<struct<range:int,turn:int>>")),
     )
-    dealt = rows.withColumn("home", home).withColumn("at", F.explode(places))
-    by = Window.partitionBy("at.range").orderBy("at.turn", F.col("doc_id").asc_nulls_first(), "text")
-    for name in names:
-        dealt = dealt.withColumn(f"next_{name}", F.lead(name).over(by))
-    return dealt.where("at.turn = 0").drop("home", "at")
+    dealt = rows.withColumn("home", home).withColumn("at", F.explode(places)).select(*rows.columns, "at.range", "at.turn")
+    by = Window.partitionBy("range").orderBy("turn", F.col("doc_id").asc_nulls_first(), "text")
+    led = dealt.select("*", *[F.lead(name).over(by).alias(f"next_{name}") for name in names])
+    return led.where("turn = 0").drop("range", "turn")
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
