@@ -6,8 +6,10 @@ from .chat import OP8_SQL, op8_chat_format
 from .fingerprints import op2_fingerprints
 from .mixing import OP10_SQL, op10_mixing
 from .pii import op7_pii
+from .quality_classifier import op3_quality_classifier
 from .quality_rules import OP4_SQL, op4_quality_rules
 from .secrets import op1_secret_scan
+from .simhash import op6_simhash
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_fingerprints, op4_quality_rules, op7_pii, op8_chat_format, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_fingerprints, op3_quality_classifier, op4_quality_rules, op6_simhash, op7_pii, op8_chat_format, op10_mixing)}
 SQL = {"op4_quality_rules": OP4_SQL, "op8_chat_format": OP8_SQL, "op10_mixing": OP10_SQL}
