@@ -93,24 +93,23 @@ def block_grams(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
     # order in the key: nearest context byte first, ..., farthest, then the symbol
     offsets = [*range(depth - 1, -1, -1), depth]
-    table = np.zeros(256, np.int64)
     alphabet = np.flatnonzero(np.bincount(data, minlength=256))
+    table = np.zeros(256, np.int32)
     table[alphabet] = np.arange(len(alphabet))
     dense = table[data]
     place, codes = dense[offsets[0] : offsets[0] + n], alphabet.astype(np.uint64)
     for o in offsets[1:]:
-        wide = place * len(alphabet) + dense[o : o + n]
         span = len(codes) * len(alphabet)
         if span <= 1 << 25:
+            wide = place * np.int32(len(alphabet)) + dense[o : o + n]
             here = np.zeros(span, bool)
             here[wide] = True
             ids = np.flatnonzero(here)
-            remap = np.zeros(span, np.int32)
+            remap = np.empty(span, np.int32)
             remap[ids] = np.arange(len(ids), dtype=np.int32)
-            place = remap[wide].astype(np.int64)
+            place = remap[wide]
         else:
-            ids, place = np.unique(wide, return_inverse=True)
+            ids, place = np.unique(place.astype(np.int64) * len(alphabet) + dense[o : o + n], return_inverse=True)
+            place = place.astype(np.int32)
         codes = (codes[ids // len(alphabet)] << np.uint64(8)) | alphabet[ids % len(alphabet)].astype(np.uint64)
-    if offsets[0] == depth:  # depth 0: only the symbol, already whole
-        return codes, place
     return codes, place
