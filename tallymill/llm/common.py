@@ -40,12 +40,17 @@ def crc_mod(doc_id: Column, mod: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % F.lit(mod)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed and stored in the shared folder that the session names in
-    spark.checkpoint.dir; only a session without that setting (a test) gets a
-    folder of its own."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir; only a session
+    without that setting (a test) gets a folder of its own."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tallymill-"))
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallymill-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed and stored in the shared folder; what follows reads it there
+    and doesn't depend on the executors that made it."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -37,7 +37,7 @@ RULES = (
     Rule("many_symbols", "10 * n_symbols > n_words"),
     Rule("repeated_lines", "10 * n_dup_lines > 3 * n_lines"),
     Rule("word_length", "word_chars < 2 * n_words OR word_chars > 15 * n_words"),
-    Rule("too_long", "n_words > 1000000"),
+    Rule("stuttering", "5 * n_stutter > n_words"),
 )
 BIT = {rule.name: 1 << i for i, rule in enumerate(RULES)}
 BASE = BIT["few_words"] | BIT["repeated_windows"]
@@ -96,6 +96,7 @@ def measures(text: Column) -> Column:
             F.size(ls).cast("long").alias("n_lines"),
             (F.size(ls) - F.size(F.array_distinct(ls))).cast("long").alias("n_dup_lines"),
             covered_words(ws).cast("long").alias("n_repeat_words"),
+            F.size(F.filter(ws, lambda w, i: (i > 0) & (w == F.get(ws, F.greatest(i - 1, F.lit(0)))))).cast("long").alias("n_stutter"),
         ))
 
     return let(words(text), of_words)
@@ -162,7 +163,8 @@ WITH d AS (
   SELECT doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
          len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
          len(ls)::BIGINT AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
-         coalesce(c.n, 0)::BIGINT AS n_repeat_words
+         coalesce(c.n, 0)::BIGINT AS n_repeat_words,
+         (SELECT count(*) FROM (SELECT unnest(range(2, len(ws) + 1)) AS i) WHERE ws[i] = ws[i - 1])::BIGINT AS n_stutter
   FROM w LEFT JOIN c USING (rid)
 ), f AS (SELECT *, ({bits})::BIGINT AS fail_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .chat import OP8_SQL, op8_chat_format
 from .fingerprints import op2_fingerprints
+from .lm_scoring import op5_lm_scoring
 from .mixing import OP10_SQL, op10_mixing
 from .packing import op9_packing
 from .pii import op7_pii
@@ -12,5 +13,5 @@ from .quality_rules import OP4_SQL, op4_quality_rules
 from .secrets import op1_secret_scan
 from .simhash import op6_simhash
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_fingerprints, op3_quality_classifier, op4_quality_rules, op6_simhash, op7_pii, op8_chat_format, op9_packing, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_fingerprints, op3_quality_classifier, op4_quality_rules, op5_lm_scoring, op6_simhash, op7_pii, op8_chat_format, op9_packing, op10_mixing)}
 SQL = {"op4_quality_rules": OP4_SQL, "op8_chat_format": OP8_SQL, "op10_mixing": OP10_SQL}

@@ -9,6 +9,10 @@ more than two tiles.  Every tile pair gives a spanning forest of its links (no
 more edges than fingerprints), which keeps all connections; connected components
 follow by star steps.
 
+Beyond the radius a link can be had by similarity: with ``similar = (r, s)``
+fingerprints within r bits are linked too if sketches of their texts' five-word
+shingles (one-permutation MinHash) agree in a share of s or more.
+
 Edge cases: null text counts as empty; texts without words have fingerprint 0
 and are linked like others; fewer words than a shingle are one shingle; equal
 fingerprints are one node, however many rows have them; null ids belong to
@@ -19,6 +23,7 @@ results; other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -31,82 +36,129 @@ from .common import cut, read
 from .components import components
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
-TILE, STRIP = 8192, 256
+TILE, STRIP, AT_ONCE = 65536, 64, 1 << 16
+SKETCH_SHINGLE, BINS = 5, 128
+#: Rank of every bin for every empty one that looks for a filled bin.
+RANKS = np.random.default_rng(SEED).random((BINS, BINS))
 
 
-def fingerprint(text: str, shingle: int = SHINGLE) -> int:
-    """The 64 majority bits of the hashes of a text's word shingles."""
-    ws = text.encode("utf-8", "surrogatepass").translate(LOWER).split()
-    if not ws:
-        return 0
+def _hashes(ws: list[bytes], shingle: int) -> Iterator[np.ndarray]:
+    """Hashes of word shingles, in arrays of bounded size."""
     n = max(len(ws) - shingle + 1, 1)
-    ones = np.zeros(64, np.int64)
-    for at in range(0, n, 1 << 16):  # bounded memory for texts of any length
+    for at in range(0, n, 1 << 16):
         parts = zip(*[ws[at + k : min(at + (1 << 16), n) + k] for k in range(shingle)]) if len(ws) >= shingle else [ws]
-        hashes = np.array([xxhash.xxh64_intdigest(b" ".join(p), SEED) for p in parts], dtype="<u8")
+        yield np.array([xxhash.xxh64_intdigest(b" ".join(p), SEED) for p in parts], dtype="<u8")
+
+
+def words_of(text: str) -> list[bytes]:
+    return text.encode("utf-8", "surrogatepass").translate(LOWER).split()
+
+
+def fingerprint(ws: list[bytes], shingle: int = SHINGLE) -> int:
+    """The 64 majority bits of the hashes of word shingles."""
+    if not ws:
+        return 0
+    ones, n = np.zeros(64, np.int64), max(len(ws) - shingle + 1, 1)
+    for hashes in _hashes(ws, shingle):
         ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def _prints(batch: pa.RecordBatch, shingle: int) -> dict:
-    prints = np.array([fingerprint(t, shingle) for t in texts_of(batch)], dtype=np.uint64)
-    return {"doc_id": batch.column("doc_id"), "fp": prints.view(np.int64)}
+def sketch(ws: list[bytes]) -> bytes:
+    """The low byte of the least shingle hash of each bin."""
+    if not ws:
+        return bytes(BINS)
+    least = np.full(BINS, np.iinfo(np.uint64).max)
+    for hashes in _hashes(ws, SKETCH_SHINGLE):
+        np.minimum.at(least, (hashes >> np.uint64(57)).astype(np.int64), hashes)
+    filled = np.flatnonzero(least != np.iinfo(np.uint64).max)
+    if len(filled) == 0:
+        filled = np.array([BINS - 1])
+    source = np.arange(BINS)
+    empty = np.setdiff1d(source, filled)
+    source[empty] = filled[RANKS[empty][:, filled].argmin(axis=1)]
+    return (least[source] & np.uint64(255)).astype(np.uint8).tobytes()
+
+
+def _prints(batch: pa.RecordBatch, shingle: int, sketched: bool) -> dict:
+    texts = [words_of(t) for t in texts_of(batch)]
+    prints = np.array([fingerprint(ws, shingle) for ws in texts], dtype=np.uint64)
+    out = {"doc_id": batch.column("doc_id"), "fp": prints.view(np.int64)}
+    return out | ({"sketch": pa.array([sketch(ws) for ws in texts], pa.binary())} if sketched else {})
+
+
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, sketched: bool = False) -> DataFrame:
+    """(doc_id, fp and, if asked for, sketch), fp as a signed 64-bit integer."""
+    schema = "doc_id bigint, fp bigint" + ", sketch binary" * sketched
+    return per_batch(docs.select("doc_id", "text"), _prints, schema, shingle, sketched)
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp), fp as a signed 64-bit integer."""
-    return per_batch(docs.select("doc_id", "text"), _prints, "doc_id bigint, fp bigint", shingle)
+@dataclass(frozen=True)
+class Near:
+    """Which fingerprints are linked: within radius bits, or within wide bits
+    with sketches that agree in a share of similarity."""
 
+    radius: int = RADIUS
+    wide: int = 0
+    similarity: float = 1.0
 
-def forest(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of a spanning forest of the links in a tile, or between two tiles.
+    @property
+    def reach(self) -> int:
+        return max(self.radius, self.wide)
+
+
+def forest(prints: np.ndarray, sketches: np.ndarray | None, first: np.ndarray, near: Near) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a spanning forest of the links in a tile (first is all true), or
+    between two tiles (first tells the one from the other).
 
     Fingerprints are sorted by population count; a strip of one tile is compared
     only with the stretch of the other whose counts can be near enough."""
-    every = a if b is None else np.concatenate([a, b])
-    label = np.arange(len(every))
-    order_a = np.argsort(np.bitwise_count(a), kind="stable")
-    other, shift = (a, 0) if b is None else (b, len(a))
-    order_b = np.argsort(np.bitwise_count(other), kind="stable")
-    counts_a, counts_b = np.bitwise_count(a)[order_a].astype(int), np.bitwise_count(other)[order_b].astype(int)
-    sorted_a, sorted_b = a[order_a], other[order_b]
-    for s in range(0, len(a), STRIP):
-        e = min(s + STRIP, len(a))
-        lo = np.searchsorted(counts_b, counts_a[s] - radius) if b is not None else s
-        hi = np.searchsorted(counts_b, counts_a[e - 1] + radius, "right")
+    label, counts = np.arange(len(prints)), np.bitwise_count(prints).astype(int)
+    order = np.argsort(counts, kind="stable")
+    alone = first.all()
+    one, two = (order, order) if alone else (order[first[order]], order[~first[order]])
+    for s in range(0, len(one), STRIP):
+        strip = one[s : s + STRIP]
+        lo = s if alone else np.searchsorted(counts[two], counts[strip[0]] - near.reach)
+        hi = np.searchsorted(counts[two], counts[strip[-1]] + near.reach, "right")
         if hi <= lo:
             continue
-        i, j = np.nonzero(np.bitwise_count(sorted_a[s:e, None] ^ sorted_b[None, lo:hi]) <= radius)
-        u, v = order_a[s + i], order_b[lo + j] + shift
-        u, v = u[u != v], v[u != v]
-        while len(u):
-            least = np.minimum(label[u], label[v])
-            before = label.copy()
-            np.minimum.at(label, label[u], least)
-            np.minimum.at(label, label[v], least)
-            np.minimum.at(label, u, least)
-            np.minimum.at(label, v, least)
-            label = label[label]
-            if (label == before).all():
-                break
+        apart = np.bitwise_count(prints[strip][:, None] ^ prints[two[lo:hi]][None, :])
+        i, j = np.nonzero(apart <= near.radius)
+        label = _united(label, strip[i], two[lo + j])
+        if near.wide > near.radius:
+            i, j = np.nonzero((apart > near.radius) & (apart <= near.wide))
+            for at in range(0, len(i), AT_ONCE):
+                u, v = strip[i[at : at + AT_ONCE]], two[lo + j[at : at + AT_ONCE]]
+                u, v = u[new := label[u] != label[v]], v[new]
+                like = (sketches[u] == sketches[v]).mean(axis=1) >= near.similarity
+                label = _united(label, u[like], v[like])
     at = np.flatnonzero(label != np.arange(len(label)))
-    return every[at], every[label[at]]
+    return prints[at], prints[label[at]]
 
 
-def _links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+def _united(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """label, the least member of each one's class, with the links u - v added."""
+    while len(open_ := np.flatnonzero(label[u] != label[v])):
+        u, v = u[open_], v[open_]
+        label = label.copy()
+        a, b = label[u], label[v]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while (label != label[label]).any():
+            label = label[label]
+    return label
+
+
+def _links(batches: Iterator[pa.RecordBatch], near: Near) -> Iterator[pa.RecordBatch]:
     for table in grouped(batches, "pair"):
-        pair, side = table["pair"].to_numpy(), table["side"].to_numpy()
+        pair, first = table["pair"].to_numpy(), table["side"].to_numpy() == 0
         fp = table["fp"].to_numpy().view(np.uint64)
+        sketches = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(-1, BINS) if near.wide else None
         edges = np.flatnonzero(np.diff(pair)) + 1
-        us, vs = [], []
-        for s, e in zip([0, *edges], [*edges, len(pair)]):
-            if e - s > 1:
-                mine, first = fp[s:e], side[s:e] == 0
-                u, v = forest(mine[first], None if first.all() else mine[~first], radius)
-                us.append(u)
-                vs.append(v)
-        if us:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (us, vs)], names=["u", "v"])
+        found = [forest(fp[s:e], sketches[s:e] if near.wide else None, first[s:e], near) for s, e in zip([0, *edges], [*edges, len(pair)]) if e - s > 1]
+        if found:
+            columns = [pa.array(np.concatenate(x).view(np.int64)) for x in zip(*found)]
+            yield pa.RecordBatch.from_arrays(columns, names=["u", "v"])
 
 
 def _tiled(dealt: DataFrame, radius: int, tile: int) -> DataFrame:
@@ -115,7 +167,8 @@ def _tiled(dealt: DataFrame, radius: int, tile: int) -> DataFrame:
     links."""
     sizes = dealt.groupBy("group", "pc").agg(F.count(F.lit(1)).alias("n"))
     big = sizes.groupBy("group").agg(F.sum("n").alias("all")).where(F.col("all") > tile).select(F.col("group").alias("g"))
-    whole = lambda df: df.select(F.xxhash64("group").alias("pair"), F.lit(0).alias("side"), "fp")
+    kept = [c for c in ("fp", "sketch") if c in dealt.columns]
+    whole = lambda df: df.select(F.xxhash64("group").alias("pair"), F.lit(0).alias("side"), *kept)
     big = cut(big)  # at most one row for each value of a block
     if big.isEmpty():
         return whole(dealt)
@@ -129,15 +182,15 @@ def _tiled(dealt: DataFrame, radius: int, tile: int) -> DataFrame:
     )
     sides = pairs.select("g", "pair", F.posexplode("of").alias("side", "t")).select("g", "pair", "side", F.col("t.pc").alias("p"), F.col("t.salt").alias("s"))
     keyed = dealt.join(salted.select(F.col("group").alias("g"), F.col("pc").alias("p"), "salts"), (F.col("group") == F.col("g")) & (F.col("pc") == F.col("p")))
-    keyed = keyed.select("group", "pc", "fp", F.pmod(F.xxhash64("fp"), F.col("salts")).cast("int").alias("salt"))
-    cross = keyed.join(sides, (F.col("group") == F.col("g")) & (F.col("pc") == F.col("p")) & (F.col("salt") == F.col("s"))).select("pair", "side", "fp")
+    keyed = keyed.select("group", "pc", *kept, F.pmod(F.xxhash64("fp"), F.col("salts")).cast("int").alias("salt"))
+    cross = keyed.join(sides, (F.col("group") == F.col("g")) & (F.col("pc") == F.col("p")) & (F.col("salt") == F.col("s"))).select("pair", "side", *kept)
     return whole(dealt.join(big, F.col("group") == F.col("g"), "left_anti")).unionByName(cross)
 
 
-def links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """Edges (u, v) that connect whatever distinct fingerprints fp of nodes lie
-    within radius bits of one another."""
-    blocks = radius + 1
+def links(nodes: DataFrame, near: Near = Near(), tile: int = TILE) -> DataFrame:
+    """Edges (u, v) that connect whatever fingerprints fp of nodes are linked;
+    nodes has sketches where near goes by them."""
+    blocks = near.reach + 1
     edges = [64 * b // blocks for b in range(blocks + 1)]
 
     def value(b: int) -> Column:
@@ -145,22 +198,35 @@ def links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame
         part = F.shiftrightunsigned("fp", low) if low else F.col("fp")
         return F.struct(F.lit(b).alias("b"), (part.bitwiseAND(F.lit((1 << width) - 1)) if width < 64 else part).alias("v"))
 
-    dealt = nodes.select("fp", F.bit_count("fp").alias("pc"), F.explode(F.array(*[value(b) for b in range(blocks)])).alias("group"))
-    rows = _tiled(dealt, radius, tile)
-    return rows.repartition("pair").sortWithinPartitions("pair").mapInArrow(lambda it: _links(it, radius), "u bigint, v bigint")
+    group = F.explode(F.array(*[value(b) for b in range(blocks)])).alias("group")
+    dealt = nodes.select("fp", *["sketch"] * (near.wide > 0), F.bit_count("fp").alias("pc"), group)
+    rows = _tiled(dealt, near.reach, tile)
+    return rows.repartition("pair").sortWithinPartitions("pair").mapInArrow(lambda it: _links(it, near), "u bigint, v bigint")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, near: Near = Near(), tile: int = TILE) -> DataFrame:
     """(doc_id, fp, component_id): a component's id is its least doc_id."""
-    prints = cut(fingerprints(docs, shingle))
+    prints = cut(fingerprints(docs, shingle, near.wide > 0))
     nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(nodes, radius, tile))
+    compared = prints.select("fp", "sketch").distinct() if near.wide else nodes
+    roots = components(links(compared, near, tile))
     rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("component_id"))
     classes = rooted.join(named, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "component_id")
     return prints.join(classes, F.col("fp") == F.col("f")).select("doc_id", "fp", "component_id")
 
 
+def keep_one(docs: DataFrame, near: Near) -> DataFrame:
+    """One row of docs for each component: that of the least doc_id, and one row
+    only if rows repeat the id.  Rows without an id can't be told apart by it;
+    they stay as they are."""
+    named = docs.where("doc_id IS NOT NULL")
+    found = near_duplicates(named, near=near)
+    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
+    one = named.join(kept, F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
+    return one.unionByName(docs.where("doc_id IS NULL"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
