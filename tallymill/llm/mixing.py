@@ -20,7 +20,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, read
+from .common import fresh, let, read
 
 #: A table of at most so many sources is broadcast (under 200 bytes and a short
 #: distribution each); with more, sources and documents are joined by shuffling.
@@ -67,14 +67,15 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, tota
     """docs, each row as often as drawn, in shuffled order, with copy (from 0)
     and shuffle_key."""
     docs = docs.drop("copy", "shuffle_key")
-    table = rates(docs, weights, total).select(F.col("source").alias("__source"), "cdf")
+    source, cdf, n = (fresh(docs, x) for x in ("mix_source", "mix_cdf", "mix_times"))
+    table = rates(docs, weights, total).select(F.col("source").alias(source), F.col("cdf").alias(cdf))
     few = docs.select("source").distinct().limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    joined = docs.join(F.broadcast(table) if few else table.hint("merge"), F.col("source").eqNullSafe(F.col("__source")))
+    joined = docs.join(F.broadcast(table) if few else table.hint("merge"), F.col("source").eqNullSafe(F.col(source)))
     name = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit(""))))
     u = uniform(F.lit(f"{seed}:count"), name)
-    times = let(u, lambda x: F.size(F.filter("cdf", lambda c: c <= x)))
-    drawn = joined.withColumn("__times", times).drop("cdf", "__source").where("__times > 0")
-    copies = drawn.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("__times") - 1))).drop("__times")
+    times = let(u, lambda x: F.size(F.filter(cdf, lambda c: c <= x)))
+    drawn = joined.withColumn(n, times).drop(cdf, source).where(F.col(n) > 0)
+    copies = drawn.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col(n) - 1))).drop(n)
     keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(f"{seed}:order"), name, F.col("copy").cast("string"))))
     return keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import spans
-from .common import let, read
+from .common import fresh, let, read
 
 # Possessive loops: nothing that follows them could use a character they give back,
 # and the regular-expression engine runs them without recursion on texts of any length.
@@ -121,14 +121,15 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with every found span replaced by <KIND>; all columns stay, null
     texts too, and n_chars (where there is one) counts the new text."""
     base, more = pii_spans(F.coalesce(F.col(text_col), F.lit("")))
-    held = docs.withColumn("__p", F.struct(base.alias("base"), more.alias("more")))
+    key = fresh(docs, "proposed")
+    held = docs.withColumn(key, F.struct(base.alias("base"), more.alias("more")))
     text = F.col(text_col)
-    found = let(F.col("__p"), lambda p: spans.by_start(F.concat(
+    found = let(F.col(key), lambda p: spans.by_start(F.concat(
         p["base"],
         F.filter(scored(text, F.filter(p["more"], lambda s: ~spans.overlaps(s, p["base"]))), lambda s: s["score"] >= LEAST),
     )))
     clean = let(found, lambda f: spans.replaced(text, f, lambda s: F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">"))))
-    out = held.withColumn(text_col, clean).drop("__p")
+    out = held.withColumn(text_col, clean).drop(key)
     return out.withColumn("n_chars", F.length(text_col).cast("long")) if "n_chars" in out.columns else out
 
 

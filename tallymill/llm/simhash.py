@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrow import LOWER, grouped, per_batch, texts_of
-from .common import cut, read
+from .common import cut, fresh, read
 from .components import components
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
@@ -222,8 +222,9 @@ def keep_one(docs: DataFrame, near: Near) -> DataFrame:
     they stay as they are."""
     named = docs.where("doc_id IS NOT NULL")
     found = near_duplicates(named, near=near)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    one = named.join(kept, F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
+    key = fresh(docs, "kept_id")
+    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
+    one = named.join(kept, F.col("doc_id") == F.col(key), "left_semi").dropDuplicates(["doc_id"])
     return one.unionByName(docs.where("doc_id IS NULL"))
 
 
