@@ -57,10 +57,9 @@ def rates(docs: DataFrame, weights: Mapping[str | None, float] | None, total: in
         for name, value in weights.items():
             w = F.when(F.col("source").eqNullSafe(F.lit(name)), F.lit(float(value))).otherwise(w)
         weighed = sizes.withColumn("w", w)
-    sums = weighed.agg(F.sum("w").alias("all_w"), F.sum("n").alias("all_n"))
-    target = F.col("all_n") if total is None else F.lit(total)
-    rate = F.when(F.col("all_w") > 0, F.round(F.col("w") / F.col("all_w") * target / F.col("n"), 9)).otherwise(F.lit(0.0))
-    return weighed.join(F.broadcast(sums)).select("source", "n", rate.alias("rate")).withColumn("cdf", cumulative(F.col("rate")))
+    all_w, all_n = weighed.agg(F.sum("w"), F.sum("n")).first()
+    rate = F.round(F.col("w") / F.lit(all_w) * F.lit(all_n if total is None else total) / F.col("n"), 9) if all_w else F.lit(0.0)
+    return weighed.select("source", "n", rate.alias("rate")).withColumn("cdf", cumulative(F.col("rate")))
 
 
 def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, total: int | None = None, seed: int = SEED) -> DataFrame:
