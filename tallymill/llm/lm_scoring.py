@@ -6,9 +6,10 @@ the end: a string that stands for its token sequence and no other.  The model
 gives each of its bytes a probability from the DEPTH bytes before it.
 
 Counting: every task counts words and grams of its texts in bounded tables and
-sends partial counts; grams are summed, and the trees below each nearest byte
-are solved apart.  Only the root's 256 counts and 255 node probabilities for
-each nearest byte come to the driver, whatever the input.
+sends partial counts; grams are summed, and the trees below each pair of nearest
+bytes are solved apart.  Only the counts and probabilities of the 255 nodes of
+each single nearest byte come to the driver (at most 256 rows), whatever the
+input.
 
 Scoring: texts are dealt into chunks of bounded size.  A chunk sends its
 distinct words to be joined with the word counts and gets back a table of its
@@ -139,41 +140,64 @@ class Model:
         return lambda count: math.log10((count + 0.1) / whole)
 
 
-def _solve(table: pa.Table, depth: int) -> pa.Table:
-    """The trees below one nearest byte.  Besides a row for each gram, one row
-    of null gram tells the root of this byte's symbols and node probabilities."""
+def _solve(table: pa.Table, depth: int, top: int) -> pa.Table:
+    """The trees below the ``top`` nearest bytes.  Besides a row for each gram,
+    one row of null gram tells the level above of their symbols and node
+    probabilities."""
     codes, n = table["gram"].to_numpy().view(np.uint64), table["n"].to_numpy()
-    p, ln_pw = ctw.solve(codes, n, depth, 1)
+    p, ln_pw = ctw.solve(codes, n, depth, top)
     symbols = (codes & np.uint64(255)).astype(np.int64)
     nodes = np.zeros(256)
     for level in range(8):
         nodes[(symbols >> (8 - level)) | (1 << level)] = ln_pw[:, level]
-    root = np.concatenate([np.bincount(symbols, n, minlength=256), nodes])
+    above = np.concatenate([np.bincount(symbols, n, minlength=256), nodes])
     grams = pa.array([*codes.view(np.int64), None], pa.int64())
-    return pa.table({"gram": grams, "p": pa.array([*p, root], pa.list_(pa.float64()))})
+    nearest = pa.array([int(codes[0] >> np.uint64(8 * depth))] * len(grams), pa.int32())
+    return pa.table({"gram": grams, "nearest": nearest, "p": pa.array([*p, above], pa.list_(pa.float64()))})
 
 
-def _finish(rows: DataFrame, roots: list[list[float]]) -> DataFrame:
-    """(gram, lp): the root's own estimates mixed in."""
-    symbols = np.sum([r[:256] for r in roots], axis=0) if roots else np.zeros(256)
-    children = np.sum([r[256:] for r in roots], axis=0) if roots else np.zeros(256)
+def _level(rows: list[list[float]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(estimates, weights, ln P_w) of one context from its children's rows of
+    256 symbol counts and 256 node probabilities.  estimates[node, bit] is the
+    KT probability of a bit, weights[node] its share in the mixture."""
+    parts = np.array(rows).reshape(-1, 512)
+    symbols, children = parts[:, :256].sum(axis=0), parts[:, 256:].sum(axis=0)
+    counts, value = np.zeros((256, 2)), np.arange(256)
+    for level in range(8):
+        np.add.at(counts, ((value >> (8 - level)) | (1 << level), (value >> (7 - level)) & 1), symbols)
+    ln_pe = ctw.LN_HALF + ctw.ln_kt(counts[:, 0], counts[:, 1])
+    ln_pw = np.logaddexp(ln_pe, ctw.LN_HALF + children)
+    return (counts + 0.5) / (counts.sum(axis=1, keepdims=True) + 1), np.exp(ln_pe - ln_pw), np.concatenate([symbols, ln_pw])
+
+
+def _first(table: pa.Table) -> pa.Table:
+    """The contexts of one nearest byte, of at most 256 rows: its estimates and
+    weights, and the row that it gives the root."""
+    kt, w, above = _level(table["p"].to_pylist())
+    return pa.table({"nearest": table["nearest"][:1], "kt": pa.array([kt.ravel()]), "w": pa.array([w]), "above": pa.array([above])})
+
+
+def _finish(rows: DataFrame, firsts: list, depth: int) -> DataFrame:
+    """(gram, lp): the estimates of the nearest byte's context and of the root
+    mixed in.  firsts: at most 256 rows of _first, by nearest byte; none if the
+    trees were solved down to the nearest byte alone."""
+    kt0, w0, _ = _level([r["above"] for r in firsts])
+    kt1, w1 = np.full((256, 256, 2), 0.5), np.zeros((256, 256))
+    for r in firsts:
+        if r["kt"] is not None:
+            kt1[r["nearest"]], w1[r["nearest"]] = np.array(r["kt"]).reshape(256, 2), r["w"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        value = np.arange(256)
         for batch in batches:
             if not batch.num_rows:
                 continue
             grams = batch.column("gram").to_numpy()
             p = batch.column("p").flatten().to_numpy().reshape(-1, 8)
-            x, lp = grams & 255, np.zeros(len(grams))
+            x, c, lp = grams & 255, (grams >> (8 * depth)) & 255, np.zeros(len(grams))
             for level in range(8):
-                node, bit = (value >> (8 - level)) | (1 << level), (value >> (7 - level)) & 1
-                total, ones = np.bincount(node, symbols, minlength=256), np.bincount(node, symbols * bit, minlength=256)
-                ln_pe = ctw.LN_HALF + ctw.ln_kt(total - ones, ones)
-                w = np.exp(ln_pe - np.logaddexp(ln_pe, ctw.LN_HALF + children))
-                own, bits = node[x], bit[x]
-                kt = (np.where(bits == 1, ones[own], total[own] - ones[own]) + 0.5) / (total[own] + 1)
-                lp += np.log10(w[own] * kt + (1 - w[own]) * p[:, level])
+                node, bit = (x >> (8 - level)) | (1 << level), (x >> (7 - level)) & 1
+                mixed = w1[c, node] * kt1[c, node, bit] + (1 - w1[c, node]) * p[:, level]
+                lp += np.log10(w0[node] * kt0[node, bit] + (1 - w0[node]) * mixed)
             yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(lp)], names=["gram", "lp"])
 
     return rows.mapInArrow(run, "gram bigint, lp double")
@@ -187,11 +211,18 @@ def train(rows: DataFrame, depth: int = DEPTH) -> Model:
     totals = cut(counted.groupBy("word", "gram").agg(F.sum("n").alias("n")))
     sums = totals.where("word IS NOT NULL").agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     ends = rows.where("remainder <> 0").count()
-    nearest = F.shiftrightunsigned("gram", 8 * depth)
-    trees = totals.where("gram IS NOT NULL").select(nearest.alias("nearest"), "gram", "n")
-    solved = cut(trees.groupBy("nearest").applyInArrow(lambda t: _solve(t, depth), "gram bigint, p array<double>"))
-    roots = [r["p"] for r in solved.where("gram IS NULL").collect()]  # at most 256 rows
-    grams = cut(_finish(solved.where("gram IS NOT NULL"), roots))
+    top = min(depth, 2)
+    under = F.shiftrightunsigned("gram", 8 * (depth - top + 1))
+    trees = totals.where("gram IS NOT NULL").select(under.alias("under"), "gram", "n")
+    solved = cut(trees.groupBy("under").applyInArrow(lambda t: _solve(t, depth, top), "gram bigint, nearest int, p array<double>"))
+    above = solved.where("gram IS NULL").select("nearest", "p")
+    if top == 2:
+        schema = "nearest int, kt array<double>, w array<double>, above array<double>"
+        firsts = above.groupBy("nearest").applyInArrow(_first, schema).collect()  # at most 256 rows
+    else:
+        none = F.lit(None).cast("array<double>")
+        firsts = above.select("nearest", none.alias("kt"), none.alias("w"), F.col("p").alias("above")).collect()  # at most 256 rows
+    grams = cut(_finish(solved.where("gram IS NOT NULL").select("gram", "p"), firsts, depth))
     return Model(totals.where("word IS NOT NULL").select("word", "n"), grams, sums[1] + ends, sums[0] + (ends > 0), ends)
 
 
