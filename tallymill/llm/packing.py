@@ -50,9 +50,9 @@ def pieces(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     the end id 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .tokens import Words
+        from .tokens import words_of
 
-        words = Words(path)
+        words = words_of(path)
         for batch in batches:
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch)):

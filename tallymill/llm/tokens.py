@@ -14,8 +14,9 @@ import re
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Words kept in a worker's memory; beyond it the table starts anew.
-CACHED = 800_000
+#: Words, and pieces of words, in a generation of a worker's tables; two
+#: generations of words are held, so that frequent words stay.
+CACHED = 300_000
 #: Python splits words here and the tokenizer doesn't.
 ODD = re.compile("[\x1c-\x1f]")
 #: Letters, digits and signs of Latin-1 for which lower case is one character
@@ -40,6 +41,7 @@ class Words:
         self.model, self.cached = self.tokenizer.model, cached
         self.letters = str.maketrans({chr(b): c for b, c in byte_letters().items()})
         self.words: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
@@ -51,18 +53,32 @@ class Words:
         return found
 
     def _word(self, word: str) -> bytes:
-        if PLAIN.fullmatch(word):
-            pieces = self.pieces
-            found = b"".join([pieces.get(p) or self._piece(p) for p in PIECE.findall(word.lower())])
-        else:
-            found = self._whole(word)
+        found = self.before.get(word)
+        if found is None:
+            if PLAIN.fullmatch(word):
+                pieces = self.pieces
+                found = b"".join([pieces.get(p) or self._piece(p) for p in PIECE.findall(word.lower())])
+            else:
+                found = self._whole(word)
         self.words[word] = found
         return found
 
     def encode(self, text: str) -> bytes:
         if ODD.search(text):
             return self._whole(text)
-        if len(self.words) > self.cached or len(self.pieces) > self.cached:
-            self.words, self.pieces = {}, {}
+        if len(self.words) > self.cached:
+            self.before, self.words = self.words, {}
+        if len(self.pieces) > self.cached:
+            self.pieces = {}
         words, one = self.words, self._word
         return b"".join([words.get(w) or one(w) for w in text.split()])
+
+
+_OWN: dict[str, Words] = {}
+
+
+def words_of(path: str) -> Words:
+    """This process's encoder: a worker keeps its tables from task to task."""
+    if path not in _OWN:
+        _OWN[path] = Words(path)
+    return _OWN[path]
