@@ -17,8 +17,8 @@ from tallymill.llm.simhash import Near, keep_one
 #: SQL has no quadratic discriminant, fingerprint graph or genetic search.
 ORACLE_SQL = None
 
-#: Near duplicates: three bits, or eleven with about 0.8 of the five-word shingles shared.
-NEAR = Near(radius=3, wide=11, similarity=0.77)
+#: Near duplicates: 0.8 of the five-word shingles shared, exactly; three bits only propose.
+NEAR = Near(radius=3, exact=0.8)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

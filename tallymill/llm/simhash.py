@@ -96,11 +96,13 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, sketched: bool = False
 @dataclass(frozen=True)
 class Near:
     """Which fingerprints are linked: within radius bits, or within wide bits
-    with sketches that agree in a share of similarity."""
+    with sketches that agree in a share of similarity.  With exact, keep_one
+    links texts by the exact similarity of their shingles (see similar)."""
 
     radius: int = RADIUS
     wide: int = 0
     similarity: float = 1.0
+    exact: float | None = None
 
     @property
     def reach(self) -> int:
@@ -216,12 +218,23 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, near: Near = Near()
     return prints.join(classes, F.col("fp") == F.col("f")).select("doc_id", "fp", "component_id")
 
 
+def _similar(docs: DataFrame, near: Near) -> DataFrame:
+    """(doc_id, component_id) by exact similarity; docs have ids."""
+    from .similar import similar  # which builds on this module
+
+    keyed = docs.select("doc_id", "text", F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), "text")).alias("key"))
+    classes = similar(keyed.select("key", "text"), near).select(F.col("key").alias("k"), "class")
+    found = keyed.select("doc_id", "key").join(classes, F.col("key") == F.col("k")).select("doc_id", "class")
+    named = found.groupBy(F.col("class").alias("c")).agg(F.min("doc_id").alias("component_id"))
+    return found.join(named, F.col("class") == F.col("c")).select("doc_id", "component_id").distinct()
+
+
 def keep_one(docs: DataFrame, near: Near) -> DataFrame:
     """One row of docs for each component: that of the least doc_id, and one row
     only if rows repeat the id.  Rows without an id can't be told apart by it;
     they stay as they are."""
     named = docs.where("doc_id IS NOT NULL")
-    found = near_duplicates(named, near=near)
+    found = near_duplicates(named, near=near) if near.exact is None else _similar(named, near)
     key = fresh(docs, "kept_id")
     kept = found.where("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
     one = named.join(kept, F.col("doc_id") == F.col(key), "left_semi").dropDuplicates(["doc_id"])
