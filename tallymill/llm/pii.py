@@ -21,7 +21,14 @@ EMAIL = rf"(?:(?<!{EMAIL_CHAR})|\G){EMAIL_CHAR}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-
 IP = r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-IBAN = r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}\b"
+# An account number's head; the run of words that may hold its rest is only looked at.
+IBAN = r"\b(?=([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}\b))[A-Z]{2}[0-9]{2}"
+#: Lengths of account numbers by country, without spaces.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
 SSN = r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b"
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
 
@@ -67,6 +74,24 @@ def mod97(value: Column) -> Column:
     return F.aggregate(F.split(turned, ""), F.lit(0), add) == 1
 
 
+def account(run: Column) -> Column:
+    """The account number that a run of words begins with, or null: of the parts
+    that end at a word's end and pass mod 97, that of the country's length, else
+    the longest."""
+    plain = lambda v: F.regexp_replace(v, " ", "")
+    lengths = F.create_map(*[F.lit(x) for n, names in IBAN_LENGTHS.items() for c in names.split() for x in (c, n)])
+
+    def parts(ws: Column) -> Column:
+        return F.transform(F.sequence(F.size(ws), F.lit(1), F.lit(-1)), lambda k: F.array_join(F.slice(ws, 1, k), " "))
+
+    def best(passed: Column) -> Column:
+        own = F.filter(passed, lambda v: F.length(plain(v)) == F.try_element_at(lengths, F.substring(v, 1, 2)))
+        return F.coalesce(F.get(own, F.lit(0)), F.get(passed, F.lit(0)))
+
+    passing = F.filter(let(F.split(run, " "), parts), lambda v: (F.length(plain(v)) >= 15) & mod97(v))
+    return let(passing, best)
+
+
 def card_like(value: Column) -> Column:
     return let(digits(value), lambda d: F.when(F.length(d).between(16, 19), luhn(d)).otherwise(F.lit(False)))
 
@@ -97,7 +122,7 @@ def pii_spans(text: Column) -> tuple[Column, Column]:
     ip = spans.find(text, IP, "ip", 1, octets, when=text.contains("."))
     card = spans.find(text, CARD, "card", 2, card_like)
     phone = spans.find(text, PHONE, "phone", 3, lambda v: F.length(digits(v)).between(8, 15), when=text.contains("+"))
-    iban = spans.find(text, IBAN, "iban", 4, mod97)
+    iban = spans.find_ahead(text, IBAN, "iban", 4, account)
     ssn = spans.find(text, SSN, "ssn", 5, lambda v: ~v.rlike("^(?:000|666|9)|-00-|-0000$"), when=text.contains("-"))
     return F.concat(email, ip, card, phone), F.concat(iban, ssn)
 

@@ -45,6 +45,33 @@ def find(text: Column, pattern: str, kind: str, rank: int, keep, group: int = 0,
     return F.when(there, found).otherwise(none())
 
 
+def find_ahead(text: Column, pattern: str, kind: str, rank: int, take) -> Column:
+    """Spans that begin at matches of pattern, whose group 1 looks beyond the
+    match: take(group 1) is the span's text, null for none.  Of spans that
+    overlap the leftmost stays."""
+    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    parts = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), take)
+    rows = F.arrays_zip(
+        F.transform(F.split(text, pattern), lambda g: F.length(g)).alias("gap"), matches.alias("match"), parts.alias("part")
+    )
+    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("free"), none().alias("found"))
+
+    def step(acc: Column, row: Column) -> Column:
+        start = acc["at"] + row["gap"]
+        end = start + F.coalesce(F.length(row["part"]), F.lit(0))
+        good = row["part"].isNotNull() & (start >= acc["free"])
+        span = F.struct(
+            start.alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), end.alias("end"),
+            row["part"].alias("value"), F.lit(1.0).alias("score"),
+        )
+        return F.struct(
+            (start + F.coalesce(F.length(row["match"]), F.lit(0))).alias("at"), F.when(good, end).otherwise(acc["free"]).alias("free"),
+            F.concat(acc["found"], F.when(good, F.array(span)).otherwise(none())).alias("found"),
+        )
+
+    return F.when(text.rlike(pattern), F.aggregate(rows, zero, step, lambda acc: acc["found"])).otherwise(none())
+
+
 def overlaps(span: Column, others: Column) -> Column:
     return F.exists(others, lambda o: (o["start"] < span["end"]) & (span["start"] < o["end"]))
 
@@ -87,4 +114,4 @@ def replaced(text: Column, spans: Column, mark) -> Column:
     return F.when(F.size(spans) == 0, text).otherwise(done)
 
 
-__all__ = ["SPAN", "by_rank", "by_start", "count", "digest", "find", "joined", "let", "none", "overlaps", "replaced"]
+__all__ = ["SPAN", "by_rank", "by_start", "count", "digest", "find", "find_ahead", "joined", "let", "none", "overlaps", "replaced"]
