@@ -101,7 +101,10 @@ def with_next(rows: DataFrame, names: list[str], n_ranges: int | None = None) ->
     ids = rows.select("doc_id")
     low, nulls = ids.agg(F.min("doc_id"), F.count(F.when(F.col("doc_id").isNull(), 1))).first()
     cuts = ids.where("doc_id IS NOT NULL").approxQuantile("doc_id", [i / n_ranges for i in range(1, n_ranges)], 0.25 / n_ranges) if low is not None else []
-    edges = sorted({int(x) for x in cuts} - ({low} if not nulls else set()))
+    # quantiles are doubles; an edge has to be an id, so take the least one at or above each
+    near = sorted({int(x) for x in cuts})
+    least = ids.agg(*[F.min(F.when(F.col("doc_id") >= F.lit(str(x)).cast("decimal(20,0)"), F.col("doc_id"))).alias(f"e{i}") for i, x in enumerate(near)]).first() if near else []
+    edges = sorted(set(least) - {None} - ({low} if not nulls else set()))
     table = F.array(*[F.lit(x).cast("long") for x in edges]) if edges else F.array().cast("array<bigint>")
     # the number of edges at or below an id, by halving
     steps = [1 << k for k in reversed(range(max(len(edges), 1).bit_length()))]

@@ -60,3 +60,10 @@ def test_single_and_empty_tables(spark):
     one = fp.with_next(fp.fingerprints(data.frame(spark, [(5, "a b c")])), ["text"]).collect()
     assert [r.next_text for r in one] == ["a b c"]
     assert fp.with_next(fp.fingerprints(data.empty(spark)), ["text"]).count() == 0
+
+
+def test_next_rows_of_large_ids(spark):
+    ids = [2**62 + 1001 * k * k + 7 * k + 1 for k in range(200)] + [2**63 - 1, -(2**63), -(2**61) - 3]
+    rows = fp.with_next(data.frame(spark, [(i, f"t{i}") for i in ids]).select("doc_id", "text"), ["text"], 20).collect()
+    order = sorted(ids)
+    assert {r.doc_id: r.next_text for r in rows} == {i: f"t{j}" for i, j in zip(order, order[1:] + order[:1])}
