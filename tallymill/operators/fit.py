@@ -10,13 +10,13 @@ after FOLD updates the support is stored anew.  Only scalars reach the driver.
 from __future__ import annotations
 
 import math
-import tempfile
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.workload import QuerySpace
+from ..storage import stored
 from . import privacy
 from .evaluate import differences
 from .support import support_answers
@@ -24,15 +24,6 @@ from .support import support_answers
 FOLD, EDGE = 64, 1e-6
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df, kept in the shared folder of spark.checkpoint.dir (a folder of its own
-    where a session names none)."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallymill-"))
-    return df.checkpoint(eager=True)
-
-
 def projection_step(measured: float, current: float) -> float:
     """The eta that brings a query's answer from current to measured at once."""
     a, b = (min(max(x, EDGE), 1 - EDGE) for x in (measured, current))
