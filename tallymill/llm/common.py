@@ -1,15 +1,19 @@
-"""What the operators of this folder share: reading, folds, lineage cuts."""
+"""What the operators of this folder share: reading, folds, joins of uneven
+keys, lineage cuts."""
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import shared_folder, stored as cut
+
 #: White space of every word pattern here: space and tab to carriage return.
 NOT_SPACE = r"[^\x20\x09-\x0D]+"
+#: A value that a larger share of the rows than one in HEAVY holds is joined by broadcast.
+HEAVY = 1000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -48,17 +52,24 @@ def crc_mod(doc_id: Column, mod: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % F.lit(mod)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the session names in spark.checkpoint.dir; only a session
-    without that setting (a test) gets a folder of its own."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallymill-"))
-    return sc._jsc.sc().getCheckpointDir().get()
+def joined(rows: DataFrame, table: DataFrame, on: str, total: int, how: str = "inner") -> DataFrame:
+    """rows with the columns of table, which has one row for a value of on (never
+    null) and says in n how many of at most total rows hold it.  Values that more
+    than a HEAVY-th of the rows hold, so fewer than HEAVY values, are broadcast;
+    the others meet by a shuffle in which no value is large."""
+    hot = table.where(F.col("n") * HEAVY > total).drop("n")
+    cold = table.where(F.col("n") * HEAVY <= total).drop("n")
+    rest = rows.join(F.broadcast(hot.select(on)), on, "left_anti").join(cold, on, how)
+    return rows.join(F.broadcast(hot), on).unionByName(rest)
+
+
+def row_key(df: DataFrame) -> Column:
+    """A string for each row that sorts by doc_id, nulls last, then by 128 bits of
+    hashes of all columns: equal for equal rows only."""
+    own = [F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in df.schema]
+    bits = [F.lpad(F.hex(F.xxhash64(F.lit(k), *own)), 16, "0") for k in (0, 1)]
+    by_id = F.lpad(F.hex(F.col("doc_id").cast("long").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    return F.concat(F.coalesce(F.concat(F.lit("0"), by_id), F.lit("1")), *bits)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed and stored in the shared folder; what follows reads it there
-    and doesn't depend on the executors that made it."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+__all__ = ["cut", "crc_mod", "fresh", "joined", "let", "lower_ascii", "read", "row_key", "shared_folder", "words"]

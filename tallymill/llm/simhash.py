@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrow import LOWER, grouped, per_batch, texts_of
-from .common import cut, fresh, read
+from .common import cut, fresh, joined, read, row_key
 from .components import components
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
@@ -89,7 +89,7 @@ def _prints(batch: pa.RecordBatch, shingle: int, sketched: bool) -> dict:
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, sketched: bool = False) -> DataFrame:
     """(doc_id, fp and, if asked for, sketch), fp as a signed 64-bit integer."""
-    schema = "doc_id bigint, fp bigint" + ", sketch binary" * sketched
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp bigint" + ", sketch binary" * sketched
     return per_batch(docs.select("doc_id", "text"), _prints, schema, shingle, sketched)
 
 
@@ -209,36 +209,33 @@ def links(nodes: DataFrame, near: Near = Near(), tile: int = TILE) -> DataFrame:
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, near: Near = Near(), tile: int = TILE) -> DataFrame:
     """(doc_id, fp, component_id): a component's id is its least doc_id."""
     prints = cut(fingerprints(docs, shingle, near.wide > 0))
-    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
     compared = prints.select("fp", "sketch").distinct() if near.wide else nodes
     roots = components(links(compared, near, tile))
-    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("component_id"))
-    classes = rooted.join(named, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "component_id")
-    return prints.join(classes, F.col("fp") == F.col("f")).select("doc_id", "fp", "component_id")
+    members = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    held = cut(members.join(nodes, F.col("node") == F.col("fp")).select("fp", "root", "least"))
+    named = held.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    classes = joined(held.select("fp", "root"), named, "root", held.count()).select("fp", "component_id")
+    table = nodes.join(classes, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), "n")
+    return joined(prints.select("doc_id", "fp"), table, "fp", prints.count()).select("doc_id", "fp", "component_id")
 
 
-def _similar(docs: DataFrame, near: Near) -> DataFrame:
-    """(doc_id, component_id) by exact similarity; docs have ids."""
+def keep_one(docs: DataFrame, near: Near) -> DataFrame:
+    """One row of docs for each class of near duplicates: the one of least doc_id
+    (a null id comes last), of rows that share the id any one, always the same.
+    Classes are those of texts, so rows that share an id but not a text are told
+    apart, rows without an id are compared like others, and equal rows are one."""
     from .similar import similar  # which builds on this module
 
-    keyed = docs.select("doc_id", "text", F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), "text")).alias("key"))
-    classes = similar(keyed.select("key", "text"), near).select(F.col("key").alias("k"), "class")
-    found = keyed.select("doc_id", "key").join(classes, F.col("key") == F.col("k")).select("doc_id", "class")
-    named = found.groupBy(F.col("class").alias("c")).agg(F.min("doc_id").alias("component_id"))
-    return found.join(named, F.col("class") == F.col("c")).select("doc_id", "component_id").distinct()
-
-
-def keep_one(docs: DataFrame, near: Near) -> DataFrame:
-    """One row of docs for each component: that of the least doc_id, and one row
-    only if rows repeat the id.  Rows without an id can't be told apart by it;
-    they stay as they are."""
-    named = docs.where("doc_id IS NOT NULL")
-    found = near_duplicates(named, near=near) if near.exact is None else _similar(named, near)
-    key = fresh(docs, "kept_id")
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
-    one = named.join(kept, F.col("doc_id") == F.col(key), "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.where("doc_id IS NULL"))
+    key = fresh(docs, "row_key")
+    keyed = docs.withColumn(key, row_key(docs))
+    texts = keyed.select(F.col(key).alias("key"), "text")
+    if near.exact is None:
+        found = near_duplicates(texts.withColumnRenamed("key", "doc_id"), near=near).select(F.col("doc_id").alias("key"), F.col("component_id").alias("class"))
+    else:
+        found = similar(texts, near)
+    kept = found.groupBy("class").agg(F.min("key").alias("key")).select(F.col("key").alias(key))
+    return keyed.dropDuplicates([key]).join(kept, key, "left_semi").drop(key)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import grouped, per_batch, texts_of
-from .common import cut
+from .common import cut, joined
 from .components import components
 from .simhash import SEED, SKETCH_SHINGLE, Near, _hashes, _united, fingerprint, links, words_of
 
@@ -63,12 +63,13 @@ def proposals(rows: DataFrame, near: Near) -> DataFrame:
     """Edges (u, v) of nodes that connect whatever is proposed, no more than one
     for each node and band, or node and fingerprint."""
     nodes = rows.groupBy("node").agg(F.first("bands").alias("bands"))
-    banded = nodes.select("node", F.explode("bands").alias("band")).repartition("band")
-    hubs = banded.groupBy(F.col("band").alias("b")).agg(F.min("node").alias("v"), F.max("node").alias("most")).where("v < most")
-    by_band = banded.join(hubs, F.col("band") == F.col("b")).select(F.col("node").alias("u"), "v")
-    own = rows.groupBy("fp").agg(F.min("node").alias("v"), F.max("node").alias("most"))
-    shared = own.where("v < most").select(F.col("fp").alias("f"), "v")
-    by_print = rows.join(shared, F.col("fp") == F.col("f")).select(F.col("node").alias("u"), "v")
+    banded = nodes.select("node", F.explode("bands").alias("band"))
+    least = lambda df, by: df.groupBy(by).agg(F.min("node").alias("v"), F.count(F.lit(1)).alias("n"))
+    hubs = least(banded, "band").where("n > 1")
+    by_band = joined(banded, hubs, "band", BANDS * nodes.count()).select(F.col("node").alias("u"), "v")
+    printed = cut(rows.select("node", "fp").distinct())
+    own = least(printed, "fp")
+    by_print = joined(printed, own.where("n > 1"), "fp", printed.count()).select(F.col("node").alias("u"), "v")
     close = links(own.select("fp"), Near(near.radius))
     one = own.select(F.col("fp").alias("f"), F.col("v").alias("n"))
     two = own.select(F.col("fp").alias("g"), F.col("v").alias("m"))
@@ -127,8 +128,10 @@ def similar(docs: DataFrame, near: Near, tile: int = TILE) -> DataFrame:
     rows = cut(per_batch(docs.select("key", "text"), _described, "key string, node bigint, fp bigint, bands array<bigint>"))
     roots = cut(components(proposals(rows, near)))
     every = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
-    held = rows.groupBy(F.col("node").alias("n")).agg(F.min("key").alias("k"))
-    chosen = every.join(held, F.col("node") == F.col("n")).select("root", "node", "k")
-    texts = docs.select("key", "text").join(chosen, F.col("key") == F.col("k")).dropDuplicates(["key"]).select("root", "node", "text")
-    found = components(confirmed(texts, near.exact, tile)).select(F.col("node").alias("m"), "root")
-    return rows.join(found, F.col("node") == F.col("m"), "left").select("key", F.coalesce("root", "node").alias("class"))
+    held = cut(rows.groupBy("node").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("n")))
+    chosen = every.join(held, "node").select("root", "node", "key")
+    # one row for each key, so that the many rows of one key don't meet in the join
+    texts = docs.select("key", "text").dropDuplicates(["key"]).join(chosen, "key").select("root", "node", "text")
+    found = components(confirmed(texts, near.exact, tile))
+    classes = held.select("node", "n").join(found, "node", "left").select("node", F.coalesce("root", "node").alias("class"), "n")
+    return joined(rows.select("key", "node"), classes, "node", rows.count()).select("key", "class")

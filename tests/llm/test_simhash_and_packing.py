@@ -7,6 +7,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tallymill.llm import packing, simhash
 from tallymill.llm.tokens import Words
@@ -88,14 +89,46 @@ def test_similar_copies_are_linked_and_others_left(spark):
     assert len(kept) <= 14
 
 
-def test_keep_one_with_awkward_rows(spark):
+@pytest.mark.parametrize("exact", [None, 0.8])
+def test_keep_one_with_awkward_rows(spark, exact):
     pairs = data.rows()
-    out = simhash.keep_one(data.frame(spark, pairs), simhash.Near())
+    near = simhash.Near(exact=exact)
+    out = simhash.keep_one(data.frame(spark, pairs), near)
     assert out.columns == data.frame(spark, []).columns
-    rows = out.collect()
-    ids = Counter(r.doc_id for r in rows if r.doc_id is not None)
-    assert max(ids.values()) == 1
-    assert sum(r.doc_id is None for r in rows) == 2
+    got = Counter((r.doc_id, r.text) for r in out.collect())
+    texts = [t or "" for _, t in pairs]
+    if exact is None:
+        prints = [print_of(t) for t in texts]
+        linked = lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 3
+    else:
+        sets = [five_words(t) for t in texts]
+        linked = lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+    class_of = classes(texts, range(len(texts)), linked)
+    least = {}
+    for c, (i, _) in zip(class_of, pairs):
+        least[c] = min(least.get(c, (1, 0)), (i is None, i or 0))
+    # one row of each class, of its least id (a null one only where there is no other)
+    rows = {c: {p for p, q in zip(pairs, class_of) if q == c and (p[0] is None, p[0] or 0) == least[c]} for c in set(class_of)}
+    assert sum(got.values()) == len(rows)
+    assert all(sum(got[p] for p in of) == 1 for of in rows.values())
+
+
+def five_words(t):
+    w = "".join(c.lower() if c.isascii() else c for c in t).split()
+    return {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))}
+
+
+@pytest.mark.parametrize("exact", [None, 0.8])
+def test_rows_that_share_an_id_are_told_apart(spark, exact):
+    rng = random.Random(12)
+    a, b, c = (data.prose(rng, 80) for _ in range(3))
+    rows = [(3, a), (9, a), (9, b), (None, c), (None, c), (None, b), (7, c)]
+    got = simhash.keep_one(data.frame(spark, rows), simhash.Near(exact=exact)).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == sorted([(3, a), (9, b), (7, c)])
+    clash = data.frame(spark, rows).withColumn("row_key", F.lit("own")).withColumn("key", F.create_map(F.lit("a"), F.lit(1)))
+    got = simhash.keep_one(clash, simhash.Near(exact=exact))
+    assert got.columns == clash.columns and {r.row_key for r in got.collect()} == {"own"}
+    assert simhash.keep_one(data.empty(spark), simhash.Near(exact=exact)).count() == 0
 
 
 @settings(max_examples=300, deadline=None)
