@@ -1,6 +1,9 @@
+import hashlib
+import math
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallymill.llm import mixing
 
@@ -22,6 +25,24 @@ def test_counts_follow_the_rates_and_repeat(spark):
     assert shares[1] / 2000 == pytest.approx(2.25 * 2.718281828 ** -2.25, abs=0.04)  # Poisson of mean 2.25
 
 
+def test_clashing_columns_stay(spark):
+    df = data.frame(spark, data.rows()).withColumn("copy", F.lit("mine")).withColumn("Shuffle_Key", F.lit(3))
+    out = mixing.mix(df)
+    assert out.columns == [*df.columns, "copy_", "shuffle_key_"]
+    assert {(r[df.columns.index("copy")], r[df.columns.index("Shuffle_Key")]) for r in out.collect()} == {("mine", 3)}
+
+
+def test_a_rate_of_many_parts_is_poisson_by_brute_force(spark):
+    got = mixing.mix(data.frame(spark, [(i * 3, "t") for i in range(400)]), {"src0": 1.0}, total=400 * 100)
+    times = Counter(r.doc_id for r in got.select("doc_id").collect())
+    cdf = [round(sum(math.exp(-25 + j * math.log(25) - math.lgamma(j + 1)) for j in range(k + 1)), 12) for k in range(117)]
+    draw = lambda i, j: int(hashlib.md5(f"20:count:{j}:{i}".encode()).hexdigest()[:13], 16) / 2**52
+    want = {i * 3: sum(sum(c <= draw(i * 3, j) for c in cdf) for j in range(1, 5)) for i in range(400)}
+    assert times == Counter(want)
+    mean = sum(want.values()) / 400
+    assert sum((x - mean) ** 2 for x in want.values()) / 399 == pytest.approx(100, rel=0.25)
+
+
 def test_large_rates(spark):
     got = mixing.mix(data.frame(spark, [(i, "t") for i in range(0, 30, 3)]), {"src0": 1.0}, total=20000).count()
     assert got == pytest.approx(20000, rel=0.03)
