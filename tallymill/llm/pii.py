@@ -18,18 +18,20 @@ from .common import fresh, let, read
 # and the regular-expression engine runs them without recursion on texts of any length.
 EMAIL_CHAR = r"[A-Za-z0-9._%+-]"
 EMAIL = rf"(?:(?<!{EMAIL_CHAR})|\G){EMAIL_CHAR}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
-IP = r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
+IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 # An account number's head; the run of words that may hold its rest is only looked at.
-IBAN = r"\b(?=([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}\b))[A-Z]{2}[0-9]{2}"
+# Words end at ASCII letters, digits and underscores, whatever the engine's own idea of a word.
+BEGIN, END = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
+IBAN = rf"{BEGIN}(?=([A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{11,30}}{END}))[A-Z]{{2}}[0-9]{{2}}"
 #: Lengths of account numbers by country, without spaces.
 IBAN_LENGTHS = {
     15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
     22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
     26: "IS TR", 27: "BI DJ FR GR IT MC SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
 }
-SSN = r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b"
+SSN = rf"{BEGIN}[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}{END}"
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
 
 #: kind: (score without context, words nearby that raise it, words that lower it)
@@ -109,7 +111,7 @@ def scored(text: Column, found: Column) -> Column:
         around = F.lower(F.concat(left, F.lit(" "), F.substring(text, s["end"] + 1, F.lit(NEARBY))))
         value = F.lit(0.0)
         for kind, (base, more, less) in CONTEXT.items():
-            own = F.lit(base) + F.when(around.rlike(rf"\b(?:{more})"), RAISE).otherwise(0.0) - F.when(around.rlike(rf"\b(?:{less})"), LOWER).otherwise(0.0)
+            own = F.lit(base) + F.when(around.rlike(f"{BEGIN}(?:{more})"), RAISE).otherwise(0.0) - F.when(around.rlike(f"{BEGIN}(?:{less})"), LOWER).otherwise(0.0)
             value = F.when(s["kind"] == kind, own).otherwise(value)
         return F.round(F.greatest(F.least(value, F.lit(1.0)), F.lit(0.0)), 2)
 
