@@ -25,18 +25,26 @@ ALLOWED = (
     r"(?i)example|sample|dummy|placeholder|changeme|redacted|xxxx",
     r"^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$",  # UUID
     r"(?i)0123456789|abcdefghij|qwertyuiop",
-    r"^(.{1,4})\1+$",  # one short piece again and again
+    # paths and names of several parts: words that may end in a short number, or short numbers
+    r"^[/_=-]*(?:[A-Za-z]+[0-9]{0,3}|[0-9]{1,4})(?:[/_=-]+(?:[A-Za-z]+[0-9]{0,3}|[0-9]{1,4}))+[/_=-]*$",
+)
+#: Character classes, the first that fits, with the bits a character that the best
+#: window of a candidate must reach.
+CLASSES = (
+    ("digits", r"^[0-9]+$", 3.1),
+    ("hexadecimal", r"^(?:[0-9a-f]+|[0-9A-F]+)$", 3.0),
+    ("one case", r"^(?:[a-z]+|[A-Z]+)$", 3.9),
+    ("letters", r"^[A-Za-z]+$", 4.0),
+    ("mixed", r"^", 3.75),
 )
 
 
 @dataclass(frozen=True)
 class Entropy:
-    """window: characters in a window.  hexadecimal, mixed: bits a character
-    that the best window of a candidate must reach, by its class."""
+    """window: characters in a window."""
 
     window: int = 20
-    hexadecimal: float = 3.0
-    mixed: float = 3.75
+    classes: Sequence[tuple[str, str, float]] = CLASSES
     allowed: Sequence[str] = ALLOWED
 
 
@@ -44,46 +52,50 @@ def window_entropy(value: Column, window: int) -> Column:
     """The largest Shannon entropy, in bits a character, over the windows of
     value; texts shorter than the window are one window.
 
-    Between neighbouring windows one character leaves and one enters.  With S
-    the sum of c log2 c over the counts c, entropy is log2 n - S / n, and a
-    step changes S only by the two counts that it touches."""
-    table = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 1)])
-
-    def scan(chars: Column) -> Column:
-        n = F.least(F.size(chars), F.lit(window))
-        have = lambda part, x: F.size(F.filter(part, lambda c: c == x))
+    The counts of the value's characters are carried from step to step: at each
+    step one character enters and, once the window is full, one leaves.  With S
+    the sum of c log2 c over the counts c, entropy is log2 n - S / n, and a step
+    changes S by the two counts that it touches alone."""
+    table = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 2)])
+    gain = lambda k: F.get(table, k + 1) - F.get(table, k)
 
-        def first() -> Column:
-            grow = lambda s, i: s + let(
-                have(F.slice(chars, 1, i), F.get(chars, i)), lambda k: F.get(table, k + 1) - F.get(table, k)
-            )
-            return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0.0), grow)
+    def scan(places: Column) -> Column:
+        """places: of each character among the different ones."""
+        n = F.least(F.size(places), F.lit(window))
 
         def step(acc: Column, i: Column) -> Column:
-            def move(middle: Column) -> Column:
-                off, on = have(middle, F.get(chars, i - 1)), have(middle, F.get(chars, i + n - 1))
-                less = let(off, lambda k: F.get(table, k + 1) - F.get(table, k))
-                more = let(on, lambda k: F.get(table, k + 1) - F.get(table, k))
-                return acc["s"] - less + more
+            on, off = F.get(places, i), F.when(i >= n, F.get(places, i - n))
 
-            return let(let(F.slice(chars, i + 1, n - 1), move), lambda s: F.struct(s.alias("s"), F.least(acc["least"], s).alias("least")))
+            def enter(counts: Column) -> Column:
+                less = F.coalesce(gain(F.get(counts, off)), F.lit(0.0))
+                total = acc["s"] - less + gain(F.get(counts, on))
+                more = F.transform(counts, lambda c, k: F.when(k == on, c + 1).otherwise(c))
+                least = F.when(i >= n - 1, F.least(acc["least"], total)).otherwise(acc["least"])
+                return F.struct(more.alias("counts"), total.alias("s"), least.alias("least"))
 
-        steps = F.when(F.size(chars) > window, F.sequence(F.lit(1), F.size(chars) - n)).otherwise(F.array().cast("array<int>"))
-        least = let(first(), lambda s: F.aggregate(steps, F.struct(s.alias("s"), s.alias("least")), step, lambda a: a["least"]))
+            left = F.transform(acc["counts"], lambda c, k: F.when(k == off, c - 1).otherwise(c))
+            return let(left, enter)
+
+        zero = F.struct(F.transform(F.sequence(F.lit(0), F.array_max(places)), lambda _: F.lit(0)).alias("counts"), F.lit(0.0).alias("s"), F.lit(float("inf")).alias("least"))
+        least = F.aggregate(F.sequence(F.lit(0), F.size(places) - 1), zero, step, lambda a: a["least"])
         return F.log2(n.cast("double")) - least / n
 
-    return F.when(F.length(value) == 0, F.lit(0.0)).otherwise(let(F.split(value, ""), scan))
+    def coded(chars: Column) -> Column:
+        return let(F.array_distinct(chars), lambda own: F.transform(chars, lambda c: (F.array_position(own, c) - 1).cast("int")))
+
+    return F.when(F.length(value) == 0, F.lit(0.0)).otherwise(let(let(F.split(value, ""), coded), scan))
 
 
 def random_looking(value: Column, rule: Entropy) -> Column:
-    """Whether a candidate is of a class that secrets have (hexadecimal, or
-    letters with digits), reaches the class's entropy and isn't allowed."""
-    hexadecimal = value.rlike(r"^(?:[0-9a-f]+|[0-9A-F]+)$")
-    need = F.when(hexadecimal, F.lit(rule.hexadecimal)).otherwise(F.lit(rule.mixed))
-    ok = value.rlike("[0-9]") & value.rlike("[A-Za-z]")
+    """Whether a candidate reaches the entropy of its character class and isn't
+    allowed."""
+    need = F.lit(float("inf"))
+    for _, pattern, bits in reversed(rule.classes):
+        need = F.when(value.rlike(pattern), F.lit(bits)).otherwise(need)
+    harmless = F.lit(False)
     for pattern in rule.allowed:
-        ok = ok & ~value.rlike(pattern)
-    return F.when(ok, window_entropy(value, rule.window) >= need).otherwise(F.lit(False))
+        harmless = harmless | value.rlike(pattern)
+    return F.when(harmless, F.lit(False)).otherwise(F.round(window_entropy(value, rule.window), 9) >= need)
 
 
 def secret_spans(text: Column, rule: Entropy = Entropy()) -> tuple[Column, Column]:
