@@ -2,14 +2,16 @@
 
 Documents become token ids and are cut into pieces of at most LIMIT; only longer
 documents are cut.  Pieces are dealt round-robin into shards of about ITEMS, so
-no key can fill one, and a shard is one row of packed arrays.  Every shard is
-worked by ISLANDS islands: an individual is a grouping of the shard's pieces
-into sequences; crossover puts whole well-filled sequences of one parent into
-the other, drops the sequences there that repeat a piece, and best-fits the
-pieces that lost their place.  After each epoch the islands' elites migrate
-round the ring.  At the end the sequences that stayed poorly filled leave all
-shards, meet in new shards and are packed again, starting from the grouping they
-came with.
+no key can fill one, and a shard is one row of packed arrays; a task makes and
+works many shards, one after another.  Every shard is worked by ISLANDS islands:
+an individual is a grouping of the shard's pieces into sequences; crossover puts
+whole full sequences of one parent into the other and drops the sequences there
+that repeat a piece.  Pieces that lost their place first change places with
+shorter ones wherever that fills a sequence further, and what is left over then
+is best-fitted.  After each epoch the islands' elites migrate round the ring.  A
+shard whose best fit already meets the lower bound needs no births.  At the end
+the sequences that stayed poorly filled leave all shards, meet in new shards and
+are packed again, starting from the grouping they came with.
 
 Edge cases: null text is one token, the end id 0; repeated rows and ids are
 pieces of their own; piece and start count within a row's document; empty
@@ -34,6 +36,8 @@ from .common import cut, read
 LIMIT, ITEMS, ISLANDS, EPOCHS, BIRTHS, POPULATION = 2048, 4096, 2, 2, 24, 6
 #: Sequences filled below this share of LIMIT are packed again at the end.
 POOR = 0.97
+#: Tasks for each core of the cluster, at most.
+TASKS = 4
 PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 Bins = list[list[int]]
@@ -113,9 +117,39 @@ def fitness(bins: Bins, lengths: list[int], limit: int) -> tuple[int, float]:
     return len(bins), -sum((sum(lengths[i] for i in b) / limit) ** 2 for b in bins)
 
 
+def swapped(bins: Bins, free: list[int], lengths: list[int], limit: int) -> tuple[Bins, list[int]]:
+    """Free pieces, longest first, take the place of a shorter one in whichever
+    sequence is then filled best, until none can: the same number of pieces stays
+    free, of a smaller sum."""
+    size, home = np.asarray(lengths), np.full(len(lengths), -1)
+    for k, b in enumerate(bins):
+        home[b] = k
+    room = limit - np.array([size[b].sum() for b in bins], int)
+    held = np.flatnonzero(home >= 0)
+    held = held[room[home[held]] > 0]
+    free, moved = sorted(free, key=lambda i: -lengths[i]), True
+    while moved and len(held):
+        moved = False
+        for k, f in enumerate(free):
+            gain = lengths[f] - size[held]
+            left = room[home[held]] - gain
+            best = int(np.where((gain > 0) & (left >= 0), left, limit).argmin()) if len(held) else 0
+            if not len(held) or gain[best] <= 0 or left[best] < 0:
+                continue
+            b = home[held[best]]
+            free[k], home[held[best]], home[f], moved = int(held[best]), -1, b, True
+            held[best] = f
+            room[b] -= gain[best]
+            if room[b] == 0:
+                held = held[home[held] != b]
+    order = np.argsort(home, kind="stable")[np.count_nonzero(home < 0) :]
+    cuts = np.searchsorted(home[order], np.arange(1, len(bins)))
+    return [x.tolist() for x in np.split(order, cuts)] if bins else [], free
+
+
 def crossover(a: Bins, b: Bins, lengths: list[int], limit: int, rng: random.Random) -> Bins:
     """Whole well-filled sequences of b go into a."""
-    good = [x for x in b if sum(lengths[i] for i in x) >= limit * 0.99]
+    good = [x for x in b if sum(lengths[i] for i in x) >= limit * 0.999]
     chosen = rng.sample(good, max(1, len(good) // 8)) if good else []
     have = {i for x in chosen for i in x}
     stay, lost = [], []
@@ -128,23 +162,28 @@ def crossover(a: Bins, b: Bins, lengths: list[int], limit: int, rng: random.Rand
 
 
 def mutate(a: Bins, lengths: list[int], limit: int, rng: random.Random) -> Bins:
-    """The emptiest sequences and a few others give up their pieces."""
-    order = sorted(range(len(a)), key=lambda k: sum(lengths[i] for i in a[k]))
-    out = {*order[: 1 + len(a) // 50], *rng.sample(range(len(a)), 1 + len(a) // 50)}
+    """The emptiest sequences, some with room and some others give up their pieces."""
+    room = [limit - sum(lengths[i] for i in b) for b in a]
+    order = sorted((k for k in range(len(a)) if room[k]), key=lambda k: -room[k])
+    n = rng.choice((1, 2, 4, 8))
+    out = {*order[: 1 + rng.randrange(3)], *rng.sample(order, min(n, len(order))), *rng.sample(range(len(a)), min(n, len(a)))}
     return _refit([x for k, x in enumerate(a) if k not in out], [i for k in out for i in a[k]], lengths, limit, rng)
 
 
 def _refit(bins: Bins, lost: list[int], lengths: list[int], limit: int, rng: random.Random) -> Bins:
+    bins, lost = swapped(bins, lost, lengths, limit)
     shake = rng.choice((0.0, 0.02, 0.1))
     return best_fit(bins, sorted(lost, key=lambda i: -lengths[i] * (1 + shake * rng.random())), lengths, limit)
 
 
 def evolve(lengths: list[int], starts: list[Bins], limit: int, births: int, size: int, rng: random.Random) -> Bins:
     """The best grouping after a number of births; ends early where no grouping
-    could have fewer sequences."""
+    could have fewer sequences.  A child as fit as another is that one again."""
     least = -(-sum(lengths) // limit)
     items = sorted(range(len(lengths)), key=lambda i: -lengths[i])
     crowd = [*starts, best_fit([], items, lengths, limit)]
+    if min(map(len, crowd)) <= least:
+        return min(crowd, key=len)
     while len(crowd) < size:
         shake = rng.choice((0.02, 0.1, 0.3))
         crowd.append(best_fit([], sorted(items, key=lambda i: -lengths[i] * (1 + shake * rng.random())), lengths, limit))
@@ -152,9 +191,11 @@ def evolve(lengths: list[int], starts: list[Bins], limit: int, births: int, size
     for birth in range(births):
         if len(ranked[0][2]) <= least:
             break
-        one, two = rng.sample(ranked, 2)
-        child = crossover(one[2], two[2], lengths, limit, rng) if birth % 3 else mutate(min(one, two)[2], lengths, limit, rng)
-        ranked = sorted([*ranked, (fitness(child, lengths, limit), len(crowd) + birth, child)])[:size]
+        one, two = sorted(rng.sample(ranked, 2)) if len(ranked) > 1 else ranked * 2
+        child = mutate(one[2], lengths, limit, rng) if birth % 3 else crossover(one[2], two[2], lengths, limit, rng)
+        fit = fitness(child, lengths, limit)
+        if all(fit != r[0] for r in ranked):
+            ranked = sorted([*ranked, (fit, len(crowd) + birth, child)])[:size]
     return ranked[0][2]
 
 
@@ -171,29 +212,51 @@ def to_places(bins: Bins, n: int) -> np.ndarray:
     return out
 
 
-_SHARD = "shard int, n int, lengths binary, rows binary, places binary"
+_SHARD = "shard bigint, n int, lengths binary, rows binary, places binary"
+
+
+def n_tasks(spark: SparkSession, n: int) -> int:
+    """Tasks for n pieces of work: as many as keep the cluster busy, not more."""
+    most = TASKS * max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return max(1, min(n, most))
 
 
-def shards(items: DataFrame, n: int) -> DataFrame:
-    """Items (PIECE and, where they come from sequences, sequence_id) as n rows."""
+def shards(items: DataFrame, n: int, size: int) -> DataFrame:
+    """n items (PIECE and, where they come from sequences, sequence_id) as rows
+    of about size items each; a sequence stays together."""
     again = "sequence_id" in items.columns
     fields = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        table = pa.Table.from_batches(held).combine_chunks()
+    def row(table: pa.Table, shard: int) -> pa.RecordBatch:
+        table = table.combine_chunks()
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, (kept := table.select(fields)).schema) as out:
             out.write_table(kept)
         places = np.unique(table["sequence_id"].to_numpy(), return_inverse=True)[1].astype(np.int32).tobytes() if again else b""
-        row = [TaskContext.get().partitionId(), table.num_rows, table["length"].to_numpy().astype(np.int32).tobytes(), sink.getvalue().to_pybytes(), places]
-        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], names=["shard", "n", "lengths", "rows", "places"])
+        values = [shard, table.num_rows, table["length"].to_numpy().astype(np.int32).tobytes(), sink.getvalue().to_pybytes(), places]
+        kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(values, kinds)], names=["shard", "n", "lengths", "rows", "places"])
 
-    # by sequence where there are some, so that a sequence stays together and its grouping can be a start
-    dealt = items.repartition(n, "sequence_id") if again else items.repartition(n)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, made, held = TaskContext.get().partitionId() << 24, 0, None
+        for batch in batches:
+            held = pa.Table.from_batches([*(held.to_batches() if held is not None else []), batch]) if batch.num_rows else held
+            while held is not None and held.num_rows > size:
+                cut_at = size
+                if again:  # the first new sequence from there on, if there is one yet
+                    own = held["sequence_id"].to_numpy()
+                    new = np.flatnonzero(own[size:] != own[size - 1 : -1])
+                    if not len(new):
+                        break
+                    cut_at += int(new[0])
+                yield row(held.slice(0, cut_at), first + made)
+                made, held = made + 1, held.slice(cut_at)
+        if held is not None and held.num_rows:
+            yield row(held, first + made)
+
+    tasks = n_tasks(items.sparkSession, -(-n // size))
+    # by sequence where there are some, so that its grouping can be a start
+    dealt = items.repartition(tasks, "sequence_id").sortWithinPartitions("sequence_id") if again else items.repartition(tasks)
     return cut(dealt.mapInArrow(run, _SHARD))
 
 
@@ -210,20 +273,20 @@ def epoch(state: DataFrame, limit: int, births: int, size: int, seed: int) -> Da
                 bins = evolve(lengths, starts, limit, births, size, random.Random(f"{seed}:{row['shard']}:{row['island']}"))
                 out.append((row["shard"], row["island"], to_places(bins, len(lengths)).tobytes(), len(bins)))
             if out:
-                kinds = (pa.int32(), pa.int32(), pa.binary(), pa.int32())
+                kinds = (pa.int64(), pa.int32(), pa.binary(), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["shard", "island", "elite", "n_bins"])
 
-    return state.mapInArrow(run, "shard int, island int, elite binary, n_bins int")
+    return state.mapInArrow(run, "shard bigint, island int, elite binary, n_bins int")
 
 
 def packed(table: DataFrame, limit: int, islands: int, epochs: int, births: int, size: int) -> DataFrame:
     """(shard, rows, elite): the best grouping that any island found."""
-    n_tasks = islands * max(table.count(), 1)
+    tasks = n_tasks(table.sparkSession, islands * table.count())
     start = F.when(F.length("places") > 0, F.array("places")).otherwise(F.array().cast("array<binary>"))
     state = table.select("shard", "lengths", start.alias("places"), F.explode(F.array(*[F.lit(i) for i in range(islands)])).alias("island"))
     elites = None
     for e in range(epochs):
-        elites = cut(epoch(state.repartition(n_tasks, "shard", "island"), limit, births, size, e))
+        elites = cut(epoch(state.repartition(tasks, "shard", "island"), limit, births, size, e))
         # an island gets its own elite and its neighbour's
         moved = elites.select("shard", F.explode(F.array(F.col("island"), (F.col("island") + 1) % islands)).alias("island"), "elite")
         met = moved.groupBy("shard", "island").agg(F.collect_list("elite").alias("places"))
@@ -246,7 +309,7 @@ def _placed(part: DataFrame, limit: int, base: int) -> DataFrame:
                 offset = np.empty(len(places), np.int64)
                 offset[order] = before - np.maximum.accumulate(np.where(first, before, 0))
                 filled = np.bincount(places, lengths).astype(np.int64)[places]
-                sequence = ((row["shard"] + 1) * 2 + base) * (1 << 31) + places.astype(np.int64)
+                sequence = (row["shard"] * 2 + base) * (1 << 20) + places.astype(np.int64)
                 for name, x in (("sequence_id", sequence), ("offset", offset), ("filled", filled)):
                     table = table.append_column(name, pa.array(x))
                 yield from table.combine_chunks().to_batches()
@@ -257,11 +320,10 @@ def _placed(part: DataFrame, limit: int, base: int) -> DataFrame:
 def pack(docs: DataFrame, path: str | None = None, limit: int = LIMIT, items: int = ITEMS, islands: int = ISLANDS, epochs: int = EPOCHS, births: int = BIRTHS, size: int = POPULATION) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset)."""
     every = cut(pieces(docs, path or tokenizer_path(), limit))
-    n = every.count()
-    first = packed(shards(every, max(-(-n // items), 1)), limit, islands, epochs, births, size)
+    first = packed(shards(every, every.count(), items), limit, islands, epochs, births, size)
     placed = cut(_placed(first, limit, 0))
     poor = placed.where(F.col("filled") < int(POOR * limit))
-    again = packed(shards(poor.drop("offset", "filled"), max(-(-poor.count() // items), 1)), limit, islands, epochs, births, size)
+    again = packed(shards(poor.drop("offset", "filled"), poor.count(), items), limit, islands, epochs, births, size)
     done = placed.where(F.col("filled") >= int(POOR * limit)).unionByName(_placed(again, limit, 1))
     return done.drop("filled")
 

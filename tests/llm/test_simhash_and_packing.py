@@ -3,6 +3,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -184,6 +185,47 @@ def test_genetic_steps_keep_every_piece_once():
     assert len(packing.evolve(lengths, [b], 64, 20, 5, rng)) <= len(b)
 
 
+def test_the_search_beats_best_fit_where_there_is_room():
+    rng = random.Random(4)
+    gains = rooms = 0
+    for k in range(12):
+        lengths = [min(2048, max(2, int(rng.lognormvariate(6.4, 0.8)))) for _ in range(500)]
+        plain = packing.best_fit([], sorted(range(500), key=lambda i: -lengths[i]), lengths, 2048)
+        found = packing.evolve(lengths, [], 2048, 96, 6, random.Random(k))
+        assert sorted(i for x in found for i in x) == list(range(500))
+        assert all(sum(lengths[i] for i in x) <= 2048 for x in found)
+        assert len(found) <= len(plain)
+        rooms += len(plain) > -(-sum(lengths) // 2048)
+        gains += len(found) < len(plain)
+    assert rooms >= 3 and gains >= 2
+
+
+def test_swaps_keep_the_pieces_and_fill_further():
+    rng = random.Random(7)
+    lengths = [rng.randint(1, 60) for _ in range(120)]
+    bins = packing.best_fit([], list(range(100)), lengths, 64)
+    out, free = packing.swapped(bins, list(range(100, 120)), lengths, 64)
+    assert sorted([i for b in out for i in b] + free) == list(range(120)) and len(out) == len(bins) and len(free) == 20
+    assert all(sum(lengths[i] for i in b) <= 64 for b in out)
+    assert sum(lengths[i] for i in free) < sum(lengths[100:])
+    # by brute force: no free piece is left that could take a shorter one's place
+    assert not any(0 < lengths[f] - lengths[i] <= 64 - sum(lengths[j] for j in b) for f in free for b in out for i in b)
+    assert packing.swapped([], [1, 2], lengths, 64) == ([], sorted([1, 2], key=lambda i: -lengths[i]))
+
+
+def test_shards_hold_every_piece_once(spark):
+    rows = [(i, 0, 0, 1 + i % 50, i, i // 3) for i in range(1000)]
+    df = spark.createDataFrame(rows, packing.PIECE + ", sequence_id bigint")
+    for items in (df.drop("sequence_id"), df):
+        got = packing.shards(items, 1000, 64).collect()
+        tables = [pa.ipc.open_stream(r["rows"]).read_all() for r in got]
+        assert sorted(i for t in tables for i in t["doc_id"].to_pylist()) == list(range(1000))
+        assert len({r["shard"] for r in got}) == len(got)
+        assert all(t.num_rows <= 64 + 2 for t in tables)
+    for t in tables:  # sequences stay whole
+        assert all(n == min(3, 1000 - 3 * s) for s, n in Counter(i // 3 for i in t["doc_id"].to_pylist()).items())
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
