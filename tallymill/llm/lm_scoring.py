@@ -11,10 +11,12 @@ bytes are solved apart.  Only the counts and probabilities of the 255 nodes of
 each single nearest byte come to the driver (at most 256 rows), whatever the
 input.
 
-Scoring: texts are dealt into chunks of bounded size.  A chunk sends its
-distinct words to be joined with the word counts and gets back a table of its
-own, bounded by the chunk.  The solved grams are broadcast if they are at most
-MODEL_ROWS (counted first); else they travel like the words, by chunk.
+Scoring: texts are dealt into chunks of bounded size by a hash of the row.  A
+chunk sends its distinct words and grams to be joined with the model and gets
+back tables of its own, bounded by the chunk; no task and no broadcast holds the
+whole model.  A row that repeats so often that it would fill a chunk is scored
+once and its score given to all its repeats.  A text's code length is also given
+in bits a byte of the string that stands for it.
 
 Edge cases: null text counts as empty (one token, its end); repeated rows and
 ids each give their own row; null ids too; without training rows all counts are
@@ -36,11 +38,9 @@ from pyspark.sql import functions as F
 
 from . import ctw
 from .arrow import LOWER
-from .common import crc_mod, cut, read
+from .common import HEAVY, crc_mod, cut, read
 
 DEPTH, SEGMENT, BLOCK = 5, 1 << 20, 1 << 20
-#: Grams of at most this many rows (16 bytes each) are broadcast.
-MODEL_ROWS = 4_000_000
 #: Bytes of text in a chunk, about; entries in a task's tables before they are sent.
 CHUNK, TABLE = 24 << 20, 500_000
 
@@ -226,77 +226,88 @@ def train(rows: DataFrame, depth: int = DEPTH) -> Model:
     return Model(totals.where("word IS NOT NULL").select("word", "n"), grams, sums[1] + ends, sums[0] + (ends > 0), ends)
 
 
-def _keys(table: pa.Table, depth: int, with_grams: bool) -> pa.Table:
-    """The distinct words of a chunk, and its grams if asked for."""
-    chunk = table["chunk"][0]
+def _keys(table: pa.Table, depth: int) -> pa.Table:
+    """The distinct words and grams of a chunk."""
     own: set[bytes] = set()
     found: list[np.ndarray] = []
     for batch in table.to_batches(max_chunksize=512):
         split = [tokens(t) for t in batch.column("text").to_pylist()]
         for ws in split:
             own.update(ws)
-        if with_grams:
-            found += [codes for codes, _, _ in blocks([b" ".join(ws) + b"\n" for ws in split], depth)]
-            if len(found) > 64:
-                found = [np.unique(np.concatenate(found))]
+        found += [codes for codes, _, _ in blocks([b" ".join(ws) + b"\n" for ws in split], depth)]
+        if len(found) > 64:
+            found = [np.unique(np.concatenate(found))]
     grams = np.unique(np.concatenate(found)) if found else np.empty(0, np.uint64)
     words = pa.array([*own, *[None] * len(grams)], pa.binary())
     codes = pa.concat_arrays([pa.nulls(len(own), pa.int64()), pa.array(grams.view(np.int64))])
-    return pa.table({"chunk": pa.array([chunk.as_py()] * len(words), pa.int32()), "word": words, "gram": codes})
+    return pa.table({"chunk": pa.array(np.full(len(words), table["chunk"][0].as_py(), np.int32)), "word": words, "gram": codes})
 
 
-def score(rows: DataFrame, model: Model, depth: int = DEPTH, chunk_bytes: int = CHUNK, model_rows: int = MODEL_ROWS) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)
-    from rows (doc_id, text, remainder)."""
-    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n_chunks = max(1, -(-size // chunk_bytes))
-    chunked = rows.select("doc_id", "text", "remainder", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_chunks)).cast("int").alias("chunk"))
-    shared = None
-    if model.grams.count() <= model_rows:
-        table = model.grams.toArrow()
-        codes = table["gram"].to_numpy().view(np.uint64)
-        order = np.argsort(codes)
-        shared = rows.sparkSession.sparkContext.broadcast((codes[order], table["lp"].to_numpy()[order]))
-    keys = chunked.groupBy("chunk").applyInArrow(lambda t: _keys(t, depth, shared is None), "chunk int, word binary, gram bigint")
-    known = keys.where("word IS NOT NULL").join(model.totals.select(F.col("word").alias("w"), "n"), F.col("word") == F.col("w"))
-    answers = known.select("chunk", "word", F.lit(None).cast("bigint").alias("gram"), F.col("n").cast("double").alias("value"))
-    if shared is None:
-        solved = keys.where("gram IS NOT NULL").join(model.grams.select(F.col("gram").alias("g"), "lp"), F.col("gram") == F.col("g"))
-        answers = answers.unionByName(solved.select("chunk", F.lit(None).cast("binary").alias("word"), "gram", F.col("lp").alias("value")))
+SCORES = "n_tokens bigint, n_known bigint, n_bytes bigint, base_score double, score double"
+
+
+def _scored(chunked: DataFrame, model: Model, depth: int) -> DataFrame:
+    """(doc_id, remainder, row, SCORES) of rows (doc_id, text, remainder, row,
+    chunk)."""
+    keys = chunked.groupBy("chunk").applyInArrow(lambda t: _keys(t, depth), "chunk int, word binary, gram bigint")
+    none = lambda kind: F.lit(None).cast(kind)
+    known = keys.where("word IS NOT NULL").select("chunk", "word").join(model.totals, "word")
+    solved = keys.where("gram IS NOT NULL").select("chunk", "gram").join(model.grams, "gram")
+    answers = known.select("chunk", "word", none("bigint").alias("gram"), F.col("n").cast("double").alias("value")).unionByName(
+        solved.select("chunk", none("binary").alias("word"), "gram", F.col("lp").alias("value"))
+    )
     base = model.base
-    unknown, end = base(0), base(model.n_ends)
-    end_known, n_tokens = int(model.n_ends > 0), model.n_tokens
+    unknown, end, end_known = base(0), base(model.n_ends), int(model.n_ends > 0)
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         of_words = answers.filter(pa.compute.is_valid(answers["word"]))
         lp = {w: base(n) for w, n in zip(of_words["word"].to_pylist(), of_words["value"].to_pylist())}
-        if shared is None:
-            of_grams = answers.filter(pa.compute.is_valid(answers["gram"]))
-            codes = of_grams["gram"].to_numpy().view(np.uint64)
-            order = np.argsort(codes)
-            codes, values = codes[order], of_grams["value"].to_numpy()[order]
-        else:
-            codes, values = shared.value
-        out: list[list] = [[], [], [], []]
+        of_grams = answers.filter(pa.compute.is_valid(answers["gram"]))
+        codes = of_grams["gram"].to_numpy().view(np.uint64)
+        order = np.argsort(codes)
+        codes, values = codes[order], of_grams["value"].to_numpy()[order]
+        out: list[list] = [[], [], [], [], []]
         for batch in docs.to_batches(max_chunksize=512):
             split = [tokens(t) for t in batch.column("text").to_pylist()]
+            strings = [b" ".join(ws) + b"\n" for ws in split]
             sums = np.zeros(len(split))
-            for own, place, owner in blocks([b" ".join(ws) + b"\n" for ws in split], depth):
+            for own, place, owner in blocks(strings, depth):
                 sums += np.bincount(owner, values[np.searchsorted(codes, own)][place], minlength=len(split))
             out[0] += [len(ws) + 1 for ws in split]
             got = [[lp.get(w) for w in ws] for ws in split]
             out[1] += [len(x) - x.count(None) + end_known for x in got]
-            out[2] += [math.fsum(unknown if v is None else v for v in x) + end for x in got]
-            out[3] += sums.tolist()
-        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
-        return pa.table({
-            "doc_id": docs["doc_id"], "held_out": pa.compute.equal(docs["remainder"], 0),
-            **{k: pa.array(v, t) for k, v, t in zip(("n_tokens", "n_known", "base_score", "score"), out, kinds)},
-        })
-
-    schema = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
-    found = chunked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, schema)
-    return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
+            out[2] += map(len, strings)
+            out[3] += [math.fsum(unknown if v is None else v for v in x) + end for x in got]
+            out[4] += sums.tolist()
+        columns = zip(("n_tokens", "n_known", "n_bytes", "base_score", "score"), out, (pa.int64(),) * 3 + (pa.float64(),) * 2)
+        return pa.table({"doc_id": docs["doc_id"], "remainder": docs["remainder"], "row": docs["row"], **{k: pa.array(v, t) for k, v, t in columns}})
+
+    return chunked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, f"doc_id bigint, remainder int, row bigint, {SCORES}")
+
+
+def score(rows: DataFrame, model: Model, depth: int = DEPTH, chunk_bytes: int = CHUNK) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score,
+    n_bytes, bits_per_byte) from rows (doc_id, text, remainder)."""
+    size, n_rows = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count(F.lit(1))).first()
+    n_chunks = max(1, -(-size // chunk_bytes))
+    keyed = rows.select("doc_id", "text", "remainder", F.xxhash64("doc_id", "text").alias("row"))
+    counts = keyed.groupBy("row").agg(F.count(F.lit(1)).alias("n"))
+    often = cut(counts.where(F.col("n") * HEAVY > n_rows).where("n > 1").select("row"))  # fewer than HEAVY rows
+    spread = F.pmod(F.col("row"), F.lit(n_chunks)).cast("int").alias("chunk")
+    if often.isEmpty():
+        found = _scored(keyed.select("*", spread), model, depth)
+    else:
+        repeats = keyed.join(F.broadcast(often), "row", "left_semi")
+        once = keyed.join(F.broadcast(often), "row", "left_anti").unionByName(repeats.dropDuplicates(["row", "doc_id", "text"]))
+        scored = cut(_scored(once.select("*", spread), model, depth))
+        of = scored.join(F.broadcast(often), "row", "left_semi").withColumnsRenamed({"row": "r", "doc_id": "d"}).drop("remainder")
+        same = (F.col("row") == F.col("r")) & F.col("doc_id").eqNullSafe(F.col("d"))
+        again = repeats.select("row", "doc_id", "remainder").join(F.broadcast(of), same).drop("r", "d")
+        found = scored.join(F.broadcast(often), "row", "left_anti").unionByName(again)
+    return found.select(
+        "doc_id", (F.col("remainder") == 0).alias("held_out"), "n_tokens", "n_known", F.lit(model.n_tokens).cast("long").alias("train_tokens"), "base_score", "score",
+        "n_bytes", (-F.col("score") * math.log2(10) / F.col("n_bytes")).alias("bits_per_byte"),
+    )
 
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,7 +52,7 @@ def test_ctw_by_definition(spark):
     train = [b" ".join(lm.tokens(r.text)) + b"\n" for r in rows.collect() if r.remainder]
     for depth in (1, 2, 3):
         model = lm.train(rows, depth)
-        for way in (dict(), dict(chunk_bytes=20, model_rows=1)):
+        for way in (dict(), dict(chunk_bytes=20)):
             for r, t in zip(sorted(lm.score(rows, model, depth, **way).collect(), key=lambda r: (r.doc_id or 0, r.score)), sorted(rows.collect(), key=lambda r: (r.doc_id or 0))):
                 assert r.score == pytest.approx(brute(train, b" ".join(lm.tokens(t.text)) + b"\n", depth), abs=1e-8)
 
@@ -84,6 +84,9 @@ def test_base_scores(spark, tmp_path):
     pairs = data.rows(3, 60)
     got = lm.op5_lm_scoring(spark, data.table(spark, pairs, tmp_path)).collect()
     held = lambda i: zlib.crc32(str(i).encode() if i is not None else b"") % 10 == 0
+    for r in got:
+        assert r.bits_per_byte == pytest.approx(-r.score / math.log10(2) / r.n_bytes)
+    assert Counter((r.doc_id, r.n_bytes) for r in got) == Counter((i, len(b" ".join(lm.tokens(t))) + 1) for i, t in pairs)
     c, ends = Counter(), 0
     for i, t in pairs:
         if not held(i):
@@ -95,6 +98,18 @@ def test_base_scores(spark, tmp_path):
     assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
 
 
+def test_rows_that_repeat_are_scored_once_and_all_returned(spark):
+    pairs = [(1, "one text again and again")] * 50 + [(None, "no id")] * 7 + [(i, f"other {i}") for i in range(2, 30)] + [(1, "another text of this id")]
+    rows = data.frame(spark, pairs).selectExpr("doc_id", "text", "1 AS remainder")
+    model = lm.train(rows)
+    got = lm.score(rows, model, chunk_bytes=40).collect()
+    assert Counter(r.doc_id for r in got) == Counter(i for i, _ in pairs)
+    by = {(r.doc_id, r.n_bytes): r.score for r in got}
+    assert len({r.score for r in got if r.doc_id == 1}) == 2
+    alone = lm.score(rows.distinct(), model).collect()
+    assert {(r.doc_id, r.n_bytes): pytest.approx(r.score) for r in alone} == by
+
+
 def test_lm_empty_and_untrained(spark):
     rows = data.empty(spark).selectExpr("doc_id", "text", "1 AS remainder")
     assert lm.score(rows, lm.train(rows)).count() == 0
