@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from .common import let, read, words
 
 SHINGLE, BIN_BITS, CODE = 5, 7, 256
+#: Ranges of ids for each shuffle partition.
+RANGES = 4
 BINS = 1 << BIN_BITS
 
 
@@ -92,39 +94,45 @@ def with_next(rows: DataFrame, names: list[str], n_ranges: int | None = None) ->
     """rows with next_<name>: the values of the following row by doc_id, the
     first row's for the last.
 
-    Rows are dealt into ranges of doc_id; a copy of each range's first row goes
-    to the range before it too, so that every range finds its neighbours within
-    itself and no task sees the whole table.  Only the edges of the ranges come
-    to the driver, one number for each."""
+    Rows are dealt into ranges of doc_id, several for each shuffle partition so
+    that these come out even; a copy of each range's first row goes to the range
+    before it too, so that every range finds its neighbours within itself and no
+    task sees the whole table.  Only two numbers of each range come to the
+    driver.  Rows of one id (or of none) stay in one range."""
     spark = rows.sparkSession
-    n_ranges = n_ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_ranges = n_ranges or RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))
     ids = rows.select("doc_id")
-    low, nulls = ids.agg(F.min("doc_id"), F.count(F.when(F.col("doc_id").isNull(), 1))).first()
-    cuts = ids.where("doc_id IS NOT NULL").approxQuantile("doc_id", [i / n_ranges for i in range(1, n_ranges)], 0.25 / n_ranges) if low is not None else []
-    # quantiles are doubles; an edge has to be an id, so take the least one at or above each
-    near = sorted({int(x) for x in cuts})
-    least = ids.agg(*[F.min(F.when(F.col("doc_id") >= F.lit(str(x)).cast("decimal(20,0)"), F.col("doc_id"))).alias(f"e{i}") for i, x in enumerate(near)]).first() if near else []
-    edges = sorted(set(least) - {None} - ({low} if not nulls else set()))
+    cuts = ids.where("doc_id IS NOT NULL").approxQuantile("doc_id", [i / n_ranges for i in range(1, n_ranges)], 0.25 / n_ranges)
+    cuts = sorted({min(int(x), (1 << 63) - 1) for x in cuts or []})  # doubles: near an id, not always one
+    home = _at_or_below(cuts, F.col("doc_id"))
+    # ranges that have rows, with their first ids; a null id is before all others
+    first_of = sorted(((r["home"], r["low"]) for r in ids.groupBy(F.when(F.col("doc_id").isNotNull(), home).alias("home")).agg(F.min("doc_id").alias("low")).collect()), key=lambda x: (x[0] is not None, x))
+    # an id's range is the number of later first ids at or below it
+    edges = [low for _, low in first_of[1:]]
+    place = F.when(F.col("doc_id").isNotNull(), _at_or_below(edges, F.col("doc_id"))).otherwise(0)
     table = F.array(*[F.lit(x).cast("long") for x in edges]) if edges else F.array().cast("array<bigint>")
-    # the number of edges at or below an id, by halving
-    steps = [1 << k for k in reversed(range(max(len(edges), 1).bit_length()))]
-    halve = lambda lo, s: lo + F.when(F.coalesce(F.get(table, lo + s - 1) <= F.col("doc_id"), F.lit(False)), s).otherwise(0)
-    home = F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), halve)
-    last = len(edges)
     at = lambda where, turn: F.struct(where.alias("range"), F.lit(turn).alias("turn"))
-    first = F.col("doc_id").isNull() if nulls else F.col("doc_id") == F.lit(low)
+    none = F.array().cast("array<struct<range:int,turn:int>>")
+    first = F.col("doc_id").eqNullSafe(F.lit(first_of[0][1]).cast("long")) if first_of else F.lit(False)
     begins = (F.col("home") > 0) & (F.get(table, F.col("home") - 1) == F.col("doc_id"))
     places = F.concat(
-        F.array(at(F.col("home"), 0)),
-        F.when(begins, F.array(at(F.col("home") - 1, 1))).otherwise(F.array().cast("array<struct<range:int,turn:int>>")),
-        F.when(first, F.array(at(F.lit(last), 2))).otherwise(F.array().cast("array<struct<range:int,turn:int>>")),
-    )
-    dealt = rows.withColumn("home", home).withColumn("at", F.explode(places)).select(*rows.columns, "at.range", "at.turn")
+        F.array(at(F.col("home"), 0)), F.when(begins, F.array(at(F.col("home") - 1, 1))).otherwise(none),
+        F.when(first, F.array(at(F.lit(len(edges)), 2))).otherwise(none),
+    )
+    dealt = rows.withColumn("home", place).withColumn("at", F.explode(places)).select(*rows.columns, "at.range", "at.turn")
     by = Window.partitionBy("range").orderBy("turn", F.col("doc_id").asc_nulls_first(), "text")
     led = dealt.select("*", *[F.lead(name).over(by).alias(f"next_{name}") for name in names])
     return led.where("turn = 0").drop("range", "turn")
 
 
+def _at_or_below(edges: list[int], value: Column) -> Column:
+    """How many of the sorted edges are at or below value, by halving."""
+    table = F.array(*[F.lit(x).cast("long") for x in edges]) if edges else F.array().cast("array<bigint>")
+    steps = [1 << k for k in reversed(range(max(len(edges), 1).bit_length()))]
+    halve = lambda lo, s: lo + F.when(F.coalesce(F.get(table, lo + s - 1) <= value, F.lit(False)), s).otherwise(0)
+    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), halve)
+
+
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = with_next(fingerprints(read(spark, sf_dir, "documents")), ["text", "print"])
     n = F.length("text")

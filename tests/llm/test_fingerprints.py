@@ -1,6 +1,10 @@
 import hashlib
+import re
+import struct
+from collections import Counter
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tallymill.llm import fingerprints as fp
@@ -67,3 +71,48 @@ def test_next_rows_of_large_ids(spark):
     rows = fp.with_next(data.frame(spark, [(i, f"t{i}") for i in ids]).select("doc_id", "text"), ["text"], 20).collect()
     order = sorted(ids)
     assert {r.doc_id: r.next_text for r in rows} == {i: f"t{j}" for i, j in zip(order, order[1:] + order[:1])}
+
+
+def plain_fingerprint(text):
+    """One hash a shingle, the least of each bin, and for an empty bin the filled
+    one that a hash of both ranks first; the low bytes as hex."""
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+
+    def chain(parts):
+        seed = 42
+        for p in parts:
+            seed = xxhash.xxh64_intdigest(p, seed)
+        return seed
+
+    ws = [w.encode() for w in re.findall(r"[^\x20\x09-\x0D]+", text)]
+    if not ws:
+        return ""
+    hashes = [chain(ws[i : i + 5]) for i in range(len(ws) - 4)] if len(ws) >= 5 else [chain([b" ".join(ws)])]
+    least = {}
+    for h in hashes:
+        least[h >> 57] = min(h, least.get(h >> 57, h))
+    codes = []
+    for i in range(128):
+        four = lambda k: struct.pack("<i", k)
+        rank = lambda b: (signed(chain([four(i), four(b)])) & -256) | (least[b] & 255)
+        codes.append(least[i] & 255 if i in least else min(map(rank, least)) & 255)
+    return bytes(codes).hex()
+
+
+def test_fingerprints_by_plain_python(spark, tmp_path):
+    pairs = data.rows(3, 50) + [(900, "ümläut wörds and more of them here now")]
+    got = fp.fingerprints(data.frame(spark, pairs)).select("text", fp.to_text(F.col("print")).alias("p")).collect()
+    assert [r.p for r in got] == [plain_fingerprint(r.text) for r in got]
+    query = fp.op2_fingerprints(spark, data.table(spark, pairs, tmp_path)).collect()
+    own = Counter((i, plain_fingerprint(t or "")) for i, t in pairs)
+    assert Counter((r.doc_id, r.fingerprint) for r in query) == own
+    same = lambda a, b: sum(a[k : k + 2] == b[k : k + 2] for k in range(0, 256, 2)) / 128
+    for r in query:
+        if r.fingerprint and r.edited_fingerprint:
+            assert r.near_edited == pytest.approx(max(0.0, (same(r.fingerprint, r.edited_fingerprint) - 1 / 256) / (255 / 256)))
+
+
+def test_ranges_come_out_even(spark):
+    rows = fp.with_next(data.frame(spark, [(i * i, f"t{i}") for i in range(3000)]).select("doc_id", "text"), ["text"], 16)
+    assert rows.count() == 3000
+    assert {r.doc_id: r.next_text for r in rows.collect()} == {i * i: f"t{(i + 1) % 3000}" for i in range(3000)}
