@@ -5,7 +5,12 @@ Each class has a Gaussian whose covariance is shrunk toward the pooled one and
 toward a multiple of the identity.  A score is the logistic of the two log
 densities' difference, from Mahalanobis distances by Cholesky factors that are
 computed once.  Class sums come from one aggregation over all training rows;
-only they reach the driver (two rows, whatever the input).
+only they reach the driver (two rows, whatever the input).  classify() fits to
+all labelled rows; keep_good() to at most FIT_ROWS of them, the first by a hash
+of their ids, so that only labelled texts are read twice.
+
+Some statistics ask for junk that is known from web text: words said twice in a
+row (stutter), table bars (pipes), other symbols, repeated lines.
 
 Edge cases: null text counts as empty and is scored; labels of null quality or
 of unknown documents are not used; a document labelled twice counts twice;
@@ -30,6 +35,8 @@ from .common import crc_mod, cut, read
 
 FEATURES = ("log_words", "distinct", "stutter", "pipes", "symbols", "word_length", "stops", "repeated_lines", "digits")
 SHRINK, RIDGE, THRESHOLD = 0.2, 0.02, 0.3
+#: Labelled rows that a stage fits to, at most (20 bytes each when broadcast).
+FIT_ROWS = 1_000_000
 
 
 def statistics(text: str) -> tuple[float, ...]:
@@ -138,8 +145,11 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs whose texts are predicted 1, all columns as they are.
     The text itself is scored where it lies; no row is matched by its id."""
-    stats = cut(features(docs))
-    model = fit(stats.where("remainder <> 0"), labels)
+    known = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(FIT_ROWS)
+    known = cut(known)
+    ids = known.select(F.col("doc_id").alias("__known")).distinct()
+    texts = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("__known"), "left_semi")
+    model = fit(features(texts).where("remainder <> 0"), known)
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:

@@ -1,9 +1,9 @@
 """Quality rules as a bitmask ledger.
 
 Every rule is evaluated once for a document; the ledger keeps its measurements
-and one failure bit for each rule.  Policies are versioned sets of bits applied
-to the ledger later, and ablations are bitwise aggregates over it; neither reads
-a text again.
+and one failure bit for each rule, and is stored beside the rules' names and
+bits.  Policies are versioned sets of bits applied to the stored ledger later,
+and ablations are bitwise aggregates over it; neither reads a text again.
 
 Edge cases: null text has no words and no lines; empty tables give empty
 results; repeated rows and ids each give their own row; other columns are not
@@ -112,6 +112,21 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return measured.withColumn("fail_bits", bits)
 
 
+def write_ledger(rows: DataFrame, path: str) -> None:
+    """The ledger as Parquet, with the rules that its bits stand for."""
+    rows.write.parquet(f"{path}/ledger")
+    spark = rows.sparkSession
+    spark.createDataFrame([(r.name, BIT[r.name], r.fails) for r in RULES], "rule string, bit long, fails string").coalesce(1).write.parquet(f"{path}/rules")
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """A stored ledger; an error if its bits stand for other rules than these."""
+    held = {r["rule"]: (r["bit"], r["fails"]) for r in spark.read.parquet(f"{path}/rules").collect()}  # one row a rule
+    if held != {r.name: (BIT[r.name], r.fails) for r in RULES}:
+        raise ValueError("this ledger was made by other rules")
+    return spark.read.parquet(f"{path}/ledger")
+
+
 def apply_policy(rows: DataFrame, version: str = CURRENT) -> DataFrame:
     """The ledger with kept: no failure among the policy's bits."""
     return rows.withColumn("kept", F.col("fail_bits").bitwiseAND(F.lit(POLICIES[version]).cast("long")) == 0)

@@ -3,6 +3,7 @@ import random
 import re
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallymill.llm import chat, quality_rules as qr
@@ -76,3 +77,16 @@ def test_chat_query_has_the_added_conversation(spark, tmp_path):
     assert set(got) == {-1, 3}
     assert got[-1].loss_chars == len(said)
     assert got[-1].turns_sha256 == hashlib.sha256(f"user\n{said}\nassistant\n{said}\n".encode()).hexdigest()
+
+
+def test_a_stored_ledger_is_read_and_ruled_on_later(spark, tmp_path):
+    rows = qr.ledger(data.frame(spark, data.rows()))
+    qr.write_ledger(rows, f"{tmp_path}/a")
+    again = qr.read_ledger(spark, f"{tmp_path}/a")
+    for version in qr.POLICIES:
+        one, two = (Counter((r.doc_id, r.fail_bits, r.kept) for r in qr.apply_policy(x, version).collect()) for x in (rows, again))
+        assert one == two
+    assert qr.ablations(again).collect() == qr.ablations(rows).collect()
+    spark.createDataFrame([("other", 1, "n_words < 3")], "rule string, bit long, fails string").write.mode("overwrite").parquet(f"{tmp_path}/a/rules")
+    with pytest.raises(ValueError):
+        qr.read_ledger(spark, f"{tmp_path}/a")
