@@ -1,27 +1,37 @@
 """Reweighted histograms fitted to answers: multiplicative weights and entropy
 projection, with exact or with private selection and measurement.
 
-A fitted histogram is its starting weights and a list of (query, eta): a row's
-weight is w0 * exp(sum of eta over the queries that count it).  Every step is
-one expression over the stored support, so plans don't grow with the rounds;
-after FOLD updates the support is stored anew.  Only scalars reach the driver.
+A fitted histogram is its starting weights and one eta for each query that was
+moved: a row's weight is w0 * exp(sum of the etas of the queries that count it).
+The support is stored with the query that counts each row in every workload, so
+a round is one pass of look-ups and sums over it, however many queries were moved
+before; plans don't grow with the rounds.  Measured queries are a table.  Only
+single rows reach the driver, but for the moves of one recycling round, of which
+there are at most as many as rounds before it.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.workload import QuerySpace
 from ..storage import stored
 from . import privacy
-from .evaluate import differences
-from .support import support_answers
+from .marginals import DENSE_CELLS, Sums, cell_ids, filled, workload_column
+from .support import CELLS, indexed
 
-FOLD, EDGE = 64, 1e-6
+EDGE = 1e-6
+#: Supports for at most so many workloads keep their cells; for more, a pass finds them anew.
+INDEXED = 64
+PAST = "i bigint, query_id bigint, measured double"
 
 
 def projection_step(measured: float, current: float) -> float:
@@ -30,41 +40,183 @@ def projection_step(measured: float, current: float) -> float:
     return math.log(a * (1 - b) / ((1 - a) * b))
 
 
-@dataclass
+def _local(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows of numbers as literals, which need no task."""
+    kinds = [part.split() for part in schema.split(", ")]
+    if not rows:
+        return spark.range(0).select(*[F.lit(None).cast(k).alias(n) for n, k in kinds])
+    values = ", ".join("(" + ", ".join(f"CAST('{x!r}' AS {k})" for x, (_, k) in zip(r, kinds)) + ")" for r in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(n for n, _ in kinds)})")
+
+
+class _Etas:
+    """Etas by query; a cell of -1 has none."""
+
+    def __init__(self, etas: dict[int, float], n: int) -> None:
+        self.q = np.array(sorted(etas), np.int64)
+        self.eta = np.array([etas[q] for q in self.q.tolist()], np.float64)
+        self.n = n
+
+    def powers(self, cells: np.ndarray) -> np.ndarray:
+        """The sum of etas of each row's cells."""
+        if not len(self.q):
+            return np.zeros(len(cells))
+        if self.n <= DENSE_CELLS:
+            table = np.zeros(self.n + 1)
+            table[self.q] = self.eta
+            return table[cells].sum(axis=1)
+        at = np.minimum(np.searchsorted(self.q, cells), len(self.q) - 1)
+        return np.where(self.q[at] == cells, self.eta[at], 0.0).sum(axis=1)
+
+
 class Histogram:
     """support: codes and w."""
 
-    support: DataFrame
-    space: QuerySpace
-    updates: list[tuple[int, float]] = field(default_factory=list)
+    def __init__(self, support: DataFrame, space: QuerySpace, index: bool | None = None) -> None:
+        self.space, self.etas = space, {}
+        self.snapshots: list[dict[int, float]] = []
+        self.log: list[dict[str, float]] = []
+        own = support.drop(CELLS)
+        self.support = stored(indexed(own, space) if (len(space.workloads) <= INDEXED if index is None else index) else own)
+
+    @property
+    def spark(self) -> SparkSession:
+        return self.support.sparkSession
+
+    def update(self, query: int, eta: float) -> None:
+        self.etas[query] = self.etas.get(query, 0.0) + eta
+
+    def snapshot(self) -> None:
+        """Counts the weights as they are now in the average."""
+        self.snapshots.append(dict(self.etas))
+
+    def _pass(self, use, schema: str, keep: bool = False) -> DataFrame:
+        """use(cells, w0, batch) for every batch, then use(None) at the end."""
+        space, rows = self.space, self.support if keep else self.support.select(*([CELLS] if CELLS in self.support.columns else [F.col(f"`{a}`") for a in self.space.attrs]), "w")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            work = use()
+            for batch in batches:
+                if batch.num_rows:
+                    if CELLS in batch.schema.names:
+                        cells = batch.column(CELLS).flatten().to_numpy().reshape(batch.num_rows, -1)
+                    else:
+                        cells = cell_ids(batch, space.workloads)
+                    yield from work(cells, batch.column("w").to_numpy(), batch)
+            yield from work(None, None, None)
+
+        return rows.mapInArrow(run, schema)
+
+    def sums(self) -> DataFrame:
+        """(query_id, s) of every query that counts a row; -1 is the whole."""
+        etas, n = _Etas(self.etas, self.space.n_queries), self.space.n_queries
+
+        def use():
+            held, whole = Sums(n), 0.0
+
+            def work(cells, w0, _):
+                nonlocal whole
+                if cells is None:
+                    yield from held.batches("s")
+                    yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([whole])], names=["query_id", "s"])
+                    return
+                w = w0 * np.exp(etas.powers(cells))
+                whole += float(w.sum())
+                ok = cells >= 0
+                yield from held.add(cells[ok], np.broadcast_to(w[:, None], cells.shape)[ok], "s")
+
+            return work
+
+        return self._pass(use, "query_id bigint, s double").groupBy("query_id").agg(F.sum("s").alias("s"))
+
+    @contextmanager
+    def swept(self) -> Iterator[DataFrame]:
+        """(query_id, ans) of the queries that count a row, held for a round."""
+        held = self.sums().persist()
+        whole = held.where("query_id = -1").first()["s"]
+        yield held.where("query_id >= 0").select("query_id", (F.col("s") / F.lit(whole)).alias("ans"))
+        held.unpersist()
+
+    def answers(self, average: bool = False) -> DataFrame:
+        """(query_id, ans) of every query, of the weights or their average."""
+        hist = Histogram(self.weights(average), self.space) if average else self
+        held = stored(hist.sums())
+        whole = held.where("query_id = -1").first()["s"]
+        return filled(held.where("query_id >= 0").select("query_id", (F.col("s") / F.lit(whole)).alias("ans")), self.space.n_queries)
+
+    def current_of(self, past: DataFrame, queries: np.ndarray, wids: list[int]) -> DataFrame:
+        """past (with query_id) with ans, the answers of these sorted queries, of
+        these workloads only; one row for each query and task is shuffled."""
+        etas, space = _Etas(self.etas, self.space.n_queries), self.space
+        own = np.array(wids)
+
+        def use():
+            total, whole = np.zeros(len(queries)), 0.0
 
-    def _weight(self, updates: list[tuple[int, float]]) -> Column:
-        merged: dict[int, float] = {}
-        for q, eta in updates:
-            merged[q] = merged.get(q, 0.0) + eta
-        power = F.lit(0.0)
-        for q, eta in merged.items():
-            power = power + F.when(self.space.matches(q), F.lit(eta)).otherwise(0.0)
-        return F.col("w") * F.exp(power)
+            def work(cells, w0, _):
+                nonlocal total, whole
+                if cells is None:
+                    yield pa.RecordBatch.from_arrays([pa.array(queries), pa.array(total), pa.array(np.full(len(queries), whole))], names=["q", "s", "t"])
+                    return
+                w = w0 * np.exp(etas.powers(cells))
+                some = cells[:, own]
+                at = np.minimum(np.searchsorted(queries, some), len(queries) - 1)
+                hit = queries[at] == some
+                whole += float(w.sum())
+                total += np.bincount(at[hit], np.broadcast_to(w[:, None], some.shape)[hit], minlength=len(queries))
 
-    def weights(self) -> DataFrame:
-        """The support with normalised w."""
-        whole = self.support.agg(F.sum(self._weight(self.updates)).alias("__z"))
-        return self.support.join(F.broadcast(whole)).withColumn("w", self._weight(self.updates) / F.col("__z")).drop("__z")
+            return work
 
-    def answers(self) -> DataFrame:
-        return support_answers(self.weights(), self.space)
+        found = self._pass(use, "q bigint, s double, t double").groupBy("q").agg((F.sum("s") / F.sum("t")).alias("ans"))
+        return past.join(found, F.col("query_id") == F.col("q")).drop("q")
 
     def current(self, queries: list[int]) -> list[float]:
-        """Answers to a few queries, in one pass without a shuffle of rows."""
-        w = self._weight(self.updates)
-        row = self.support.agg(F.sum(w), *[F.sum(F.when(self.space.matches(q), w).otherwise(0.0)) for q in queries]).first()
-        return [x / row[0] for x in row[1:]]
+        """Answers to a few queries."""
+        own = np.unique(queries)
+        rows = self.spark.createDataFrame([(int(q),) for q in own], "query_id bigint")
+        found = {r["query_id"]: r["ans"] for r in self.current_of(rows, own, sorted({self.space.workload_of(int(q)).wid for q in own})).collect()}  # as many as asked for
+        return [found[q] for q in queries]
 
-    def update(self, query: int, eta: float) -> None:
-        self.updates.append((query, eta))
-        if len({q for q, _ in self.updates}) > FOLD:
-            self.support, self.updates = stored(self.weights()), []
+    def _weighed(self, sets: list[dict[int, float]]) -> DataFrame:
+        """The support with w the mean of the normalised weights by each set of etas."""
+        tables = [_Etas(e, self.space.n_queries) for e in sets]
+
+        def totals():
+            whole = np.zeros(len(tables))
+
+            def work(cells, w0, _):
+                nonlocal whole
+                if cells is None:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(tables))), pa.array(whole)], names=["k", "t"])
+                else:
+                    whole += [float((w0 * np.exp(e.powers(cells))).sum()) for e in tables]
+                    yield from ()
+
+            return work
+
+        whole = {r["k"]: r["t"] for r in self._pass(totals, "k bigint, t double").groupBy("k").agg(F.sum("t").alias("t")).collect()}  # one row for each round
+        names = [c for c in self.support.columns if c != CELLS]
+
+        def weigh():
+            def work(cells, w0, batch):
+                if cells is not None:
+                    w = sum(w0 * np.exp(e.powers(cells)) / whole[k] for k, e in enumerate(tables)) / len(tables)
+                    yield pa.RecordBatch.from_arrays([pa.array(w) if c == "w" else batch.column(c) for c in names], names=names)
+
+            return work
+
+        return self._pass(weigh, self.support.select(*[F.col(f"`{c}`") for c in names]).schema, keep=True)
+
+    def weights(self, average: bool = False) -> DataFrame:
+        """The support with normalised w; average: the mean over the rounds."""
+        return self._weighed(self.snapshots if average and self.snapshots else [self.etas])
+
+    def save(self, path: str) -> None:
+        self.weights().write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, space: QuerySpace) -> Histogram:
+        return cls(spark.read.parquet(path), space)
 
 
 @dataclass
@@ -78,35 +230,72 @@ class Chooser:
     alpha: float = 0.5
     seed: int = 0
     single: bool = True
-    past: list[int] = field(default_factory=list)
-    measured: list[float] = field(default_factory=list)
-
-    def step(self, true: DataFrame, hist: Histogram, round_: int, repeat: bool) -> list[int]:
-        """The queries measured in this round."""
-        scores = differences(true, hist.answers())
-        if self.past and not repeat:
-            scores = scores.where(~F.col("query_id").isin(self.past))
+    rows: list[tuple[int, int, float]] = field(default_factory=list)
+    tables: list[DataFrame] = field(default_factory=list)
+    wids: list[int] = field(default_factory=list)
+
+    def past(self, spark: SparkSession) -> DataFrame:
+        """(i, query_id, measured); i tells the order of measuring."""
+        out = _local(spark, self.rows, PAST)
+        for t in self.tables:
+            out = out.unionByName(t)
+        return out
+
+    def step(self, true: DataFrame, found: DataFrame, round_: int, repeat: bool, space: QuerySpace, log: list) -> tuple[int, float, float] | None:
+        """(query, measured, answer) of the query measured in this round, or of the
+        first one of its workload; None if none is open.  Errors go to log."""
+        spark = true.sparkSession
+        scored = true.select("query_id", F.col("ans").alias("true")).join(found, "query_id", "left").select("query_id", "true", F.coalesce("ans", F.lit(0.0)).alias("found"))
+        scored = scored.withColumn("score", F.abs(F.col("true") - F.col("found")))
+        open_ = F.lit(True)
+        if (self.rows or self.tables) and not repeat:
+            scored = scored.join(self.past(spark).select("query_id", F.lit(True).alias("past")), "query_id", "left")
+            open_ = F.col("past").isNull()
+        s = F.col("score")
+        errors = [F.max(s).alias("error_max"), F.avg(s).alias("error_mean"), F.avg(s * s).alias("error_mean_squared")]
+        noisy = F.lit(0.0) if self.eps0 is None else privacy.gumbel_score(s, self.alpha * self.eps0, 1 / (self.n or 1), f"{self.seed}:s:{round_}", F.col("query_id"))
+        key = F.round(s if self.eps0 is None else noisy, 9)
+        best = F.max(F.when(open_, F.struct(key.alias("x"), (-F.col("query_id")).alias("k"), "query_id", "true", "found")))
+        row = scored.agg(*errors, best.alias("b")).first()
+        log.append({"round": round_} | {e: row[e] for e in ("error_max", "error_mean", "error_mean_squared")})
+        if row["b"] is None:
+            return None
         if self.eps0 is None:
-            row = scores.orderBy(F.desc(F.round("score", 9)), "query_id").first()
-            chosen = [] if row is None else [(row["query_id"], row["true"])]
-        elif self.single:
-            pick = privacy.exponential(scores, self.alpha * self.eps0, 1 / self.n, f"{self.seed}:s:{round_}")
-            chosen = self._noisy(true.join(F.broadcast(pick.select("query_id")), "query_id"), 1 / self.n, round_)
-        else:
-            from .marginals import workload_column
+            return row["b"]["query_id"], row["b"]["true"], row["b"]["found"]
+        if self.single:
+            q = row["b"]["query_id"]
+            of = _local(spark, [(q, row["b"]["true"])], "query_id bigint, ans double")
+            m = self._noisy(of, 1 / self.n, round_).first()["ans"]
+            self.rows.append((round_, q, m))
+            self.wids.append(space.workload_of(q).wid)
+            return q, m, row["b"]["found"]
+        by = privacy.workload_scores(scored.where(open_).withColumn("wid", workload_column(space)))
+        wid = privacy.exponential(by, self.alpha * self.eps0, 1 / self.n, f"{self.seed}:s:{round_}", key="wid").first()["wid"]
+        w = space.workloads[wid]
+        cells = true.where(F.col("query_id").between(w.offset, w.offset + w.n_cells - 1))
+        i = (F.lit(round_ << 44) + F.col("query_id")).alias("i")
+        self.tables.append(stored(self._noisy(cells, privacy.workload_sensitivity(self.n), round_).select(i, "query_id", F.col("ans").alias("measured"))))
+        self.wids.append(wid)
+        return w.offset, math.nan, math.nan
+
+    def queries(self, space: QuerySpace) -> np.ndarray:
+        """The measured queries, sorted."""
+        if self.single:
+            return np.unique([q for _, q, _ in self.rows])
+        return np.concatenate([np.arange(w.offset, w.offset + w.n_cells) for w in (space.workloads[k] for k in sorted(set(self.wids)))])
+
+    def _noisy(self, values: DataFrame, sensitivity: float, round_: int) -> DataFrame:
+        return privacy.clipped(privacy.gaussian(values, (1 - self.alpha) * self.eps0, sensitivity, f"{self.seed}:m:{round_}"))
+
 
-            by = privacy.workload_scores(scores.withColumn("wid", workload_column(hist.space)))
-            wid = privacy.exponential(by, self.alpha * self.eps0, 1 / self.n, f"{self.seed}:s:{round_}", key="wid").first()["wid"]
-            w = hist.space.workloads[wid]
-            cells = true.where(F.col("query_id").between(w.offset, w.offset + w.n_cells - 1))
-            chosen = self._noisy(cells, privacy.workload_sensitivity(self.n), round_)
-        self.past += [q for q, _ in chosen]
-        self.measured += [m for _, m in chosen]
-        return [q for q, _ in chosen]
+def _off() -> Column:
+    return F.round(F.abs(F.col("measured") - F.col("ans")), 9)
 
-    def _noisy(self, values: DataFrame, sensitivity: float, round_: int) -> list[tuple[int, float]]:
-        noisy = privacy.gaussian(values, (1 - self.alpha) * self.eps0, sensitivity, f"{self.seed}:m:{round_}")
-        return [(r["query_id"], r["ans"]) for r in privacy.clipped(noisy).orderBy("query_id").collect()]  # one workload's cells
+
+def _worst(rows: DataFrame):
+    """The measured query that is most wrong, as a row; of equally wrong ones the
+    first measured."""
+    return rows.agg(F.max(F.struct(_off().alias("off"), (-F.col("i")).alias("k"), "query_id", "measured", "ans")).alias("b")).first()["b"]
 
 
 def multiplicative_weights(hist: Histogram, true: DataFrame, rounds: int, chooser: Chooser, recycle: bool = False) -> Histogram:
@@ -114,18 +303,20 @@ def multiplicative_weights(hist: Histogram, true: DataFrame, rounds: int, choose
     query measured so far; recycle also moves by all past queries of at least
     half the worst error, by the answers from before the round."""
     for t in range(rounds):
-        if not chooser.step(true, hist, t, repeat=chooser.eps0 is None):
-            break
-        if chooser.eps0 is None:
-            q, m = chooser.past[-1], chooser.measured[-1]
-            hist.update(q, (m - hist.current([q])[0]) / 2)
-            continue
-        now = hist.current(chooser.past)
-        off = [m - a for m, a in zip(chooser.measured, now)]
-        worst = max(range(len(off)), key=lambda i: (abs(off[i]), -i))
-        moves = [worst] + ([i for i in range(len(off)) if abs(off[i]) >= 0.5 * abs(off[worst])] if recycle else [])
-        for i in moves:
-            hist.update(chooser.past[i], off[i] / 2)
+        with hist.swept() as found:
+            chosen = chooser.step(true, found, t, chooser.eps0 is None, hist.space, hist.log)
+            if chosen is None:
+                break
+            if chooser.eps0 is None:
+                q, m, a = chosen
+                hist.update(q, (m - a) / 2)
+            else:
+                rows = chooser.past(hist.spark).join(found, "query_id", "left").withColumn("ans", F.coalesce("ans", F.lit(0.0)))
+                worst = _worst(rows)
+                moves = [worst] + (rows.where(F.lit(0.5 * worst["off"]) <= _off()).collect() if recycle else [])  # of the rounds so far
+                for r in moves:
+                    hist.update(r["query_id"], (r["measured"] - r["ans"]) / 2)
+        hist.snapshot()
     return hist
 
 
@@ -133,12 +324,17 @@ def entropy_projection(hist: Histogram, true: DataFrame, rounds: int, chooser: C
     """Each round measures; then the worst measured query is projected onto its
     measurement, a fixed number of times."""
     for t in range(rounds):
-        if not chooser.step(true, hist, t, repeat=chooser.eps0 is None):
+        with hist.swept() as found:
+            chosen = chooser.step(true, found, t, chooser.eps0 is None, hist.space, hist.log)
+        if chosen is None:
             break
-        for _ in range(iterations if chooser.eps0 is not None else 1):
-            own = chooser.past[-1:] if chooser.eps0 is None else chooser.past
-            wanted = chooser.measured[-len(own) :]
-            now = hist.current(own)
-            i = max(range(len(own)), key=lambda k: (abs(wanted[k] - now[k]), -k))
-            hist.update(own[i], projection_step(wanted[i], now[i]))
+        if chooser.eps0 is None:
+            q, m, a = chosen
+            hist.update(q, projection_step(m, a))
+        else:
+            past, queries = chooser.past(hist.spark), chooser.queries(hist.space)
+            for _ in range(iterations):
+                worst = _worst(hist.current_of(past, queries, sorted(set(chooser.wids))))
+                hist.update(worst["query_id"], projection_step(worst["measured"], worst["ans"]))
+        hist.snapshot()
     return hist

@@ -4,75 +4,126 @@ Strategies (the answers are the same):
 
 inline   query ids as one literal array for each row; whole-stage code, good
          while the array is short
-arrow    dense counts for each task by numpy; each task sends one row for each
-         cell that it met, so the shuffle doesn't depend on the row count
-table    rows joined to the broadcast workload table (constant plan size); for
-         spaces whose dense counts don't fit a task
+arrow    counts for each task by numpy; each task sends one row for each cell that
+         it met, so the shuffle doesn't depend on the row count.  Workloads of
+         more than DENSE_CELLS cells together take several passes
 
 Every strategy adds up before it shuffles.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..domain import EncodedData, column
-from ..plans.workload import QuerySpace
-
-INLINE_WORKLOADS, DENSE_CELLS = 40, 1 << 23
+from ..plans.workload import QuerySpace, Workload
+
+INLINE_WORKLOADS, DENSE_CELLS = 3, 1 << 23
+#: Workloads up to which a query's workload is found among literals.
+LITERALS = 64
+
+
+class Sums:
+    """Weights summed by cell: in a table of all n cells, or, if these are too
+    many, by sorting what has come in and sending it on."""
+
+    def __init__(self, n: int, dense: int = DENSE_CELLS) -> None:
+        self.n, self.total = n, np.zeros(n) if n <= dense else None
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, ids: np.ndarray, weights: np.ndarray, name: str) -> Iterator[pa.RecordBatch]:
+        self.held.append((ids, weights))
+        self.size += len(ids)
+        if self.size >= (max(self.n // 4, 1 << 18) if self.total is not None else 1 << 21):
+            yield from self._flush(name)
+
+    def _flush(self, name: str) -> Iterator[pa.RecordBatch]:
+        if self.held:
+            ids, weights = (np.concatenate(x) for x in zip(*self.held))
+            self.held, self.size = [], 0
+            if self.total is not None:
+                self.total += np.bincount(ids, weights, minlength=self.n)
+            else:
+                own, place = np.unique(ids, return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.bincount(place, weights))], names=["query_id", name])
+
+    def batches(self, name: str) -> Iterator[pa.RecordBatch]:
+        """What hasn't been sent yet."""
+        yield from self._flush(name)
+        if self.total is not None:
+            met = np.flatnonzero(self.total)
+            yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(self.total[met])], names=["query_id", name])
+
+
+def cell_ids(batch: pa.RecordBatch, workloads: Sequence[Workload]) -> np.ndarray:
+    """rows x workloads: the query that counts each row, -1 where a code is
+    missing or outside its domain."""
+    out = np.empty((batch.num_rows, len(workloads)), np.int64)
+    codes = {a: batch.column(a).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) for w in workloads for a in w.attrs}
+    good = {(a, n): (codes[a] >= 0) & (codes[a] < n) for w in workloads for a, n in zip(w.attrs, w.sizes)}
+    bad = {k: None if v.all() else ~v for k, v in good.items()}
+    for k, w in enumerate(workloads):
+        at = out[:, k]
+        at[:] = w.offset
+        for a, stride in zip(w.attrs, w.strides):
+            at += codes[a] * stride if stride != 1 else codes[a]
+        for a, n in zip(w.attrs, w.sizes):
+            if bad[a, n] is not None:
+                at[bad[a, n]] = -1
+    return out
 
 
-def sums(data: EncodedData, space: QuerySpace, strategy: str = "auto") -> DataFrame:
+def sums(data: EncodedData, space: QuerySpace, strategy: str = "auto", dense: int = DENSE_CELLS) -> DataFrame:
     """(query_id, ans) of the cells that rows fall in, ans the sum of weights."""
     if strategy == "auto":
-        strategy = "inline" if len(space.workloads) <= INLINE_WORKLOADS else "arrow" if space.n_queries <= DENSE_CELLS else "table"
+        strategy = "inline" if len(space.workloads) <= INLINE_WORKLOADS else "arrow"
     rows = data.df.select(*[column(a) for a in space.attrs], data.mass().alias("__w"))
     if strategy == "inline":
         cells = rows.select("__w", F.explode(F.array(*[w.cell() for w in space.workloads])).alias("query_id"))
-    elif strategy == "arrow":
-        return _dense(rows, space).groupBy("query_id").agg(F.sum("ans").alias("ans"))
-    else:
-        place = {a: i for i, a in enumerate(space.attrs)}
-        table = data.df.sparkSession.createDataFrame(
-            [([place[a] for a in w.attrs], list(w.sizes), list(w.strides), w.offset) for w in space.workloads],
-            "idx array<int>, sizes array<int>, strides array<bigint>, offset bigint",
-        )
-        coded = rows.select("__w", F.array(*[column(a).cast("bigint") for a in space.attrs]).alias("v"))
-        part = F.zip_with("idx", "strides", lambda i, s: F.get("v", i) * s)
-        ok = F.forall(F.arrays_zip("idx", "sizes"), lambda x: F.coalesce(F.get("v", x["idx"]).between(0, x["sizes"] - 1), F.lit(False)))
-        # the table's size is that of the workload list, not of the data
-        cells = coded.join(F.broadcast(table)).where(ok).select("__w", (F.col("offset") + F.aggregate(part, F.lit(0).cast("bigint"), lambda a, b: a + b)).alias("query_id"))
-    return cells.where("query_id IS NOT NULL").groupBy("query_id").agg(F.sum("__w").alias("ans"))
-
-
-def _dense(rows: DataFrame, space: QuerySpace) -> DataFrame:
-    shapes = [(w.attrs, w.sizes, w.strides, w.offset) for w in space.workloads]
-    n = space.n_queries
+        return cells.where("query_id IS NOT NULL").groupBy("query_id").agg(F.sum("__w").alias("ans"))
+    if strategy != "arrow":
+        raise ValueError(strategy)
+    out, at = None, 0
+    while at < len(space.workloads) or out is None:
+        end, size = at, 0
+        while end < len(space.workloads) and (end == at or size + space.workloads[end].n_cells <= dense):
+            size += space.workloads[end].n_cells
+            end += 1
+        part = _counted(rows, space.workloads[at:end], size, dense)
+        out, at = part if out is None else out.unionByName(part), end
+    return out
+
+
+def _counted(rows: DataFrame, workloads: Sequence[Workload], size: int, dense: int) -> DataFrame:
+    """The sums of some neighbouring workloads, of size cells together."""
+    first = workloads[0].offset if workloads else 0
+    attrs = list(dict.fromkeys(a for w in workloads for a in w.attrs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(n)
+        held = Sums(size, dense)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            codes = {a: np.nan_to_num(batch.column(a).to_numpy(zero_copy_only=False).astype(float), nan=-1).astype(np.int64) for a in batch.schema.names if a != "__w"}
-            weight = batch.column("__w").to_numpy(zero_copy_only=False)
-            for attrs, sizes, strides, offset in shapes:
-                ok = np.ones(batch.num_rows, bool)
-                at = np.zeros(batch.num_rows, np.int64)
-                for a, size, stride in zip(attrs, sizes, strides):
-                    ok &= (codes[a] >= 0) & (codes[a] < size)
-                    at += codes[a] * stride
-                cells = int(np.prod(sizes))
-                total[offset : offset + cells] += np.bincount(at[ok], weight[ok], minlength=cells)
-        met = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(total[met])], names=["query_id", "ans"])
-
-    return rows.mapInArrow(run, "query_id bigint, ans double")
+            if batch.num_rows:
+                cells = cell_ids(batch, workloads)
+                w = np.broadcast_to(batch.column("__w").to_numpy(zero_copy_only=False)[:, None], cells.shape)
+                ok = cells >= 0
+                for part in held.add(cells[ok] - first, w[ok], "ans"):
+                    yield _shifted(part, first)
+        for part in held.batches("ans"):
+            yield _shifted(part, first)
+
+    found = rows.select(*[column(a) for a in attrs], "__w").mapInArrow(run, "query_id bigint, ans double")
+    return found.groupBy("query_id").agg(F.sum("ans").alias("ans"))
+
+
+def _shifted(part: pa.RecordBatch, first: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(part.column(0).to_numpy() + first), part.column(1)], names=["query_id", "ans"])
 
 
 def filled(found: DataFrame, n_queries: int, value: str = "ans") -> DataFrame:
@@ -101,7 +152,16 @@ def answers(data: EncodedData, space: QuerySpace, density: str | None = "valid",
 
 
 def workload_column(space: QuerySpace, query_id: str = "query_id") -> Column:
-    """The workload of a query id, by halving over the literal offsets."""
+    """The workload of a query id: by halving over the literal offsets, or, among
+    many workloads, by search in Arrow batches."""
+    if len(space.workloads) > LITERALS:
+        starts = np.array([w.offset for w in space.workloads])
+
+        @F.pandas_udf("int")
+        def search(ids: pd.Series) -> pd.Series:
+            return pd.Series(np.searchsorted(starts, ids.to_numpy(), "right") - 1)
+
+        return search(F.col(query_id))
     starts = F.array(*[F.lit(w.offset).cast("bigint") for w in space.workloads])
     steps = [1 << k for k in reversed(range(max(1, len(space.workloads).bit_length())))]
     halve = lambda lo, s: lo + F.when(F.coalesce(F.get(starts, lo + s) <= F.col(query_id), F.lit(False)), s).otherwise(0)
@@ -129,15 +189,24 @@ def random_bridge(space: QuerySpace, seed: int = 0, most: int = 9) -> list[tuple
     return out
 
 
-def soft_answers(p: np.ndarray, space: QuerySpace) -> np.ndarray:
+def soft_answers(p: np.ndarray, space: QuerySpace, wids: Sequence[int] | None = None, block: int = 256) -> np.ndarray:
     """Answers of probabilistic rows: p is rows x one-hot places; a cell's answer
-    is the mean over rows of the product of its places."""
-    at, out = space.domain.offsets(), np.empty(space.n_queries)
-    for w in space.workloads:
-        joint = p[:, at[w.attrs[0]] : at[w.attrs[0]] + w.sizes[0]]
-        for a, n in zip(w.attrs[1:], w.sizes[1:]):
-            joint = (joint[:, :, None] * p[:, None, at[a] : at[a] + n]).reshape(len(p), -1)
-        out[w.offset : w.offset + w.n_cells] = joint.mean(axis=0)
+    is the mean over rows of the product of its places.  wids: only these
+    workloads are answered, the others' cells are 0.  Rows go in blocks, so that
+    no table is larger than a block of rows by a workload's cells."""
+    at, out = space.domain.offsets(), np.zeros(space.n_queries)
+    for w in space.workloads if wids is None else (space.workloads[k] for k in wids):
+        own = out[w.offset : w.offset + w.n_cells]
+        for s in range(0, len(p), block):
+            part = p[s : s + block]
+            joint = part[:, at[w.attrs[0]] : at[w.attrs[0]] + w.sizes[0]]
+            for a, n in zip(w.attrs[1:-1], w.sizes[1:-1]):
+                joint = (joint[:, :, None] * part[:, None, at[a] : at[a] + n]).reshape(len(part), -1)
+            if len(w.attrs) > 1:  # the last attribute by a matrix product, summed over rows at once
+                own += (joint.T @ part[:, at[w.attrs[-1]] : at[w.attrs[-1]] + w.sizes[-1]]).ravel()
+            else:
+                own += joint.sum(axis=0)
+        own /= len(p)
     return out
 
 

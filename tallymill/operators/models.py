@@ -12,11 +12,14 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..domain import Domain
+from ..functions import noise
 from ..plans.workload import QuerySpace
 from . import privacy
 from .marginals import soft_answers
+from .setquery import SetSpace, soft_set_answers, soft_set_gradient
 
 
 def softmax_blocks(logits: np.ndarray, domain: Domain) -> np.ndarray:
@@ -42,7 +45,7 @@ def answers_gradient(p: np.ndarray, space: QuerySpace, up: np.ndarray) -> np.nda
     at, out = space.domain.offsets(), np.zeros_like(p)
     for w in space.workloads:
         own = up[w.offset : w.offset + w.n_cells]
-        if not own.any():
+        if not own.any():  # only workloads of queries that count
             continue
         cube, letters = own.reshape(w.sizes), "abcdefgh"[: len(w.attrs)]
         parts = [p[:, at[a] : at[a] + n] for a, n in zip(w.attrs, w.sizes)]
@@ -56,6 +59,15 @@ def answers_gradient(p: np.ndarray, space: QuerySpace, up: np.ndarray) -> np.nda
     return out
 
 
+def model_answers(p: np.ndarray, space: QuerySpace | SetSpace, wids: list[int] | None = None) -> np.ndarray:
+    """Answers of a model's rows to marginal or set queries."""
+    return soft_set_answers(p, space) if isinstance(space, SetSpace) else soft_answers(p, space, wids)
+
+
+def model_gradient(p: np.ndarray, space: QuerySpace | SetSpace, up: np.ndarray) -> np.ndarray:
+    return soft_set_gradient(p, space, up) if isinstance(space, SetSpace) else answers_gradient(p, space, up)
+
+
 @dataclass
 class Adam:
     lr: float = 1e-3
@@ -198,6 +210,7 @@ def fit_private(model: FixedModel, space: QuerySpace, true: np.ndarray, n: int,
             past += cells
             measured += np.clip(true[cells] + noise, 0, 1).tolist()
         own, want = np.array(past), np.array(measured)
+        wids = sorted({space.workload_of(q).wid for q in past})
         top = np.abs(want - found[own]).max()
         running = top if running is None else config.ema_beta * running + (1 - config.ema_beta) * top
         rate = config.lr if config.eta_min is None else _cosine(config.lr, config.eta_min, t, config.rounds)
@@ -208,7 +221,7 @@ def fit_private(model: FixedModel, space: QuerySpace, true: np.ndarray, n: int,
             if config.style == "gem":
                 adam.lr = _cosine(rate, 1e-8, i, config.max_iters)
             p = model.probabilities()
-            off = want - soft_answers(p, space)[own]
+            off = want - soft_answers(p, space, wids)[own]
             if config.style == "gem":
                 pick = np.flatnonzero(np.abs(off) >= config.ema_factor * running)
                 pick = pick[np.argsort(np.abs(off[pick]), kind="stable")][-config.max_idxs :]
@@ -228,7 +241,7 @@ def fit_private(model: FixedModel, space: QuerySpace, true: np.ndarray, n: int,
             up = np.zeros(space.n_queries)
             np.add.at(up, own[pick], slope)
             adam.step(model.params, model.backward(p, answers_gradient(p, space, up)))
-            if config.style == "rap":
+            if config.style == "rap":  # fixed values: when such a fit counts as done
                 bad = 0 if loss < best * (1 - 1e-7) else bad + 1
                 best = min(best, loss)
                 if loss < 1e-8 or bad > 10:
@@ -245,14 +258,14 @@ def fit_private(model: FixedModel, space: QuerySpace, true: np.ndarray, n: int,
     return log
 
 
-def fit_exact(model: FixedModel, space: QuerySpace, true: np.ndarray, steps: int, lr: float = 1e-2, by_error: bool = False, batch: int = 10_000, seed: int = 0) -> list[float]:
-    """Gradient fit to all answers without privacy, in shuffled batches or
+def fit_exact(model: FixedModel, space: QuerySpace | SetSpace, true: np.ndarray, steps: int, lr: float = 1e-2, by_error: bool = False, batch: int = 10_000, seed: int = 0) -> list[float]:
+    """Gradient fit to all answers, of marginal or set queries, without privacy, in shuffled batches or
     batches drawn by error; keeps the best parameters.  Returns largest errors."""
     rng, adam, log = np.random.default_rng(seed), Adam(lr), []
     best, kept = math.inf, None
     for _ in range(steps):
         p = model.probabilities()
-        off = true - soft_answers(p, space)
+        off = true - model_answers(p, space)
         log.append(float(np.abs(off).max()))
         if log[-1] < best:
             best, kept = log[-1], {k: v.copy() for k, v in model.params.items()}
@@ -261,15 +274,20 @@ def fit_exact(model: FixedModel, space: QuerySpace, true: np.ndarray, steps: int
             pick = order[s : s + batch]
             up = np.zeros(space.n_queries)
             np.add.at(up, pick, -2 * off[pick] / len(pick))
-            adam.step(model.params, model.backward(p, answers_gradient(p, space, up)))
+            adam.step(model.params, model.backward(p, model_gradient(p, space, up)))
     if kept is not None:
         model.params = kept
     return log
 
 
-def sample_rows(spark: SparkSession, p: np.ndarray, domain: Domain, n: int, how: str = "sample", seed: int = 0) -> DataFrame:
-    """n rows of codes: row i comes from distribution i mod K, drawn or, for
-    how='max', its likeliest codes.  The model is broadcast: its size is fixed."""
+def sample_rows(
+    spark: SparkSession, p: np.ndarray, domain: Domain, n: int, how: str = "sample", seed: int = 0, sums: dict[str, list[tuple[str, int]]] | None = None
+) -> DataFrame:
+    """(id, codes): n rows of codes.  Row i comes from distribution i mod K, drawn
+    by numbers hashed from the seed, i and the attribute's place, or, for
+    how='max', its likeliest codes.  sums: attributes of two codes that are
+    1 where another attribute has any of the codes listed (attribute, code).  The
+    model is broadcast: its size is fixed."""
     shared = spark.sparkContext.broadcast(p)
     blocks = [(a, at, domain[a]) for a, at in domain.offsets().items()]
 
@@ -278,17 +296,27 @@ def sample_rows(spark: SparkSession, p: np.ndarray, domain: Domain, n: int, how:
             if not batch.num_rows:
                 continue
             ids = batch.column("id").to_numpy()
-            rows = shared.value[ids % len(shared.value)]
-            rng = np.random.default_rng([seed, int(ids[0])])
-            out = []
-            for _, at, size in blocks:
+            rows, out = shared.value[ids % len(shared.value)], {}
+            for k, (a, at, size) in enumerate(blocks):
                 own = rows[:, at : at + size]
                 if how == "max":
-                    out.append(own.argmax(axis=1))
+                    out[a] = own.argmax(axis=1)
                 else:
-                    cdf = own.cumsum(axis=1)
-                    out.append(np.minimum((rng.random((len(ids), 1)) * cdf[:, -1:] >= cdf).sum(axis=1), size - 1))
-            yield pa.RecordBatch.from_arrays([pa.array(ids), *[pa.array(c.astype(np.int32)) for c in out]], names=["id", *[a for a, _, _ in blocks]])
+                    out[a] = np.minimum((batch.column(f"u{k}").to_numpy()[:, None] >= np.round(own.cumsum(axis=1), 12)).sum(axis=1), size - 1)
+            for a, parts in (sums or {}).items():
+                out[a] = np.any([out[b] == v for b, v in parts], axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), *[pa.array(out[a].astype(np.int32)) for a, _, _ in blocks]], names=["id", *[a for a, _, _ in blocks]])
 
     schema = "id bigint, " + ", ".join(f"`{a}` int" for a, _, _ in blocks)
-    return spark.range(n).mapInArrow(run, schema)
+    draws = [noise.uniform(seed, F.col("id"), F.lit(k)).alias(f"u{k}") for k in range(len(blocks))] if how != "max" else []
+    return spark.range(n).select("id", *draws).mapInArrow(run, schema)
+
+
+def summed(p: np.ndarray, domain: Domain, sums: dict[str, list[tuple[str, int]]]) -> np.ndarray:
+    """p where the places of each attribute of sums (two codes: no, yes) follow
+    from others': yes is the sum of the listed places, at most 1."""
+    at, out = domain.offsets(), p.copy()
+    for a, parts in sums.items():
+        yes = np.minimum(sum(p[:, at[b] + v] for b, v in parts), 1.0)
+        out[:, at[a]], out[:, at[a] + 1] = 1 - yes, yes
+    return out

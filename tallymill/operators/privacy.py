@@ -5,41 +5,53 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.noise import gumbel, normal
 
-STEPS = 1000
+#: Relative width of the bracket at which a root counts as found.
+CLOSE = 1e-14
 
 
-def _halved(rises: Callable[[float], bool], low: float, high: float, steps: int = STEPS) -> tuple[float, float]:
-    """The bracket of the point up to which rises() holds."""
-    for _ in range(steps):
-        mid = (low + high) / 2
-        low, high = (mid, high) if rises(mid) else (low, mid)
-    return low, high
+def _crossing(f: Callable[[float], float], low: float, high: float) -> float:
+    """Where an increasing function crosses 0, by halving the bracket between a
+    point below it and one above; high is doubled until it lies above."""
+    while f(high) < 0:
+        low, high = high, 2 * high
+    while high - low > CLOSE * max(abs(low), abs(high)):
+        mid = low + (high - low) / 2
+        if mid in (low, high):
+            break
+        low, high = (mid, high) if f(mid) < 0 else (low, mid)
+    return high
 
 
 def cdp_delta(rho: float, eps: float) -> float:
-    """The delta for which rho-zCDP gives (eps, delta)-DP: the bound's minimum
-    over the Renyi order, where its derivative changes sign."""
+    """The delta for which rho-zCDP gives (eps, delta)-DP.  For every order a > 1,
+    delta <= exp((a - 1)(a rho - eps)) (1 - 1/a)^a / (a - 1); the least bound is
+    where the logarithm's derivative, (2a - 1) rho - eps + ln(1 - 1/a), is 0.  It
+    rises with a, from minus infinity."""
     if rho == 0:
         return 0.0
-    order = sum(_halved(lambda a: (2 * a - 1) * rho - eps + math.log1p(-1 / a) < 0, 1.01, (eps + 1) / (2 * rho) + 2)) / 2
-    return min(1.0, math.exp((order - 1) * (order * rho - eps) + order * math.log1p(-1 / order)) / (order - 1))
+    slope = lambda x: (2 * x + 1) * rho - eps + math.log(x / (1 + x))  # noqa: E731  # x = a - 1
+    x = _crossing(slope, 0.0, 1.0 + eps / rho)
+    a = 1 + x
+    return min(1.0, math.exp(x * (a * rho - eps) + a * math.log(x / a)) / x)
 
 
 def cdp_eps(rho: float, delta: float) -> float:
     """The least eps for which rho-zCDP gives (eps, delta)-DP."""
     if delta >= 1 or rho == 0:
         return 0.0
-    return _halved(lambda e: cdp_delta(rho, e) > delta, 0.0, rho + 2 * math.sqrt(rho * math.log(1 / delta)))[1]
+    return _crossing(lambda e: delta - cdp_delta(rho, e), 0.0, rho + 1)
 
 
 def cdp_rho(eps: float, delta: float) -> float:
     """The largest rho for which rho-zCDP gives (eps, delta)-DP."""
-    return 0.0 if delta >= 1 else _halved(lambda r: cdp_delta(r, eps) <= delta, 0.0, eps + 1)[0]
+    if delta >= 1:
+        return 0.0
+    return _crossing(lambda r: cdp_delta(r, eps) - delta, 0.0, eps + 1) if delta > 0 else 0.0
 
 
 def default_delta(n: int) -> float:
@@ -67,13 +79,18 @@ def workload_sensitivity(n: int) -> float:
     return math.sqrt(2) / n
 
 
+def gumbel_score(score: Column, eps: float, sensitivity: float, seed: int | str, key: Column) -> Column:
+    """What the exponential mechanism takes the largest of."""
+    return score * F.lit(eps / sensitivity) + gumbel(seed, key)
+
+
 def exponential(scores: DataFrame, eps: float, sensitivity: float, seed: int | str, key: str = "query_id", score: str = "score") -> DataFrame:
     """One row (key, score): chosen with probability in proportion to
     exp(eps score / sensitivity), by adding Gumbel noise and taking the largest
     (ties: the smallest key).  eps 0 chooses evenly.  Scores of -infinity and
     nulls are never chosen."""
     open_ = scores.where(F.col(score).isNotNull() & (F.col(score) > F.lit(-math.inf)))
-    noisy = F.col(score) * F.lit(eps / sensitivity) + gumbel(seed, F.col(key))
+    noisy = gumbel_score(F.col(score), eps, sensitivity, seed, F.col(key))
     best = F.max(F.struct(F.round(noisy, 9).alias("x"), (-F.col(key)).alias("k"), F.col(key).alias("key"), F.col(score).alias("score")))
     return open_.agg(best.alias("b")).where("b IS NOT NULL").select(F.col("b.key").alias(key), F.col("b.score").alias(score))
 
@@ -93,8 +110,9 @@ def workload_scores(scores: DataFrame) -> DataFrame:
 
 
 def inverse_cdf(weights: DataFrame, u: float, key: str, weight: str = "w") -> DataFrame:
-    """The first key at which the running share of weights reaches u.  For tables
-    of a domain's size; a support is drawn from by support.sample_support."""
-    by = Window.orderBy(key)
-    running = weights.select(key, (F.sum(weight).over(by) / F.sum(weight).over(Window.partitionBy())).alias("cdf"))
-    return running.where(F.col("cdf") >= F.lit(u)).agg(F.min(key).alias(key))
+    """(key): the first key at which the running share of weights reaches u; null
+    for an empty table.  Keys are numbers; sums run within ranges of them."""
+    from .support import running
+
+    rows, edges = running(weights, key, weight)
+    return rows.where(F.col("hi") / F.lit(edges[-1]) >= F.lit(u)).agg(F.min(key).alias(key))

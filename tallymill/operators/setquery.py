@@ -1,16 +1,23 @@
-"""Counts of conjunctions of IN-lists."""
+"""Counts of conjunctions of IN-lists, over rows and over probabilistic rows."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from ..domain import EncodedData, column
+from ..domain import Domain, EncodedData, column
 
 SetQuery = Mapping[str, Sequence]
-BATCH = 50
+#: Rows that meet the queries' tables at once; sums that a task holds before it sends them.
+BLOCK, MOST = 1024, 1 << 22
+#: Queries up to which one pass of conditional sums is used.
+INLINE = 16
 
 
 def canonical(query: SetQuery) -> tuple:
@@ -36,18 +43,112 @@ def predicate(query: SetQuery) -> Column:
     return F.coalesce(ok, F.lit(False))
 
 
-def set_answers(data: EncodedData, queries: Sequence[SetQuery], density: bool = True, batch: int = BATCH) -> DataFrame:
-    """(qid, ans): one pass over the rows for each batch of queries; only one row
-    of sums for each task is shuffled."""
-    w, out = data.mass(), None
-    for s in range(0, len(queries), batch):
-        parts = [F.struct(F.lit(s + i).alias("qid"), F.coalesce(F.sum(F.when(predicate(q), w)), F.lit(0.0)).alias("s")) for i, q in enumerate(queries[s : s + batch])]
-        whole = F.coalesce(F.sum(w), F.lit(0.0))
-        rows = data.df.agg(F.array(*parts).alias("r"), whole.alias("n")).select(F.explode("r").alias("r"), "n")
-        ans = F.when(F.col("n") > 0, F.col("r.s") / F.col("n")).otherwise(0.0) if density else F.col("r.s")
-        part = rows.select(F.col("r.qid").alias("qid"), ans.alias("ans"))
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else data.df.sparkSession.createDataFrame([], "qid int, ans double")
+class SetSpace:
+    """A list of set queries over a domain, in a form that numpy evaluates: for
+    each attribute a table of which value is allowed by which query."""
+
+    def __init__(self, domain: Domain, queries: Sequence[SetQuery]) -> None:
+        self.domain, self.asked = domain, [dict(canonical(q)) for q in queries]
+        self.attrs = [a for a in domain.attrs if any(a in q for q in self.asked)]
+
+    @property
+    def n_queries(self) -> int:
+        return len(self.asked)
+
+    def tables(self) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+        """attribute: sorted values that any query names, and their allowed
+        queries (values + 1 x queries; the last row is for all other values)."""
+        out = {}
+        for a in self.attrs:
+            values = np.array(sorted({v for q in self.asked for v in q.get(a, ())}))
+            allowed = np.zeros((len(values) + 1, len(self.asked)), bool)
+            for k, q in enumerate(self.asked):
+                allowed[np.searchsorted(values, np.array(q[a])) if a in q else slice(None), k] = True
+            out[a] = values, allowed
+        return out
+
+    def masks(self) -> dict[str, np.ndarray]:
+        """attribute: codes x queries, 1 where a code is allowed."""
+        return {a: np.array([[1.0 if a not in q or v in q[a] else 0.0 for q in self.asked] for v in range(self.domain[a])]) for a in self.attrs}
+
+
+def set_answers(data: EncodedData, queries: Sequence[SetQuery], density: bool = True, by: Sequence[str] = (), strategy: str = "auto") -> DataFrame:
+    """(qid, ans), or (by..., qid, ans) for every group of by that has rows;
+    density divides by the weight of all rows, or of the group.
+
+    inline   one pass with a conditional sum for each query, for few queries
+    tables   rows are counted by the values of the queries' attributes first; each
+             different row then finds the queries that count it by one look-up for
+             each attribute.  A task sends one row for each query and group"""
+    n, by = len(queries), list(by)
+    if strategy == "auto":
+        strategy = "inline" if n <= INLINE and not by else "tables"
+    found = _inline(data, queries) if strategy == "inline" else _tables(data, SetSpace(data.domain, queries), by)
+    own = [column(b) for b in by]
+    ans = F.when(F.col("t") > 0, F.col("s") / F.col("t")).otherwise(0.0) if density else F.col("s")
+    whole = found.select(*own, "qid", ans.alias("ans"))
+    if by:
+        return whole
+    ids = data.df.sparkSession.range(n).select(F.col("id").cast("int").alias("qid"))
+    return ids.join(whole, "qid", "left").select("qid", F.coalesce("ans", F.lit(0.0)).alias("ans"))
+
+
+def _inline(data: EncodedData, queries: Sequence[SetQuery]) -> DataFrame:
+    w = data.mass()
+    parts = [F.struct(F.lit(i).alias("qid"), F.coalesce(F.sum(F.when(predicate(q), w)), F.lit(0.0)).alias("s")) for i, q in enumerate(queries)]
+    parts = F.array(*parts) if parts else F.array().cast("array<struct<qid:int,s:double>>")
+    return data.df.agg(parts.alias("r"), F.coalesce(F.sum(w), F.lit(0.0)).alias("t")).select(F.explode("r").alias("r"), "t").select("r.qid", "r.s", "t")
+
+
+def _tables(data: EncodedData, space: SetSpace, by: list[str]) -> DataFrame:
+    """(by..., qid, s, t): sums of weights by query, and of a group's rows."""
+    tables, n = space.tables(), space.n_queries
+    counts = data.df.groupBy(*[column(a) for a in dict.fromkeys([*by, *space.attrs])]).agg(F.sum(data.mass()).alias("__n"))
+    fields = [data.df.schema[b] for b in by]
+    kinds = [to_arrow_type(f.dataType) for f in fields]
+
+    def sent(total: dict[tuple, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for key, sums in total.items():
+            columns = [*[pa.array([v] * n, kind) for v, kind in zip(key, kinds)], pa.array(np.arange(n, dtype=np.int32)), pa.array(sums[:-1]), pa.array(np.full(n, sums[-1]))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*by, "qid", "s", "t"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            weights, places = batch.column("__n").to_numpy(zero_copy_only=False), {}
+            keys = list(zip(*[batch.column(b).to_pylist() for b in by])) if by else [()] * batch.num_rows
+            for a, (values, _) in tables.items():
+                valid = batch.column(a).is_valid().to_numpy(zero_copy_only=False)
+                own = batch.column(a).fill_null(values[0].item()).to_numpy(zero_copy_only=False)
+                at = np.minimum(np.searchsorted(values, own), len(values) - 1)
+                places[a] = np.where((values[at] == own) & valid, at, len(values))
+            groups = {k: i for i, k in enumerate(dict.fromkeys(keys))}
+            names, which = list(groups), np.array([groups[k] for k in keys], int)
+            order = np.argsort(which, kind="stable")
+            for s in range(0, len(order), BLOCK):
+                rows = order[s : s + BLOCK]
+                met = np.ones((len(rows), n + 1), bool)
+                for a, (_, allowed) in tables.items():
+                    met[:, :n] &= allowed[places[a][rows]]
+                for g, first, last in _runs(which[rows]):
+                    sums = weights[rows[first:last]] @ met[first:last]
+                    total[names[g]] = total[names[g]] + sums if names[g] in total else sums
+            if len(total) * (n + 1) > MOST:
+                yield from sent(total)
+                total = {}
+        yield from sent(total)
+
+    schema = StructType([*fields, StructField("qid", IntegerType()), StructField("s", DoubleType()), StructField("t", DoubleType())])
+    # every task that has rows of a group sends all its queries, so the sums of t agree
+    return counts.mapInArrow(run, schema).groupBy(*[column(b) for b in by], "qid").agg(F.sum("s").alias("s"), F.sum("t").alias("t"))
+
+
+def _runs(sorted_: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(value, first, last) of each run of equal values."""
+    edges = [0, *(np.flatnonzero(np.diff(sorted_)) + 1).tolist(), len(sorted_)]
+    for a, b in zip(edges, edges[1:]):
+        if b > a:
+            yield int(sorted_[a]), a, b
 
 
 def relation(spark: SparkSession, queries: Sequence[SetQuery]) -> DataFrame:
@@ -55,19 +156,36 @@ def relation(spark: SparkSession, queries: Sequence[SetQuery]) -> DataFrame:
     return spark.createDataFrame(rows, "qid int, attr string, value int")
 
 
-def set_answers_joined(data: EncodedData, queries: Sequence[SetQuery]) -> DataFrame:
-    """(qid, ans) for any number of queries: distinct rows are counted first,
-    their values meet the relation, and a row counts for a query when as many
-    attributes match as the query restricts."""
-    spark, attrs = data.df.sparkSession, data.domain.attrs
-    packed = data.df.select(F.struct(*[column(a) for a in attrs]).alias("row"), data.mass().alias("w")).groupBy("row").agg(F.sum("w").alias("w"))
-    long = packed.select("row", "w", F.explode(F.array(*[F.struct(F.lit(a).alias("attr"), F.col("row").getField(a).alias("value")) for a in attrs])).alias("c"))
-    table = relation(spark, queries)
-    need = table.groupBy("qid").agg(F.countDistinct("attr").alias("need"))
-    hits = long.join(F.broadcast(table), (F.col("c.attr") == F.col("attr")) & (F.col("c.value") == F.col("value")))
-    met = hits.groupBy("qid", "row", "w").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(need), "qid").where("n = need")
-    sums = met.groupBy("qid").agg(F.sum("w").alias("ans"))
-    every = spark.createDataFrame([(q, not canonical(query)) for q, query in enumerate(queries)], "qid int, free boolean")
-    whole = data.df.agg(F.sum(data.mass()).alias("n"))
-    joined = every.join(F.broadcast(sums), "qid", "left").join(F.broadcast(whole))
-    return joined.select("qid", (F.when(F.col("free"), F.col("n")).otherwise(F.coalesce("ans", F.lit(0.0))) / F.col("n")).alias("ans"))
+def soft_set_answers_sql(rows: DataFrame, queries: Sequence[SetQuery]) -> DataFrame:
+    """(qid, ans) over probabilistic rows (k, attr, value, p): the mean over k of
+    the product, over a query's attributes, of the allowed values' sum of p."""
+    spark = rows.sparkSession
+    table = relation(spark, queries)  # the query list, whose size is not the data's
+    sums = rows.join(F.broadcast(table), ["attr", "value"]).groupBy("k", "qid", "attr").agg(F.sum("p").alias("p"))
+    need = spark.createDataFrame([(i, len(canonical(q))) for i, q in enumerate(queries)], "qid int, need int")
+    products = sums.groupBy("k", "qid").agg(F.product("p").alias("p"), F.count(F.lit(1)).alias("n"))
+    met = products.join(F.broadcast(need), "qid").where("n = need").groupBy("qid").agg(F.sum("p").alias("p"))
+    n_rows = rows.agg(F.countDistinct("k").alias("n_rows"))
+    share = F.when(F.col("need") == 0, 1.0).otherwise(F.coalesce("p", F.lit(0.0)) / F.col("n_rows"))
+    return need.join(met, "qid", "left").join(F.broadcast(n_rows)).select("qid", share.alias("ans"))
+
+
+def soft_set_answers(p: np.ndarray, space: SetSpace) -> np.ndarray:
+    """The same over rows x one-hot places."""
+    at, out = space.domain.offsets(), np.ones((len(p), space.n_queries))
+    for a, mask in space.masks().items():
+        out *= p[:, at[a] : at[a] + space.domain[a]] @ mask
+    return out.mean(axis=0)
+
+
+def soft_set_gradient(p: np.ndarray, space: SetSpace, up: np.ndarray) -> np.ndarray:
+    """The loss's gradient by p, from its gradient by the answers."""
+    at, masks, out = space.domain.offsets(), space.masks(), np.zeros_like(p)
+    sums = {a: p[:, at[a] : at[a] + space.domain[a]] @ mask for a, mask in masks.items()}
+    for a, mask in masks.items():
+        others = np.ones((len(p), space.n_queries))
+        for b, x in sums.items():
+            if b != a:
+                others *= x
+        out[:, at[a] : at[a] + space.domain[a]] = (others * up / len(p)) @ mask.T
+    return out

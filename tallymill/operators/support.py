@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..domain import Domain, EncodedData, column
+from ..functions import noise
 from ..plans.workload import QuerySpace
 from .marginals import filled, sums
 
 MOST_CELLS = 1 << 32
+#: Draws of one range that meet in a task, at most.
+SLICE = 1_000_000
+#: The column of a support's cells.
+CELLS = "__cells"
 
 
 def full_support(spark: SparkSession, domain: Domain, most: int = MOST_CELLS) -> DataFrame:
@@ -61,23 +68,51 @@ def query_matrix(space: QuerySpace, spark: SparkSession) -> DataFrame:
     return rows.select("query_id", F.when(F.size("idx") > 0, required).alias("required"))
 
 
-def sample_support(weighted: DataFrame, n: int, seed: int = 0, key: str = "support_id") -> DataFrame:
-    """(draw, key): n rows drawn with replacement by weight.  Weights are added
-    up within ranges of the key and then over the ranges; each draw finds its
-    range first and its row in it, so no task holds the whole support."""
-    spark = weighted.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    from pyspark.sql import Window
+def indexed(support: DataFrame, space: QuerySpace) -> DataFrame:
+    """The support with the query that counts each row in every workload, -1 where
+    none does: found once, looked up in every pass."""
+    return support.withColumn(CELLS, F.array(*[F.coalesce(w.cell(), F.lit(-1).cast("bigint")) for w in space.workloads]))
 
+
+def running(weighted: DataFrame, key: str = "support_id", weight: str = "w") -> tuple[DataFrame, list[float]]:
+    """(key, weight, r, hi) and edges: rows in ranges r of the key, with the
+    running sum of weights up to and including each row; edges are the sums before
+    each range, and the whole.  Weights are added up within ranges and then over
+    the ranges, so no task holds the whole table."""
+    parts = int(weighted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     low, high = weighted.agg(F.min(key), F.max(key)).first()
+    low, high = low or 0, high or 0
     width = max(1, -(-(high - low + 1) // parts))
-    ranged = weighted.select(key, "w", F.floor((F.col(key) - low) / width).cast("int").alias("r"))
-    totals = ranged.groupBy("r").agg(F.sum("w").alias("t"))  # at most one row for each shuffle partition
-    edges = totals.select("r", (F.sum("t").over(Window.orderBy("r")) - F.col("t")).alias("before"), F.sum("t").over(Window.orderBy("r")).alias("after"))
-    whole = totals.agg(F.sum("t").alias("all"))
+    ranged = weighted.select(key, F.col(weight).cast("double").alias(weight), F.floor((F.col(key) - low) / width).cast("int").alias("r"))
+    totals = {x["r"]: x["t"] for x in ranged.groupBy("r").agg(F.sum(weight).alias("t")).collect()}  # at most one row for each shuffle partition
+    edges = [0.0]
+    for r in range(parts):
+        edges.append(edges[-1] + totals.get(r, 0.0))
+    before = F.get(F.array(*[F.lit(float(x)) for x in edges]), F.col("r"))
     inner = Window.partitionBy("r").orderBy(key)
-    rows = ranged.join(F.broadcast(edges), "r").select(key, "r", (F.col("before") + F.sum("w").over(inner)).alias("hi"), "w").withColumn("lo", F.col("hi") - F.col("w"))
-    u = (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)) * F.col("all")
-    draws = spark.range(n).join(F.broadcast(whole)).select(F.col("id").alias("draw"), u.alias("u"))
-    placed = draws.join(F.broadcast(edges), (F.col("u") >= F.col("before")) & (F.col("u") < F.col("after"))).select("draw", "u", F.col("r").alias("dr"))
-    return placed.join(rows, (F.col("dr") == F.col("r")) & (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))).select("draw", key)
+    return ranged.withColumn("hi", before + F.sum(weight).over(inner)), edges
+
+
+def sample_support(weighted: DataFrame, n: int, seed: int = 0, key: str = "support_id", slice_: int = SLICE) -> DataFrame:
+    """(draw, key): n rows drawn with replacement by weight.  A draw's number is
+    hashed from the seed and the draw; it finds its range of keys by the ranges'
+    edges, and there its row by search in the range's running sums.  Draws of one
+    range are cut into slices, so a heavy row's draws are spread."""
+    rows, edges = running(weighted, key)
+    spark, whole = weighted.sparkSession, edges[-1]
+    u = F.col("u") * F.lit(whole)
+    table = F.array(*[F.lit(float(x)) for x in edges[1:]])
+    steps = [1 << k for k in reversed(range(max(len(edges), 1).bit_length()))]
+    range_of = F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), lambda lo, s: lo + F.when(F.coalesce(F.get(table, lo + s - 1) <= u, F.lit(False)), s).otherwise(0))
+    draws = spark.range(n).select(F.col("id").alias("draw"), noise.uniform(seed, F.col("id")).alias("u")).select("draw", u.alias("u"), range_of.alias("r"))
+    slices = draws.groupBy("r").agg(F.ceil(F.count(F.lit(1)) / slice_).cast("int").alias("slices"))  # at most one row for each range
+    dealt = draws.join(F.broadcast(slices), "r").select("draw", "u", "r", F.pmod(F.xxhash64("draw"), F.col("slices")).cast("int").alias("part"))
+    spread = rows.join(F.broadcast(slices), "r").select("r", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("part"), F.col(key).alias("k"), "hi")
+
+    def find(left: pa.Table, right: pa.Table) -> pa.Table:
+        k, hi = right["k"].to_numpy(), right["hi"].to_numpy()
+        order = np.argsort(k, kind="stable")
+        at = np.searchsorted(np.round(hi[order], 12), np.round(left["u"].to_numpy(), 12), "right") if len(k) else np.empty(0, int)
+        return pa.table({"draw": left["draw"] if len(k) else left["draw"].slice(0, 0), key: pa.array(k[order][np.minimum(at, len(k) - 1)] if len(k) else np.empty(0, np.int64))})
+
+    return dealt.groupBy("r", "part").cogroup(spread.groupBy("r", "part")).applyInArrow(find, f"draw bigint, `{key}` bigint")

@@ -74,7 +74,10 @@ def marginals_3way_arrow(spark: SparkSession, d: str) -> DataFrame:
 
 @query(Q3)
 def marginals_3way_table(spark: SparkSession, d: str) -> DataFrame:
-    return m.answers(encoded(spark, d, "li", LI_ATTRS), S3, strategy="table")
+    """In several passes, each of workloads of at most 500 cells together."""
+    data = encoded(spark, d, "li", LI_ATTRS)
+    counts = m.filled(m.sums(data, S3, "arrow", dense=500), S3.n_queries)
+    return counts.join(F.broadcast(data.df.agg(F.count(F.lit(1)).alias("n")))).select("query_id", (F.col("ans") / F.col("n")).alias("ans"))
 
 
 LI_ALL = list(domain("li").attrs)
@@ -239,7 +242,17 @@ def set_queries(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_sets_sql(SETS))
 def set_queries_joined(spark: SparkSession, d: str) -> DataFrame:
-    return sq.set_answers_joined(encoded(spark, d, "ord", SMALL), SETS)
+    return sq.set_answers(encoded(spark, d, "ord", SMALL), SETS, strategy="tables")
+
+
+@query(
+    "WITH e AS (" + relation_sql("ord") + ") "
+    + " UNION ALL ".join(f"SELECT status, {i}::INTEGER AS qid, (count(*) FILTER ({_where({a: v for a, v in q.items() if a != 'status'})}))::DOUBLE AS ans FROM e GROUP BY status" for i, q in enumerate({k: v for k, v in q.items() if k != "status"} for q in SETS))
+)
+def set_queries_by_group(spark: SparkSession, d: str) -> DataFrame:
+    """The queries' other attributes within each status."""
+    asked = [{k: v for k, v in q.items() if k != "status"} for q in SETS]
+    return sq.set_answers(encoded(spark, d, "ord", SMALL), asked, density=False, by=["status"])
 
 
 REPEATED = [SETS[0], {"orderyear": [4, 3, 2, 2], "status": [1, 0]}, SETS[1], {"priority": [0], "status": []}]
@@ -260,9 +273,9 @@ def full_support(spark: SparkSession, d: str) -> DataFrame:
     return sup.full_support(spark, domain("ord", *SMALL))
 
 
-@query(f"WITH e AS ({relation_sql('ord', 'o_orderkey % 2 = 0')}) SELECT status, priority, orderyear, count(*) / (SELECT count(*) FROM e)::DOUBLE AS w FROM e GROUP BY ALL")
+@query(f"WITH e AS ({relation_sql('ord')}) SELECT status, priority, orderyear, count(*) / (SELECT count(*) FROM e)::DOUBLE AS w FROM e GROUP BY ALL")
 def public_support(spark: SparkSession, d: str) -> DataFrame:
-    return sup.public_support(encoded(spark, d, "ord", SMALL, "o_orderkey % 2 = 0"))
+    return sup.public_support(encoded(spark, d, "ord", SMALL))
 
 
 DISTR = f"f AS ({FULL}), e AS ({relation_sql('ord')}), w AS (SELECT f.*, coalesce(c, 0) / (SELECT count(*) FROM e)::DOUBLE AS w FROM f LEFT JOIN (SELECT status, priority, orderyear, count(*) AS c FROM e GROUP BY ALL) USING (status, priority, orderyear))"
@@ -317,6 +330,47 @@ def soft_marginals(spark: SparkSession, d: str) -> DataFrame:
     return m.soft_answers_sql(rows, SSOFT).select("query_id", F.round("ans", 9).alias("ans"))
 
 
+SOFT_SETS = [{"priority": [0, 2], "orderyear": [1, 2, 3]}, {"priority": [4]}, {}, {"orderyear": [0, 6], "priority": [1, 2, 3]}]
+SOFT_ROWS = " UNION ALL ".join(f"SELECT status AS k, '{a}' AS attr, {a} AS value, count(*) / sum(count(*)) OVER (PARTITION BY status) AS p FROM e GROUP BY status, {a}" for a in ("priority", "orderyear"))
+
+
+def soft_rows(spark: SparkSession, d: str) -> DataFrame:
+    """(k, attr, value, p): for each status the shares of priorities and years."""
+    from pyspark.sql import Window
+
+    df, out = encoded(spark, d, "ord", SMALL).df, None
+    for a in ("priority", "orderyear"):
+        counts = df.groupBy(F.col("status").alias("k"), F.col(a).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+        part = counts.select("k", F.lit(a).alias("attr"), "value", (F.col("n") / F.sum("n").over(Window.partitionBy("k"))).alias("p"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(
+    f"WITH e AS ({relation_sql('ord')}), p AS ({SOFT_ROWS}) "
+    + " UNION ALL ".join(
+        f"SELECT {i}::INTEGER AS qid, round(avg(x), 9) AS ans FROM (SELECT k, 1.0::DOUBLE"
+        + "".join(f" * coalesce(sum(p) FILTER (attr = '{a}' AND value IN ({', '.join(map(str, vs))})), 0)" for a, vs in q.items())
+        + " AS x FROM p GROUP BY k)"
+        for i, q in enumerate(SOFT_SETS)
+    )
+)
+def soft_set_queries(spark: SparkSession, d: str) -> DataFrame:
+    """Set queries over probabilistic rows."""
+    return sq.soft_set_answers_sql(soft_rows(spark, d), SOFT_SETS).select("qid", F.round("ans", 9).alias("ans"))
+
+
+SROWS = QuerySpace(domain("ord", "orderyear", "priority"), [("orderyear", "priority")], ordered=False)
+
+
+@query(
+    f"WITH e AS ({relation_sql('ord')}), p AS ({SOFT_ROWS}) SELECT (x.value * 5 + y.value)::BIGINT AS query_id, round(sum(x.p * y.p) / (SELECT count(DISTINCT k) FROM p), 9) AS ans FROM p x JOIN p y USING (k) WHERE x.attr = 'orderyear' AND y.attr = 'priority' GROUP BY 1"
+)
+def soft_marginals_of_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Marginals of the orders' shares by status."""
+    return m.soft_answers_sql(soft_rows(spark, d), SROWS).select("query_id", F.round("ans", 9).alias("ans"))
+
+
 @query(f"WITH p AS ({PSQL}) SELECT k::INTEGER AS k, attr, value::INTEGER AS value, round(exp(p) / sum(exp(p)) OVER (PARTITION BY k, attr), 9) AS p FROM p")
 def softmax_blocks(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window
@@ -414,13 +468,29 @@ def inverse_cdf_sample(spark: SparkSession, d: str) -> DataFrame:
     return privacy.inverse_cdf(weighted, 0.375 - 5e-10, "support_id")
 
 
-RHO = privacy.cdp_rho(1.0, 1e-9)
+EPS, DELTA = 1.0, 1e-9
+# The bound's logarithm at order 1 + x, least over a fine grid of orders.
+BOUND = "x * ((1 + x) * {rho} - eps) + (1 + x) * ln(x / (1 + x)) - ln(x)"
 
 
-@query(f"SELECT 10::INTEGER AS rounds, round({RHO!r}::DOUBLE, 9) AS rho, round(sqrt(2 * {RHO!r}::DOUBLE / (10 * 0.5)), 9) AS eps0")
+@query(
+    f"""
+WITH RECURSIVE c AS (SELECT {EPS}::DOUBLE AS eps, {DELTA}::DOUBLE AS delta),
+b(k, low, high) AS (
+  SELECT 0, 0.0::DOUBLE, eps + 1 FROM c
+  UNION ALL
+  SELECT k + 1, CASE WHEN worst <= ln(delta) THEN mid ELSE low END, CASE WHEN worst <= ln(delta) THEN high ELSE mid END
+  FROM (
+    SELECT k, low, high, mid, eps, delta, (SELECT min({BOUND.format(rho='mid')}) FROM (SELECT exp(i / 2000.0) AS x FROM range(-8000, 20000) t(i))) AS worst
+    FROM (SELECT k, low, high, (low + high) / 2 AS mid FROM b WHERE k < 45), c
+  )
+)
+SELECT 10::INTEGER AS rounds, round(low, 6) AS rho, round(sqrt(2 * low / (10 * 0.5)), 6) AS eps0 FROM b WHERE k = 45
+"""
+)
 def zcdp_budget(spark: SparkSession, d: str) -> DataFrame:
-    eps0, rho = privacy.per_round(1.0, 1e-9, 10, 0.5)
-    return spark.createDataFrame([(10, round(rho, 9), round(eps0, 9))], "rounds int, rho double, eps0 double")
+    eps0, rho = privacy.per_round(EPS, DELTA, 10, 0.5)
+    return spark.createDataFrame([(10, round(rho, 6), round(eps0, 6))], "rounds int, rho double, eps0 double")
 
 
 def data_of(spark: SparkSession, d: str, where: str = "TRUE") -> EncodedData:

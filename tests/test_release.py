@@ -57,12 +57,16 @@ def test_exponential_mechanism(spark):
 def test_set_queries(spark):
     d = data(spark)
     queries = [{"a": [0, 1], "b": [2]}, {"b": [0]}, {}, {"a": []}, {"a": [1], "b": [1, 2]}]
-    one = {r.qid: r.ans for r in sq.set_answers(d, queries, batch=2).collect()}
-    two = {r.qid: r.ans for r in sq.set_answers_joined(d, queries).collect()}
+    one = {r.qid: r.ans for r in sq.set_answers(d, queries, strategy="inline").collect()}
+    two = {r.qid: r.ans for r in sq.set_answers(d, queries, strategy="tables").collect()}
+    by = {(r.a, r.qid): r.ans for r in sq.set_answers(d, queries, density=False, by=["a"]).collect()}
     rows = d.df.collect()
     for i, q in enumerate(queries):
         want = sum(all(r[a] in v for a, v in q.items() if v) for r in rows) / len(rows)
         assert one[i] == pytest.approx(want) and two[i] == pytest.approx(want)
+        for a in (0, 1):
+            assert by[a, i] == sum(r.a == a and all(r[c] in v for c, v in q.items() if v) for r in rows)
+    assert [r.ans for r in sq.set_answers(EncodedData(d.df.limit(0), DOM), queries, strategy="tables").collect()] == [0.0] * 5
     assert sq.distinct([{"a": [1, 0]}, {"a": [0, 1, 1], "b": []}, {}]) == [{"a": (0, 1)}, {}]
     assert sq.attribute_sets([{"a": [1], "b": [0]}, {"b": [1]}, {"a": []}]) == [(), ("b",), ("a", "b")]
 
@@ -112,17 +116,69 @@ def test_private_fits_approach_the_answers(spark):
         assert hist.weights().agg(F.sum("w")).first()[0] == pytest.approx(1)
 
 
-def test_updates_fold_into_the_support(spark, monkeypatch):
-    monkeypatch.setattr(fit, "FOLD", 2)
-    start = sup.uniform(sup.full_support(spark, DOM), 6)
-    one, two = fit.Histogram(start, SPACE), fit.Histogram(start, SPACE)
-    for q, eta in [(0, 0.3), (7, -0.2), (9, 0.5), (3, 0.1), (0, 0.2)]:
-        one.update(q, eta)
-    monkeypatch.setattr(fit, "FOLD", 99)
-    for q, eta in [(0, 0.3), (7, -0.2), (9, 0.5), (3, 0.1), (0, 0.2)]:
-        two.update(q, eta)
-    assert len(one.updates) < 5
-    assert one.current(list(range(SPACE.n_queries))) == pytest.approx(two.current(list(range(SPACE.n_queries))))
+@pytest.mark.parametrize("index", [True, False])
+def test_weights_by_definition(spark, index, tmp_path):
+    hist = fit.Histogram(sup.uniform(sup.full_support(spark, DOM), 6), SPACE, index=index)
+    steps = [(0, 0.3), (7, -0.2), (9, 0.5), (3, 0.1), (0, 0.2)]
+    kept = []
+    for k, (q, eta) in enumerate(steps):
+        hist.update(q, eta)
+        if k % 2:
+            hist.snapshot()
+        kept.append(dict(hist.etas))
+    cells = {(a, b): {SPACE.lookup(v) for v in ({"a": a, "b": b}, {"a": a}, {"b": b})} for a in range(2) for b in range(3)}
+
+    def weights(etas):
+        w = {ab: math.exp(sum(e for q, e in etas.items() if q in c)) for ab, c in cells.items()}
+        return {ab: x / sum(w.values()) for ab, x in w.items()}
+
+    got = {(r.a, r.b): r.w for r in hist.weights().collect()}
+    assert got == pytest.approx(weights(kept[-1]))
+    mean = {(r.a, r.b): r.w for r in hist.weights(average=True).collect()}
+    assert mean == pytest.approx({ab: (weights(kept[1])[ab] + weights(kept[3])[ab]) / 2 for ab in cells})
+    want = [sum(w for ab, w in got.items() if q in cells[ab]) for q in range(SPACE.n_queries)]
+    assert hist.current(list(range(SPACE.n_queries))) == pytest.approx(want)
+    assert [r.ans for r in hist.answers().orderBy("query_id").collect()] == pytest.approx(want)
+    averaged = [sum(w for ab, w in mean.items() if q in cells[ab]) for q in range(SPACE.n_queries)]
+    assert [r.ans for r in hist.answers(average=True).orderBy("query_id").collect()] == pytest.approx(averaged)
+    hist.save(f"{tmp_path}/h")
+    assert {(r.a, r.b): r.w for r in fit.Histogram.load(spark, f"{tmp_path}/h", SPACE).weights().collect()} == pytest.approx(got)
+
+
+def test_sums_dense_and_sparse(spark):
+    d = data(spark)
+    bad = EncodedData(d.df.unionByName(spark.createDataFrame([(-1, 0), (None, 2), (1, 7)], "a int, b int")), DOM)
+    want = {r.query_id: r.ans for r in m.sums(bad, SPACE, "inline").collect()}
+    for dense in (m.DENSE_CELLS, 5, 1):
+        assert {r.query_id: r.ans for r in m.sums(bad, SPACE, "arrow", dense).collect()} == want
+
+
+def test_soft_set_answers_and_their_gradient():
+    rng = np.random.default_rng(3)
+    space = sq.SetSpace(DOM, [{"a": [0], "b": [1, 2]}, {"b": [0]}, {}, {"a": [0, 1]}])
+    model = models.FixedModel(DOM, 5, seed=4)
+    p = model.probabilities()
+    want = [(p[:, 0] * (p[:, 3] + p[:, 4])).mean(), p[:, 2].mean(), 1.0, 1.0]
+    assert sq.soft_set_answers(p, space) == pytest.approx(np.array(want))
+    up = rng.random(4)
+    grad = sq.soft_set_gradient(p, space, up)
+    for i in range(5):
+        for j in range(5):
+            q = p.copy()
+            q[i, j] += 1e-6
+            assert grad[i, j] == pytest.approx((up @ (sq.soft_set_answers(q, space) - sq.soft_set_answers(p, space))) / 1e-6, abs=1e-5)
+    log = models.fit_exact(model, space, np.array([0.5, 0.3, 1.0, 1.0]), 200, lr=0.1)
+    assert min(log) < 0.01
+
+
+def test_rows_of_sums(spark):
+    dom = Domain(("a", "b", "any"), (2, 3, 2))
+    p = np.array([[0.5, 0.5, 0.2, 0.3, 0.5, 0.0, 1.0]])
+    rows = models.sample_rows(spark, p, dom, 200, seed=4, sums={"any": [("a", 1), ("b", 2)]}).collect()
+    assert all(r["any"] == int(r.a == 1 or r.b == 2) for r in rows) and {r["any"] for r in rows} == {0, 1}
+    again = models.sample_rows(spark.newSession(), p, dom, 200, seed=4)
+    assert sorted((r.id, r.a, r.b) for r in again.repartition(7).collect()) == sorted((r.id, r.a, r.b) for r in rows)
+    assert models.summed(p, dom, {"any": [("a", 1), ("b", 2)]})[0, 5:].tolist() == [0.0, 1.0]
 
 
 @pytest.mark.parametrize("network", [False, True])
