@@ -10,6 +10,8 @@ from math import prod
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import storage
+
 
 def _listed(attrs: str | Iterable[str]) -> list[str]:
     return [attrs] if isinstance(attrs, str) else list(attrs)
@@ -33,11 +35,16 @@ class Domain:
         return cls(tuple(sizes), tuple(sizes.values()))
 
     @classmethod
-    def from_json(cls, path: str) -> Domain:
+    def from_json(cls, path: str, spark: SparkSession | None = None) -> Domain:
+        """From whatever store Spark reads; without a session, from a local file."""
+        if spark is not None:
+            return cls.fromdict(json.loads(storage.read_text(spark, path)))
         with open(path) as f:
             return cls.fromdict(json.load(f))
 
-    def to_json(self, path: str) -> None:
+    def to_json(self, path: str, spark: SparkSession | None = None) -> None:
+        if spark is not None:
+            return storage.write_text(spark, path, json.dumps(self.config))
         with open(path, "w") as f:
             json.dump(self.config, f)
 

@@ -11,8 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..domain import Domain, column
+from ..storage import stored
 
 OTHER = "_OTHER"
+#: Values of a column that are held as a list, at most; more are numbered as a table.
+LISTED = 1_000_000
 INF = math.inf
 
 # Edges and attribute lists of the two known raw tables.
@@ -63,12 +66,36 @@ def known_config(name: str) -> Config:
 # Labels ------------------------------------------------------------------
 
 
-def dictionary(df: DataFrame, attr: str, declared: Iterable = (), other: bool = False) -> list:
+def dictionary(df: DataFrame, attr: str, declared: Iterable = (), other: bool = False, most: int = LISTED) -> list:
     """The values of a column, sorted by their own order, with the declared ones
-    and, if asked for, one for all that turn up later.  A dictionary is metadata
-    of bounded size: one entry for each value."""
-    found = {r[0] for r in df.select(column(attr)).distinct().collect() if r[0] is not None} if not declared else set(declared)
-    return sorted(found | ({OTHER} if other else set()))
+    and, if asked for, one for all that turn up later.  A column of more than most
+    values is numbered by numbered() instead."""
+    if declared:
+        return sorted(set(declared) | ({OTHER} if other else set()))
+    found = df.select(column(attr)).where(column(attr).isNotNull()).distinct().limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"{attr} has more than {most} values: number them by numbered() and encode_numbered()")
+    return sorted({r[0] for r in found} | ({OTHER} if other else set()))
+
+
+def numbered(df: DataFrame, attr: str) -> DataFrame:
+    """(value, code): every value with its place in sorted order, as a table.  The
+    values are sorted by ranges; only one count for each range reaches the driver."""
+    values = df.select(column(attr).alias("value")).where("value IS NOT NULL").distinct()
+    ranged = values.repartitionByRange("value").sortWithinPartitions("value").withColumn("__at", F.monotonically_increasing_id())
+    held, part = stored(ranged), F.shiftright("__at", 33)
+    before, at = {}, 0
+    for r in sorted(held.groupBy(part.alias("part")).count().collect()):
+        before[r["part"]], at = at, at + r["count"]
+    starts = F.array(*[F.lit(before.get(p, 0)).cast("long") for p in range(max(before, default=0) + 1)])
+    return held.select("value", (F.get(starts, part.cast("int")) + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).alias("code"))
+
+
+def encode_numbered(df: DataFrame, attr: str, table: DataFrame, to: str | None = None) -> DataFrame:
+    """attr replaced by its code in table (value, code), met by a shuffle; nulls
+    and values that the table lacks become -1."""
+    met = df.join(table.select(F.col("value").alias("__v"), F.col("code").alias("__c")), column(attr) == F.col("__v"), "left")
+    return met.withColumn(to or attr, F.coalesce("__c", F.lit(-1).cast("long"))).drop("__v", "__c")
 
 
 def encode(df: DataFrame, attr: str, values: Sequence, other: bool = False, to: str | None = None) -> DataFrame:
@@ -132,7 +159,7 @@ def bin_code(value: Column, edges: Sequence[float], repeat: str = "point") -> Co
 
 def bin_labels(edges: Sequence[float]) -> list[str]:
     """How each bin is written: a, (a, b) after a repeated edge, else [a, b)."""
-    text = lambda x: "inf" if x == INF else "-inf" if x == -INF else f"{x:g}"
+    text = lambda x: "inf" if x == INF else "-inf" if x == -INF else str(int(x)) if float(x).is_integer() else repr(float(x))
     out, pairs = [], list(zip(edges, edges[1:]))
     for i, (lo, hi) in enumerate(pairs):
         if lo == hi:
@@ -209,37 +236,119 @@ def split_con_cat(columns: Sequence[str], continuous: Sequence[str]) -> tuple[li
     return [c for c in columns if c not in known], [c for c in columns if c in known]
 
 
-def union_domain(df: DataFrame, categorical: Sequence[str], numeric: Sequence[str]) -> DataFrame:
+def union_domain(df: DataFrame, categorical: Sequence[str], numeric: Sequence[str], most: int = LISTED) -> DataFrame:
     """One row: the sorted distinct values of categorical columns and the range
-    of numeric ones, over all parts of a table."""
+    of numeric ones, over all parts of a table.  A categorical column of more than
+    most values is an error: it is none."""
+    parts = [F.struct(F.lit(i).alias("i"), column(a).cast("string").alias("v")) for i, a in enumerate(categorical)]
+    if parts:
+        many = df.select(F.explode(F.array(*parts)).alias("x")).distinct().groupBy("x.i").count().where(F.col("count") > most).first()
+        if many is not None:
+            raise ValueError(f"{categorical[many['i']]} has {many['count']} values")
     own = [F.array_sort(F.collect_set(column(a))).alias(a) for a in categorical]
     own += [f(column(a)).alias(f"{f.__name__}_{a}") for a in numeric for f in (F.min, F.max)]
     return df.agg(*own)
 
 
+def domains_within(df: DataFrame, part: str, attr: str) -> DataFrame:
+    """(part, size, low, high) of an attribute within each part of a table."""
+    own = column(attr)
+    return df.groupBy(column(part)).agg(F.count_distinct(own).alias("size"), F.min(own).alias("low"), F.max(own).alias("high"))
+
+
+def domain_rows(spark, domain: Domain) -> DataFrame:
+    """A frame that holds every code of every attribute at least once: row i has
+    code i, or an attribute's last code where it has fewer."""
+    n = max(domain.shape, default=0)
+    return spark.range(n).select(*[F.least(F.col("id"), F.lit(size - 1)).cast("int").alias(a) for a, size in domain.config.items()])
+
+
+@dataclass(frozen=True)
+class Prepared:
+    """df: codes, and raw numeric columns of a mixed table.  domain: of all its
+    columns, 1 for raw ones."""
+
+    df: DataFrame
+    domain: Domain
+    categorical: tuple[str, ...]
+    numeric: tuple[str, ...]
+
+    def only(self, which: str) -> Prepared:
+        """The 'cat' or 'num' columns of the same table."""
+        own = [a for a in self.domain.attrs if a in (self.categorical if which == "cat" else self.numeric)]
+        return Prepared(self.df.select(*[column(a) for a in own]), self.domain.project(own), self.categorical, self.numeric)
+
+
+def part_config(every: DataFrame, part: DataFrame, categorical: Sequence[str], numeric: Sequence[str], bins: int = 10, own: Sequence[str] = ()) -> Config:
+    """How one part (a state) of a table is encoded: values and ranges are those of
+    the whole table, so that parts compare; columns in own (a part's districts)
+    take theirs from the part alone."""
+    row, mine = union_domain(every, categorical, numeric).first(), [a for a in (*categorical, *numeric) if a in own]
+    of_part = union_domain(part, [a for a in mine if a in categorical], [a for a in mine if a in numeric]).first() if mine else None
+    declared = {a: list((of_part if a in own else row)[a]) for a in categorical}
+    edges = {a: equal_edges(*[float((of_part if a in own else row)[f"{f}_{a}"]) for f in ("min", "max")], bins) for a in numeric}
+    return Config(categorical=list(categorical), bins=edges, declared=declared)
+
+
+def prepare_part(every: DataFrame, part: DataFrame, categorical: Sequence[str], numeric: Sequence[str], bins: int = 10, own: Sequence[str] = (), mixed: bool = False) -> Prepared:
+    """A part encoded by part_config, checked, without columns of one value; mixed
+    keeps numeric columns as they are, with a domain of 1."""
+    encoder = Encoder(part_config(every, part, categorical, numeric, bins, own)).fit(part)
+    domain = constant_free(encoder.domain)
+    if mixed:
+        kept = [a for a in domain.attrs if a in categorical]
+        coded = part
+        for a in kept:
+            coded = encode(coded, a, encoder.values[a])
+        df = coded.select(*[column(a) for a in kept], *[column(a) for a in numeric])
+        return Prepared(df, Domain.fromdict({a: domain[a] for a in kept} | {a: 1 for a in numeric}), tuple(categorical), tuple(numeric))
+    df = encoder.transform(part).select(*[column(a) for a in domain.attrs])
+    bad = out_of_domain(df, domain).where("n_bad > 0").select("attr").collect()  # at most one row for each column
+    if bad:
+        raise ValueError(f"codes outside their domain: {[r['attr'] for r in bad]}")
+    return Prepared(df, domain, tuple(categorical), tuple(numeric))
+
+
 def train_test_split(df: DataFrame, id_col: str, fraction: float, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """Exactly round(fraction * n) rows for training, the rest for testing.
-    Rows are ranked by a hash of their id and the seed; the rank at the cut is
-    found by counting hash prefixes, so no task sorts the whole table."""
-    key = F.md5(F.concat(column(id_col).cast("string"), F.lit(f":{seed}")))
+    """Exactly round(fraction * n) rows for training, the rest for testing.  Rows
+    are ranked by a hash of their id (null: an empty one) and the seed, rows of one
+    id by a hash of all columns.  The rank at the cut is found by counting prefixes
+    of the hashes; after the first count only the hashes of one in 4096 rows are
+    kept for the next.  Of equal rows at the cut as many as are needed are taken."""
+    of_row = F.md5(F.concat_ws(":", *[F.coalesce(column(c).cast("string"), F.lit("")) for c in df.columns]))
+    key = F.concat(F.md5(F.concat(F.coalesce(column(id_col).cast("string"), F.lit("")), F.lit(f":{seed}"))), of_row)
     keyed = df.withColumn("__key", key)
-    n = round(fraction * keyed.count())
-    prefix, taken = "", 0
-    while True:
-        width = len(prefix) + 3
-        sizes = sorted((r[0], r[1]) for r in keyed.where(F.col("__key").startswith(prefix)).groupBy(F.substring("__key", 1, width)).count().collect())
-        chosen = None
-        for p, c in sizes:  # at most 4096 rows
+    keys, prefix, taken, n, cut = keyed.select("__key"), "", 0, None, "g"
+    while len(prefix) < 64:
+        width = min(len(prefix) + 3, 64)
+        sizes = sorted((r[0], r[1]) for r in keys.groupBy(F.substring("__key", 1, width)).count().collect())  # at most 4096 rows
+        if n is None:
+            n = round(fraction * sum(c for _, c in sizes))
+        for p, c in sizes:
             if taken + c > n:
-                chosen = p
                 break
             taken += c
-        if chosen is None or width >= 30 or taken == n:
-            cut = (chosen or "g") if chosen else "g"
+        else:
+            prefix = ""
             break
-        prefix = chosen
+        cut = prefix = p
+        if taken == n:
+            break
+        keys = stored(keys.where(F.col("__key").startswith(p)))
     inside = F.col("__key") < F.lit(cut)
-    return keyed.where(inside).drop("__key"), keyed.where(~inside).drop("__key")
+    train, test = keyed.where(inside).drop("__key"), keyed.where(~inside).drop("__key")
+    if len(prefix) < 64 or taken == n:
+        return train, test
+    # the cut goes through equal rows: they are numbered within their partitions
+    ties = stored(keyed.where(F.col("__key") == cut).drop("__key").withColumn("__at", F.monotonically_increasing_id()))
+    part, more, few = F.shiftright("__at", 33), n - taken, F.lit(False)
+    for r in sorted(ties.groupBy(part.alias("part")).count().collect()):  # one row for each partition
+        few = few | ((part == r["part"]) & (F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) < min(more, r["count"])))
+        more -= min(more, r["count"])
+        if not more:
+            break
+    over = keyed.where(F.col("__key") > F.lit(cut)).drop("__key")
+    return train.unionByName(ties.where(few).drop("__at")), over.unionByName(ties.where(~few).drop("__at"))
 
 
 # One-hot -------------------------------------------------------------------

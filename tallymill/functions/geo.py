@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PARTS = ("state", "county", "tract", "block")
+# The layout of both kinds of key.
 #: part: digits, (start, least length) in a GEOID, the same in a GISJOIN
 LAYOUT = {"state": (2, (1, 2), (2, 4)), "county": (3, (3, 5), (5, 8)), "tract": (6, (6, 11), (9, 14)), "block": (4, (12, 15), (15, 18))}
 

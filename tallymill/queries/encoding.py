@@ -129,10 +129,68 @@ def onehot_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return coded.select(*en.onehot_decode(F.col("p"), own)).groupBy("returnflag", "linestatus").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT o_orderkey, (row_number() OVER (ORDER BY md5(o_orderkey || ':3')) <= (SELECT round(0.8 * count(*)) FROM orders)) AS train FROM orders")
+SPLIT = "CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE o_orderkey % 5000 END"
+
+
+@query(
+    f"WITH o AS (SELECT o_orderkey, ({SPLIT})::VARCHAR AS id FROM orders) SELECT o_orderkey, (row_number() OVER (ORDER BY md5(coalesce(id, '') || ':3') || md5(coalesce(id, '') || ':' || o_orderkey)) "
+    "<= (SELECT round(0.8 * count(*)) FROM orders)) AS train FROM o"
+)
 def train_test_split(spark: SparkSession, d: str) -> DataFrame:
-    train, test = en.train_test_split(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", 0.8, 3)
-    return train.withColumn("train", F.lit(True)).unionByName(test.withColumn("train", F.lit(False)))
+    """By an id that some rows lack and others share."""
+    rows = table(spark, d, "orders").selectExpr(f"{SPLIT} AS id", "o_orderkey")
+    train, test = en.train_test_split(rows, "id", 0.8, 3)
+    return train.select("o_orderkey", F.lit(True).alias("train")).unionByName(test.select("o_orderkey", F.lit(False).alias("train")))
+
+
+@query("SELECT l_orderkey, l_linenumber, dense_rank() OVER (ORDER BY l_partkey) - 1 AS code FROM lineitem")
+def label_encode_table(spark: SparkSession, d: str) -> DataFrame:
+    """Values numbered as a table, for columns of any number of values."""
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    return en.encode_numbered(li, "l_partkey", en.numbered(li, "l_partkey"), to="code").select("l_orderkey", "l_linenumber", "code")
+
+
+@query("SELECT i::INTEGER AS r, least(i, 2)::INTEGER AS a, least(i, 6)::INTEGER AS b, 0::INTEGER AS c FROM range(7) t(i)")
+def domain_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Every code of every attribute at least once."""
+    return en.domain_rows(spark, Domain.fromdict({"a": 3, "b": 7, "c": 1})).select(F.greatest("a", "b", "c").alias("r"), "a", "b", "c")
+
+
+PART_SQL = """
+WITH e AS (SELECT c_custkey, c_mktsegment, c_nationkey, c_acctbal, n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey),
+r AS (SELECT min(c_acctbal)::DOUBLE AS low, max(c_acctbal)::DOUBLE AS high FROM e),
+s AS (SELECT c_mktsegment, row_number() OVER (ORDER BY c_mktsegment) - 1 AS seg FROM (SELECT DISTINCT c_mktsegment FROM e)),
+d AS (SELECT c_nationkey, row_number() OVER (ORDER BY c_nationkey) - 1 AS nat FROM (SELECT DISTINCT c_nationkey FROM e WHERE n_regionkey = 2))
+"""
+
+
+def _part(spark: SparkSession, d: str, mixed: bool = False) -> en.Prepared:
+    """Customers of one region over all regions' segments and balances, and its own
+    nations; a constant column leaves."""
+    customer, nation = table(spark, d, "customer"), table(spark, d, "nation")
+    every = customer.join(nation, customer["c_nationkey"] == nation["n_nationkey"]).select("c_mktsegment", "c_nationkey", F.col("c_acctbal").cast("double").alias("c_acctbal"), "n_regionkey", F.lit("x").alias("same"))
+    return en.prepare_part(every, every.where("n_regionkey = 2"), ["c_mktsegment", "c_nationkey", "same"], ["c_acctbal"], 10, own=["c_nationkey"], mixed=mixed)
+
+
+@query(PART_SQL + "SELECT seg::INTEGER AS c_mktsegment, nat::INTEGER AS c_nationkey, (" + " + ".join(f"(c_acctbal >= low + (high - low) / 10 * {i})::INTEGER" for i in range(1, 10)) + ")::INTEGER AS c_acctbal FROM e JOIN s USING (c_mktsegment) JOIN d USING (c_nationkey), r")
+def prepare_region(spark: SparkSession, d: str) -> DataFrame:
+    return _part(spark, d).df
+
+
+@query(PART_SQL + "SELECT seg::INTEGER AS c_mktsegment, nat::INTEGER AS c_nationkey, c_acctbal::DOUBLE AS c_acctbal FROM e JOIN s USING (c_mktsegment) JOIN d USING (c_nationkey)")
+def prepare_region_mixed(spark: SparkSession, d: str) -> DataFrame:
+    return _part(spark, d, mixed=True).df
+
+
+@query(
+    PART_SQL + "SELECT 'all' AS part, 'c_mktsegment' AS attr, count(*)::INTEGER AS size FROM s UNION ALL SELECT 'all', 'c_nationkey', count(*)::INTEGER FROM d UNION ALL SELECT 'all', 'c_acctbal', 10 "
+    "UNION ALL SELECT 'cat', 'c_mktsegment', count(*)::INTEGER FROM s UNION ALL SELECT 'cat', 'c_nationkey', count(*)::INTEGER FROM d UNION ALL SELECT 'num', 'c_acctbal', 1"
+)
+def prepare_region_domains(spark: SparkSession, d: str) -> DataFrame:
+    """The domains of the binned table and of the mixed one's two halves."""
+    mixed = _part(spark, d, mixed=True)
+    parts = {"all": _part(spark, d).domain, "cat": mixed.only("cat").domain, "num": mixed.only("num").domain}
+    return spark.createDataFrame([(k, a, n) for k, dom in parts.items() for a, n in dom.config.items()], "part string, attr string, size int")
 
 
 @query("WITH u AS (SELECT c_nationkey AS nation FROM customer UNION ALL SELECT s_nationkey FROM supplier) SELECT (dense_rank() OVER (ORDER BY nation) - 1)::INTEGER AS code, count(*) AS n FROM u GROUP BY nation")
@@ -159,7 +217,7 @@ def domain_union(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT n_regionkey AS region, count(DISTINCT n_nationkey) AS n_nations, min(n_nationkey) AS first_nation FROM nation GROUP BY 1")
 def state_domains(spark: SparkSession, d: str) -> DataFrame:
     """Domains of an attribute within each state."""
-    return table(spark, d, "nation").groupBy(F.col("n_regionkey").alias("region")).agg(F.count_distinct("n_nationkey").alias("n_nations"), F.min("n_nationkey").alias("first_nation"))
+    return en.domains_within(table(spark, d, "nation"), "n_regionkey", "n_nationkey").select(F.col("n_regionkey").alias("region"), F.col("size").alias("n_nations"), F.col("low").alias("first_nation"))
 
 
 @query(f"SELECT c_custkey, CASE WHEN QSEX = 1 THEN 'Male' ELSE 'Female' END AS sex, CASE WHEN CENHISP = 1 THEN 'Not HLO' ELSE 'HLO' END AS origin FROM ({relation_sql('per')})")

@@ -169,11 +169,10 @@ def hist_sample(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _vector(spark: SparkSession, d: str, where: str = "TRUE") -> tuple[np.ndarray, int]:
-    """True answers as a vector: its length is that of the query list."""
+    """True answers of the small space as a vector."""
     true, n = _true(spark, d, where)
-    out = np.zeros(SW.n_queries)
-    for r in true.collect():
-        out[r["query_id"]] = r["ans"]
+    table, out = true.toArrow(), np.zeros(SW.n_queries)
+    out[table["query_id"].to_numpy()] = table["ans"].to_numpy()
     return out, n
 
 

@@ -9,6 +9,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..domain import Domain, EncodedData, column
 from ..plans.workload import QuerySpace
 
@@ -45,14 +46,16 @@ def default_columns(name: str) -> list[str] | None:
     return DEFAULT_COLUMNS[stem + "-reduced" * name.endswith("-reduced")] if stem else None
 
 
-def read_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """CSV with a header, JSON lines, ORC or Parquet, by the path's ending."""
+def read_table(spark: SparkSession, path: str | Sequence[str], schema: str | None = None) -> DataFrame:
+    """CSV with a header, JSON lines, ORC or Parquet, by the (first) path's ending;
+    several paths of one kind are one table."""
+    paths = [path] if isinstance(path, str) else list(path)
     reader = spark.read.schema(schema) if schema else spark.read
-    if path.endswith((".csv", ".csv.gz")):
-        return reader.option("header", True).option("inferSchema", schema is None).csv(path)
-    if path.endswith((".json", ".jsonl")):
-        return reader.json(path)
-    return reader.orc(path) if path.endswith(".orc") else reader.parquet(path)
+    if paths[0].endswith((".csv", ".csv.gz")):
+        return reader.option("header", True).option("inferSchema", schema is None).csv(paths)
+    if paths[0].endswith((".json", ".jsonl")):
+        return reader.json(paths)
+    return reader.orc(paths) if paths[0].endswith(".orc") else reader.parquet(*paths)
 
 
 def write_table(df: DataFrame, path: str, mode: str = "errorifexists", partition_by: Sequence[str] = ()) -> None:
@@ -71,10 +74,9 @@ def load_encoded(spark: SparkSession, path: str, domain: Domain, cols: Sequence[
 
 def get_data(spark: SparkSession, name: str, root: str, domain_name: str | None = None, cols: Sequence[str] | None = None) -> EncodedData:
     """root/name.csv (or .parquet) over root/domain/<domain_name>-domain.json."""
-    domain = Domain.from_json(f"{root}/domain/{domain_name or name}-domain.json")
+    domain = Domain.from_json(f"{root}/domain/{domain_name or name}-domain.json", spark)
     base = f"{root}/{name}"
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{base}.parquet")
-    found = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+    found = storage.exists(spark, f"{base}.parquet")
     return load_encoded(spark, f"{base}.parquet" if found else f"{base}.csv", domain, cols or default_columns(name))
 
 
@@ -86,12 +88,18 @@ def split_by(df: DataFrame, key: str, path: str) -> None:
 # Query sets ----------------------------------------------------------------
 
 
-def save_queries(queries: Sequence[Mapping[str, Sequence]], path: str) -> None:
+def save_queries(queries: Sequence[Mapping[str, Sequence]], path: str, spark: SparkSession | None = None) -> None:
+    """A query set as JSON, in any store that Spark writes if a session is given."""
+    text = json.dumps([{a: list(v) for a, v in q.items()} for q in queries])
+    if spark is not None:
+        return storage.write_text(spark, path, text)
     with open(path, "w") as f:
-        json.dump([{a: list(v) for a, v in q.items()} for q in queries], f)
+        f.write(text)
 
 
-def load_queries(path: str) -> list[dict[str, list]]:
+def load_queries(path: str, spark: SparkSession | None = None) -> list[dict[str, list]]:
+    if spark is not None:
+        return json.loads(storage.read_text(spark, path))
     with open(path) as f:
         return json.load(f)
 
@@ -103,10 +111,16 @@ def append_results(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+def stored_results(spark: SparkSession, path: str) -> DataFrame | None:
+    """All runs in a result store, over whatever columns any of them has."""
+    return spark.read.option("mergeSchema", True).parquet(path) if storage.exists(spark, path) else None
+
+
 def matching_results(results: DataFrame, flags: Mapping[str, object]) -> DataFrame:
-    """Rows with all these flags; nulls match nulls."""
+    """Rows with all these flags; nulls match nulls, and a column that the store
+    lacks holds nulls."""
     for k, v in flags.items():
-        results = results.where(F.col(k).eqNullSafe(F.lit(v)))
+        results = results.where((F.col(k) if k in results.columns else F.lit(None)).eqNullSafe(F.lit(v)))
     return results
 
 
@@ -134,7 +148,6 @@ def cached_answers(data: EncodedData, space: QuerySpace, folder: str) -> DataFra
 
     spark = data.df.sparkSession
     path = f"{folder}/answers-{content_key(data, space)}"
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+    if not storage.exists(spark, f"{path}/_SUCCESS"):
         answers(data, space).write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

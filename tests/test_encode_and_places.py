@@ -1,4 +1,5 @@
 import math
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -76,6 +77,53 @@ def test_split_is_exact(spark, n):
     assert train.join(test, "k").count() == 0
 
 
+def test_a_split_loses_no_row(spark):
+    rows = [(None if i < 10 else i % 2, "same" if i < 40 else f"r{i}") for i in range(100)]
+    df = spark.createDataFrame(rows, "k int, v string")
+    for fraction in (0.0, 0.05, 0.5, 0.7, 1.0):
+        train, test = en.train_test_split(df, "k", fraction, 1)
+        a, b = train.collect(), test.collect()
+        assert len(a) == round(100 * fraction) and len(a) + len(b) == 100
+        assert Counter(map(tuple, a + b)) == Counter(rows)
+    again = en.train_test_split(df.repartition(5), "k", 0.7, 1)[0].collect()
+    assert Counter(map(tuple, again)) == Counter(map(tuple, en.train_test_split(df, "k", 0.7, 1)[0].collect()))
+    train, test = en.train_test_split(spark.createDataFrame([(1, "x")] * 9, "k int, v string"), "k", 0.5)
+    assert (train.count(), test.count()) == (4, 5)
+    assert [x.count() for x in en.train_test_split(df.limit(0), "k", 0.5)] == [0, 0]
+
+
+def test_labels_of_large_and_fine_edges():
+    assert en.bin_labels([1000000, 1000001, 1234567]) == ["[1000000, 1000001)", "[1000001, 1234567)"]
+    assert en.bin_labels([0, 0, 0.5, en.INF]) == ["0", "(0, 0.5)", "[0.5, inf)"]
+    edges = [i + 0.1 * k for i in (10**6, 10**9) for k in range(5)]
+    assert len(set(en.bin_labels(edges))) == len(edges) - 1
+
+
+def test_many_values_are_numbered_as_a_table(spark):
+    df = spark.createDataFrame([(v,) for v in ["b", "c", None, "a", "b", "d"]], "v string")
+    with pytest.raises(ValueError):
+        en.dictionary(df, "v", most=3)
+    with pytest.raises(ValueError):
+        en.union_domain(df, ["v"], [], most=3)
+    table = en.numbered(df, "v")
+    assert {r.value: r.code for r in table.collect()} == {"a": 0, "b": 1, "c": 2, "d": 3}
+    coded = en.encode_numbered(df.union(spark.createDataFrame([("zz",)], "v string")), "v", table, to="c")
+    assert Counter((r.v, r.c) for r in coded.collect()) == Counter([("a", 0), ("b", 1), ("b", 1), ("c", 2), ("d", 3), (None, -1), ("zz", -1)])
+    assert en.numbered(df.limit(0), "v").count() == 0
+
+
+def test_a_part_is_prepared_over_the_whole(spark):
+    every = spark.createDataFrame([("x", 1, 0.0, "k"), ("y", 2, 10.0, "k"), ("z", 3, 5.0, "k"), ("y", 9, 2.5, "k")], "c string, own int, n double, one string")
+    part = every.where("n < 6")
+    p = en.prepare_part(every, part, ["c", "own", "one"], ["n"], 4, own=["own"])
+    assert p.domain.config == {"c": 3, "own": 3, "n": 4}
+    assert sorted(map(tuple, p.df.collect())) == [(0, 0, 0), (1, 2, 1), (2, 1, 2)]
+    mixed = en.prepare_part(every, part, ["c", "own", "one"], ["n"], 4, own=["own"], mixed=True)
+    assert mixed.domain.config == {"c": 3, "own": 3, "n": 1} and sorted(r.n for r in mixed.df.collect()) == [0.0, 2.5, 5.0]
+    assert mixed.only("cat").df.columns == ["c", "own"] and mixed.only("num").domain.config == {"n": 1}
+    assert en.domain_rows(spark, p.domain).count() == 4
+
+
 def test_geo_keys(spark):
     df = spark.createDataFrame([(42, 3, 140100, 1), (1, 2, 3, None), (7, None, None, None)], "state int, county int, tract int, block int")
     parts = {p: F.col(p) for p in geo.PARTS}
