@@ -247,6 +247,13 @@ def synthetic_uniform_bounds(spark: SparkSession, d: str) -> DataFrame:
     return rows.agg(F.min("a").alias("low_a"), F.max("a").alias("high_a"), F.min("b").alias("low_b"), F.max("b").alias("high_b"), F.count(F.lit(1)).alias("n"))
 
 
+@query("SELECT o_orderstatus, o_orderpriority, min(o_totalprice)::DOUBLE AS error_max FROM orders GROUP BY 1, 2")
+def best_run_per_config(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as runs, their status and priority as configurations."""
+    runs = table(spark, d, "orders").select("o_orderstatus", "o_orderpriority", F.col("o_totalprice").cast("double").alias("error_max"))
+    return evaluate.best_runs(runs, ["o_orderstatus", "o_orderpriority"], rounds=False)
+
+
 RUNS = [
     ("adult", 32, 1.0, 0.5, 0.5, 0.12, 0.010), ("adult", 32, 1.0, 0.5, 0.9, 0.09, 0.011), ("adult", 32, 0.5, 1.0, 0.5, 0.2, 0.03),
     ("acs", 16, 1.0, 2.0, None, 0.07, 0.02), ("acs", 16, 1.0, 2.0, 0.5, 0.08, 0.01),
@@ -256,13 +263,16 @@ RUN_SCHEMA = "dataset string, workload int, epsilon double, T double, alpha doub
 
 
 @query(f"SELECT dataset, workload, epsilon::DOUBLE AS epsilon, T::DOUBLE AS T, alpha::DOUBLE AS alpha, error_max::DOUBLE AS error_max, error_mean::DOUBLE AS error_mean, (T * workload)::INTEGER AS rounds FROM ({RUN_SQL}) QUALIFY row_number() OVER (PARTITION BY dataset, workload, epsilon ORDER BY error_max) = 1")
-def best_run_per_config(spark: SparkSession, d: str) -> DataFrame:
+def best_run_with_rounds(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.best_runs(spark.createDataFrame(RUNS, RUN_SCHEMA), ["dataset", "workload", "epsilon"])
 
 
-@query(f"SELECT dataset, error_max::DOUBLE AS error_max FROM ({RUN_SQL}) WHERE dataset = 'acs' AND alpha IS NULL")
+@query("SELECT documents.doc_id, lang FROM documents LEFT JOIN labels ON documents.doc_id = labels.doc_id WHERE lang = 'en' AND quality IS NULL")
 def resume_filter(spark: SparkSession, d: str) -> DataFrame:
-    return io.matching_results(spark.createDataFrame(RUNS, RUN_SCHEMA), {"dataset": "acs", "alpha": None}).select("dataset", "error_max")
+    """Rows by flags of which one is null: English documents without a label."""
+    docs, labels = table(spark, d, "documents"), table(spark, d, "labels").select(F.col("doc_id").alias("__id"), "quality")
+    every = docs.join(labels, F.col("doc_id") == F.col("__id"), "left").select("doc_id", "lang", "quality")
+    return io.matching_results(every, {"lang": "en", "quality": None}).select("doc_id", "lang")
 
 
 STREAMED = QuerySpace(domain("ev", "event_type", "hour"), [("event_type", "hour"), ("event_type",)])

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..domain import Domain, EncodedData
-from ..operators import evaluate, privacy
+from ..operators import evaluate, models, privacy
 from ..operators import marginals as m
 from ..operators import setquery as sq
 from ..operators import support as sup
@@ -135,6 +136,13 @@ def joint_density(spark: SparkSession, d: str) -> DataFrame:
     return encoded(spark, d, "ord", SMALL).datavector(density=True)
 
 
+# Numbers hashed alike on both sides
+
+
+def uniform_sql(seed: str, key: str) -> str:
+    return f"((('0x' || substr(md5('{seed}:' || {key}), 1, 13))::UBIGINT::DOUBLE + 0.5) / {1 << 52})"
+
+
 # Metadata as relations -----------------------------------------------------
 
 
@@ -371,19 +379,53 @@ def soft_marginals_of_rows(spark: SparkSession, d: str) -> DataFrame:
     return m.soft_answers_sql(soft_rows(spark, d), SROWS).select("query_id", F.round("ans", 9).alias("ans"))
 
 
-@query(f"WITH p AS ({PSQL}) SELECT k::INTEGER AS k, attr, value::INTEGER AS value, round(exp(p) / sum(exp(p)) OVER (PARTITION BY k, attr), 9) AS p FROM p")
+# A model whose logits are logarithms of counts: one row for each status.
+COUNTED = {"priority": 5, "orderyear": 7}
+COUNT_SQL = " UNION ALL ".join(
+    f"SELECT k, '{a}' AS attr, {i} AS place, v AS value, (SELECT count(*) FROM e WHERE status = k AND {a} = v) + 1 AS c FROM range(3) s(k), range({n}) t(v)" for i, (a, n) in enumerate(COUNTED.items())
+)
+
+
+def _logits(spark: SparkSession, d: str) -> tuple[Domain, np.ndarray]:
+    own = domain("ord", *COUNTED)
+    space = QuerySpace(domain("ord", *SMALL), [("status", a) for a in COUNTED], ordered=False)
+    logits, at = np.zeros((3, sum(own.shape))), own.offsets()
+    for r in m.answers(encoded(spark, d, "ord", SMALL), space, density=None).collect():  # three rows of twelve
+        values = space.values(r["query_id"])
+        attr = next(a for a in COUNTED if a in values)
+        logits[values["status"], at[attr] + values[attr]] = np.log(r["ans"] + 1)
+    return own, logits
+
+
+@query(f"WITH e AS ({relation_sql('ord')}), c AS ({COUNT_SQL}) SELECT k::INTEGER AS k, attr, value::INTEGER AS value, round(c / sum(c) OVER (PARTITION BY k, attr), 9) AS p FROM c")
 def softmax_blocks(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
+    own, logits = _logits(spark, d)
+    p, at = models.softmax_blocks(logits, own), own.offsets()
+    rows = [(k, a, v, round(float(p[k, at[a] + v]), 9)) for k in range(3) for a, n in own.config.items() for v in range(n)]
+    return spark.createDataFrame(rows, "k int, attr string, value int, p double")
 
-    rows = spark.createDataFrame(PROBS, "k int, attr string, value int, p double")
-    share = F.exp("p") / F.sum(F.exp("p")).over(Window.partitionBy("k", "attr"))
-    return rows.select("k", "attr", "value", F.round(share, 9).alias("p"))
+
+LIKELIEST = ", ".join(f"(SELECT value FROM c WHERE k = id % 3 AND attr = '{a}' ORDER BY c DESC, value LIMIT 1)::INTEGER AS {a}" for a in COUNTED)
 
 
-@query(f"WITH p AS ({PSQL}) SELECT k::INTEGER AS k, attr, arg_max(value, (round(p, 9), -value))::INTEGER AS value FROM p GROUP BY k, attr")
+@query(f"WITH e AS ({relation_sql('ord')}), c AS ({COUNT_SQL}) SELECT id, {LIKELIEST} FROM range(60) t(id)")
 def argmax_decode(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame(PROBS, "k int, attr string, value int, p double")
-    return rows.groupBy("k", "attr").agg(F.max_by("value", F.struct(F.round("p", 9), (-F.col("value")).alias("v"))).alias("value"))
+    """Each row's likeliest codes."""
+    own, logits = _logits(spark, d)
+    return models.sample_rows(spark, models.softmax_blocks(logits, own), own, 60, how="max")
+
+
+FLAGGED = Domain.fromdict({"priority": 5, "orderyear": 7, "urgent": 2})
+CDF_SQL = "SELECT k, place, value, round(sum(c) OVER (PARTITION BY k, place ORDER BY value) / sum(c) OVER (PARTITION BY k, place), 12) AS c FROM c"
+DRAW_SQL = ", ".join(f"(SELECT least(count(*), {n - 1}) FROM f WHERE f.k = id % 3 AND place = {i} AND f.c <= {uniform_sql('13', f"id || ':{i}'")})::INTEGER AS {a}" for i, (a, n) in enumerate(COUNTED.items()))
+
+
+@query(f"WITH e AS ({relation_sql('ord')}), c AS ({COUNT_SQL}), f AS ({CDF_SQL}) SELECT *, (priority < 2)::INTEGER AS urgent FROM (SELECT id, {DRAW_SQL} FROM range(3000) t(id))")
+def sums_of_codes(spark: SparkSession, d: str) -> DataFrame:
+    """An attribute that says whether another has one of some codes."""
+    own, logits = _logits(spark, d)
+    p = np.hstack([models.softmax_blocks(logits, own), np.full((3, 2), 0.5)])
+    return models.sample_rows(spark, p, FLAGGED, 3000, seed=13, sums={"urgent": [("priority", 0), ("priority", 1)]})
 
 
 # Errors --------------------------------------------------------------------
@@ -433,10 +475,6 @@ def threshold_scores(spark: SparkSession, d: str) -> DataFrame:
 # Mechanisms: the noise is hashed alike on both sides ------------------------
 
 
-def uniform_sql(seed: str, key: str) -> str:
-    return f"((('0x' || substr(md5('{seed}:' || {key}), 1, 13))::UBIGINT::DOUBLE + 0.5) / {1 << 52})"
-
-
 def gumbel_sql(seed: str, key: str) -> str:
     return f"(-ln(-ln({uniform_sql(seed, key)})))"
 
