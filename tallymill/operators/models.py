@@ -5,6 +5,7 @@ lives on the driver; Spark computes the true answers and draws the rows."""
 
 from __future__ import annotations
 
+import io
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -14,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..domain import Domain
 from ..functions import noise
 from ..plans.workload import QuerySpace
@@ -98,12 +100,23 @@ class FixedModel:
     def backward(self, p: np.ndarray, up: np.ndarray) -> dict[str, np.ndarray]:
         return {"logits": softmax_gradient(p, up, self.domain)}
 
-    def save(self, path: str) -> None:
-        np.savez(path, **self.params)
-
-    def load(self, path: str) -> None:
-        with np.load(path) as held:
-            self.params = {k: held[k] for k in held.files}
+    def save(self, path: str, spark: SparkSession | None = None) -> None:
+        """The parameters, in any store that Spark writes if a session is given."""
+        held = io.BytesIO()
+        np.savez(held, **self.params)
+        if spark is not None:
+            return storage.write_bytes(spark, path, held.getvalue())
+        with open(path, "wb") as f:
+            f.write(held.getvalue())
+
+    def load(self, path: str, spark: SparkSession | None = None) -> None:
+        if spark is not None:
+            held = io.BytesIO(storage.read_bytes(spark, path))
+        else:
+            with open(path, "rb") as f:
+                held = io.BytesIO(f.read())
+        with np.load(held) as table:
+            self.params = {k: table[k] for k in table.files}
 
 
 class ResidualModel(FixedModel):

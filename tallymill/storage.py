@@ -46,20 +46,28 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(at, True)
 
 
-def read_text(spark: SparkSession, path: str) -> str:
-    """A small file's text."""
+def read_bytes(spark: SparkSession, path: str) -> bytes:
+    """A small file, whole."""
     fs, at = path_of(spark, path)
     stream = fs.open(at)
     try:
-        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode("utf-8")
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
     finally:
         stream.close()
 
 
-def write_text(spark: SparkSession, path: str, text: str) -> None:
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
     fs, at = path_of(spark, path)
     stream = fs.create(at, True)
     try:
-        stream.write(bytearray(text.encode("utf-8")))
+        stream.write(bytearray(data))
     finally:
         stream.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    return read_bytes(spark, path).decode("utf-8")
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    write_bytes(spark, path, text.encode("utf-8"))

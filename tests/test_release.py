@@ -212,6 +212,10 @@ def test_product_fits(spark, style, tmp_path):
     again = models.FixedModel(DOM, 50)
     again.load(f"{tmp_path}/m.npz")
     assert np.array_equal(again.probabilities(), model.probabilities())
+    model.save(f"file://{tmp_path}/far.npz", spark)
+    again.params = {}
+    again.load(f"file://{tmp_path}/far.npz", spark)
+    assert np.array_equal(again.probabilities(), model.probabilities())
     assert models.fit_exact(model, SPACE, true, 60, lr=0.1)[-1] < 0.05
     rows = models.sample_rows(spark, model.probabilities(), DOM, 4000, seed=1)
     drawn = np.array([r.ans for r in m.answers(EncodedData(rows, DOM), SPACE).orderBy("query_id").collect()])
