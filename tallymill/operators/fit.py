@@ -3,9 +3,8 @@ projection, with exact or with private selection and measurement.
 
 A fitted histogram is its starting weights and one eta for each query that was
 moved: a row's weight is w0 * exp(sum of the etas of the queries that count it).
-The support is stored with the query that counts each row in every workload, so
-a round is one pass of look-ups and sums over it, however many queries were moved
-before; plans don't grow with the rounds.  Measured queries are a table.  Only
+A round is one pass of look-ups and sums over the stored support, however many
+queries were moved before; plans don't grow with the rounds.  Measured queries are a table.  Only
 single rows reach the driver, but for the moves of one recycling round, of which
 there are at most as many as rounds before it.
 """
@@ -25,12 +24,10 @@ from pyspark.sql import functions as F
 from ..plans.workload import QuerySpace
 from ..storage import stored
 from . import privacy
-from .marginals import DENSE_CELLS, Sums, cell_ids, filled, workload_column
+from .marginals import DENSE_CELLS, Sums, cell_ids, filled, flat, workload_column
 from .support import CELLS, indexed
 
 EDGE = 1e-6
-#: Supports for at most so many workloads keep their cells; for more, a pass finds them anew.
-INDEXED = 64
 PAST = "i bigint, query_id bigint, measured double"
 
 
@@ -58,26 +55,28 @@ class _Etas:
         self.n = n
 
     def powers(self, cells: np.ndarray) -> np.ndarray:
-        """The sum of etas of each row's cells."""
+        """The sum of etas of each row's cells (workloads x rows)."""
         if not len(self.q):
-            return np.zeros(len(cells))
+            return np.zeros(cells.shape[1])
         if self.n <= DENSE_CELLS:
             table = np.zeros(self.n + 1)
             table[self.q] = self.eta
-            return table[cells].sum(axis=1)
+            return table[cells].sum(axis=0)
         at = np.minimum(np.searchsorted(self.q, cells), len(self.q) - 1)
-        return np.where(self.q[at] == cells, self.eta[at], 0.0).sum(axis=1)
+        return np.where(self.q[at] == cells, self.eta[at], 0.0).sum(axis=0)
 
 
 class Histogram:
-    """support: codes and w."""
+    """support: codes and w.  index: whether the support is stored with the query
+    that counts each row in every workload (8 bytes each); without, a pass finds
+    these anew from the codes, which is faster unless workloads are long."""
 
-    def __init__(self, support: DataFrame, space: QuerySpace, index: bool | None = None) -> None:
+    def __init__(self, support: DataFrame, space: QuerySpace, index: bool = False) -> None:
         self.space, self.etas = space, {}
         self.snapshots: list[dict[int, float]] = []
         self.log: list[dict[str, float]] = []
         own = support.drop(CELLS)
-        self.support = stored(indexed(own, space) if (len(space.workloads) <= INDEXED if index is None else index) else own)
+        self.support = stored(indexed(own, space) if index else own)
 
     @property
     def spark(self) -> SparkSession:
@@ -99,7 +98,7 @@ class Histogram:
             for batch in batches:
                 if batch.num_rows:
                     if CELLS in batch.schema.names:
-                        cells = batch.column(CELLS).flatten().to_numpy().reshape(batch.num_rows, -1)
+                        cells = batch.column(CELLS).flatten().to_numpy().reshape(batch.num_rows, -1).T
                     else:
                         cells = cell_ids(batch, space.workloads)
                     yield from work(cells, batch.column("w").to_numpy(), batch)
@@ -122,8 +121,7 @@ class Histogram:
                     return
                 w = w0 * np.exp(etas.powers(cells))
                 whole += float(w.sum())
-                ok = cells >= 0
-                yield from held.add(cells[ok], np.broadcast_to(w[:, None], cells.shape)[ok], "s")
+                yield from held.add(*flat(cells, w), "s")
 
             return work
 
@@ -159,11 +157,11 @@ class Histogram:
                     yield pa.RecordBatch.from_arrays([pa.array(queries), pa.array(total), pa.array(np.full(len(queries), whole))], names=["q", "s", "t"])
                     return
                 w = w0 * np.exp(etas.powers(cells))
-                some = cells[:, own]
+                some = cells[own]
                 at = np.minimum(np.searchsorted(queries, some), len(queries) - 1)
                 hit = queries[at] == some
                 whole += float(w.sum())
-                total += np.bincount(at[hit], np.broadcast_to(w[:, None], some.shape)[hit], minlength=len(queries))
+                total += np.bincount(at[hit], np.broadcast_to(w, some.shape)[hit], minlength=len(queries))
 
             return work
 

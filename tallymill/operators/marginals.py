@@ -63,14 +63,14 @@ class Sums:
 
 
 def cell_ids(batch: pa.RecordBatch, workloads: Sequence[Workload]) -> np.ndarray:
-    """rows x workloads: the query that counts each row, -1 where a code is
+    """workloads x rows: the query that counts each row, -1 where a code is
     missing or outside its domain."""
-    out = np.empty((batch.num_rows, len(workloads)), np.int64)
+    out = np.empty((len(workloads), batch.num_rows), np.int64)
     codes = {a: batch.column(a).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) for w in workloads for a in w.attrs}
     good = {(a, n): (codes[a] >= 0) & (codes[a] < n) for w in workloads for a, n in zip(w.attrs, w.sizes)}
     bad = {k: None if v.all() else ~v for k, v in good.items()}
     for k, w in enumerate(workloads):
-        at = out[:, k]
+        at = out[k]
         at[:] = w.offset
         for a, stride in zip(w.attrs, w.strides):
             at += codes[a] * stride if stride != 1 else codes[a]
@@ -80,6 +80,13 @@ def cell_ids(batch: pa.RecordBatch, workloads: Sequence[Workload]) -> np.ndarray
     return out
 
 
+def flat(cells: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The cells of all workloads in a row, each with its row's weight; none of -1."""
+    ids, w = cells.ravel(), np.tile(weights, len(cells))
+    ok = ids >= 0
+    return (ids, w) if ok.all() else (ids[ok], w[ok])
+
+
 def sums(data: EncodedData, space: QuerySpace, strategy: str = "auto", dense: int = DENSE_CELLS) -> DataFrame:
     """(query_id, ans) of the cells that rows fall in, ans the sum of weights."""
     if strategy == "auto":
@@ -111,9 +118,8 @@ def _counted(rows: DataFrame, workloads: Sequence[Workload], size: int, dense: i
         for batch in batches:
             if batch.num_rows:
                 cells = cell_ids(batch, workloads)
-                w = np.broadcast_to(batch.column("__w").to_numpy(zero_copy_only=False)[:, None], cells.shape)
-                ok = cells >= 0
-                for part in held.add(cells[ok] - first, w[ok], "ans"):
+                ids, w = flat(cells, batch.column("__w").to_numpy(zero_copy_only=False))
+                for part in held.add(ids - first, w, "ans"):
                     yield _shifted(part, first)
         for part in held.batches("ans"):
             yield _shifted(part, first)
