@@ -7,16 +7,18 @@ gives each of its bytes a probability from the DEPTH bytes before it.
 
 Counting: every task counts words and grams of its texts in bounded tables and
 sends partial counts; grams are summed, and the trees below each pair of nearest
-bytes are solved apart.  Only the counts and probabilities of the 255 nodes of
-each single nearest byte come to the driver (at most 256 rows), whatever the
-input.
-
-Scoring: texts are dealt into chunks of bounded size by a hash of the row.  A
-chunk sends its distinct words and grams to be joined with the model and gets
-back tables of its own, bounded by the chunk; no task and no broadcast holds the
-whole model.  A row that repeats so often that it would fill a chunk is scored
-once and its score given to all its repeats.  A text's code length is also given
-in bits a byte of the string that stands for it.
+bytes are solved apart, those of the largest pairs below each three bytes.  Only
+the counts and probabilities of the 255 nodes of each single nearest byte (at
+most 256 rows) and of the largest pairs (fewer than HEAVY rows of 6 KB) come to
+the driver, whatever the input.
+
+Scoring: texts are dealt into chunks of bounded size by a hash of the row.  The
+most frequent grams, at most SHARED of them, are broadcast.  A chunk sends its
+distinct words, and its grams beyond those (if there are any), to be joined with
+the model and gets back tables of its own, bounded by the chunk.  A row that
+repeats so often that it would fill a chunk is scored once and its score given to
+all its repeats.  A text's code length is also given in bits a byte of the string
+that stands for it.
 
 Edge cases: null text counts as empty (one token, its end); repeated rows and
 ids each give their own row; null ids too; without training rows all counts are
@@ -43,6 +45,10 @@ from .common import HEAVY, crc_mod, cut, read
 DEPTH, SEGMENT, BLOCK = 5, 1 << 20, 1 << 20
 #: Bytes of text in a chunk, about; entries in a task's tables before they are sent.
 CHUNK, TABLE = 24 << 20, 500_000
+#: Grams that are broadcast, at most (16 bytes each).
+SHARED = 4_000_000
+#: Groups that the contexts of three bytes are dealt to.
+DEALS = 1024
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -123,7 +129,7 @@ def _rows(word: pa.Array | None, gram: pa.Array | None, n: pa.Array) -> pa.Recor
 
 @dataclass(frozen=True)
 class Model:
-    """totals: (word, gram, n).  grams: (gram, lp), lp the log10 probability of
+    """totals: (word, n).  grams: (gram, n, lp), lp the log10 probability of
     a gram's last byte.  n_tokens, n_words: of the training texts, the end
     counted as one; n_ends: training texts."""
 
@@ -141,19 +147,24 @@ class Model:
 
 
 def _solve(table: pa.Table, depth: int, top: int) -> pa.Table:
-    """The trees below the ``top`` nearest bytes.  Besides a row for each gram,
-    one row of null gram tells the level above of their symbols and node
-    probabilities."""
-    codes, n = table["gram"].to_numpy().view(np.uint64), table["n"].to_numpy()
+    """The trees below contexts of the ``top`` nearest bytes.  Besides a row for
+    each gram, one row of null gram for each context tells the context above it
+    (above: its bytes) of the symbols and node probabilities."""
+    order = np.argsort(table["gram"].to_numpy().view(np.uint64))
+    codes, n = table["gram"].to_numpy().view(np.uint64)[order], table["n"].to_numpy()[order]
     p, ln_pw = ctw.solve(codes, n, depth, top)
     symbols = (codes & np.uint64(255)).astype(np.int64)
-    nodes = np.zeros(256)
-    for level in range(8):
-        nodes[(symbols >> (8 - level)) | (1 << level)] = ln_pw[:, level]
-    above = np.concatenate([np.bincount(symbols, n, minlength=256), nodes])
-    grams = pa.array([*codes.view(np.int64), None], pa.int64())
-    nearest = pa.array([int(codes[0] >> np.uint64(8 * depth))] * len(grams), pa.int32())
-    return pa.table({"gram": grams, "nearest": nearest, "p": pa.array([*p, above], pa.list_(pa.float64()))})
+    edges = [0, *(np.flatnonzero(np.diff(codes >> np.uint64(8 * (depth - top + 1)))) + 1).tolist(), len(codes)]
+    told = []
+    for s, e in zip(edges, edges[1:]):
+        nodes, own = np.zeros(256), symbols[s:e]
+        for level in range(8):
+            nodes[(own >> (8 - level)) | (1 << level)] = ln_pw[s:e, level]
+        told.append(np.concatenate([np.bincount(own, n[s:e], minlength=256), nodes]))
+    above = (codes >> np.uint64(8 * (depth - top + 2))).astype(np.int32)
+    grams = pa.array([*codes.view(np.int64), *[None] * len(told)], pa.int64())
+    counts = pa.array([*n.tolist(), *[None] * len(told)], pa.int64())
+    return pa.table({"gram": grams, "n": counts, "above": pa.array(np.concatenate([above, above[edges[:-1]]])), "p": pa.array([*p, *told], pa.list_(pa.float64()))})
 
 
 def _level(rows: list[list[float]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -170,22 +181,47 @@ def _level(rows: list[list[float]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return (counts + 0.5) / (counts.sum(axis=1, keepdims=True) + 1), np.exp(ln_pe - ln_pw), np.concatenate([symbols, ln_pw])
 
 
-def _first(table: pa.Table) -> pa.Table:
-    """The contexts of one nearest byte, of at most 256 rows: its estimates and
-    weights, and the row that it gives the root."""
-    kt, w, above = _level(table["p"].to_pylist())
-    return pa.table({"nearest": table["nearest"][:1], "kt": pa.array([kt.ravel()]), "w": pa.array([w]), "above": pa.array([above])})
+CONTEXT = "context int, kt array<double>, w array<double>, told array<double>"
+
+
+def _context(table: pa.Table) -> pa.Table:
+    """One context, from the rows of at most 256 contexts below it: its estimates
+    and weights, and what it tells the context above."""
+    kt, w, told = _level(table["p"].to_pylist())
+    return pa.table({"context": table["above"][:1], "kt": pa.array([kt.ravel()]), "w": pa.array([w]), "told": pa.array([told])})
+
+
+def _mixed(rows: DataFrame, contexts: list, shift: int) -> DataFrame:
+    """(gram, n, p): the estimates of these contexts (the gram's bytes above shift)
+    mixed in."""
+    own = np.array(sorted(r["context"] for r in contexts))
+    by = {r["context"]: r for r in contexts}
+    kt = np.array([by[c]["kt"] for c in own.tolist()]).reshape(-1, 256, 2)
+    w = np.array([by[c]["w"] for c in own.tolist()]).reshape(-1, 256)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                grams = batch.column("gram").to_numpy()
+                p = batch.column("p").flatten().to_numpy().reshape(-1, 8).copy()
+                x, c = grams & 255, np.searchsorted(own, grams >> shift)
+                for level in range(8):
+                    node, bit = (x >> (8 - level)) | (1 << level), (x >> (7 - level)) & 1
+                    p[:, level] = w[c, node] * kt[c, node, bit] + (1 - w[c, node]) * p[:, level]
+                yield pa.RecordBatch.from_arrays([batch.column("gram"), batch.column("n"), pa.array(list(p), pa.list_(pa.float64()))], names=["gram", "n", "p"])
+
+    return rows.mapInArrow(run, "gram bigint, n bigint, p array<double>")
 
 
 def _finish(rows: DataFrame, firsts: list, depth: int) -> DataFrame:
-    """(gram, lp): the estimates of the nearest byte's context and of the root
-    mixed in.  firsts: at most 256 rows of _first, by nearest byte; none if the
+    """(gram, n, lp): the estimates of the nearest byte's context and of the root
+    mixed in.  firsts: at most 256 contexts, by nearest byte; kt is null if the
     trees were solved down to the nearest byte alone."""
-    kt0, w0, _ = _level([r["above"] for r in firsts])
+    kt0, w0, _ = _level([r["told"] for r in firsts])
     kt1, w1 = np.full((256, 256, 2), 0.5), np.zeros((256, 256))
     for r in firsts:
         if r["kt"] is not None:
-            kt1[r["nearest"]], w1[r["nearest"]] = np.array(r["kt"]).reshape(256, 2), r["w"]
+            kt1[r["context"]], w1[r["context"]] = np.array(r["kt"]).reshape(256, 2), r["w"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,9 +234,9 @@ def _finish(rows: DataFrame, firsts: list, depth: int) -> DataFrame:
                 node, bit = (x >> (8 - level)) | (1 << level), (x >> (7 - level)) & 1
                 mixed = w1[c, node] * kt1[c, node, bit] + (1 - w1[c, node]) * p[:, level]
                 lp += np.log10(w0[node] * kt0[node, bit] + (1 - w0[node]) * mixed)
-            yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(lp)], names=["gram", "lp"])
+            yield pa.RecordBatch.from_arrays([batch.column("gram"), batch.column("n"), pa.array(lp)], names=["gram", "n", "lp"])
 
-    return rows.mapInArrow(run, "gram bigint, lp double")
+    return rows.mapInArrow(run, "gram bigint, n bigint, lp double")
 
 
 def train(rows: DataFrame, depth: int = DEPTH) -> Model:
@@ -212,67 +248,125 @@ def train(rows: DataFrame, depth: int = DEPTH) -> Model:
     sums = totals.where("word IS NOT NULL").agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     ends = rows.where("remainder <> 0").count()
     top = min(depth, 2)
-    under = F.shiftrightunsigned("gram", 8 * (depth - top + 1))
-    trees = totals.where("gram IS NOT NULL").select(under.alias("under"), "gram", "n")
-    solved = cut(trees.groupBy("under").applyInArrow(lambda t: _solve(t, depth, top), "gram bigint, nearest int, p array<double>"))
-    above = solved.where("gram IS NULL").select("nearest", "p")
+    grams = totals.where("gram IS NOT NULL").select("gram", "n")
+    schema = "gram bigint, n bigint, above int, p array<double>"
+    under = lambda top: F.shiftrightunsigned("gram", 8 * (depth - top + 1))
+    trees = grams.withColumn("under", under(top))
+    solve = lambda df, top: df.applyInArrow(lambda t: _solve(t, depth, top), schema)
+    seconds = []
+    if depth > 2:
+        # pairs of nearest bytes with a large share of the grams, fewer than HEAVY, are
+        # solved below three bytes, dealt by these, and then put together
+        sizes = trees.groupBy("under").agg(F.count(F.lit(1)).alias("n"))
+        large = cut(sizes.where(F.col("n") * HEAVY > grams.count()).select("under"))
+        deal = F.pmod(F.xxhash64(under(3)), F.lit(DEALS)).alias("deal")
+        fine = cut(solve(trees.join(F.broadcast(large), "under", "left_semi").select("gram", "n", deal).groupBy("deal"), 3))
+        seconds = fine.where("gram IS NULL").select("above", "p").groupBy("above").applyInArrow(_context, CONTEXT).collect()  # fewer than HEAVY
+        trees = trees.join(F.broadcast(large), "under", "left_anti")
+    solved = cut(solve(trees.groupBy("under"), top))
+    below, told = solved.where("gram IS NOT NULL").select("gram", "n", "p"), solved.where("gram IS NULL").select("above", "p")
+    if seconds:
+        below = below.unionByName(_mixed(fine.where("gram IS NOT NULL").select("gram", "n", "p"), seconds, 8 * (depth - 1)))
+        told = told.unionByName(rows.sparkSession.createDataFrame([(r["context"] >> 8, r["told"]) for r in seconds], "above int, p array<double>"))
     if top == 2:
-        schema = "nearest int, kt array<double>, w array<double>, above array<double>"
-        firsts = above.groupBy("nearest").applyInArrow(_first, schema).collect()  # at most 256 rows
+        firsts = told.groupBy("above").applyInArrow(_context, CONTEXT).collect()  # at most 256 rows
     else:
         none = F.lit(None).cast("array<double>")
-        firsts = above.select("nearest", none.alias("kt"), none.alias("w"), F.col("p").alias("above")).collect()  # at most 256 rows
-    grams = cut(_finish(solved.where("gram IS NOT NULL").select("gram", "p"), firsts, depth))
-    return Model(totals.where("word IS NOT NULL").select("word", "n"), grams, sums[1] + ends, sums[0] + (ends > 0), ends)
+        firsts = told.select(F.col("above").alias("context"), none.alias("kt"), none.alias("w"), F.col("p").alias("told")).collect()  # at most 256 rows
+    done = cut(_finish(below, firsts, depth))
+    return Model(totals.where("word IS NOT NULL").select("word", "n"), done, sums[1] + ends, sums[0] + (ends > 0), ends)
 
 
-def _keys(table: pa.Table, depth: int) -> pa.Table:
-    """The distinct words and grams of a chunk."""
+def _keys(table: pa.Table, depth: int, shared: np.ndarray | None) -> pa.Table:
+    """The distinct words of a chunk, and its grams that aren't among the shared
+    ones (None: all are)."""
     own: set[bytes] = set()
     found: list[np.ndarray] = []
     for batch in table.to_batches(max_chunksize=512):
         split = [tokens(t) for t in batch.column("text").to_pylist()]
         for ws in split:
             own.update(ws)
-        found += [codes for codes, _, _ in blocks([b" ".join(ws) + b"\n" for ws in split], depth)]
-        if len(found) > 64:
-            found = [np.unique(np.concatenate(found))]
+        if shared is not None:
+            for codes, _, _ in blocks([b" ".join(ws) + b"\n" for ws in split], depth):
+                found.append(codes[_place(shared, codes) < 0])
+            if len(found) > 64:
+                found = [np.unique(np.concatenate(found))]
     grams = np.unique(np.concatenate(found)) if found else np.empty(0, np.uint64)
     words = pa.array([*own, *[None] * len(grams)], pa.binary())
     codes = pa.concat_arrays([pa.nulls(len(own), pa.int64()), pa.array(grams.view(np.int64))])
     return pa.table({"chunk": pa.array(np.full(len(words), table["chunk"][0].as_py(), np.int32)), "word": words, "gram": codes})
 
 
+def _place(codes: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Where each code asked for is among sorted codes; -1 if it isn't."""
+    if not len(codes):
+        return np.full(len(asked), -1)
+    at = np.minimum(np.searchsorted(codes, asked), len(codes) - 1)
+    return np.where(codes[at] == asked, at, -1)
+
+
+def _split(grams: DataFrame, most: int) -> tuple[DataFrame, DataFrame | None]:
+    """The most frequent grams, at most ``most``, and the others if there are any.
+    The cut lies between powers of two of the counts."""
+    if grams.count() <= most:
+        return grams, None
+    power = F.floor(F.log2(F.greatest("n", F.lit(1)).cast("double"))).cast("int")
+    sizes = sorted(((r[0], r[1]) for r in grams.groupBy(power).count().collect()), reverse=True)  # at most 64 rows
+    low, taken = 64, 0
+    for p, c in sizes:
+        if taken + c > most:
+            break
+        low, taken = p, taken + c
+    return grams.where(power >= low), grams.where(power < low)
+
+
 SCORES = "n_tokens bigint, n_known bigint, n_bytes bigint, base_score double, score double"
 
 
-def _scored(chunked: DataFrame, model: Model, depth: int) -> DataFrame:
+def _scored(chunked: DataFrame, model: Model, depth: int, most: int) -> DataFrame:
     """(doc_id, remainder, row, SCORES) of rows (doc_id, text, remainder, row,
     chunk)."""
-    keys = chunked.groupBy("chunk").applyInArrow(lambda t: _keys(t, depth), "chunk int, word binary, gram bigint")
+    often, rare = _split(model.grams, most)
+    some_rare = rare is not None
+    table = often.select("gram", "lp").toArrow()  # at most ``most`` rows
+    codes = table["gram"].to_numpy().view(np.uint64)
+    order = np.argsort(codes)
+    shared = chunked.sparkSession.sparkContext.broadcast((codes[order], table["lp"].to_numpy()[order]))
+    keys = chunked.groupBy("chunk").applyInArrow(lambda t: _keys(t, depth, shared.value[0] if some_rare else None), "chunk int, word binary, gram bigint")
     none = lambda kind: F.lit(None).cast(kind)
     known = keys.where("word IS NOT NULL").select("chunk", "word").join(model.totals, "word")
-    solved = keys.where("gram IS NOT NULL").select("chunk", "gram").join(model.grams, "gram")
-    answers = known.select("chunk", "word", none("bigint").alias("gram"), F.col("n").cast("double").alias("value")).unionByName(
-        solved.select("chunk", none("binary").alias("word"), "gram", F.col("lp").alias("value"))
-    )
+    answers = known.select("chunk", "word", none("bigint").alias("gram"), F.col("n").cast("double").alias("value"))
+    if rare is not None:
+        solved = keys.where("gram IS NOT NULL").select("chunk", "gram").join(rare, "gram")
+        answers = answers.unionByName(solved.select("chunk", none("binary").alias("word"), "gram", F.col("lp").alias("value")))
     base = model.base
     unknown, end, end_known = base(0), base(model.n_ends), int(model.n_ends > 0)
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         of_words = answers.filter(pa.compute.is_valid(answers["word"]))
         lp = {w: base(n) for w, n in zip(of_words["word"].to_pylist(), of_words["value"].to_pylist())}
-        of_grams = answers.filter(pa.compute.is_valid(answers["gram"]))
-        codes = of_grams["gram"].to_numpy().view(np.uint64)
-        order = np.argsort(codes)
-        codes, values = codes[order], of_grams["value"].to_numpy()[order]
+        codes, values = shared.value
+        if some_rare:
+            of_grams = answers.filter(pa.compute.is_valid(answers["gram"]))
+            own_codes = of_grams["gram"].to_numpy().view(np.uint64)
+            order = np.argsort(own_codes)
+            own_codes, own_values = own_codes[order], of_grams["value"].to_numpy()[order]
+
+        def looked_up(asked: np.ndarray) -> np.ndarray:
+            if not some_rare:
+                return values[np.searchsorted(codes, asked)]
+            at, found = _place(codes, asked), np.empty(len(asked))
+            found[at >= 0] = values[at[at >= 0]]
+            found[at < 0] = own_values[np.searchsorted(own_codes, asked[at < 0])]
+            return found
+
         out: list[list] = [[], [], [], [], []]
         for batch in docs.to_batches(max_chunksize=512):
             split = [tokens(t) for t in batch.column("text").to_pylist()]
             strings = [b" ".join(ws) + b"\n" for ws in split]
             sums = np.zeros(len(split))
             for own, place, owner in blocks(strings, depth):
-                sums += np.bincount(owner, values[np.searchsorted(codes, own)][place], minlength=len(split))
+                sums += np.bincount(owner, looked_up(own)[place], minlength=len(split))
             out[0] += [len(ws) + 1 for ws in split]
             got = [[lp.get(w) for w in ws] for ws in split]
             out[1] += [len(x) - x.count(None) + end_known for x in got]
@@ -285,7 +379,7 @@ def _scored(chunked: DataFrame, model: Model, depth: int) -> DataFrame:
     return chunked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, f"doc_id bigint, remainder int, row bigint, {SCORES}")
 
 
-def score(rows: DataFrame, model: Model, depth: int = DEPTH, chunk_bytes: int = CHUNK) -> DataFrame:
+def score(rows: DataFrame, model: Model, depth: int = DEPTH, chunk_bytes: int = CHUNK, most: int = SHARED) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score,
     n_bytes, bits_per_byte) from rows (doc_id, text, remainder)."""
     size, n_rows = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count(F.lit(1))).first()
@@ -295,11 +389,11 @@ def score(rows: DataFrame, model: Model, depth: int = DEPTH, chunk_bytes: int =
     often = cut(counts.where(F.col("n") * HEAVY > n_rows).where("n > 1").select("row"))  # fewer than HEAVY rows
     spread = F.pmod(F.col("row"), F.lit(n_chunks)).cast("int").alias("chunk")
     if often.isEmpty():
-        found = _scored(keyed.select("*", spread), model, depth)
+        found = _scored(keyed.select("*", spread), model, depth, most)
     else:
         repeats = keyed.join(F.broadcast(often), "row", "left_semi")
         once = keyed.join(F.broadcast(often), "row", "left_anti").unionByName(repeats.dropDuplicates(["row", "doc_id", "text"]))
-        scored = cut(_scored(once.select("*", spread), model, depth))
+        scored = cut(_scored(once.select("*", spread), model, depth, most))
         of = scored.join(F.broadcast(often), "row", "left_semi").withColumnsRenamed({"row": "r", "doc_id": "d"}).drop("remainder")
         same = (F.col("row") == F.col("r")) & F.col("doc_id").eqNullSafe(F.col("d"))
         again = repeats.select("row", "doc_id", "remainder").join(F.broadcast(of), same).drop("r", "d")

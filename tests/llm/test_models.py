@@ -50,9 +50,9 @@ def test_ctw_by_definition(spark):
     pairs = [(1, "The cat. the CAT"), (2, None), (3, "a the"), (4, "é the cat sat"), (4, "é the cat sat"), (10, "unseen words é"), (None, "cat")]
     rows = data.frame(spark, pairs).selectExpr("doc_id", "text", "CAST(crc32(coalesce(CAST(doc_id AS STRING), '')) % 3 AS INT) AS remainder")
     train = [b" ".join(lm.tokens(r.text)) + b"\n" for r in rows.collect() if r.remainder]
-    for depth in (1, 2, 3):
+    for depth in (1, 2, 3, 5):
         model = lm.train(rows, depth)
-        for way in (dict(), dict(chunk_bytes=20)):
+        for way in (dict(), dict(chunk_bytes=20), dict(chunk_bytes=20, most=9), dict(most=0)):
             for r, t in zip(sorted(lm.score(rows, model, depth, **way).collect(), key=lambda r: (r.doc_id or 0, r.score)), sorted(rows.collect(), key=lambda r: (r.doc_id or 0))):
                 assert r.score == pytest.approx(brute(train, b" ".join(lm.tokens(t.text)) + b"\n", depth), abs=1e-8)
 
