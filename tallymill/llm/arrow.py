@@ -14,13 +14,17 @@ LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
+#: Rows that a function sees at once: what it makes of them is many times their size.
+ROWS = 500
+
+
 def per_batch(df: DataFrame, fn: Callable[..., dict], schema: str, *args) -> DataFrame:
-    """df with fn(batch, *args) -> columns applied to every Arrow batch."""
+    """df with fn(batch, *args) -> columns applied to slices of every Arrow batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                columns = fn(batch, *args)
+            for at in range(0, batch.num_rows, ROWS):
+                columns = fn(batch.slice(at, ROWS), *args)
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns.values()], names=list(columns))
 
     return df.mapInArrow(run, schema)

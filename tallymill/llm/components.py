@@ -5,20 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, joined
+from .common import cut
 
 
-def _star(edges: DataFrame, small: bool, total: int) -> DataFrame:
-    """One star step on edges (u, v), at most total / 2 of them.  Large: a node's
-    larger neighbours are tied to the least of its neighbours and itself.  Small:
-    its smaller ones and itself are.  The least is a pre-aggregated minimum; the
-    leasts of the largest stars are broadcast to their edges."""
+def _star(edges: DataFrame, small: bool) -> DataFrame:
+    """One star step on edges (u, v).  Large: a node's larger neighbours are
+    tied to the least of its neighbours and itself.  Small: its smaller ones and
+    itself are.  The least is a pre-aggregated minimum; the join on the centre
+    has one row for each centre on its other side, so Spark's adaptive join cuts
+    a large star's edges into several tasks."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     near = both.where("v < u") if small else both
-    least = near.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("m"), F.count(F.lit(1)).alias("n"))
-    met = joined(near, least, "u", total)
+    least = near.groupBy(F.col("u").alias("c")).agg(F.least(F.min("v"), F.min("u")).alias("m"))
+    met = near.join(least, near["u"] == least["c"])
     if small:
-        moved = met.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        moved = met.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select(F.col("c").alias("u"), F.col("m").alias("v")))
     else:
         moved = met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.where("u <> v").distinct()
@@ -35,4 +36,4 @@ def components(edges: DataFrame) -> DataFrame:
         if n == 0 or (n, mark) == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = (n, mark)
-        edges = cut(_star(_star(edges, False, 2 * n), True, 2 * n))
+        edges = cut(_star(_star(edges, small=False), small=True))

@@ -234,8 +234,15 @@ def keep_one(docs: DataFrame, near: Near) -> DataFrame:
         found = near_duplicates(texts.withColumnRenamed("key", "doc_id"), near=near).select(F.col("doc_id").alias("key"), F.col("component_id").alias("class"))
     else:
         found = similar(texts, near)
-    kept = found.groupBy("class").agg(F.min("key").alias("key")).select(F.col("key").alias(key))
-    return keyed.dropDuplicates([key]).join(kept, key, "left_semi").drop(key)
+    found = cut(found)
+    kept = found.groupBy("class").agg(F.min("key").alias("key")).select("key")
+    counted = found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).join(kept.withColumn("stays", F.lit(True)), "key", "left")
+    marked = cut(counted.where("stays IS NULL OR n > 1").select(F.col("key").alias(key), "stays"))
+    stay = keyed.join(marked.select(key), key, "left_anti")
+    repeated = marked.where("stays").select(key)
+    if not repeated.isEmpty():  # equal rows are one: only they are brought together
+        stay = stay.unionByName(keyed.join(repeated, key, "left_semi").dropDuplicates([key]))
+    return stay.drop(key)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -130,8 +130,7 @@ def similar(docs: DataFrame, near: Near, tile: int = TILE) -> DataFrame:
     every = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
     held = cut(rows.groupBy("node").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("n")))
     chosen = every.join(held, "node").select("root", "node", "key")
-    # one row for each key, so that the many rows of one key don't meet in the join
-    texts = docs.select("key", "text").dropDuplicates(["key"]).join(chosen, "key").select("root", "node", "text")
+    texts = docs.select("key", "text").join(chosen, "key").dropDuplicates(["key"]).select("root", "node", "text")
     found = components(confirmed(texts, near.exact, tile))
     classes = held.select("node", "n").join(found, "node", "left").select("node", F.coalesce("root", "node").alias("class"), "n")
     return joined(rows.select("key", "node"), classes, "node", rows.count()).select("key", "class")
