@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .chat import OP8_SQL, op8_chat_format
+from .divergence import OP11_SQL, op11_source_divergence
 from .fingerprints import op2_fingerprints
 from .lm_scoring import op5_lm_scoring
 from .mixing import OP10_SQL, op10_mixing
@@ -14,5 +15,5 @@ from .secrets import op1_secret_scan
 from .simhash import op6_simhash
 from .spans_sql import OP1_SQL, OP7_SQL
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_fingerprints, op3_quality_classifier, op4_quality_rules, op5_lm_scoring, op6_simhash, op7_pii, op8_chat_format, op9_packing, op10_mixing)}
-SQL = {"op1_secret_scan": OP1_SQL, "op4_quality_rules": OP4_SQL, "op7_pii": OP7_SQL, "op8_chat_format": OP8_SQL, "op10_mixing": OP10_SQL}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_fingerprints, op3_quality_classifier, op4_quality_rules, op5_lm_scoring, op6_simhash, op7_pii, op8_chat_format, op9_packing, op10_mixing, op11_source_divergence)}
+SQL = {"op1_secret_scan": OP1_SQL, "op4_quality_rules": OP4_SQL, "op7_pii": OP7_SQL, "op8_chat_format": OP8_SQL, "op10_mixing": OP10_SQL, "op11_source_divergence": OP11_SQL}
