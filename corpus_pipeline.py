@@ -45,7 +45,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated toward the target weights of their sources."""
-    return mix(docs).select(docs.columns)
+    mixed = mix(docs)
+    return mixed.drop(*[c for c in mixed.columns if c not in docs.columns])
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
