@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import storage
 from ..domain import Domain
+from ..operators.setrelation import SetQueries, relation_answers
 from ..operators.support import full_support
 from . import census, encode, geo
 
@@ -122,6 +123,20 @@ class Release:
     domain: DataFrame
     queries: DataFrame
 
+    def asked(self, level: str = "Block") -> SetQueries:
+        """The queries of one level as masks, by block or by place."""
+        person = Domain.fromdict({c: len(v) for c, v in PERSON.items()})
+        own = self.queries.where(F.col("block").isNotNull() if level == "Block" else F.col("block").isNull())
+        codes = {"QAGE": "ages", "QSEX": "sexes", "CENRACE": "races", "CENHISP": "origins"}
+        return SetQueries.of_arrays(own if level == "Block" else own.drop("block"), person, codes, ["geoid", "block"] if level == "Block" else ["geoid"])
+
+    def answers(self, slices: int = 1) -> DataFrame:
+        """(geoid, block, table_name, cell, ans): every query of every place; block
+        is null for those of the whole place."""
+        rows = self.rows.withColumnRenamed("TABBLK", "block")
+        blocks, whole = (relation_answers(rows, self.asked(level), slices=slices) for level in ("Block", "Tract"))
+        return blocks.unionByName(whole.withColumn("block", F.lit(None).cast("int")))
+
     def write(self, path: str) -> None:
         """Three folders by place; those that are there already stay."""
         spark = self.rows.sparkSession

@@ -10,9 +10,10 @@ from ..domain import Domain, EncodedData
 from ..operators import evaluate, models, privacy
 from ..operators import marginals as m
 from ..operators import setquery as sq
+from ..operators import setrelation as sr
 from ..operators import support as sup
 from ..plans.workload import QuerySpace, all_workloads
-from .register import domain, encoded, query, relation_sql
+from .register import domain, encoded, frame, query, relation_sql, table
 
 LI_ATTRS = ["returnflag", "linestatus", "discount", "tax", "linenumber"]
 SMALL = ["status", "priority", "orderyear"]
@@ -271,6 +272,27 @@ def set_queries_dedup(spark: SparkSession, d: str) -> DataFrame:
     return sq.set_answers(encoded(spark, d, "ord", SMALL), sq.distinct(REPEATED))
 
 
+ASKED = "SELECT DISTINCT s_nationkey AS nation, s_suppkey AS qid, s_suppkey % 5 AS p0, s_suppkey // 5 % 5 AS p1, s_suppkey % 7 AS y0, (s_suppkey + 3) % 7 AS y1, s_suppkey % 3 = 0 AS any_year FROM supplier"
+
+
+@query(
+    f"WITH e AS ({relation_sql('ord')}), q AS ({ASKED}), k AS (SELECT nation, min(qid) AS qid, least(p0, p1) AS a, greatest(p0, p1) AS b, CASE WHEN NOT any_year THEN least(y0, y1) END AS c, CASE WHEN NOT any_year THEN greatest(y0, y1) END AS d FROM q GROUP BY ALL), "
+    "n AS (SELECT nation, count(*) AS n FROM e GROUP BY nation) "
+    "SELECT k.nation::INTEGER AS nation, k.qid::BIGINT AS qid, count(e.nation) / coalesce(any_value(n.n), 1)::DOUBLE AS ans FROM k LEFT JOIN n ON n.nation = k.nation LEFT JOIN e ON e.nation = k.nation AND e.priority IN (a, b) AND (c IS NULL OR e.orderyear IN (c, d)) GROUP BY k.nation, k.qid"
+)
+def set_queries_of_table(spark: SparkSession, d: str) -> DataFrame:
+    """Queries that a table asks: each supplier names two priorities and, two times
+    in three, two years; equal ones of a nation are answered once, over its orders."""
+    key = F.col("s_suppkey")
+    asked = table(spark, d, "supplier").select(F.col("s_nationkey").cast("int").alias("nation"), key.cast("bigint").alias("qid")).distinct()
+    k = F.col("qid")
+    named = [("priority", k % 5), ("priority", F.floor(k / 5) % 5), ("orderyear", F.when(k % 3 != 0, k % 7)), ("orderyear", F.when(k % 3 != 0, (k + 3) % 7))]
+    codes = asked.select("nation", "qid", F.explode(F.array(*[F.struct(F.lit(a).alias("attr"), c.cast("int").alias("code")) for a, c in named])).alias("c"))
+    values = codes.select("nation", "qid", "c.*").where("code IS NOT NULL")
+    queries = sr.SetQueries.of_relation(values, domain("ord", "priority", "orderyear"), asked, ["nation"]).distinct()
+    return sr.relation_answers(frame(spark, d, "ord"), queries, density=True).select("nation", "qid", F.coalesce("ans", F.lit(0.0)).alias("ans"))
+
+
 # Supports ------------------------------------------------------------------
 
 FULL = "SELECT i::BIGINT AS support_id, (i // 35)::INTEGER AS status, ((i // 7) % 5)::INTEGER AS priority, (i % 7)::INTEGER AS orderyear FROM (SELECT unnest(range(105)) AS i)"

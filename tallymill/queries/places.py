@@ -238,6 +238,47 @@ def release_query_counts(spark: SparkSession, d: str) -> DataFrame:
     return queries.groupBy("geoid").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(men, 1)).alias("n_p12_men_5_9"))
 
 
+def _release_cells() -> list[tuple[str, int, bool, str]]:
+    """(table, cell, of blocks, condition) of a release, from the same bands,
+    variants and numbers of races as above."""
+    sizes = [n for n, many in enumerate((6, 15, 20, 15, 6, 1), 1) for _ in range(many)]
+    out = [("P1", 1, True, "TRUE")]
+    having = [f"(mask >> {i}) & 1 = 1" for i in range(6)]
+    out += [("P6", 2 + i, True, h) for i, h in enumerate(having)]
+    out += [("P7", first + i, True, f"{h} AND CENHISP = {o}") for first, o in ((3, 1), (10, 2)) for i, h in enumerate(having)]
+    totals = {4: "n_races = 1", 11: "n_races > 1", 12: "n_races = 2", 28: "n_races = 3", 49: "n_races = 4", 65: "n_races = 5", 72: "n_races = 6"}
+    for name, where in (("P9", "CENHISP = 1"), ("P11", "CENHISP = 1 AND QAGE >= 18")):
+        sets = [(i + 4 + (n if n > 1 else 0), f"race_id = {i}") for i, n in enumerate(sizes, 1) if not (name == "P11" and i == 41)]
+        out += [(name, c, True, f"{p} AND {where}") for c, p in [*totals.items(), *sets]]
+    out += [("P11", c, True, f"QAGE >= 18 AND {w}") for c, w in ((1, "TRUE"), (2, "CENHISP = 2"), (3, "CENHISP = 1"))]
+    by_age = [("P12", BANDS, False, "TRUE"), *[(f"P12{x}", BANDS, False, w) for x, w in zip("ABCDEFGHI", VARIANTS)], ("PCT1", SINGLE, True, "TRUE")]
+    for name, bands, women, where in by_age:
+        ages = [f"QAGE >= {a} AND QAGE < {b}" for a, b in zip(bands, bands[1:])]
+        own = ["TRUE", "QSEX = 1", *[f"QSEX = 1 AND {a}" for a in ages], "QSEX = 2", *([f"QSEX = 2 AND {a}" for a in ages] if women else [])]
+        out += [(name, c, name != "PCT1", f"{p} AND {where}") for c, p in enumerate(own, 1)]
+    return out
+
+
+def _release_sql() -> str:
+    parts = []
+    for of_blocks in (True, False):
+        cells = [c for c in _release_cells() if c[2] == of_blocks]
+        lists = [f"unnest([{', '.join(repr(x[k]) for x in cells)}]) AS {n}" for k, n in ((0, "table_name"), (1, "cell"))]
+        counts = ", ".join(f"count(*) FILTER ({c[3]})" for c in cells)
+        block = "block" if of_blocks else "NULL::INTEGER AS block"
+        parts.append(f"SELECT geoid, {block}, {', '.join(lists)}, unnest([{counts}])::BIGINT AS n FROM b GROUP BY geoid{', block' if of_blocks else ''}")
+    rank = "(dense_rank() OVER (PARTITION BY geoid ORDER BY TABBLK) - 1)::INTEGER AS block"
+    return f"WITH r AS ({RACE_SQL}), b AS (SELECT *, {rank} FROM ({PLACES}) JOIN r ON CENRACE = race_id) SELECT geoid, block, table_name, cell::INTEGER AS cell, n FROM ({' UNION ALL '.join(parts)})"
+
+
+@query(_release_sql())
+def release_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Every census query of every block, and every one of whole counties, answered
+    from the relation of queries."""
+    found = schema.release_places(frame(spark, d, "per"), NAMES, "county").answers()
+    return found.select("geoid", "block", "table_name", "cell", F.col("ans").cast("bigint").alias("n"))
+
+
 CODED = [c for c in census.cells_of() if c.table in census.NHGIS]
 
 

@@ -41,7 +41,7 @@ def test_dense_histogram_and_density(spark):
         EncodedData(data.df, DOM)
 
 
-@pytest.mark.parametrize("strategy", ["inline", "arrow", "table"])
+@pytest.mark.parametrize("strategy", ["inline", "arrow"])
 @pytest.mark.parametrize("density", [None, "valid", "all"])
 def test_answers_against_numpy(spark, strategy, density):
     rng = np.random.default_rng(0)
