@@ -58,7 +58,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> dict[str, float]:
     errors = _errors(spark, args)
     if args.results:
         schema = ", ".join(f"{k} {KINDS[k]}" for k in flags) + "".join(f", {e} double" for e in ERRORS)
-        io.append_results(spark.createDataFrame([(*flags.values(), *(errors[e] for e in ERRORS))], schema), args.results)
+        io.append_results(spark.createDataFrame([(*flags.values(), *(errors[e] for e in ERRORS))], schema), args.results, list(flags))
     return errors
 
 

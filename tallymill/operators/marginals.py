@@ -4,9 +4,11 @@ Strategies (the answers are the same):
 
 inline   query ids as one literal array for each row; whole-stage code, good
          while the array is short
-arrow    counts for each task by numpy; each task sends one row for each cell that
-         it met, so the shuffle doesn't depend on the row count.  Workloads of
-         more than DENSE_CELLS cells together take several passes
+arrow    counts for each task by numpy: cuboids that cover the workloads are
+         counted, then rolled up to these (plans/lattice.py); each task sends one
+         row for each cell that it met, so the shuffle doesn't depend on the row
+         count.  Cuboids of more than DENSE_CELLS cells together take several
+         passes
 
 Every strategy adds up before it shuffles.
 """
@@ -14,6 +16,7 @@ Every strategy adds up before it shuffles.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -22,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..domain import EncodedData, column
+from ..plans.lattice import Cuboid, plan
 from ..plans.workload import QuerySpace, Workload
 
 INLINE_WORKLOADS, DENSE_CELLS = 3, 1 << 23
@@ -54,9 +58,13 @@ class Sums:
                 own, place = np.unique(ids, return_inverse=True)
                 yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.bincount(place, weights))], names=["query_id", name])
 
+    def rest(self, name: str) -> Iterator[pa.RecordBatch]:
+        """What hasn't been sent yet and is in no table."""
+        yield from self._flush(name)
+
     def batches(self, name: str) -> Iterator[pa.RecordBatch]:
         """What hasn't been sent yet."""
-        yield from self._flush(name)
+        yield from self.rest(name)
         if self.total is not None:
             met = np.flatnonzero(self.total)
             yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(self.total[met])], names=["query_id", name])
@@ -97,41 +105,45 @@ def sums(data: EncodedData, space: QuerySpace, strategy: str = "auto", dense: in
         return cells.where("query_id IS NOT NULL").groupBy("query_id").agg(F.sum("__w").alias("ans"))
     if strategy != "arrow":
         raise ValueError(strategy)
-    out, at = None, 0
-    while at < len(space.workloads) or out is None:
-        end, size = at, 0
-        while end < len(space.workloads) and (end == at or size + space.workloads[end].n_cells <= dense):
-            size += space.workloads[end].n_cells
-            end += 1
-        part = _counted(rows, space.workloads[at:end], size, dense)
-        out, at = part if out is None else out.unionByName(part), end
+    out = None
+    for together in plan(space.workloads, dense) or [[]]:
+        part = _counted(rows, together, dense)
+        out = part if out is None else out.unionByName(part)
     return out
 
 
-def _counted(rows: DataFrame, workloads: Sequence[Workload], size: int, dense: int) -> DataFrame:
-    """The sums of some neighbouring workloads, of size cells together."""
-    first = workloads[0].offset if workloads else 0
-    attrs = list(dict.fromkeys(a for w in workloads for a in w.attrs))
+def _counted(rows: DataFrame, cuboids: Sequence[Cuboid], dense: int) -> DataFrame:
+    """The sums of some cuboids' workloads, by one pass."""
+    starts = [0, *accumulate(c.n_cells for c in cuboids)]
+    attrs = list(dict.fromkeys(a for c in cuboids for a in c.attrs))
+
+    def rolled(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """Of cells that were met."""
+        ids, sums = part.column(0).to_numpy(), part.column(1).to_numpy()
+        cuts = np.searchsorted(ids, starts)
+        for c, first, a, b in zip(cuboids, starts, cuts, cuts[1:]):
+            for found in c.rolled_some(ids[a:b] - first, sums[a:b]) if b > a else ():
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["query_id", "ans"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = Sums(size, dense)
+        held = Sums(starts[-1], dense)
         for batch in batches:
-            if batch.num_rows:
-                cells = cell_ids(batch, workloads)
-                ids, w = flat(cells, batch.column("__w").to_numpy(zero_copy_only=False))
-                for part in held.add(ids - first, w, "ans"):
-                    yield _shifted(part, first)
-        for part in held.batches("ans"):
-            yield _shifted(part, first)
+            if batch.num_rows and cuboids:
+                codes = {a: batch.column(a).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) for a in attrs}
+                codes = codes or {"": np.zeros(batch.num_rows, np.int64)}
+                cells = np.concatenate([first + c.cells(codes) for c, first in zip(cuboids, starts)])
+                for part in held.add(cells, np.tile(batch.column("__w").to_numpy(zero_copy_only=False), len(cuboids)), "ans"):
+                    yield from rolled(part)
+        for part in held.rest("ans"):
+            yield from rolled(part)
+        if held.total is not None and held.total.any():
+            found = [x for c, first in zip(cuboids, starts) for x in c.rolled(held.total[first : first + c.n_cells])]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], names=["query_id", "ans"])
 
     found = rows.select(*[column(a) for a in attrs], "__w").mapInArrow(run, "query_id bigint, ans double")
     return found.groupBy("query_id").agg(F.sum("ans").alias("ans"))
 
 
-def _shifted(part: pa.RecordBatch, first: int) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(part.column(0).to_numpy() + first), part.column(1)], names=["query_id", "ans"])
-
-
 def filled(found: DataFrame, n_queries: int, value: str = "ans") -> DataFrame:
     """One row for every query; 0 where nothing was found."""
     ids = found.sparkSession.range(n_queries).select(F.col("id").alias("query_id"))
@@ -142,17 +154,21 @@ def answers(data: EncodedData, space: QuerySpace, density: str | None = "valid",
     """(query_id, ans) for every query.  density: 'valid' divides by the weight
     of a workload's rows whose codes are all in the domain, 'all' by the weight
     of all rows, None by nothing."""
-    found = sums(data, space, strategy)
+    whole = data.df.agg(F.sum(data.mass()).alias("__all")) if density == "all" else None
+    return finished(sums(data, space, strategy), space, density, whole)
+
+
+def finished(found: DataFrame, space: QuerySpace, density: str | None, whole: DataFrame | None = None) -> DataFrame:
+    """answers from the sums of the cells that rows fall in; whole is one row with
+    the weight of all rows, __all."""
     dense = filled(found, space.n_queries)
     if density is None:
         return dense
     if density == "all":
-        whole = data.df.agg(F.sum(data.mass()).alias("__all"))
-        return dense.join(F.broadcast(whole)).select("query_id", (F.col("ans") / F.col("__all")).alias("ans"))
+        return dense.join(F.broadcast(whole)).select("query_id", F.when(F.col("__all") > 0, F.col("ans") / F.col("__all")).otherwise(0.0).alias("ans"))
     if density != "valid":
         raise ValueError(density)
-    of = workload_column(space)
-    by = dense.withColumn("wid", of)
+    by = dense.withColumn("wid", workload_column(space))
     totals = by.groupBy("wid").agg(F.sum("ans").alias("__all"))
     return by.join(F.broadcast(totals), "wid").select("query_id", F.when(F.col("__all") > 0, F.col("ans") / F.col("__all")).otherwise(0.0).alias("ans"))
 

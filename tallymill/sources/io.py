@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
-from collections.abc import Mapping, Sequence
+import time
+import uuid
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,9 @@ from .. import storage
 from ..domain import Domain, EncodedData, column
 from ..plans.workload import QuerySpace
 
+#: Columns of a result store: a hash of a run's flags, and which writing of it is the newest.
+RUN, ATTEMPT = "run_key", "run_attempt"
+
 # The attributes of each known dataset, in its engine's order.
 DEFAULT_COLUMNS = {
     "adult_orig": ["age", "workclass", "fnlwgt", "education-num", "marital-status", "occupation", "relationship", "race", "sex", "capital-gain", "capital-loss", "hours-per-week", "native-country", "income>50K"],
@@ -107,13 +111,24 @@ def load_queries(path: str, spark: SparkSession | None = None) -> list[dict[str,
 # Results -------------------------------------------------------------------
 
 
-def append_results(df: DataFrame, path: str) -> None:
-    df.write.mode("append").parquet(path)
+def append_results(df: DataFrame, path: str, flags: Sequence[str] | None = None) -> None:
+    """Stores runs, one or several rows for each set of flags (all columns but the
+    errors, unless named).  A run has a folder of its own by a hash of its flags,
+    so one that is stored again takes the place of the first; of two writers at
+    once the later counts."""
+    own = sorted(flags if flags is not None else [c for c in df.columns if not c.startswith("error")])
+    run = F.sha2(F.to_json(F.struct(*[column(c) for c in own])), 256)  # nulls are left out
+    keyed = df.withColumn(RUN, run).withColumn(ATTEMPT, F.lit(f"{time.time_ns():020d}-{uuid.uuid4().hex}"))
+    keyed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(RUN).parquet(path)
 
 
 def stored_results(spark: SparkSession, path: str) -> DataFrame | None:
     """All runs in a result store, over whatever columns any of them has."""
-    return spark.read.option("mergeSchema", True).parquet(path) if storage.exists(spark, path) else None
+    if not storage.exists(spark, path):
+        return None
+    every = spark.read.option("mergeSchema", True).parquet(path)
+    newest = every.groupBy(F.col(RUN).alias("__r")).agg(F.max(ATTEMPT).alias("__a"))
+    return every.join(newest, (F.col(RUN) == F.col("__r")) & (F.col(ATTEMPT) == F.col("__a")), "left_semi").drop(RUN, ATTEMPT)
 
 
 def matching_results(results: DataFrame, flags: Mapping[str, object]) -> DataFrame:
@@ -134,20 +149,9 @@ def already_run(results: DataFrame, flags: Mapping[str, object]) -> bool:
 # Answers -------------------------------------------------------------------
 
 
-def content_key(data: EncodedData, space: QuerySpace) -> str:
-    """A key of the rows' contents, the domain and the workloads."""
-    own = [column(a) for a in data.domain.attrs] + ([column(data.weight)] if data.weight else [])
-    row = data.df.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*own).cast("decimal(38,0)"))).first()
-    text = json.dumps([row[0], str(row[1]), data.domain.config, [w.attrs for w in space.workloads]])
-    return hashlib.sha256(text.encode()).hexdigest()
-
-
-def cached_answers(data: EncodedData, space: QuerySpace, folder: str) -> DataFrame:
-    """Answers of data, computed once for the same contents and workloads."""
-    from ..operators.marginals import answers
+def cached_answers(spark: SparkSession, path: str | Sequence[str], space: QuerySpace, folder: str, encode: Callable[[DataFrame], EncodedData] | None = None) -> DataFrame:
+    """Answers of a table's files: those counted before are looked up, the others
+    read.  Without encode the files hold codes."""
+    from .answers import AnswerStore  # which reads tables by this module
 
-    spark = data.df.sparkSession
-    path = f"{folder}/answers-{content_key(data, space)}"
-    if not storage.exists(spark, f"{path}/_SUCCESS"):
-        answers(data, space).write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return AnswerStore(spark, folder, space, encode or (lambda rows: EncodedData(rows, space.domain))).answers(path)

@@ -41,6 +41,22 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(at)
 
 
+def files(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """(path, length, time of change) of the files in a folder and below, or of a
+    file; names that start with _ or . are left out, as Spark's readers do."""
+    fs, at = path_of(spark, path)
+    if not fs.exists(at):
+        return []
+    found, base = fs.listFiles(at, True), fs.makeQualified(at).toString()
+    out = []
+    while found.hasNext():
+        f = found.next()
+        name = f.getPath().toString()
+        if not re.search("(^|/)[_.]", name.removeprefix(base)):
+            out.append((name, f.getLen(), f.getModificationTime()))
+    return sorted(out)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     fs, at = path_of(spark, path)
     fs.delete(at, True)

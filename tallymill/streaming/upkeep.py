@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..domain import column
 from ..plans.workload import QuerySpace
+from ..sources.answers import AnswerStore
 
 
 def _cells(rows: DataFrame, space: QuerySpace, *keep: str) -> DataFrame:
@@ -25,3 +26,10 @@ def windowed_counts(rows: DataFrame, space: QuerySpace, time: str, width: str, l
     dropped and finished windows leave the state."""
     marked = rows.withWatermark(time, late)
     return _cells(marked, space, time).groupBy(F.window(time, width), "query_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def into_store(rows: DataFrame, store: AnswerStore, name: str, checkpoint: str, **trigger):
+    """Starts a query that adds each batch of raw rows to a store of answers, where
+    it is counted by the passes that tables are counted by.  A batch that is
+    written again after a failure takes its first writing's place."""
+    return rows.writeStream.foreachBatch(lambda batch, i: store.add_rows(batch, f"{name}:{i}")).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

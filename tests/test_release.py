@@ -223,20 +223,12 @@ def test_product_fits(spark, style, tmp_path):
     assert models.sample_rows(spark, model.probabilities(), DOM, 10, how="max").count() == 10
 
 
-def test_results_and_cached_answers(spark, tmp_path):
+def test_results_and_query_sets(spark, tmp_path):
     runs = spark.createDataFrame([("a", 1, None, 0.5, 2.0, 3), ("a", 1, None, 0.2, 2.0, 3), ("b", 1, 0.1, 0.9, 1.0, 3)], "d string, seed int, alpha double, error_max double, T double, workload int")
     best = {r.d: (r.error_max, r.rounds) for r in evaluate.best_runs(runs, ["d", "alpha"]).collect()}
     assert best == {"a": (0.2, 6), "b": (0.9, 3)}
-    io.append_results(runs.where("d = 'b'"), f"{tmp_path}/r")
-    io.append_results(runs.where("error_max = 0.5"), f"{tmp_path}/r")
-    stored = spark.read.parquet(f"{tmp_path}/r")
-    assert io.already_run(stored, {"d": "a", "alpha": None}) and not io.already_run(stored, {"d": "a", "alpha": 0.1})
     with pytest.raises(ValueError):
         io.already_run(runs, {"d": "a"})
-    d = data(spark)
-    first = io.cached_answers(d, SPACE, str(tmp_path)).orderBy("query_id").collect()
-    assert io.cached_answers(d, SPACE, str(tmp_path)).orderBy("query_id").collect() == first
-    assert io.content_key(d, SPACE) != io.content_key(data(spark, seed=5), SPACE)
     io.save_queries([{"a": (1, 2)}], f"{tmp_path}/q.json")
     assert io.load_queries(f"{tmp_path}/q.json") == [{"a": [1, 2]}]
     assert len(io.default_columns("acs_PA")) == 67 and len(io.default_columns("adult-reduced")) == 7 and io.default_columns("x") is None
