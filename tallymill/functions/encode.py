@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..domain import Domain, column
 from ..storage import stored
@@ -78,17 +81,85 @@ def dictionary(df: DataFrame, attr: str, declared: Iterable = (), other: bool =
     return sorted({r[0] for r in found} | ({OTHER} if other else set()))
 
 
+#: Kinds of values by the column that holds them in a fused dictionary.
+_KINDS = ("l", "d", "s")
+#: Values of a column that are coded from memory, at most; more are met by a shuffle.
+HELD = 100_000
+
+
+def _kind(dtype: str) -> str:
+    return "l" if dtype in ("tinyint", "smallint", "int", "bigint", "boolean") else "d" if dtype in ("float", "double") else "s"
+
+
+def _as(value: Column, kind: str) -> Column:
+    return value.cast({"l": "bigint", "d": "double", "s": "string"}[kind])
+
+
+def fused_dictionary(df: DataFrame, attrs: Sequence[str], extra: Mapping[str, Iterable] | None = None) -> DataFrame:
+    """(i, l, d, s, code): every value of every attribute (the i-th) in the column
+    of its kind, with its place in the attribute's sorted order; extra values are
+    added.  All attributes take one distinct and one sort by ranges; one count for
+    each range and attribute in it reaches the driver."""
+    kinds = [_kind(dict(df.dtypes)[a]) for a in attrs]
+
+    def cell(i: int, value: Column) -> Column:
+        return F.struct(F.lit(i).alias("i"), *[(_as(value, k) if k == kinds[i] else _as(F.lit(None), k)).alias(k) for k in _KINDS])
+
+    rows = df.select(F.explode(F.array(*[cell(i, column(a)) for i, a in enumerate(attrs)])).alias("x")).select("x.*")
+    named = [(i, v) for i, a in enumerate(attrs) for v in (extra or {}).get(a, ())]
+    if named:
+        told = df.sparkSession.range(1).select(F.explode(F.array(*[cell(i, F.lit(v)) for i, v in named])).alias("x")).select("x.*")
+        rows = rows.unionByName(told)
+    values = rows.where(F.coalesce(*[F.col(k).cast("string") for k in _KINDS]).isNotNull()).distinct()
+    order = ["i", *_KINDS]
+    held = stored(values.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()))
+    part = F.shiftright("__at", 33).cast("int")
+    starts, before = {}, {}
+    for r in sorted(held.groupBy(part.alias("part"), "i").agg(F.min("__at").alias("first"), F.count(F.lit(1)).alias("n")).collect()):
+        starts[r["part"], r["i"]] = before.get(r["i"], 0) - r["first"]
+        before[r["i"]] = before.get(r["i"], 0) + r["n"]
+    moved = df.sparkSession.createDataFrame([(p, i, n) for (p, i), n in starts.items()], "__p int, __i int, __n bigint")
+    met = held.join(F.broadcast(moved), (part == F.col("__p")) & (F.col("i") == F.col("__i")))  # one row for each range and attribute
+    return met.select(*order, (F.col("__at") + F.col("__n")).alias("code"))
+
+
 def numbered(df: DataFrame, attr: str) -> DataFrame:
-    """(value, code): every value with its place in sorted order, as a table.  The
-    values are sorted by ranges; only one count for each range reaches the driver."""
-    values = df.select(column(attr).alias("value")).where("value IS NOT NULL").distinct()
-    ranged = values.repartitionByRange("value").sortWithinPartitions("value").withColumn("__at", F.monotonically_increasing_id())
-    held, part = stored(ranged), F.shiftright("__at", 33)
-    before, at = {}, 0
-    for r in sorted(held.groupBy(part.alias("part")).count().collect()):
-        before[r["part"]], at = at, at + r["count"]
-    starts = F.array(*[F.lit(before.get(p, 0)).cast("long") for p in range(max(before, default=0) + 1)])
-    return held.select("value", (F.get(starts, part.cast("int")) + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).alias("code"))
+    """(value, code): every value with its place in sorted order, as a table."""
+    kind = dict(df.dtypes)[attr]
+    return fused_dictionary(df, [attr]).select(F.col(_kind(kind)).cast(kind).alias("value"), "code")
+
+
+def code_from_memory(df: DataFrame, values: Mapping[str, Sequence], other: bool = False) -> DataFrame:
+    """Attributes replaced by their places in lists of values, all in one pass of
+    Arrow batches.  Unknown values become OTHER's code or, without it, an error;
+    nulls become -1."""
+    names = df.columns
+    tables = {a: pa.array([_plain(v) for v in vs], {"l": pa.int64(), "d": pa.float64(), "s": pa.string()}[_kind(dict(df.dtypes)[a])]) for a, vs in values.items()}
+    instead = {a: list(vs).index(OTHER) if other and OTHER in vs else None for a, vs in values.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = []
+            for name in names:
+                own = batch.column(name)
+                if name in tables:
+                    at = pc.index_in(own, tables[name])
+                    lost = pc.and_(pc.is_valid(own), pc.is_null(at))
+                    if instead[name] is None and pc.any(lost).as_py():
+                        raise ValueError(f"{name}: unknown value {own.filter(lost)[0].as_py()}")
+                    own = pc.if_else(pc.is_null(own), pa.scalar(-1, pa.int32()), pc.fill_null(at, -1 if instead[name] is None else instead[name]))
+                columns.append(own)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    kinds = dict(df.dtypes)
+    ready = df.select(*[_as(column(c), _kind(kinds[c])).alias(c) if c in tables else column(c) for c in names])
+    schema = StructType([StructField(c, IntegerType()) if c in tables else ready.schema[c] for c in names])
+    return ready.mapInArrow(run, schema)
+
+
+def _plain(value):
+    """A value as its kind holds it."""
+    return int(value) if isinstance(value, bool) else value
 
 
 def encode_numbered(df: DataFrame, attr: str, table: DataFrame, to: str | None = None) -> DataFrame:
@@ -115,6 +186,10 @@ def decode(df: DataFrame, attr: str, values: Sequence, to: str | None = None) ->
     return df.withColumn(to or attr, F.when(column(attr) >= 0, F.get(table, column(attr))))
 
 
+def _back(value, kind: str):
+    return bool(value) if kind == "boolean" else value
+
+
 # Bins --------------------------------------------------------------------
 
 
@@ -173,11 +248,15 @@ def bin_labels(edges: Sequence[float]) -> list[str]:
 
 
 class Encoder:
-    """Labels and bins of a table, fitted over one or several frames."""
+    """Labels and bins of a table, fitted over one or several frames.  All labels
+    take one dictionary; columns of up to most values are then lists (values),
+    coded in one pass, and the others tables (value, code), met by a shuffle each."""
 
-    def __init__(self, config: Config, other: bool = False, default_bins: int = 10, repeat: str = "point") -> None:
-        self.config, self.other, self.default_bins, self.repeat = config, other, default_bins, repeat
+    def __init__(self, config: Config, other: bool = False, default_bins: int = 10, repeat: str = "point", most: int = HELD) -> None:
+        self.config, self.other, self.default_bins, self.repeat, self.most = config, other, default_bins, repeat, most
         self.values: dict[str, list] = {}
+        self.tables: dict[str, DataFrame] = {}
+        self.sizes: dict[str, int] = {}
         self.edges: dict[str, list[float]] = {}
 
     @property
@@ -193,30 +272,57 @@ class Encoder:
         return out
 
     def fit(self, frames: DataFrame | Sequence[DataFrame]) -> Encoder:
-        df = self._one(frames)
-        self.values = {a: dictionary(df, a, self.config.declared.get(a, ()), self.other) for a in self.config.categorical}
-        self.edges = fit_edges(df, self.config.bins, self.default_bins)
+        df, config = self._one(frames), self.config
+        self.kinds = {a: k for a, k in df.dtypes if a in config.categorical}
+        self.values = {a: dictionary(df, a, config.declared[a], self.other) for a in config.categorical if config.declared.get(a)}
+        self.tables, self.sizes, free = {}, {a: len(v) for a, v in self.values.items()}, [a for a in config.categorical if a not in self.values]
+        if free:
+            fused = stored(fused_dictionary(df, free, {a: [OTHER] for a in free} if self.other else None))
+            self.sizes |= {a: 0 for a in free} | {free[r["i"]]: r["n"] for r in fused.groupBy("i").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row for each attribute
+            small = [i for i, a in enumerate(free) if self.sizes[a] <= self.most]
+            found = {a: [] for a in free}
+            for r in fused.where(F.col("i").isin(small)).collect() if small else ():  # at most self.most for each attribute
+                found[free[r["i"]]].append((r["code"], r[_kind(self.kinds[free[r["i"]]])]))
+            for i, a in enumerate(free):
+                if i in small:
+                    self.values[a] = [_back(v, self.kinds[a]) for _, v in sorted(found[a])]
+                else:
+                    self.tables[a] = fused.where(F.col("i") == i).select(F.col(_kind(self.kinds[a])).cast(self.kinds[a]).alias("value"), "code")
+        self.edges = fit_edges(df, config.bins, self.default_bins)
         return self
 
     def transform(self, frames: DataFrame | Sequence[DataFrame]) -> DataFrame:
         df = self._one(frames)
-        for a in self.config.categorical:
-            df = encode(df, a, self.values[a], self.other)
-        return df.select(*[column(a) for a in self.config.categorical], *[bin_code(column(a).cast("double"), self.edges[a], self.repeat).alias(a) for a in self.config.bins])
+        bins = [bin_code(column(a).cast("double"), self.edges[a], self.repeat).alias(a) for a in self.config.bins]
+        df = df.select(*[column(a) for a in self.config.categorical], *bins)
+        if self.values:
+            df = code_from_memory(df, self.values, self.other)
+        for a, table in self.tables.items():
+            met = df.join(table.select(F.col("value").alias("__v"), F.col("code").alias("__c")), column(a) == F.col("__v"), "left")
+            lost = table.where(F.col("value") == OTHER).select(F.max("code").alias("__o")) if self.other else None
+            if lost is not None:
+                met = met.join(F.broadcast(lost)).withColumn("__c", F.coalesce("__c", "__o")).drop("__o")
+            unknown = F.raise_error(F.concat(F.lit(f"{a}: unknown value "), column(a).cast("string"))).cast("long")
+            df = met.withColumn(a, F.when(column(a).isNull(), F.lit(-1).cast("long")).otherwise(F.coalesce("__c", unknown))).drop("__v", "__c")
+        return df.select(*[column(a) for a in self.attrs])
 
     def fit_transform(self, frames: DataFrame | Sequence[DataFrame]) -> DataFrame:
         return self.fit(frames).transform(frames)
 
     def inverse_transform(self, df: DataFrame) -> DataFrame:
-        for a in self.config.categorical:
+        names = df.columns
+        for a in self.values:
             df = decode(df, a, self.values[a])
+        for a, table in self.tables.items():
+            back = table.select(F.col("value").alias("__v"), F.col("code").alias("__c"))
+            df = df.join(back, column(a) == F.col("__c"), "left").withColumn(a, F.col("__v")).drop("__v", "__c").select(*[column(c) for c in names])
         for a in self.config.bins:
             df = decode(df, a, bin_labels(self.edges[a]))
         return df
 
     @property
     def domain(self) -> Domain:
-        return Domain.fromdict({a: len(v) for a, v in self.values.items()} | {a: len(e) - 1 for a, e in self.edges.items()})
+        return Domain.fromdict({a: self.sizes[a] for a in self.config.categorical} | {a: len(e) - 1 for a, e in self.edges.items()})
 
 
 def constant_free(domain: Domain) -> Domain:

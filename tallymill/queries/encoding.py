@@ -12,7 +12,7 @@ from ..operators import support as sup
 from ..plans.workload import QuerySpace
 from ..sources import io
 from .marginal import cells_sql, values_sql
-from .register import DOC, EV, domain, encoded, frame, query, relation_sql, table
+from .register import DOC, EV, domain, encoded, fixed, frame, query, relation_sql, table
 
 RANKS = "SELECT o_orderpriority, (row_number() OVER (ORDER BY o_orderpriority) - 1)::INTEGER AS code FROM (SELECT DISTINCT o_orderpriority FROM orders)"
 
@@ -150,7 +150,7 @@ def label_encode_table(spark: SparkSession, d: str) -> DataFrame:
     return en.encode_numbered(li, "l_partkey", en.numbered(li, "l_partkey"), to="code").select("l_orderkey", "l_linenumber", "code")
 
 
-@query("SELECT i::INTEGER AS r, least(i, 2)::INTEGER AS a, least(i, 6)::INTEGER AS b, 0::INTEGER AS c FROM range(7) t(i)")
+@fixed("SELECT i::INTEGER AS r, least(i, 2)::INTEGER AS a, least(i, 6)::INTEGER AS b, 0::INTEGER AS c FROM range(7) t(i)")
 def domain_rows(spark: SparkSession, d: str) -> DataFrame:
     """Every code of every attribute at least once."""
     return en.domain_rows(spark, Domain.fromdict({"a": 3, "b": 7, "c": 1})).select(F.greatest("a", "b", "c").alias("r"), "a", "b", "c")
@@ -225,7 +225,7 @@ def recode_person(spark: SparkSession, d: str) -> DataFrame:
     return frame(spark, d, "per").select("c_custkey", en.recode_sex(F.col("QSEX")).alias("sex"), en.recode_origin(F.col("CENHISP")).alias("origin"))
 
 
-@query("SELECT s AS sex, h AS origin, r::INTEGER AS region FROM (VALUES ('Female'), ('Male')) a(s), (VALUES ('HLO'), ('Not HLO')) b(h), range(5) c(r)")
+@fixed("SELECT s AS sex, h AS origin, r::INTEGER AS region FROM (VALUES ('Female'), ('Male')) a(s), (VALUES ('HLO'), ('Not HLO')) b(h), range(5) c(r)")
 def row_space(spark: SparkSession, d: str) -> DataFrame:
     """Every combination of allowed values."""
     values = {"sex": ["Female", "Male"], "origin": ["HLO", "Not HLO"], "region": list(range(5))}
@@ -241,7 +241,7 @@ def project_drop(spark: SparkSession, d: str) -> DataFrame:
     return data.project(["discount", "linestatus", "returnflag"]).drop("returnflag").df
 
 
-@query("SELECT 0 AS low_a, 2 AS high_a, 0 AS low_b, 6 AS high_b, 10000::BIGINT AS n")
+@fixed("SELECT 0 AS low_a, 2 AS high_a, 0 AS low_b, 6 AS high_b, 10000::BIGINT AS n")
 def synthetic_uniform_bounds(spark: SparkSession, d: str) -> DataFrame:
     rows = EncodedData.synthetic(spark, Domain.fromdict({"a": 3, "b": 7}), 10_000, seed=1).df
     return rows.agg(F.min("a").alias("low_a"), F.max("a").alias("high_a"), F.min("b").alias("low_b"), F.max("b").alias("high_b"), F.count(F.lit(1)).alias("n"))
@@ -262,7 +262,7 @@ RUN_SQL = values_sql(RUNS, "dataset, workload, epsilon, T, alpha, error_max, err
 RUN_SCHEMA = "dataset string, workload int, epsilon double, T double, alpha double, error_max double, error_mean double"
 
 
-@query(f"SELECT dataset, workload, epsilon::DOUBLE AS epsilon, T::DOUBLE AS T, alpha::DOUBLE AS alpha, error_max::DOUBLE AS error_max, error_mean::DOUBLE AS error_mean, (T * workload)::INTEGER AS rounds FROM ({RUN_SQL}) QUALIFY row_number() OVER (PARTITION BY dataset, workload, epsilon ORDER BY error_max) = 1")
+@fixed(f"SELECT dataset, workload, epsilon::DOUBLE AS epsilon, T::DOUBLE AS T, alpha::DOUBLE AS alpha, error_max::DOUBLE AS error_max, error_mean::DOUBLE AS error_mean, (T * workload)::INTEGER AS rounds FROM ({RUN_SQL}) QUALIFY row_number() OVER (PARTITION BY dataset, workload, epsilon ORDER BY error_max) = 1")
 def best_run_with_rounds(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.best_runs(spark.createDataFrame(RUNS, RUN_SCHEMA), ["dataset", "workload", "epsilon"])
 

@@ -12,7 +12,7 @@ from ..operators import setquery as sq
 from ..operators import support as sup
 from ..plans.workload import QuerySpace
 from .marginal import DISTR, EVEN, FULL, ODD, SMALL, SW, dense_sql, gumbel_sql, normal_sql, uniform_sql, wid_sql
-from .register import domain, encoded, query, relation_sql
+from .register import domain, encoded, fixed, query, relation_sql
 
 ROUNDS, EPS0, ALPHA, SEED = 3, 0.05, 0.5, 7
 CELLS = [" + ".join([str(w.offset), *[f"{a} * {x}" for a, x in zip(w.attrs, w.strides)]]) for w in SW.workloads]
@@ -184,22 +184,22 @@ def _fitted(spark: SparkSession, d: str, style: str, network: bool) -> DataFrame
     return spark.createDataFrame([(r["round"], r["error_max"], r["error_mean"]) for r in log], "round int, error_max double, error_mean double")
 
 
-@query()
+@fixed()
 def gem_fit(spark: SparkSession, d: str) -> DataFrame:
     return _fitted(spark, d, "gem", True)
 
 
-@query()
+@fixed()
 def rap_fit(spark: SparkSession, d: str) -> DataFrame:
     return _fitted(spark, d, "rap", False)
 
 
-@query()
+@fixed()
 def iter_fit(spark: SparkSession, d: str) -> DataFrame:
     return _fitted(spark, d, "iter", False)
 
 
-@query()
+@fixed()
 def nondp_fit(spark: SparkSession, d: str) -> DataFrame:
     true, _ = _vector(spark, d)
     model = models.FixedModel(domain("ord", *SMALL), 100, seed=1)
@@ -207,7 +207,7 @@ def nondp_fit(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(i, x) for i, x in enumerate(log)], "step int, error_max double")
 
 
-@query()
+@fixed()
 def gem_public(spark: SparkSession, d: str) -> DataFrame:
     """A network fitted without noise to public rows, then privately to others."""
     public, _ = _vector(spark, d, EVEN)
@@ -218,7 +218,7 @@ def gem_public(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(r["round"], r["error_max"], r["error_mean"]) for r in log], "round int, error_max double, error_mean double")
 
 
-@query()
+@fixed()
 def set_fit(spark: SparkSession, d: str) -> DataFrame:
     """A product model fitted to set queries."""
     asked = [{"status": [0, 1], "orderyear": [2, 3, 4]}, {"priority": [0]}, {"priority": [1, 2], "status": [2]}, {"orderyear": [1]}]

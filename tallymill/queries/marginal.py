@@ -13,7 +13,7 @@ from ..operators import setquery as sq
 from ..operators import setrelation as sr
 from ..operators import support as sup
 from ..plans.workload import QuerySpace, all_workloads
-from .register import domain, encoded, frame, query, relation_sql, table
+from .register import LI, ORD, domain, encoded, fixed, frame, query, relation_sql, table
 
 LI_ATTRS = ["returnflag", "linestatus", "discount", "tax", "linenumber"]
 SMALL = ["status", "priority", "orderyear"]
@@ -75,7 +75,7 @@ def marginals_3way_arrow(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(Q3)
-def marginals_3way_table(spark: SparkSession, d: str) -> DataFrame:
+def marginals_3way_passes(spark: SparkSession, d: str) -> DataFrame:
     """In several passes, each of workloads of at most 500 cells together."""
     data = encoded(spark, d, "li", LI_ATTRS)
     counts = m.filled(m.sums(data, S3, "arrow", dense=500), S3.n_queries)
@@ -152,7 +152,7 @@ def values_sql(rows: list[tuple], columns: str) -> str:
     return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(text, r)) + ')' for r in rows)}) AS t({columns})"
 
 
-@query(values_sql([(w.wid, ",".join(w.attrs), w.n_cells, w.offset) for w in S2.workloads], "wid, attrs, n_cells, start_id"))
+@fixed(values_sql([(w.wid, ",".join(w.attrs), w.n_cells, w.offset) for w in S2.workloads], "wid, attrs, n_cells, start_id"))
 def workload_dim(spark: SparkSession, d: str) -> DataFrame:
     return S2.table(spark).select("wid", F.array_join("attrs", ",").alias("attrs"), "n_cells", F.col("offset").alias("start_id"))
 
@@ -165,12 +165,12 @@ def _enumeration_sql(s: QuerySpace) -> str:
     return " UNION ALL ".join(parts)
 
 
-@query(_enumeration_sql(S2))
+@fixed(_enumeration_sql(S2))
 def query_enumeration(spark: SparkSession, d: str) -> DataFrame:
     return S2.queries(spark).select("query_id", "wid", F.array_join(F.transform("vals", lambda v: v.cast("string")), ",").alias("vals"))
 
 
-@query(f"SELECT {S3.n_queries}::BIGINT AS n_queries, {len(S3.workloads)}::BIGINT AS n_workloads")
+@fixed(f"SELECT {S3.n_queries}::BIGINT AS n_queries, {len(S3.workloads)}::BIGINT AS n_workloads")
 def workload_counts(spark: SparkSession, d: str) -> DataFrame:
     t = S3.table(spark)
     return t.agg(F.sum("n_cells").alias("n_queries"), F.count(F.lit(1)).alias("n_workloads"))
@@ -179,7 +179,7 @@ def workload_counts(spark: SparkSession, d: str) -> DataFrame:
 ASKED = [0, 7, 50, S3.n_queries - 1]
 
 
-@query(
+@fixed(
     "SELECT q::BIGINT AS query_id, w || '' AS described FROM (VALUES "
     + ", ".join(f"({q}, '" + " | ".join(f"{a}={v}" for a, v in S3.values(q).items()) + "')" for q in ASKED)
     + ") AS t(q, w)"
@@ -198,7 +198,7 @@ def query_lookup(spark: SparkSession, d: str) -> DataFrame:
     return encoded(spark, d, "li", LI_ATTRS).df.select(w.cell().alias("query_id")).distinct()
 
 
-@query(values_sql([(q, ",".join(map(str, sorted(S2.positions(q))))) for q in range(S2.n_queries)], "query_id, positions"))
+@fixed(values_sql([(q, ",".join(map(str, sorted(S2.positions(q))))) for q in range(S2.n_queries)], "query_id, positions"))
 def query_onehot(spark: SparkSession, d: str) -> DataFrame:
     """Places of each query's ones in a one-hot row."""
     at = S2.domain.offsets()
@@ -232,6 +232,19 @@ def aggregate_queries(spark: SparkSession, d: str) -> DataFrame:
     return sums.join(F.broadcast(data.df.agg(F.count(F.lit(1)).alias("n")))).select("agg_id", (F.col("ans") / F.col("n")).alias("ans"))
 
 
+WIDE = {**LI, **ORD}
+WIDE_SPACE = (lambda w: QuerySpace(w, all_workloads(w, 3)))(Domain.fromdict({a: n for a, (_, n) in WIDE.items()}))
+WIDE_SQL = f"SELECT {', '.join(f'{e} AS {a}' for a, (e, _) in WIDE.items())} FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey"
+
+
+@query(f"WITH e AS MATERIALIZED ({WIDE_SQL}) {cells_sql(WIDE_SPACE, 'e').replace('AS s FROM', 'AS ans FROM')}")
+def marginals_wide(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of all 286 three-way marginals of the 13 attributes of lines, their
+    orders and customers; cells that no line falls in are left out."""
+    lines = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return m.sums(EncodedData(lines.selectExpr(*[f"{e} AS {a}" for a, (e, _) in WIDE.items()]), WIDE_SPACE.domain), WIDE_SPACE)
+
+
 SETS = [{"status": [0, 1], "orderyear": [2, 3, 4]}, {"priority": [0]}, {"priority": [1, 2], "status": [2], "orderyear": [0, 6]}, {}, {"orderyear": [1]}]
 
 
@@ -272,11 +285,11 @@ def set_queries_dedup(spark: SparkSession, d: str) -> DataFrame:
     return sq.set_answers(encoded(spark, d, "ord", SMALL), sq.distinct(REPEATED))
 
 
-ASKED = "SELECT DISTINCT s_nationkey AS nation, s_suppkey AS qid, s_suppkey % 5 AS p0, s_suppkey // 5 % 5 AS p1, s_suppkey % 7 AS y0, (s_suppkey + 3) % 7 AS y1, s_suppkey % 3 = 0 AS any_year FROM supplier"
+SUPPLIERS_ASK = "SELECT DISTINCT s_nationkey AS nation, s_suppkey AS qid, s_suppkey % 5 AS p0, s_suppkey // 5 % 5 AS p1, s_suppkey % 7 AS y0, (s_suppkey + 3) % 7 AS y1, s_suppkey % 3 = 0 AS any_year FROM supplier"
 
 
 @query(
-    f"WITH e AS ({relation_sql('ord')}), q AS ({ASKED}), k AS (SELECT nation, min(qid) AS qid, least(p0, p1) AS a, greatest(p0, p1) AS b, CASE WHEN NOT any_year THEN least(y0, y1) END AS c, CASE WHEN NOT any_year THEN greatest(y0, y1) END AS d FROM q GROUP BY ALL), "
+    f"WITH e AS ({relation_sql('ord')}), q AS ({SUPPLIERS_ASK}), k AS (SELECT nation, min(qid) AS qid, least(p0, p1) AS a, greatest(p0, p1) AS b, CASE WHEN NOT any_year THEN least(y0, y1) END AS c, CASE WHEN NOT any_year THEN greatest(y0, y1) END AS d FROM q GROUP BY ALL), "
     "n AS (SELECT nation, count(*) AS n FROM e GROUP BY nation) "
     "SELECT k.nation::INTEGER AS nation, k.qid::BIGINT AS qid, count(e.nation) / coalesce(any_value(n.n), 1)::DOUBLE AS ans FROM k LEFT JOIN n ON n.nation = k.nation LEFT JOIN e ON e.nation = k.nation AND e.priority IN (a, b) AND (c IS NULL OR e.orderyear IN (c, d)) GROUP BY k.nation, k.qid"
 )
@@ -298,7 +311,7 @@ def set_queries_of_table(spark: SparkSession, d: str) -> DataFrame:
 FULL = "SELECT i::BIGINT AS support_id, (i // 35)::INTEGER AS status, ((i // 7) % 5)::INTEGER AS priority, (i % 7)::INTEGER AS orderyear FROM (SELECT unnest(range(105)) AS i)"
 
 
-@query(FULL)
+@fixed(FULL)
 def full_support(spark: SparkSession, d: str) -> DataFrame:
     return sup.full_support(spark, domain("ord", *SMALL))
 
@@ -326,12 +339,12 @@ def support_answers(spark: SparkSession, d: str) -> DataFrame:
 MATCHED = SW.lookup({"orderyear": 2, "priority": 3})
 
 
-@query(f"SELECT support_id, (CASE WHEN orderyear = 2 AND priority = 3 THEN 1.0 ELSE 0.0 END)::DOUBLE AS matches FROM ({FULL})")
+@fixed(f"SELECT support_id, (CASE WHEN orderyear = 2 AND priority = 3 THEN 1.0 ELSE 0.0 END)::DOUBLE AS matches FROM ({FULL})")
 def support_match(spark: SparkSession, d: str) -> DataFrame:
     return full_support(spark, d).select("support_id", SW.matches(MATCHED).cast("double").alias("matches"))
 
 
-@query(
+@fixed(
     " UNION ALL ".join(
         f"SELECT ({w.offset} + i)::BIGINT AS query_id, "
         + " || ',' || ".join(f"((i // {w.strides[w.attrs.index(a)]}) % {w.sizes[w.attrs.index(a)]})" if a in w.attrs else "'-1'" for a in SMALL)
@@ -351,7 +364,7 @@ PROBS = [(k, a, v, (1 + (k * 7 + i * 3 + v) % 5) / sum(1 + (k * 7 + i * 3 + u) %
 PSQL = values_sql(PROBS, "k, attr, value, p")
 
 
-@query(
+@fixed(
     f"WITH p AS ({PSQL}) SELECT ({SSOFT.lookup({'a': 0, 'b': 0})} + x.value * 3 + y.value)::BIGINT AS query_id, round(sum(x.p * y.p) / 4, 9) AS ans FROM p x JOIN p y USING (k) WHERE x.attr = 'a' AND y.attr = 'b' GROUP BY 1"
     f" UNION ALL SELECT ({SSOFT.lookup({'b': 0})} + value)::BIGINT, round(sum(p) / 4, 9) FROM p WHERE attr = 'b' GROUP BY 1"
 )
@@ -419,7 +432,7 @@ def _logits(spark: SparkSession, d: str) -> tuple[Domain, np.ndarray]:
     return own, logits
 
 
-@query(f"WITH e AS ({relation_sql('ord')}), c AS ({COUNT_SQL}) SELECT k::INTEGER AS k, attr, value::INTEGER AS value, round(c / sum(c) OVER (PARTITION BY k, attr), 9) AS p FROM c")
+@fixed(f"WITH e AS ({relation_sql('ord')}), c AS ({COUNT_SQL}) SELECT k::INTEGER AS k, attr, value::INTEGER AS value, round(c / sum(c) OVER (PARTITION BY k, attr), 9) AS p FROM c")
 def softmax_blocks(spark: SparkSession, d: str) -> DataFrame:
     own, logits = _logits(spark, d)
     p, at = models.softmax_blocks(logits, own), own.offsets()
@@ -533,7 +546,7 @@ EPS, DELTA = 1.0, 1e-9
 BOUND = "x * ((1 + x) * {rho} - eps) + (1 + x) * ln(x / (1 + x)) - ln(x)"
 
 
-@query(
+@fixed(
     f"""
 WITH RECURSIVE c AS (SELECT {EPS}::DOUBLE AS eps, {DELTA}::DOUBLE AS delta),
 b(k, low, high) AS (

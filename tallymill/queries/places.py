@@ -9,7 +9,7 @@ from ..domain import EncodedData
 from ..functions import census, geo, schema
 from ..operators import setquery as sq
 from .marginal import values_sql
-from .register import domain, frame, query, relation_sql
+from .register import domain, fixed, frame, query, relation_sql
 
 PER_SQL = relation_sql("per")
 NAMES = {"state": "TABBLKST", "county": "TABBLKCOU", "tract": "TABTRACTCE", "block": "TABBLK"}
@@ -85,7 +85,7 @@ RACE_SQL = (
 )
 
 
-@query(RACE_SQL)
+@fixed(RACE_SQL)
 def race_dimension(spark: SparkSession, d: str) -> DataFrame:
     return census.race_table(spark)
 
@@ -282,7 +282,7 @@ def release_answers(spark: SparkSession, d: str) -> DataFrame:
 CODED = [c for c in census.cells_of() if c.table in census.NHGIS]
 
 
-@query("SELECT * FROM (" + values_sql([(c.table, c.cell, f"{census.NHGIS[c.table]}{str(c.cell).zfill(3)}_dp") for c in CODED], "table_name, cell, code") + ")")
+@fixed("SELECT * FROM (" + values_sql([(c.table, c.cell, f"{census.NHGIS[c.table]}{str(c.cell).zfill(3)}_dp") for c in CODED], "table_name, cell, code") + ")")
 def nhgis_codes(spark: SparkSession, d: str) -> DataFrame:
     cells = spark.createDataFrame([(c.table, c.cell) for c in CODED], "table_name string, cell int")
     own = spark.createDataFrame(list(census.NHGIS.items()), "t string, prefix string")

@@ -25,6 +25,24 @@ def query(sql: str | None = None):
     return take
 
 
+#: What reads no table, or is fitted on the driver from a small vector: compared
+#: with its SQL, or run, by the tests alone.
+FIXED: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+FIXED_SQL: dict[str, str] = {}
+
+
+def fixed(sql: str | None = None):
+    """As query, but outside the register."""
+
+    def take(f):
+        FIXED[f.__name__] = f
+        if sql is not None:
+            FIXED_SQL[f.__name__] = sql
+        return f
+
+    return take
+
+
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
