@@ -15,7 +15,7 @@ Every strategy adds up before it shuffles.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from itertools import accumulate
 
 import numpy as np
@@ -211,43 +211,70 @@ def random_bridge(space: QuerySpace, seed: int = 0, most: int = 9) -> list[tuple
     return out
 
 
+def joint_sum(p: np.ndarray, w: Workload, at: Mapping[str, int], block: int = 256) -> np.ndarray:
+    """A workload's cells, each the sum over rows of the product of its places.
+    Rows go in blocks, so that no table is larger than a block of rows by the
+    workload's cells."""
+    own = np.zeros(w.n_cells)
+    for s in range(0, len(p), block):
+        part = p[s : s + block]
+        joint = np.ones((len(part), 1))
+        for a, n in zip(w.attrs[:-1], w.sizes[:-1]):
+            joint = (joint[:, :, None] * part[:, None, at[a] : at[a] + n]).reshape(len(part), -1)
+        if w.attrs:  # the last attribute by a matrix product, summed over rows at once
+            own += (joint.T @ part[:, at[w.attrs[-1]] : at[w.attrs[-1]] + w.sizes[-1]]).ravel()
+        else:
+            own += len(part)
+    return own
+
+
 def soft_answers(p: np.ndarray, space: QuerySpace, wids: Sequence[int] | None = None, block: int = 256) -> np.ndarray:
     """Answers of probabilistic rows: p is rows x one-hot places; a cell's answer
     is the mean over rows of the product of its places.  wids: only these
-    workloads are answered, the others' cells are 0.  Rows go in blocks, so that
-    no table is larger than a block of rows by a workload's cells."""
+    workloads are answered, the others' cells are 0."""
     at, out = space.domain.offsets(), np.zeros(space.n_queries)
     for w in space.workloads if wids is None else (space.workloads[k] for k in wids):
-        own = out[w.offset : w.offset + w.n_cells]
-        for s in range(0, len(p), block):
-            part = p[s : s + block]
-            joint = part[:, at[w.attrs[0]] : at[w.attrs[0]] + w.sizes[0]]
-            for a, n in zip(w.attrs[1:-1], w.sizes[1:-1]):
-                joint = (joint[:, :, None] * part[:, None, at[a] : at[a] + n]).reshape(len(part), -1)
-            if len(w.attrs) > 1:  # the last attribute by a matrix product, summed over rows at once
-                own += (joint.T @ part[:, at[w.attrs[-1]] : at[w.attrs[-1]] + w.sizes[-1]]).ravel()
-            else:
-                own += joint.sum(axis=0)
-        own /= len(p)
+        out[w.offset : w.offset + w.n_cells] = joint_sum(p, w, at, block) / len(p)
     return out
 
 
-def soft_answers_sql(rows: DataFrame, space: QuerySpace) -> DataFrame:
-    """soft_answers over (k, attr, value, p) rows: cells join their attributes'
-    probabilities row by row of k, multiply and average."""
-    spark = rows.sparkSession
-    out = None
-    n = rows.agg(F.countDistinct("k").alias("n_rows"))
+def soft_answers_of_rows(rows: DataFrame, space: QuerySpace, dense: int = DENSE_CELLS) -> DataFrame:
+    """(query_id, ans), soft_answers over rows (k, attr, value, p): each k's places
+    meet in one row, as many as the domain has; then tasks contract their rows for
+    all workloads of a pass and send one sum for each cell."""
+    at, width = space.domain.offsets(), sum(space.domain.shape)
+    starts = F.create_map(*[F.lit(x) for a, n in at.items() for x in (a, n)])
+    sizes = F.create_map(*[F.lit(x) for a, n in space.domain.config.items() for x in (a, n)])
+    known = F.col("value").between(0, F.element_at(sizes, F.col("attr")) - 1)
+    entry = F.when(known, F.struct((F.element_at(starts, F.col("attr")) + F.col("value")).cast("int").alias("at"), F.col("p").cast("double").alias("p")))
+    vectors = rows.groupBy("k").agg(F.collect_list(entry).alias("v")).select("v")
+    packed, size = [[]], 0
     for w in space.workloads:
-        joined = None
-        at = F.lit(w.offset).cast("bigint")
-        for i, (a, s) in enumerate(zip(w.attrs, w.strides)):
-            part = rows.where(F.col("attr") == a).select("k", F.col("value").alias(f"v{i}"), F.col("p").alias(f"p{i}"))
-            joined = part if joined is None else joined.join(part, "k")
-            at = at + F.col(f"v{i}") * F.lit(s).cast("bigint")
-        product = F.col("p0")
-        for i in range(1, len(w.attrs)):
-            product = product * F.col(f"p{i}")
-        found = joined.select(at.alias("query_id"), product.alias("q")).groupBy("query_id").agg(F.sum("q").alias("q"))
-        out = found if out is None else out.unionByName(found)
-    return (out if out is not None else spark.createDataFrame([], "query_id bigint, q double")).join(F.broadcast(n)).select("query_id", (F.col("q") / F.col("n_rows")).alias("ans"))
+        if packed[-1] and size + w.n_cells > dense:
+            packed, size = [*packed, []], 0
+        packed[-1].append(w)
+        size += w.n_cells
+    out = None
+    for own in packed:
+        part = vectors.mapInArrow(_contracting(own, at, width), "query_id bigint, s double, n bigint")
+        out = part if out is None else out.unionByName(part)
+    return out.groupBy("query_id").agg((F.sum("s") / F.sum("n")).alias("ans"))
+
+
+def _contracting(workloads: Sequence[Workload], at: Mapping[str, int], width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = [np.zeros(w.n_cells) for w in workloads], 0
+        for batch in batches:
+            if batch.num_rows:
+                lists = batch.column("v")
+                flat, row = lists.flatten(), np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+                p = np.zeros((batch.num_rows, width))
+                np.add.at(p, (row, flat.field("at").to_numpy()), flat.field("p").to_numpy(zero_copy_only=False))
+                for own, w in zip(total, workloads):
+                    own += joint_sum(p, w, at)
+                n += batch.num_rows
+        if n:
+            for own, w in zip(total, workloads):
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(w.offset, w.offset + w.n_cells)), pa.array(own), pa.array(np.full(w.n_cells, n))], names=["query_id", "s", "n"])
+
+    return run

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..domain import Domain, EncodedData
@@ -370,7 +370,7 @@ PSQL = values_sql(PROBS, "k, attr, value, p")
 )
 def soft_marginals(spark: SparkSession, d: str) -> DataFrame:
     rows = spark.createDataFrame(PROBS, "k int, attr string, value int, p double")
-    return m.soft_answers_sql(rows, SSOFT).select("query_id", F.round("ans", 9).alias("ans"))
+    return m.soft_answers_of_rows(rows, SSOFT).select("query_id", F.round("ans", 9).alias("ans"))
 
 
 SOFT_SETS = [{"priority": [0, 2], "orderyear": [1, 2, 3]}, {"priority": [4]}, {}, {"orderyear": [0, 6], "priority": [1, 2, 3]}]
@@ -411,7 +411,32 @@ SROWS = QuerySpace(domain("ord", "orderyear", "priority"), [("orderyear", "prior
 )
 def soft_marginals_of_rows(spark: SparkSession, d: str) -> DataFrame:
     """Marginals of the orders' shares by status."""
-    return m.soft_answers_sql(soft_rows(spark, d), SROWS).select("query_id", F.round("ans", 9).alias("ans"))
+    return m.soft_answers_of_rows(soft_rows(spark, d), SROWS).select("query_id", F.round("ans", 9).alias("ans"))
+
+
+# Shares of the orders' six attributes within 40 groups of orders: probabilistic
+# rows for 50 workloads, of two, three and four attributes.
+MANY_SPACE = (lambda w: QuerySpace(w, [x for k in (2, 3, 4) for x in all_workloads(w, k)]))(domain("ord"))
+SHARES_SQL = " UNION ALL ".join(f"SELECT k, '{a}' AS attr, {a} AS value, count(*) / sum(count(*)) OVER (PARTITION BY k) AS p FROM g GROUP BY k, {a}" for a in MANY_SPACE.domain)
+
+
+def _many_sql() -> str:
+    parts = []
+    for w in MANY_SPACE.workloads:
+        at = " + ".join([str(w.offset), *[f"x{i}.value * {s}" for i, s in enumerate(w.strides)]])
+        joins = "p x0" + "".join(f" JOIN p x{i} ON x{i}.k = x0.k AND x{i}.attr = '{a}'" for i, a in enumerate(w.attrs) if i)
+        parts.append(f"SELECT {at} AS query_id, sum({' * '.join(f'x{i}.p' for i in range(len(w.attrs)))}) / (SELECT count(DISTINCT k) FROM p) AS s FROM {joins} WHERE x0.attr = '{w.attrs[0]}' GROUP BY 1")
+    return f"WITH g AS (SELECT *, o_orderkey % 40 AS k FROM ({relation_sql('ord')})), p AS MATERIALIZED ({SHARES_SQL}) SELECT range::BIGINT AS query_id, round(coalesce(s, 0), 9) AS ans FROM range({MANY_SPACE.n_queries}) LEFT JOIN ({' UNION ALL '.join(parts)}) ON query_id = range"
+
+
+@query(_many_sql())
+def soft_marginals_many(spark: SparkSession, d: str) -> DataFrame:
+    """All two-, three- and four-way marginals of those rows."""
+    orders = frame(spark, d, "ord")
+    cells = F.explode(F.array(*[F.struct(F.lit(a).alias("attr"), F.col(a).alias("value")) for a in MANY_SPACE.domain]))
+    counts = orders.select((F.col("o_orderkey") % 40).alias("k"), cells.alias("c")).groupBy("k", "c.attr", "c.value").agg(F.count(F.lit(1)).alias("n"))
+    shares = counts.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("k", "attr")))
+    return m.soft_answers_of_rows(shares.select("k", "attr", "value", "p"), MANY_SPACE).select("query_id", F.round("ans", 9).alias("ans"))
 
 
 # A model whose logits are logarithms of counts: one row for each status.
