@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Mapping, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,8 @@ SetQuery = Mapping[str, Sequence]
 BLOCK, MOST = 1024, 1 << 22
 #: Queries up to which one pass of conditional sums is used.
 INLINE = 16
+#: Queries for each class from which sums along an attribute are used.
+FEWER = 4
 
 
 def canonical(query: SetQuery) -> tuple:
@@ -79,11 +82,18 @@ def set_answers(data: EncodedData, queries: Sequence[SetQuery], density: bool =
     inline   one pass with a conditional sum for each query, for few queries
     tables   rows are counted by the values of the queries' attributes first; each
              different row then finds the queries that count it by one look-up for
-             each attribute.  A task sends one row for each query and group"""
+             each attribute.  A task sends one row for each query and group
+    bands    if the queries ask for bands of one attribute (ages, say) within a few
+             classes of the others: the rows of a class are summed up along the
+             attribute, and a band is the difference of two such sums, so the work
+             is in rows times classes, plus cells"""
     n, by = len(queries), list(by)
+    bands = banded(queries) if strategy in ("auto", "bands") else None
     if strategy == "auto":
-        strategy = "inline" if n <= INLINE and not by else "tables"
-    found = _inline(data, queries) if strategy == "inline" else _tables(data, SetSpace(data.domain, queries), by)
+        strategy = "inline" if n <= INLINE and not by else "bands" if bands and FEWER * len(bands.classes) <= n else "tables"
+    if strategy == "bands" and bands is None:
+        raise ValueError("no attribute is asked for in bands by all queries")
+    found = _inline(data, queries) if strategy == "inline" else _bands(data, bands, by) if strategy == "bands" else _tables(data, SetSpace(data.domain, queries), by)
     own = [column(b) for b in by]
     ans = F.when(F.col("t") > 0, F.col("s") / F.col("t")).otherwise(0.0) if density else F.col("s")
     whole = found.select(*own, "qid", ans.alias("ans"))
@@ -115,13 +125,8 @@ def _tables(data: EncodedData, space: SetSpace, by: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[tuple, np.ndarray] = {}
         for batch in batches:
-            weights, places = batch.column("__n").to_numpy(zero_copy_only=False), {}
+            weights, places = batch.column("__n").to_numpy(zero_copy_only=False), _places(batch, tables)
             keys = list(zip(*[batch.column(b).to_pylist() for b in by])) if by else [()] * batch.num_rows
-            for a, (values, _) in tables.items():
-                valid = batch.column(a).is_valid().to_numpy(zero_copy_only=False)
-                own = batch.column(a).fill_null(values[0].item()).to_numpy(zero_copy_only=False)
-                at = np.minimum(np.searchsorted(values, own), len(values) - 1)
-                places[a] = np.where((values[at] == own) & valid, at, len(values))
             groups = {k: i for i, k in enumerate(dict.fromkeys(keys))}
             names, which = list(groups), np.array([groups[k] for k in keys], int)
             order = np.argsort(which, kind="stable")
@@ -143,6 +148,89 @@ def _tables(data: EncodedData, space: SetSpace, by: list[str]) -> DataFrame:
     return counts.mapInArrow(run, schema).groupBy(*[column(b) for b in by], "qid").agg(F.sum("s").alias("s"), F.sum("t").alias("t"))
 
 
+@dataclass(frozen=True)
+class Banded:
+    """Queries as (class, first, end) along an attribute; a class is what they ask
+    of the others, and first None means any value, missing ones too."""
+
+    axis: str
+    classes: list[dict[str, tuple]]
+    queries: list[tuple[int, int | None, int | None]]
+
+
+def banded(queries: Sequence[SetQuery]) -> Banded | None:
+    """The attribute that leaves the fewest classes, of those that every query
+    leaves free or asks for in one run of integers; None if there is none."""
+    asked, best = [dict(canonical(q)) for q in queries], None
+    for axis in sorted({a for q in asked for a in q}):
+        runs = [q.get(axis) for q in asked]
+        if not all(r is None or (all(isinstance(v, int) for v in r) and r[0] >= 0 and r[-1] - r[0] == len(r) - 1) for r in runs):
+            continue
+        rest = [tuple((a, v) for a, v in q.items() if a != axis) for q in asked]
+        place = {c: k for k, c in enumerate(dict.fromkeys(rest))}
+        if best is None or len(place) < len(best.classes):
+            best = Banded(axis, [dict(c) for c in place], [(place[c], r and r[0], r and r[-1] + 1) for c, r in zip(rest, runs)])
+    return best
+
+
+def _places(batch: pa.RecordBatch, tables: Mapping[str, tuple[np.ndarray, np.ndarray]]) -> dict[str, np.ndarray]:
+    """Each row's place among the values that queries name, by attribute."""
+    out = {}
+    for a, (values, _) in tables.items():
+        valid = batch.column(a).is_valid().to_numpy(zero_copy_only=False)
+        own = batch.column(a).fill_null(values[0].item()).to_numpy(zero_copy_only=False)
+        at = np.minimum(np.searchsorted(values, own), len(values) - 1)
+        out[a] = np.where((values[at] == own) & valid, at, len(values))
+    return out
+
+
+def _bands(data: EncodedData, bands: Banded, by: list[str]) -> DataFrame:
+    """As _tables."""
+    space, n = SetSpace(data.domain, bands.classes), len(bands.queries)
+    tables, size = space.tables(), max((end for _, _, end in bands.queries if end), default=0)
+    counts = data.df.groupBy(*[column(a) for a in dict.fromkeys([*by, bands.axis, *space.attrs])]).agg(F.sum(data.mass()).alias("__n"))
+    if by:  # a group has as many rows as its codes allow
+        counts = counts.repartition(*[column(b) for b in by]).sortWithinPartitions(*[column(b) for b in by])
+    fields = [data.df.schema[b] for b in by]
+    kinds = [to_arrow_type(f.dataType) for f in fields]
+    of_class = [[(k, first, end) for k, (c, first, end) in enumerate(bands.queries) if c == own] for own in range(len(bands.classes))]
+
+    def answered(keys: list[tuple], group: np.ndarray, met: np.ndarray, at: np.ndarray, w: np.ndarray) -> pa.RecordBatch:
+        sums, whole = np.zeros((len(keys), n)), np.bincount(group, w, minlength=len(keys))
+        for own, asked in enumerate(of_class):
+            hit = met[:, own]
+            along = np.zeros((len(keys), size + 1))  # [:, v + 1] of value v, then summed up
+            inside = hit & (at >= 0)
+            np.add.at(along, (group[inside], at[inside] + 1), w[inside])
+            along = along.cumsum(axis=1)
+            every = np.bincount(group[hit], w[hit], minlength=len(keys))
+            for k, first, end in asked:
+                sums[:, k] = every if first is None else along[:, end] - along[:, first]
+        columns = [pa.array([v for v in values for _ in range(n)], kind) for values, kind in zip(zip(*keys), kinds)]
+        columns += [pa.array(np.tile(np.arange(n, dtype=np.int32), len(keys))), pa.array(sums.ravel()), pa.array(np.repeat(whole, n))]
+        return pa.RecordBatch.from_arrays(columns, names=[*by, "qid", "s", "t"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows or not n:
+                continue
+            w, places = batch.column("__n").to_numpy(zero_copy_only=False), _places(batch, tables)
+            met = np.ones((batch.num_rows, len(bands.classes)), bool)
+            for a, (_, allowed) in tables.items():
+                met &= allowed[places[a]]
+            code = batch.column(bands.axis).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+            at = np.where((code >= 0) & (code < size), code, -1)
+            keys = list(zip(*[batch.column(b).to_pylist() for b in by])) if by else [()] * batch.num_rows
+            groups = {k: i for i, k in enumerate(dict.fromkeys(keys))}
+            which, names, step = np.array([groups[k] for k in keys]), list(groups), max(1, (1 << 20) // n)
+            for first in range(0, len(names), step):
+                own = (which >= first) & (which < first + step)
+                yield answered(names[first : first + step], which[own] - first, met[own], at[own], w[own])
+
+    schema = StructType([*fields, StructField("qid", IntegerType()), StructField("s", DoubleType()), StructField("t", DoubleType())])
+    return counts.mapInArrow(run, schema).groupBy(*[column(b) for b in by], "qid").agg(F.sum("s").alias("s"), F.sum("t").alias("t"))
+
+
 def _runs(sorted_: np.ndarray) -> Iterator[tuple[int, int, int]]:
     """(value, first, last) of each run of equal values."""
     edges = [0, *(np.flatnonzero(np.diff(sorted_)) + 1).tolist(), len(sorted_)]

@@ -8,6 +8,7 @@ import pytest
 
 from tallymill.domain import Domain, EncodedData
 from tallymill.operators import marginals as m
+from tallymill.operators import setquery as sq
 from tallymill.operators import setrelation as sr
 from tallymill.plans import lattice
 from tallymill.plans.workload import QuerySpace, all_workloads, random_workloads
@@ -58,6 +59,26 @@ def test_relation_of_codes_and_repetitions(spark):
     assert {(r.place, r.qid): r.ans for r in sr.relation_answers(rows, own).collect()} == {(1, 0): 2, (1, 1): 2, (1, 2): 1, (2, 0): 1, (2, 1): 2}
 
 
+@pytest.mark.parametrize("by", [[], ["p"]])
+def test_bands_as_tables(spark, by):
+    rng = random.Random(len(by))
+    dom = Domain(("age", "sex", "race", "p"), (20, 2, 5, 3))
+    rows = [(rng.choice([-1, None, *range(22)]), rng.choice([0, 1, None]), rng.randrange(6), rng.choice([0, 1, None]), float(rng.randint(1, 3))) for _ in range(300)]
+    data = EncodedData(spark.createDataFrame(rows, "age int, sex int, race int, p int, w double"), dom, "w")
+    asked = []
+    for _ in range(40):
+        a = rng.randrange(20)
+        asked.append({"age": rng.choice([[], range(a, rng.randint(a, 21) + 1)]), "sex": rng.choice([[], [0], [1]]), "race": rng.choice([[], [0, 3]])})
+    bands = sq.banded(asked)
+    assert bands.axis == "age" and len(bands.classes) <= 6
+    for density in (True, False):
+        one, two = (sorted(map(tuple, sq.set_answers(data, asked, density, by, strategy=s).collect()), key=str) for s in ("tables", "bands"))
+        assert [r[:-1] for r in one] == [r[:-1] for r in two] and [r[-1] for r in one] == pytest.approx([r[-1] for r in two])
+    assert sq.banded([{"age": [1, 3]}]) is None and sq.banded([{}]) is None
+    with pytest.raises(ValueError):
+        sq.set_answers(data, [{"age": [1, 3], "sex": [0]}, {"sex": [0, 5], "age": [7]}], strategy="bands")
+
+
 def _domain(sizes):
     return Domain(tuple(f"a{i:02}" for i in range(len(sizes))), tuple(sizes))
 
