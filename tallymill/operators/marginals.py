@@ -177,7 +177,7 @@ def workload_column(space: QuerySpace, query_id: str = "query_id") -> Column:
     """The workload of a query id: by halving over the literal offsets, or, among
     many workloads, by search in Arrow batches."""
     if len(space.workloads) > LITERALS:
-        starts = np.array([w.offset for w in space.workloads])
+        starts = space.starts
 
         @F.pandas_udf("int")
         def search(ids: pd.Series) -> pd.Series:

@@ -80,9 +80,16 @@ class QuerySpace:
         named = sorted(tuple(sorted(w)) for w in named) if ordered else named
         cells = [domain.size(w) for w in named]
         starts = [0, *accumulate(cells)]
-        self.domain, self.n_queries = domain, starts[-1]
+        self.domain, self.n_queries, self.starts = domain, starts[-1], np.array(starts[:-1], np.int64)
         self.workloads = [Workload(i, w, tuple(domain[a] for a in w), starts[i]) for i, w in enumerate(named)]
 
+    def __reduce__(self):
+        """A task gets the workloads as two arrays, attribute numbers in a row and
+        how many each workload has, not as objects."""
+        place = {a: i for i, a in enumerate(self.domain.attrs)}
+        flat = np.array([place[a] for w in self.workloads for a in w.attrs], np.int32)
+        return _unpacked, (self.domain, flat, np.array([len(w.attrs) for w in self.workloads], np.int32))
+
     @property
     def attrs(self) -> list[str]:
         used = {a for w in self.workloads for a in w.attrs}
@@ -102,8 +109,7 @@ class QuerySpace:
     def workload_of(self, query_id: int) -> Workload:
         if not 0 <= query_id < self.n_queries:
             raise IndexError(query_id)
-        starts = [w.offset for w in self.workloads]
-        return self.workloads[int(np.searchsorted(starts, query_id, "right")) - 1]
+        return self.workloads[int(np.searchsorted(self.starts, query_id, "right")) - 1]
 
     def values(self, query_id: int) -> dict[str, int]:
         w = self.workload_of(query_id)
@@ -146,3 +152,9 @@ class QuerySpace:
 
     def sensitivity(self, n: int) -> float:
         return 1.0 / n
+
+
+def _unpacked(domain: Domain, flat: np.ndarray, lengths: np.ndarray) -> QuerySpace:
+    names = [domain.attrs[i] for i in flat.tolist()]
+    ends = np.cumsum(lengths).tolist()
+    return QuerySpace(domain, [tuple(names[b - n : b]) for n, b in zip(lengths.tolist(), ends)], ordered=False)

@@ -1,6 +1,7 @@
 """Set queries as a relation, and cuboids that cover workloads."""
 
 import itertools
+import pickle
 import random
 
 import numpy as np
@@ -128,3 +129,14 @@ def test_sums_in_several_passes(spark, density, dense, monkeypatch):
         by = {None: 1.0, "valid": weights[ok].sum(), "all": weights.sum()}[density]
         want |= {w.offset + k: x / by for k, x in enumerate(cells)}
     assert got == pytest.approx(want)
+
+
+def test_spaces_travel_as_arrays():
+    dom = _domain([2, 3, 4] * 27)
+    space = QuerySpace(dom, all_workloads(dom, 3))  # 85,320 workloads
+    sent = pickle.dumps(space)
+    assert len(sent) < 16 * len(space.workloads) + 10_000
+    again = pickle.loads(sent)
+    assert again.workloads == space.workloads and again.n_queries == space.n_queries
+    for q in (0, 1, 77, 400_000, space.n_queries - 1):
+        assert again.lookup(again.values(q)) == q and again.describe(q) == space.describe(q)
