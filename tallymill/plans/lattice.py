@@ -70,7 +70,8 @@ class Cuboid:
             for c, n in zip(own, w.sizes):
                 at = at * n + c[ok]
             found, place = np.unique(at, return_inverse=True)
-            yield found + w.offset, np.bincount(place, sums[ok], minlength=len(found))
+            if len(found):
+                yield found + w.offset, np.bincount(place, sums[ok], minlength=len(found))
 
 
 def cover(workloads: Sequence[Workload], most: int = MOST) -> list[Cuboid]:
