@@ -14,9 +14,8 @@ of one template, which share bands but are unlike, fall apart here.
 
 What is joined are clusters.  Within a cluster every pair is compared exactly
 unless it is connected already or the sizes of its sets rule it out; no proposal
-counts as a link by itself.  A cluster larger than a tile is dealt as tiles, each
-with the cluster's root; what that doesn't connect meets the others in a second
-pass, so no task holds more than two tiles and most texts travel twice at most.
+counts as a link by itself.  A cluster larger than a tile is dealt as its tile
+pairs, so no task holds more than two tiles.
 
 Edge cases: null text counts as empty; fewer words than a shingle are one
 shingle; texts with equal sets are one node; empty tables give empty results.
@@ -40,6 +39,9 @@ from .simhash import SEED, SKETCH_SHINGLE, Near, _hashes, _united, fingerprint,
 BANDS, ROWS, TILE = 30, 6, 512
 #: Agreement of sketches that joins two texts, and that settles a text; sketches in a tile.
 LOW, SURE, SKETCHES = 0.65, 0.9, 4096
+#: Bands shared that join two texts without a look at sketches (a similarity of 0.65 shares as
+#: many with probability 0.002, and what is joined is compared exactly), and that settle a text.
+MANY, MOST = 8, 20
 _random = np.random.default_rng(SEED)
 #: Odd factors and addends of the MinHash values, and what joins a band's values to its key.
 TIMES, PLUS = (_random.integers(0, 2**64, (2, BANDS * ROWS), np.uint64) | np.array([[1], [0]], np.uint64))
@@ -131,11 +133,16 @@ def proposals(rows: DataFrame, near: Near) -> DataFrame:
     one = own.select(F.col("fp").alias("f"), F.col("v").alias("n"))
     two = own.select(F.col("fp").alias("g"), F.col("v").alias("m"))
     by_bits = close.join(one, F.col("u") == F.col("f")).join(two, F.col("v") == F.col("g")).select(F.col("n").alias("u"), F.col("m").alias("v"))
-    ties = cut(by_band.unionByName(by_print).unionByName(by_bits).where("u <> v").distinct())
+    bands = by_band.where("u <> v").groupBy("u", "v").agg(F.count(F.lit(1)).alias("shared"))
+    printed_ties = by_print.unionByName(by_bits).where("u <> v").select("u", "v", F.lit(0).cast("bigint").alias("shared"))
+    every = cut(bands.unionByName(printed_ties).groupBy("u", "v").agg(F.max("shared").alias("shared")))
+    # many equal bands tell as much as a sketch, which then need not travel
+    plain = every.where(F.col("shared") >= MANY).select("u", "v", F.when(F.col("shared") >= MOST, 1.0).otherwise(LOW).alias("like"))
+    ties = every.where(F.col("shared") < MANY).select("u", "v")
     sketches = nodes.select("node", "sketch")
     hub = ties.groupBy("v").agg(F.count(F.lit(1)).alias("n")).join(sketches.withColumnRenamed("sketch", "two"), F.col("v") == F.col("node")).select("v", "n", "two")
     both = joined(ties.join(sketches.withColumnRenamed("sketch", "one"), F.col("u") == F.col("node")).select("u", "v", "one"), hub, "v", ties.count())
-    measured = cut(per_batch(both, _agreement, "u bigint, v bigint, like double"))
+    measured = cut(per_batch(both, _agreement, "u bigint, v bigint, like double").unionByName(plain))
     unsure = measured.where(F.col("like") < SURE).select(F.col("v").alias("hub"), F.col("u").alias("node"))
     several = unsure.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     crowd = joined(unsure, several, "hub", unsure.count()).join(sketches, "node").select("hub", "node", "sketch")
@@ -178,39 +185,8 @@ def _confirmed(batches: Iterator[pa.RecordBatch], bound: float) -> Iterator[pa.R
 
 def confirmed(members: DataFrame, bound: float, tile: int = TILE) -> DataFrame:
     """Edges (u, v) that connect whatever is linked within the clusters of
-    members (root, node, text).  First each tile of a cluster is compared within
-    itself and with the cluster's root, which is all for a small cluster and
-    connects most of a large one.  Then the texts of a large cluster that aren't in
-    its largest class by now are compared with all its others: of two texts of
-    one class no comparison is needed."""
-    sizes = members.groupBy(F.col("root").alias("r")).agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles"))
-    large = cut(sizes.where("tiles > 1"))
-    tiled = members.join(large, F.col("root") == F.col("r"), "left").drop("r").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
-    at = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
-
-    def compared(rows: DataFrame, *key: str) -> DataFrame:
-        dealt = rows.select(F.xxhash64(*key).alias("pair"), "side", "node", "text").repartition("pair").sortWithinPartitions("pair")
-        return dealt.mapInArrow(lambda it: _confirmed(it, bound), "u bigint, v bigint")
-
-    own = tiled.where("node <> root").withColumn("at", at)
-    roots = tiled.where("node = root").withColumn("at", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    first = cut(compared(own.unionByName(roots).withColumn("side", F.lit(0)), "root", "at"))
-    if large.isEmpty():
-        return first
-    nodes = tiled.where("tiles > 1").select("root", "node")
-    found = components(first).withColumnRenamed("root", "class").withColumnRenamed("node", "n")
-    classed = cut(nodes.join(found, F.col("node") == F.col("n"), "left").select("root", "node", F.coalesce("class", "node").alias("class")))
-    counted = classed.groupBy("root", "class").agg(F.count(F.lit(1)).alias("size"))
-    main = counted.groupBy("root").agg(F.max(F.struct("size", "class"))["class"].alias("main"), F.sum("size").alias("all"), F.max("size").alias("most"))
-    others = cut(main.where(F.col("all") > F.col("most")).select("root", "main", F.ceil((F.col("all") - F.col("most")) / tile).cast("int").alias("rests")))
-    if others.isEmpty():
-        return first
-    left = classed.join(others, "root").where(F.col("class") != F.col("main")).select("root", "node", "rests")
-    texts = tiled.where("tiles > 1").join(others.select("root", "rests"), "root")
-    rest = texts.join(left.select("node"), "node", "left_semi").withColumn("rest", F.pmod(F.xxhash64("node"), F.col("rests")).cast("int"))
-    rest = rest.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumn("side", F.lit(0))
-    every = texts.withColumn("at", at).withColumn("rest", F.explode(F.sequence(F.lit(0), F.col("rests") - 1))).withColumn("side", F.lit(1))
-    return first.unionByName(compared(rest.unionByName(every), "root", "at", "rest"))
+    members (root, node, text)."""
+    return in_tiles(members, "root", tile).mapInArrow(lambda it: _confirmed(it, bound), "u bigint, v bigint")
 
 
 def similar(docs: DataFrame, near: Near, tile: int = TILE) -> DataFrame:
