@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import codecs
 import re
+from array import array
 from heapq import heapify, heappop, heappush
 from operator import add
 
@@ -39,6 +40,8 @@ SPACE = "▁"
 EDGE = "\U0010ffff" * 2
 #: Stretches of a generation of a worker's table (two are held), and the longest that is kept.
 CACHED, LONGEST = 300_000, 64
+#: Characters of a text whose agenda is a list, at most, and the score of a pair that is no piece.
+SHORT, NEVER = 32, float("inf")
 
 #: The library puts U+FFFD for every byte that is part of no character.
 codecs.register_error("tallymill-bytes", lambda e: ("�", e.start + 1))
@@ -72,13 +75,39 @@ class Pieces:
         apart = not any(SPACE in p.lstrip(SPACE) or ("\n" in p and len(p) > 1) for p in self.ids)
         self.stretches = re.compile(r" *[^ \n]+|\n| +") if apart else None
         self.pairs = {pair for p in self.ids for pair in map(add, p, p[1:])}
-        self.parts: dict[str, list[int]] = {}
+        self.parts: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
         self.unchecked: dict[str, bytes] = {}
 
     def merge(self, text: str) -> list[int]:
         """The ids of text, where spaces are SPACE, by the agenda."""
+        out: list[int] = []
+        for s in self._short(text) if len(text) <= SHORT else self._long(text):
+            if s in self.ids:
+                out.append(self.ids[s])
+            elif s:
+                out += [self.bytes[b] for b in s.encode()] if self.bytes else [self.unknown]
+        return out
+
+    def _short(self, text: str) -> list[str]:
+        """A short text's symbols: the agenda is a list beside them, a pair's score
+        at its left symbol's place, and the best is looked for."""
+        score, symbols = self.scores.get, [*text]
+        agenda = [score(pair, NEVER) for pair in map(add, text, text[1:])]
+        while agenda and (best := min(agenda)) != NEVER:
+            i = agenda.index(best)
+            symbols[i] = piece = symbols[i] + symbols.pop(i + 1)
+            del agenda[i]
+            if i < len(agenda):
+                agenda[i] = score(piece + symbols[i + 1], NEVER)
+            if i:
+                agenda[i - 1] = score(symbols[i - 1] + piece, NEVER)
+        return symbols
+
+    def _long(self, text: str) -> list[str]:
+        """The same of a long text, with some of them empty: the agenda is a heap,
+        the symbols a list of neighbours."""
         score, symbols, n = self.scores.get, [*text, EDGE], len(text)
         after, ahead, agenda = list(range(1, n + 1)), list(range(-1, n)), []
         for i, piece in enumerate(map(add, text, text[1:])):
@@ -96,30 +125,28 @@ class Pieces:
                 heappush(agenda, (s, near, left, joined))
             if (s := score(joined := piece + symbols[far])) is not None:
                 heappush(agenda, (s, left, far, joined))
-        out: list[int] = []
-        for s in symbols[:n]:
-            if s in self.ids:
-                out.append(self.ids[s])
-            elif s:
-                out += [self.bytes[b] for b in s.encode()] if self.bytes else [self.unknown]
-        return out
+        return symbols[:n]
 
     def _stretch(self, stretch: str) -> bytes:
-        """A stretch's ids: its parts between pairs of characters that no piece holds."""
+        """A stretch's ids; one that isn't a word alone is cut between characters
+        that no piece holds side by side."""
         found = self.before.get(stretch)
         if found is None:
             text = stretch.replace(" ", SPACE)
-            cuts = [i for i, pair in enumerate(map(add, text, text[1:]), 1) if pair not in self.pairs]
-            ids = [i for a, b in zip([0, *cuts], [*cuts, len(text)]) for i in self._part(text[a:b])]
-            self.unchecked[stretch] = found = np.array(ids, dtype="<u4").tobytes()
+            if text[1:].isalpha() and len(text) <= SHORT:
+                found = array("I", self.merge(text)).tobytes()
+            else:
+                cuts = [i for i, pair in enumerate(map(add, text, text[1:]), 1) if pair not in self.pairs]
+                found = b"".join([self._part(text[a:b]) for a, b in zip([0, *cuts], [*cuts, len(text)])])
+            self.unchecked[stretch] = found
         if len(stretch) <= LONGEST:
             self.known[stretch] = found
         return found
 
-    def _part(self, part: str) -> list[int]:
+    def _part(self, part: str) -> bytes:
         found = self.parts.get(part)
         if found is None:
-            found = self.merge(part)
+            found = array("I", self.merge(part)).tobytes()
             if len(part) <= LONGEST:
                 if len(self.parts) > self.cached:
                     self.parts = {}
