@@ -3,6 +3,7 @@ keys, lineage cuts."""
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -63,6 +64,14 @@ def joined(rows: DataFrame, table: DataFrame, on: str, total: int, how: str = "i
     return rows.join(F.broadcast(hot), on).unionByName(rest)
 
 
+def released(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove the shuffle files of tables that nobody holds
+    any more: it learns of them when the driver collects its garbage, which may
+    else be long after a loop has filled the disks with its rounds."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def row_key(df: DataFrame) -> Column:
     """A string for each row that sorts by doc_id, nulls last, then by 128 bits of
     hashes of all columns: equal for equal rows only."""

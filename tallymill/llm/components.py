@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, released
 
 
 def _star(edges: DataFrame, small: bool) -> DataFrame:
@@ -37,3 +37,4 @@ def components(edges: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = (n, mark)
         edges = cut(_star(_star(edges, small=False), small=True))
+        released(edges.sparkSession)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import grouped, per_batch, texts_of
-from .common import cut, joined
+from .common import cut, joined, released
 from .components import components
 from .simhash import SEED, SKETCH_SHINGLE, Near, _hashes, _united, fingerprint, links, words_of
 
@@ -194,6 +194,7 @@ def similar(docs: DataFrame, near: Near, tile: int = TILE) -> DataFrame:
     equal classes are connected by texts of a similarity of near.exact or more."""
     rows = cut(per_batch(docs.select("key", "text"), _described, "key string, node bigint, fp bigint, bands array<bigint>, sketch binary"))
     roots = cut(components(proposals(rows, near)))
+    released(docs.sparkSession)
     every = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
     held = cut(rows.groupBy("node").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("n")))
     chosen = every.join(held, "node").select("root", "node", "key")
