@@ -44,7 +44,7 @@ from .common import HEAVY, crc_mod, cut, read
 
 DEPTH, SEGMENT, BLOCK = 5, 1 << 20, 1 << 20
 #: Bytes of text in a chunk, about; entries in a task's tables before they are sent.
-CHUNK, TABLE = 24 << 20, 500_000
+CHUNK, TABLE = 16 << 20, 500_000
 #: Grams that are broadcast, at most (16 bytes each).
 SHARED = 4_000_000
 #: Groups that the contexts of three bytes are dealt to.
@@ -191,32 +191,16 @@ def _context(table: pa.Table) -> pa.Table:
     return pa.table({"context": table["above"][:1], "kt": pa.array([kt.ravel()]), "w": pa.array([w]), "told": pa.array([told])})
 
 
-def _mixed(rows: DataFrame, contexts: list, shift: int) -> DataFrame:
-    """(gram, n, p): the estimates of these contexts (the gram's bytes above shift)
-    mixed in."""
-    own = np.array(sorted(r["context"] for r in contexts))
-    by = {r["context"]: r for r in contexts}
-    kt = np.array([by[c]["kt"] for c in own.tolist()]).reshape(-1, 256, 2)
-    w = np.array([by[c]["w"] for c in own.tolist()]).reshape(-1, 256)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                grams = batch.column("gram").to_numpy()
-                p = batch.column("p").flatten().to_numpy().reshape(-1, 8).copy()
-                x, c = grams & 255, np.searchsorted(own, grams >> shift)
-                for level in range(8):
-                    node, bit = (x >> (8 - level)) | (1 << level), (x >> (7 - level)) & 1
-                    p[:, level] = w[c, node] * kt[c, node, bit] + (1 - w[c, node]) * p[:, level]
-                yield pa.RecordBatch.from_arrays([batch.column("gram"), batch.column("n"), pa.array(list(p), pa.list_(pa.float64()))], names=["gram", "n", "p"])
-
-    return rows.mapInArrow(run, "gram bigint, n bigint, p array<double>")
-
-
-def _finish(rows: DataFrame, firsts: list, depth: int) -> DataFrame:
-    """(gram, n, lp): the estimates of the nearest byte's context and of the root
-    mixed in.  firsts: at most 256 contexts, by nearest byte; kt is null if the
-    trees were solved down to the nearest byte alone."""
+def _finish(rows: DataFrame, seconds: list, firsts: list, depth: int) -> DataFrame:
+    """(gram, n, lp): the estimates of the contexts in seconds (the large pairs of
+    nearest bytes, by number), of the nearest byte's context and of the root mixed
+    in.  firsts: at most 256 contexts, by nearest byte; kt is null if the trees were
+    solved down to the nearest byte alone.  One function does all of it: two in a
+    row would hold a second Python process for each core until the run's end."""
+    seconds = sorted(seconds, key=lambda r: r["context"])
+    pairs = np.array([r["context"] for r in seconds], np.int64).view(np.uint64)
+    kt2 = np.array([r["kt"] for r in seconds]).reshape(-1, 256, 2)
+    w2 = np.array([r["w"] for r in seconds]).reshape(-1, 256)
     kt0, w0, _ = _level([r["told"] for r in firsts])
     kt1, w1 = np.full((256, 256, 2), 0.5), np.zeros((256, 256))
     for r in firsts:
@@ -230,9 +214,15 @@ def _finish(rows: DataFrame, firsts: list, depth: int) -> DataFrame:
             grams = batch.column("gram").to_numpy()
             p = batch.column("p").flatten().to_numpy().reshape(-1, 8)
             x, c, lp = grams & 255, (grams >> (8 * depth)) & 255, np.zeros(len(grams))
+            pair = _place(pairs, grams.view(np.uint64) >> np.uint64(8 * (depth - 1)))
+            deep = np.flatnonzero(pair >= 0)
+            own = pair[deep]
             for level in range(8):
                 node, bit = (x >> (8 - level)) | (1 << level), (x >> (7 - level)) & 1
-                mixed = w1[c, node] * kt1[c, node, bit] + (1 - w1[c, node]) * p[:, level]
+                mixed = p[:, level].copy()
+                w = w2[own, node[deep]]
+                mixed[deep] = w * kt2[own, node[deep], bit[deep]] + (1 - w) * mixed[deep]
+                mixed = w1[c, node] * kt1[c, node, bit] + (1 - w1[c, node]) * mixed
                 lp += np.log10(w0[node] * kt0[node, bit] + (1 - w0[node]) * mixed)
             yield pa.RecordBatch.from_arrays([batch.column("gram"), batch.column("n"), pa.array(lp)], names=["gram", "n", "lp"])
 
@@ -266,14 +256,14 @@ def train(rows: DataFrame, depth: int = DEPTH) -> Model:
     solved = cut(solve(trees.groupBy("under"), top))
     below, told = solved.where("gram IS NOT NULL").select("gram", "n", "p"), solved.where("gram IS NULL").select("above", "p")
     if seconds:
-        below = below.unionByName(_mixed(fine.where("gram IS NOT NULL").select("gram", "n", "p"), seconds, 8 * (depth - 1)))
+        below = below.unionByName(fine.where("gram IS NOT NULL").select("gram", "n", "p"))
         told = told.unionByName(rows.sparkSession.createDataFrame([(r["context"] >> 8, r["told"]) for r in seconds], "above int, p array<double>"))
     if top == 2:
         firsts = told.groupBy("above").applyInArrow(_context, CONTEXT).collect()  # at most 256 rows
     else:
         none = F.lit(None).cast("array<double>")
         firsts = told.select(F.col("above").alias("context"), none.alias("kt"), none.alias("w"), F.col("p").alias("told")).collect()  # at most 256 rows
-    done = cut(_finish(below, firsts, depth))
+    done = cut(_finish(below, seconds, firsts, depth))
     return Model(totals.where("word IS NOT NULL").select("word", "n"), done, sums[1] + ends, sums[0] + (ends > 0), ends)
 
 
@@ -305,6 +295,19 @@ def _place(codes: np.ndarray, asked: np.ndarray) -> np.ndarray:
     return np.where(codes[at] == asked, at, -1)
 
 
+def _of_words(answers: pa.Table, base: Callable[[float], float]) -> dict[bytes, float]:
+    """base of the count of each word in a chunk's answers.  Taken in slices, and
+    equal counts share a number: beside the table there is little else."""
+    lp: dict[bytes, float] = {}
+    by_count: dict[float, float] = {}
+    for batch in answers.select(["word", "value"]).to_batches(max_chunksize=8192):
+        batch = batch.filter(pa.compute.is_valid(batch.column("word")))
+        counts = batch.column("value").to_pylist()
+        by_count |= {n: base(n) for n in {*counts} - by_count.keys()}
+        lp.update(zip(batch.column("word").to_pylist(), map(by_count.__getitem__, counts)))
+    return lp
+
+
 def _split(grams: DataFrame, most: int) -> tuple[DataFrame, DataFrame | None]:
     """The most frequent grams, at most ``most``, and the others if there are any.
     The cut lies between powers of two of the counts."""
@@ -343,11 +346,10 @@ def _scored(chunked: DataFrame, model: Model, depth: int, most: int) -> DataFram
     unknown, end, end_known = base(0), base(model.n_ends), int(model.n_ends > 0)
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        of_words = answers.filter(pa.compute.is_valid(answers["word"]))
-        lp = {w: base(n) for w, n in zip(of_words["word"].to_pylist(), of_words["value"].to_pylist())}
+        lp = _of_words(answers, base)
         codes, values = shared.value
         if some_rare:
-            of_grams = answers.filter(pa.compute.is_valid(answers["gram"]))
+            of_grams = answers.select(["gram", "value"]).filter(pa.compute.is_valid(answers["gram"]))
             own_codes = of_grams["gram"].to_numpy().view(np.uint64)
             order = np.argsort(own_codes)
             own_codes, own_values = own_codes[order], of_grams["value"].to_numpy()[order]

@@ -1,8 +1,11 @@
 import math
+import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tallymill.llm import ctw, lm_scoring as lm, quality_classifier as qc
@@ -110,6 +113,35 @@ def test_rows_that_repeat_are_scored_once_and_all_returned(spark):
     assert {(r.doc_id, r.n_bytes): pytest.approx(r.score) for r in alone} == by
 
 
+def test_no_task_holds_two_python_processes(spark, monkeypatch):
+    """Functions in a row in one stage would each hold a process for every core."""
+    plans = []
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df)
+
+    cut = lm.cut
+    monkeypatch.setattr(lm, "cut", noted)
+    rows = data.frame(spark, data.rows(5, 40)).selectExpr("doc_id", "text", "1 AS remainder")
+    assert lm.train(rows).grams.count() > 0
+    counts = [len(re.findall("MapInArrow", p)) for p in plans]
+    assert max(counts) == counts[-1] == 1  # 2 in the last when large pairs were mixed in apart
+
+
+def test_words_of_a_chunk_take_little_beside_their_table():
+    n = 200_000
+    words = pa.array([*(b"w%d" % i for i in range(n)), None, None], pa.binary())
+    answers = pa.table({"word": words, "gram": pa.array([None] * n + [7, 8], pa.int64()), "value": pa.array([float(i % 50) for i in range(n + 2)])})
+    base = lambda c: math.log10(c + 0.1)
+    tracemalloc.start()
+    lp = lm._of_words(answers, base)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert lp == {b"w%d" % i: base(i % 50) for i in range(n)}
+    assert peak < 140 * n  # 116 measured; 179 by whole lists and a number for each word
+
+
 def test_lm_empty_and_untrained(spark):
     rows = data.empty(spark).selectExpr("doc_id", "text", "1 AS remainder")
     assert lm.score(rows, lm.train(rows)).count() == 0
