@@ -23,6 +23,8 @@ from __future__ import annotations
 import random
 import zlib
 from collections.abc import Iterator
+from itertools import chain
+from operator import mul
 
 import numpy as np
 import pyarrow as pa
@@ -81,7 +83,9 @@ class Rooms:
 
     def add(self, own: list[int], room: int) -> None:
         if room:
-            self.by_room.setdefault(room, []).append(own)
+            if (held := self.by_room.get(room)) is None:
+                held = self.by_room[room] = []
+            held.append(own)
             self.mask |= 1 << room
 
     def place(self, item: int, length: int) -> list[int] | None:
@@ -101,55 +105,72 @@ class Rooms:
         return None
 
 
+def homes(bins: Bins, n: int) -> np.ndarray:
+    """Each of n items' bin, by number; -1 for an item in none."""
+    home, sizes = np.full(n, -1), np.fromiter(map(len, bins), np.int64, len(bins))
+    home[np.fromiter(chain.from_iterable(bins), np.int64, sizes.sum())] = np.repeat(np.arange(len(bins)), sizes)
+    return home
+
+
+def filled(bins: Bins, lengths: list[int]) -> list[int]:
+    """The summed lengths of each bin."""
+    get = lengths.__getitem__
+    return [sum(map(get, b)) for b in bins]
+
+
 def best_fit(bins: Bins, items: list[int], lengths: list[int], limit: int) -> Bins:
     """bins with the items added in the order given."""
     rooms, out = Rooms(limit), [list(b) for b in bins]
-    for b in out:
-        rooms.add(b, limit - sum(lengths[i] for i in b))
+    for b, full in zip(out, filled(bins, lengths)):
+        if full < limit:
+            rooms.add(b, limit - full)
     for i in items:
         if (new := rooms.place(i, lengths[i])) is not None:
             out.append(new)
     return out
 
 
-def fitness(bins: Bins, lengths: list[int], limit: int) -> tuple[int, float]:
+def fitness(bins: Bins, lengths: list[int]) -> tuple[int, int]:
     """Fewer sequences first; among equals, the more unevenly filled ones."""
-    return len(bins), -sum((sum(lengths[i] for i in b) / limit) ** 2 for b in bins)
+    full = filled(bins, lengths)
+    return len(bins), -sum(map(mul, full, full))
 
 
 def swapped(bins: Bins, free: list[int], lengths: list[int], limit: int) -> tuple[Bins, list[int]]:
     """Free pieces, longest first, take the place of a shorter one in whichever
     sequence is then filled best, until none can: the same number of pieces stays
     free, of a smaller sum."""
-    size, home = np.asarray(lengths), np.full(len(lengths), -1)
-    for k, b in enumerate(bins):
-        home[b] = k
-    room = limit - np.array([size[b].sum() for b in bins], int)
+    size, home = np.asarray(lengths), homes(bins, len(lengths))
     held = np.flatnonzero(home >= 0)
+    room = limit - np.bincount(home[held], size[held], minlength=len(bins)).astype(np.int64)
     held = held[room[home[held]] > 0]
-    free, moved = sorted(free, key=lambda i: -lengths[i]), True
-    while moved and len(held):
-        moved = False
-        for k, f in enumerate(free):
-            gain = lengths[f] - size[held]
-            left = room[home[held]] - gain
-            best = int(np.where((gain > 0) & (left >= 0), left, limit).argmin()) if len(held) else 0
-            if not len(held) or gain[best] <= 0 or left[best] < 0:
-                continue
-            b = home[held[best]]
-            free[k], home[held[best]], home[f], moved = int(held[best]), -1, b, True
-            held[best] = f
-            room[b] -= gain[best]
-            if room[b] == 0:
-                held = held[home[held] != b]
+    # of the pieces held, beside their numbers: bin, length, length and room together
+    at, own, most = home[held], size[held], size[held] + room[home[held]]
+    free, k, tried = sorted(free, key=lambda i: -lengths[i]), 0, 0
+    while tried < len(free) and len(held):
+        f = free[k]
+        left = most - lengths[f]
+        best = int(np.where((own < lengths[f]) & (left >= 0), left, limit).argmin())
+        if own[best] < lengths[f] <= most[best]:
+            b, gain = at[best], lengths[f] - own[best]
+            free[k], home[held[best]], home[f], tried = int(held[best]), -1, b, -1
+            held[best], own[best] = f, lengths[f]
+            room[b] -= gain
+            if room[b]:
+                same = at == b
+                most[same] = own[same] + room[b]
+            else:
+                stay = at != b
+                held, at, own, most = held[stay], at[stay], own[stay], most[stay]
+        k, tried = (k + 1) % len(free), tried + 1
     order = np.argsort(home, kind="stable")[np.count_nonzero(home < 0) :]
-    cuts = np.searchsorted(home[order], np.arange(1, len(bins)))
-    return [x.tolist() for x in np.split(order, cuts)] if bins else [], free
+    cuts, flat = np.searchsorted(home[order], np.arange(len(bins) + 1)).tolist(), order.tolist()
+    return [flat[s:e] for s, e in zip(cuts, cuts[1:])], free
 
 
 def crossover(a: Bins, b: Bins, lengths: list[int], limit: int, rng: random.Random) -> Bins:
     """Whole well-filled sequences of b go into a."""
-    good = [x for x in b if sum(lengths[i] for i in x) >= limit * 0.999]
+    good = [x for x, full in zip(b, filled(b, lengths)) if full >= limit * 0.999]
     chosen = rng.sample(good, max(1, len(good) // 8)) if good else []
     have = {i for x in chosen for i in x}
     stay, lost = [], []
@@ -163,7 +184,7 @@ def crossover(a: Bins, b: Bins, lengths: list[int], limit: int, rng: random.Rand
 
 def mutate(a: Bins, lengths: list[int], limit: int, rng: random.Random) -> Bins:
     """The emptiest sequences, some with room and some others give up their pieces."""
-    room = [limit - sum(lengths[i] for i in b) for b in a]
+    room = [limit - full for full in filled(a, lengths)]
     order = sorted((k for k in range(len(a)) if room[k]), key=lambda k: -room[k])
     n = rng.choice((1, 2, 4, 8))
     out = {*order[: 1 + rng.randrange(3)], *rng.sample(order, min(n, len(order))), *rng.sample(range(len(a)), min(n, len(a)))}
@@ -187,13 +208,13 @@ def evolve(lengths: list[int], starts: list[Bins], limit: int, births: int, size
     while len(crowd) < size:
         shake = rng.choice((0.02, 0.1, 0.3))
         crowd.append(best_fit([], sorted(items, key=lambda i: -lengths[i] * (1 + shake * rng.random())), lengths, limit))
-    ranked = sorted(((fitness(b, lengths, limit), k, b) for k, b in enumerate(crowd)))[:size]
+    ranked = sorted(((fitness(b, lengths), k, b) for k, b in enumerate(crowd)))[:size]
     for birth in range(births):
         if len(ranked[0][2]) <= least:
             break
         one, two = sorted(rng.sample(ranked, 2)) if len(ranked) > 1 else ranked * 2
         child = mutate(one[2], lengths, limit, rng) if birth % 3 else crossover(one[2], two[2], lengths, limit, rng)
-        fit = fitness(child, lengths, limit)
+        fit = fitness(child, lengths)
         if all(fit != r[0] for r in ranked):
             ranked = sorted([*ranked, (fit, len(crowd) + birth, child)])[:size]
     return ranked[0][2]

@@ -1,3 +1,5 @@
+import cProfile
+import pstats
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -10,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tallymill.llm import packing, simhash
+from tallymill.llm import packing, simhash, tokens
 from tallymill.llm.tokens import Words
 
 from . import data
@@ -148,6 +150,35 @@ def _words():
     return _held[0]
 
 
+def test_common_words_need_no_pattern(monkeypatch):
+    class Never:
+        def __getattr__(self, name):
+            raise AssertionError("a pattern was used")
+
+    words, text = Words(PATH), "Hello, the hello; THE end. naïve Naïve?"
+    want = words._whole(text)
+    monkeypatch.setattr(tokens, "PIECE", Never())
+    assert words.encode(text) == want
+    with pytest.raises(AssertionError):
+        words.encode("(the)")
+
+
+def test_births_look_at_pieces_in_bulk():
+    """Calls of functions in 16 births over 4,096 pieces."""
+    rng = random.Random(5)
+    lengths = [min(2048, max(2, int(rng.lognormvariate(6.4, 0.8)))) for _ in range(4096)]
+    start = packing.best_fit([], rng.sample(range(4096), 4096), lengths, 2048)
+    assert len(start) > -(-sum(lengths) // 2048)
+    a, b = start, packing.best_fit([], list(range(4096)), lengths, 2048)
+    calls = cProfile.Profile()
+    calls.enable()
+    for k in range(8):
+        packing.fitness(packing.mutate(a, lengths, 2048, random.Random(k)), lengths)
+        packing.fitness(packing.crossover(a, b, lengths, 2048, random.Random(k)), lengths)
+    calls.disable()
+    assert pstats.Stats(calls).total_calls < 500_000  # 774,000 by a look at each piece
+
+
 def test_packing(spark):
     pairs = data.rows(11, 60)
     got = packing.pack(data.frame(spark, pairs), limit=128, items=16, births=9).collect()
