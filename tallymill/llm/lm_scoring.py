@@ -90,13 +90,6 @@ def _counts(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.Record
     grams: list[tuple[np.ndarray, np.ndarray]] = []
     held = 0
 
-    def sent() -> Iterator[pa.RecordBatch]:
-        if words:
-            yield _rows(pa.array(words.keys(), pa.binary()), None, pa.array(words.values(), pa.int64()))
-        if grams:
-            codes, n = _merged(grams)
-            yield _rows(None, pa.array(codes.view(np.int64)), pa.array(n))
-
     for batch in batches:
         texts, remainders = batch.column("text").to_pylist(), batch.column("remainder").to_numpy()
         for s in range(0, len(texts), 512):
@@ -107,19 +100,31 @@ def _counts(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.Record
             for codes, place, owner in blocks([b" ".join(ws) + b"\n" for ws in split], depth):
                 grams.append((codes, np.bincount(place[train[owner]], minlength=len(codes)).astype(np.int64)))
                 held += len(codes)
-            if held > 4 * TABLE:
+            if held > 3 * TABLE:
                 grams = [_merged(grams)]
                 held = len(grams[0][0])
-            if len(words) > TABLE or held > 2 * TABLE:
-                yield from sent()
+                if held > 2 * TABLE:
+                    yield _rows(None, *_arrays(grams[0]))
+                    grams, held = [], 0
+            if len(words) > TABLE:
+                yield _rows(pa.array(words.keys(), pa.binary()), None, pa.array(words.values(), pa.int64()))
                 words.clear()
-                grams, held = [], 0
-    yield from sent()
+    if words:
+        yield _rows(pa.array(words.keys(), pa.binary()), None, pa.array(words.values(), pa.int64()))
+    if grams:
+        yield _rows(None, *_arrays(_merged(grams)))
+
+
+def _arrays(grams: tuple[np.ndarray, np.ndarray]) -> tuple[pa.Array, pa.Array]:
+    return pa.array(grams[0].view(np.int64)), pa.array(grams[1])
 
 
 def _merged(grams: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    own, place = np.unique(np.concatenate([c for c, _ in grams]), return_inverse=True)
-    return own, np.bincount(place, np.concatenate([n for _, n in grams]), minlength=len(own)).astype(np.int64)
+    codes = np.concatenate([c for c, _ in grams])
+    order = np.argsort(codes)
+    codes, n = codes[order], np.concatenate([n for _, n in grams])[order]
+    first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+    return codes[first], np.add.reduceat(n, first)
 
 
 def _rows(word: pa.Array | None, gram: pa.Array | None, n: pa.Array) -> pa.RecordBatch:

@@ -70,6 +70,28 @@ def test_grams_of_blocks(monkeypatch):
     assert len(np.unique(codes)) == len(codes)
 
 
+def test_grams_of_blocks_of_any_alphabet_and_depth():
+    """Packed with their positions where 64 bits hold both, else sorted plainly."""
+    rng = np.random.default_rng(2)
+    for size, letters, depth in ((400, 256, 7), (400, 3, 7), (9, 200, 5), (300, 1, 1), (5000, 129, 5), (5000, 128, 5)):
+        raw = rng.integers(0, letters, size).astype(np.uint8)
+        codes, place = ctw.block_grams(raw, depth)
+        want = [int.from_bytes(bytes([*raw[i : i + depth][::-1], raw[i + depth]])) for i in range(size - depth)]
+        assert codes[place].tolist() == want
+        assert codes.tolist() == sorted(set(want))
+
+
+def test_counts_of_repeated_grams_are_sent_once(monkeypatch):
+    """A task's grams are merged before their number says that they must be sent."""
+    monkeypatch.setattr(lm, "TABLE", 100)
+    text, n = "the cat sat on the mat " * 6, 512 * 30
+    batch = pa.record_batch({"text": pa.array([text] * n), "remainder": pa.array(np.ones(n, np.int32))})
+    rows = [r for b in lm._counts(iter([batch]), 3) for r in b.to_pylist()]
+    words, grams = [r for r in rows if r["word"] is not None], [r for r in rows if r["word"] is None]
+    assert len(words) == 5 and len(grams) == len({r["gram"] for r in grams})  # each gram 5 times before
+    assert sum(r["n"] for r in words) == n * 36 and sum(r["n"] for r in grams) == n * len(text)
+
+
 def test_long_texts_are_cut_into_segments(monkeypatch):
     s = [b"abc abd " * 40 + b"\n", b"\n", b"xyz\n"]
     whole = {}
