@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from . import ctw
 from .arrow import LOWER
-from .common import HEAVY, crc_mod, cut, read
+from .common import HEAVY, crc_mod, cut, read, released
 
 DEPTH, SEGMENT, BLOCK = 5, 1 << 20, 1 << 20
 #: Bytes of text in a chunk, about; entries in a task's tables before they are sent.
@@ -413,4 +413,6 @@ def score(rows: DataFrame, model: Model, depth: int = DEPTH, chunk_bytes: int =
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "documents").select("doc_id", "text", crc_mod(F.col("doc_id"), 10).cast("int").alias("remainder"))
-    return score(rows, train(rows))
+    model = train(rows)
+    released(spark)  # the shuffle files of the counts, else on disk beside those of the scores
+    return score(rows, model)
