@@ -82,46 +82,77 @@ def solve(codes: np.ndarray, counts: np.ndarray, depth: int, top: int = 0) -> tu
     return p, out_pw
 
 
-def block_grams(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+def _packed(data: np.ndarray, depth: int, alphabet: np.ndarray) -> tuple[np.ndarray, np.uint64]:
+    """The gram of each byte after the first ``depth``, its bytes numbered by their
+    place in the alphabet, and the bits of such a number.  Nearest context byte
+    first, ..., farthest, then the symbol."""
+    n, width = len(data) - depth, np.uint64(max(1, (len(alphabet) - 1).bit_length()))
+    table = np.zeros(256, np.uint64)
+    table[alphabet] = np.arange(len(alphabet), dtype=np.uint64)
+    dense = table[data]
+    keys = dense[depth - 1 : depth - 1 + n].copy()
+    for o in [*range(depth - 2, -1, -1), depth]:
+        keys <<= width
+        keys |= dense[o : o + n]
+    return keys, width
+
+
+def _codes(keys: np.ndarray, width: np.uint64, alphabet: np.ndarray, depth: int) -> np.ndarray:
+    """The grams that are packed in keys, which are lost."""
+    wide, low = alphabet.astype(np.uint64), (np.uint64(1) << width) - np.uint64(1)
+    codes = wide[keys & low]
+    for k in range(1, depth + 1):
+        keys >>= width
+        codes |= wide[keys & low] << np.uint64(8 * k)
+    return codes
+
+
+def _firsts(keys: np.ndarray) -> np.ndarray:
+    """Where sorted keys differ from the one before."""
+    new = np.empty(len(keys), bool)
+    new[:1] = True
+    np.not_equal(keys[1:], keys[:-1], out=new[1:])
+    return new
+
+
+def block_grams(data: np.ndarray, depth: int, real: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(codes, place): the distinct grams of a byte block that has ``depth``
-    lead bytes, and for each later byte the place of its gram in codes.
+    lead bytes, and for each later byte (of those that are real) the place of
+    its gram in codes.
 
     Grams and their positions are sorted as one number where they fit in 64
     bits, which is so for depth 5 and a megabyte of at most 128 different bytes."""
-    n = len(data) - depth
-    if n <= 0:
+    if len(data) <= depth:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    # order in the key: nearest context byte first, ..., farthest, then the symbol
-    offsets = [*range(depth - 1, -1, -1), depth]
     alphabet = np.flatnonzero(np.bincount(data, minlength=256))
-    here, width = np.uint64(n.bit_length()), np.uint64(max(1, (len(alphabet) - 1).bit_length()))
+    keys, width = _packed(data, depth, alphabet)
+    keys = keys if real is None else keys[real]
+    n = len(keys)
+    here = np.uint64(n.bit_length())
     if int(width) * (depth + 1) + int(here) > 64:
-        codes = np.zeros(n, np.uint64)
-        for o in offsets:
-            codes = (codes << np.uint64(8)) | data[o : o + n]
-        own, place = np.unique(codes, return_inverse=True)
-        return own, place.astype(np.int32)
-    table = np.zeros(256, np.uint64)
-    table[alphabet] = np.arange(len(alphabet), dtype=np.uint64)
-    dense = table[data]
-    keys = dense[offsets[0] : offsets[0] + n].copy()
-    for o in offsets[1:]:
-        keys <<= width
-        keys |= dense[o : o + n]
+        own, place = np.unique(keys, return_inverse=True)
+        return _codes(own, width, alphabet, depth), place.astype(np.int32)
     keys <<= here
     keys |= np.arange(n, dtype=np.uint64)
     keys.sort()
     at = (keys & ((np.uint64(1) << here) - np.uint64(1))).view(np.int64)
     keys >>= here
-    new = np.empty(n, bool)
-    new[0] = True
-    np.not_equal(keys[1:], keys[:-1], out=new[1:])
+    new = _firsts(keys)
     place, ids = np.empty(n, np.int32), np.cumsum(new, dtype=np.int32)
     ids -= np.int32(1)
     place[at] = ids
-    keys, wide, low = keys[new], alphabet.astype(np.uint64), (np.uint64(1) << width) - np.uint64(1)
-    codes = wide[keys & low]
-    for k in range(1, depth + 1):
-        keys >>= width
-        codes |= wide[keys & low] << np.uint64(8 * k)
-    return codes, place
+    return _codes(keys[new], width, alphabet, depth), place
+
+
+def count_grams(data: np.ndarray, depth: int, kinds: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(codes, n) for each kind, a mask of the bytes after the lead bytes: the
+    distinct grams of these bytes and how often they come."""
+    alphabet = np.flatnonzero(np.bincount(data, minlength=256))
+    keys, width = _packed(data, depth, alphabet)
+    found = []
+    for kind in kinds:
+        own = keys[kind]
+        own.sort()
+        first = np.flatnonzero(_firsts(own))
+        found.append((_codes(own[first], width, alphabet, depth), np.diff(first, append=len(own))))
+    return found

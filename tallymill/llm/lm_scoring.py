@@ -5,7 +5,7 @@ A text is its lower-cased words, joined by single spaces, and a line break as
 the end: a string that stands for its token sequence and no other.  The model
 gives each of its bytes a probability from the DEPTH bytes before it.
 
-Counting: every task counts words and grams of its texts in bounded tables and
+Counting: every task counts words and grams of its texts in bounded arrays and
 sends partial counts; grams are summed, and the trees below each pair of nearest
 bytes are solved apart, those of the largest pairs below each three bytes.  Only
 the counts and probabilities of the 255 nodes of each single nearest byte (at
@@ -13,9 +13,10 @@ most 256 rows) and of the largest pairs (fewer than HEAVY rows of 6 KB) come to
 the driver, whatever the input.
 
 Scoring: texts are dealt into chunks of bounded size by a hash of the row.  The
-most frequent grams, at most SHARED of them, are broadcast.  A chunk sends its
-distinct words, and its grams beyond those (if there are any), to be joined with
-the model and gets back tables of its own, bounded by the chunk.  A row that
+most frequent grams and words, at most SHARED and SHARED_WORDS of them, are
+broadcast.  A chunk sends its distinct words and grams beyond those (if there are
+any) to be joined with the model and gets back tables of its own, bounded by the
+chunk.  A row that
 repeats so often that it would fill a chunk is scored once and its score given to
 all its repeats.  A text's code length is also given in bits a byte of the string
 that stands for it.
@@ -28,7 +29,6 @@ ids each give their own row; null ids too; without training rows all counts are
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -43,10 +43,12 @@ from .arrow import LOWER
 from .common import HEAVY, crc_mod, cut, read, released
 
 DEPTH, SEGMENT, BLOCK = 5, 1 << 20, 1 << 20
-#: Bytes of text in a chunk, about; entries in a task's tables before they are sent.
-CHUNK, TABLE = 16 << 20, 500_000
-#: Grams that are broadcast, at most (16 bytes each).
-SHARED = 4_000_000
+#: Bytes of text in a chunk, about; entries in a task's arrays, a few times as many before they are merged.
+CHUNK, TABLE = 4 << 20, 500_000
+#: Grams that are broadcast, at most (16 bytes each), and words (about 100 bytes each in a worker).
+SHARED, SHARED_WORDS = 4_000_000, 1 << 18
+#: Rows of a batch that is sent.
+SENT = 1 << 16
 #: Groups that the contexts of three bytes are dealt to.
 DEALS = 1024
 
@@ -55,9 +57,29 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
 
 
-def blocks(strings: list[bytes], depth: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(codes, place, owner) of blocks of about BLOCK bytes: the distinct grams,
-    and for each predicted byte its gram's place and the string it is of.  A
+def string(text: str | None) -> bytes:
+    """The string that stands for a text's tokens."""
+    return b" ".join(tokens(text)) + b"\n"
+
+
+def words_of(strings: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(own, place, n): the distinct words of such strings, for each word its place
+    among them, and how many words each string has."""
+    data = np.frombuffer(b"".join(strings), np.uint8)
+    gap = (data == 32) | (data == 10)
+    gaps = np.flatnonzero(gap)
+    lengths, last = np.diff(gaps, prepend=-1) - 1, data[gaps] == 10
+    real = lengths > 0  # the string of an empty text has none
+    n = np.bincount((np.cumsum(last) - last)[real], minlength=len(strings))
+    offsets = np.concatenate([[0], np.cumsum(lengths[real])])
+    words = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data[~gap])])
+    encoded = words.dictionary_encode()
+    return encoded.dictionary, encoded.indices.to_numpy(), n
+
+
+def cuts(strings: list[bytes], depth: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(data, real, owner) of blocks of about BLOCK bytes: the bytes, which of those
+    after the first ``depth`` are predicted, and the strings that these are of.  A
     string starts from a context of line breaks; long ones go in segments that
     begin with the last bytes of the one before."""
     parts: list[bytes] = []
@@ -66,10 +88,9 @@ def blocks(strings: list[bytes], depth: int) -> Iterator[tuple[np.ndarray, np.nd
 
     def flush() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         lengths = np.array([len(p) for p in parts])
-        codes, place = ctw.block_grams(np.frombuffer(b"".join(parts), np.uint8), depth)
-        which = np.repeat(np.arange(len(parts)), lengths)[depth:]
-        real = np.arange(depth, lengths.sum()) - (np.cumsum(lengths) - lengths)[which] >= depth
-        return codes, place[real], np.array(owners)[which[real]]
+        real = np.ones(lengths.sum(), bool)
+        real[((np.cumsum(lengths) - lengths)[:, None] + np.arange(depth)).ravel()] = False
+        return np.frombuffer(b"".join(parts), np.uint8), real[depth:], np.repeat(owners, lengths - depth)
 
     for k, s in enumerate(strings):
         for at in range(0, len(s), SEGMENT):
@@ -83,36 +104,62 @@ def blocks(strings: list[bytes], depth: int) -> Iterator[tuple[np.ndarray, np.nd
         yield flush()
 
 
+def blocks(strings: list[bytes], depth: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(codes, place, owner) of blocks: the distinct grams, and for each predicted
+    byte its gram's place and the string it is of."""
+    for data, real, owner in cuts(strings, depth):
+        yield *ctw.block_grams(data, depth, real), owner
+
+
 def _counts(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
     """Partial rows (word, gram, n): one of word and gram is null.  Grams of
     texts that only are scored come with n = 0."""
-    words: Counter = Counter()
+    words: list[tuple[pa.Array, np.ndarray]] = []
     grams: list[tuple[np.ndarray, np.ndarray]] = []
-    held = 0
+    held = held_words = 0
 
     for batch in batches:
-        texts, remainders = batch.column("text").to_pylist(), batch.column("remainder").to_numpy()
+        texts, remainders = batch.column("text"), batch.column("remainder").to_numpy()
         for s in range(0, len(texts), 512):
-            split, train = [tokens(t) for t in texts[s : s + 512]], remainders[s : s + 512] != 0
-            for ws, of in zip(split, train):
-                if of:
-                    words.update(ws)
-            for codes, place, owner in blocks([b" ".join(ws) + b"\n" for ws in split], depth):
-                grams.append((codes, np.bincount(place[train[owner]], minlength=len(codes)).astype(np.int64)))
-                held += len(codes)
-            if held > 3 * TABLE:
-                grams = [_merged(grams)]
-                held = len(grams[0][0])
-                if held > 2 * TABLE:
-                    yield _rows(None, *_arrays(grams[0]))
-                    grams, held = [], 0
-            if len(words) > TABLE:
-                yield _rows(pa.array(words.keys(), pa.binary()), None, pa.array(words.values(), pa.int64()))
-                words.clear()
-    if words:
-        yield _rows(pa.array(words.keys(), pa.binary()), None, pa.array(words.values(), pa.int64()))
+            strings, train = [string(t) for t in texts.slice(s, 512).to_pylist()], remainders[s : s + 512] != 0
+            own, place, _ = words_of([x for x, of in zip(strings, train) if of])
+            words.append((own, np.bincount(place, minlength=len(own))))
+            held_words += len(own)
+            for data, real, owner in cuts(strings, depth):
+                learned = real.copy()
+                learned[real] = train[owner]
+                (codes, n), (others, _) = ctw.count_grams(data, depth, [learned, real & ~learned])
+                grams += [(codes, n), (others, np.zeros(len(others), np.int64))]
+                held += len(codes) + len(others)
+                if held > 3 * TABLE:
+                    grams = [_merged(grams)]
+                    held = len(grams[0][0])
+                    if held > 2 * TABLE:
+                        yield from _rows(None, *_arrays(grams[0]))
+                        grams, held = [], 0
+            if held_words > 2 * TABLE:
+                words = [_merged_words(words)]
+                held_words = len(words[0][0])
+                if held_words > TABLE:
+                    yield from _rows(words[0][0], None, pa.array(words[0][1]))
+                    words, held_words = [], 0
+    if held_words:
+        own, n = _merged_words(words)
+        yield from _rows(own, None, pa.array(n))
     if grams:
-        yield _rows(None, *_arrays(_merged(grams)))
+        yield from _rows(None, *_arrays(_merged(grams)))
+
+
+def _merged_words(words: list[tuple[pa.Array, np.ndarray]]) -> tuple[pa.Array, np.ndarray]:
+    encoded = pa.concat_arrays([own for own, _ in words]).dictionary_encode()
+    place, n = encoded.indices.to_numpy(), np.zeros(len(encoded.dictionary), np.int64)
+    np.add.at(n, place, np.concatenate([n for _, n in words]))
+    return encoded.dictionary, n
+
+
+def _bytes(words: pa.Array) -> list[bytes]:
+    """As to_pylist(), which takes a microsecond and more for each."""
+    return words.to_numpy(zero_copy_only=False).tolist()
 
 
 def _arrays(grams: tuple[np.ndarray, np.ndarray]) -> tuple[pa.Array, pa.Array]:
@@ -127,9 +174,9 @@ def _merged(grams: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return codes[first], np.add.reduceat(n, first)
 
 
-def _rows(word: pa.Array | None, gram: pa.Array | None, n: pa.Array) -> pa.RecordBatch:
-    nulls = lambda kind: pa.nulls(len(n), kind)
-    return pa.RecordBatch.from_arrays([nulls(pa.binary()) if word is None else word, nulls(pa.int64()) if gram is None else gram, n], names=["word", "gram", "n"])
+def _rows(word: pa.Array | None, gram: pa.Array | None, n: pa.Array) -> Iterator[pa.RecordBatch]:
+    table = pa.table({"word": pa.nulls(len(n), pa.binary()) if word is None else word.cast(pa.binary()), "gram": pa.nulls(len(n), pa.int64()) if gram is None else gram, "n": n})
+    yield from table.to_batches(max_chunksize=SENT)
 
 
 @dataclass(frozen=True)
@@ -272,17 +319,17 @@ def train(rows: DataFrame, depth: int = DEPTH) -> Model:
     return Model(totals.where("word IS NOT NULL").select("word", "n"), done, sums[1] + ends, sums[0] + (ends > 0), ends)
 
 
-def _keys(table: pa.Table, depth: int, shared: np.ndarray | None) -> pa.Table:
-    """The distinct words of a chunk, and its grams that aren't among the shared
-    ones (None: all are)."""
+def _keys(table: pa.Table, depth: int, shared: np.ndarray | None, often: dict[bytes, float] | None) -> pa.Table:
+    """The distinct words and grams of a chunk that aren't among the shared ones
+    (None: all are)."""
     own: set[bytes] = set()
     found: list[np.ndarray] = []
     for batch in table.to_batches(max_chunksize=512):
-        split = [tokens(t) for t in batch.column("text").to_pylist()]
-        for ws in split:
-            own.update(ws)
+        strings = [string(t) for t in batch.column("text").to_pylist()]
+        if often is not None:
+            own.update(w for w in _bytes(words_of(strings)[0]) if w not in often)
         if shared is not None:
-            for codes, _, _ in blocks([b" ".join(ws) + b"\n" for ws in split], depth):
+            for codes, _, _ in blocks(strings, depth):
                 found.append(codes[_place(shared, codes) < 0])
             if len(found) > 64:
                 found = [np.unique(np.concatenate(found))]
@@ -300,16 +347,16 @@ def _place(codes: np.ndarray, asked: np.ndarray) -> np.ndarray:
     return np.where(codes[at] == asked, at, -1)
 
 
-def _of_words(answers: pa.Table, base: Callable[[float], float]) -> dict[bytes, float]:
-    """base of the count of each word in a chunk's answers.  Taken in slices, and
-    equal counts share a number: beside the table there is little else."""
+def _of_words(counted: pa.Table, base: Callable[[float], float]) -> dict[bytes, float]:
+    """base of the count (value) of each word.  Taken in slices, and equal counts
+    share a number: beside the table there is little else."""
     lp: dict[bytes, float] = {}
     by_count: dict[float, float] = {}
-    for batch in answers.select(["word", "value"]).to_batches(max_chunksize=8192):
+    for batch in counted.select(["word", "value"]).to_batches(max_chunksize=8192):
         batch = batch.filter(pa.compute.is_valid(batch.column("word")))
-        counts = batch.column("value").to_pylist()
+        counts = batch.column("value").to_numpy().tolist()
         by_count |= {n: base(n) for n in {*counts} - by_count.keys()}
-        lp.update(zip(batch.column("word").to_pylist(), map(by_count.__getitem__, counts)))
+        lp.update(zip(_bytes(batch.column("word")), map(by_count.__getitem__, counts)))
     return lp
 
 
@@ -331,27 +378,33 @@ def _split(grams: DataFrame, most: int) -> tuple[DataFrame, DataFrame | None]:
 SCORES = "n_tokens bigint, n_known bigint, n_bytes bigint, base_score double, score double"
 
 
-def _scored(chunked: DataFrame, model: Model, depth: int, most: int) -> DataFrame:
+def _scored(chunked: DataFrame, model: Model, depth: int, most: int, most_words: int) -> DataFrame:
     """(doc_id, remainder, row, SCORES) of rows (doc_id, text, remainder, row,
     chunk)."""
+    spark, base = chunked.sparkSession, model.base
     often, rare = _split(model.grams, most)
-    some_rare = rare is not None
+    often_words, rare_words = _split(model.totals, most_words)
+    some_rare, some_rare_words = rare is not None, rare_words is not None
     table = often.select("gram", "lp").toArrow()  # at most ``most`` rows
     codes = table["gram"].to_numpy().view(np.uint64)
     order = np.argsort(codes)
-    shared = chunked.sparkSession.sparkContext.broadcast((codes[order], table["lp"].to_numpy()[order]))
-    keys = chunked.groupBy("chunk").applyInArrow(lambda t: _keys(t, depth, shared.value[0] if some_rare else None), "chunk int, word binary, gram bigint")
+    shared = spark.sparkContext.broadcast((codes[order], table["lp"].to_numpy()[order]))
+    shared_words = spark.sparkContext.broadcast(_of_words(often_words.select("word", F.col("n").alias("value")).toArrow(), base))  # at most ``most_words``
+    keys = chunked.groupBy("chunk").applyInArrow(
+        lambda t: _keys(t, depth, shared.value[0] if some_rare else None, shared_words.value if some_rare_words else None), "chunk int, word binary, gram bigint"
+    )
     none = lambda kind: F.lit(None).cast(kind)
-    known = keys.where("word IS NOT NULL").select("chunk", "word").join(model.totals, "word")
-    answers = known.select("chunk", "word", none("bigint").alias("gram"), F.col("n").cast("double").alias("value"))
+    answers = keys.where("false").withColumn("value", none("double"))
+    if rare_words is not None:
+        known = keys.where("word IS NOT NULL").select("chunk", "word").join(rare_words, "word")
+        answers = answers.unionByName(known.select("chunk", "word", none("bigint").alias("gram"), F.col("n").cast("double").alias("value")))
     if rare is not None:
         solved = keys.where("gram IS NOT NULL").select("chunk", "gram").join(rare, "gram")
         answers = answers.unionByName(solved.select("chunk", none("binary").alias("word"), "gram", F.col("lp").alias("value")))
-    base = model.base
     unknown, end, end_known = base(0), base(model.n_ends), int(model.n_ends > 0)
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        lp = _of_words(answers, base)
+        often, lp = shared_words.value, _of_words(answers, base)
         codes, values = shared.value
         if some_rare:
             of_grams = answers.select(["gram", "value"]).filter(pa.compute.is_valid(answers["gram"]))
@@ -369,16 +422,18 @@ def _scored(chunked: DataFrame, model: Model, depth: int, most: int) -> DataFram
 
         out: list[list] = [[], [], [], [], []]
         for batch in docs.to_batches(max_chunksize=512):
-            split = [tokens(t) for t in batch.column("text").to_pylist()]
-            strings = [b" ".join(ws) + b"\n" for ws in split]
-            sums = np.zeros(len(split))
+            strings = [string(t) for t in batch.column("text").to_pylist()]
+            sums = np.zeros(len(strings))
             for own, place, owner in blocks(strings, depth):
-                sums += np.bincount(owner, looked_up(own)[place], minlength=len(split))
-            out[0] += [len(ws) + 1 for ws in split]
-            got = [[lp.get(w) for w in ws] for ws in split]
-            out[1] += [len(x) - x.count(None) + end_known for x in got]
+                sums += np.bincount(owner, looked_up(own)[place], minlength=len(strings))
+            words, place, n = words_of(strings)
+            got = np.array([often[w] if w in often else lp.get(w, math.nan) for w in _bytes(words)])[place]
+            no, edges = np.isnan(got), [0, *np.cumsum(n).tolist()]
+            got = np.where(no, unknown, got).tolist()
+            out[0] += (n + 1).tolist()
+            out[1] += (n - np.bincount(np.repeat(np.arange(len(n)), n), no, len(n)).astype(np.int64) + end_known).tolist()
             out[2] += map(len, strings)
-            out[3] += [math.fsum(unknown if v is None else v for v in x) + end for x in got]
+            out[3] += [math.fsum(got[a:b]) + end for a, b in zip(edges, edges[1:])]
             out[4] += sums.tolist()
         columns = zip(("n_tokens", "n_known", "n_bytes", "base_score", "score"), out, (pa.int64(),) * 3 + (pa.float64(),) * 2)
         return pa.table({"doc_id": docs["doc_id"], "remainder": docs["remainder"], "row": docs["row"], **{k: pa.array(v, t) for k, v, t in columns}})
@@ -386,7 +441,7 @@ def _scored(chunked: DataFrame, model: Model, depth: int, most: int) -> DataFram
     return chunked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, f"doc_id bigint, remainder int, row bigint, {SCORES}")
 
 
-def score(rows: DataFrame, model: Model, depth: int = DEPTH, chunk_bytes: int = CHUNK, most: int = SHARED) -> DataFrame:
+def score(rows: DataFrame, model: Model, depth: int = DEPTH, chunk_bytes: int = CHUNK, most: int = SHARED, most_words: int = SHARED_WORDS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score,
     n_bytes, bits_per_byte) from rows (doc_id, text, remainder)."""
     size, n_rows = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count(F.lit(1))).first()
@@ -396,11 +451,11 @@ def score(rows: DataFrame, model: Model, depth: int = DEPTH, chunk_bytes: int =
     often = cut(counts.where(F.col("n") * HEAVY > n_rows).where("n > 1").select("row"))  # fewer than HEAVY rows
     spread = F.pmod(F.col("row"), F.lit(n_chunks)).cast("int").alias("chunk")
     if often.isEmpty():
-        found = _scored(keyed.select("*", spread), model, depth, most)
+        found = _scored(keyed.select("*", spread), model, depth, most, most_words)
     else:
         repeats = keyed.join(F.broadcast(often), "row", "left_semi")
         once = keyed.join(F.broadcast(often), "row", "left_anti").unionByName(repeats.dropDuplicates(["row", "doc_id", "text"]))
-        scored = cut(_scored(once.select("*", spread), model, depth, most))
+        scored = cut(_scored(once.select("*", spread), model, depth, most, most_words))
         of = scored.join(F.broadcast(often), "row", "left_semi").withColumnsRenamed({"row": "r", "doc_id": "d"}).drop("remainder")
         same = (F.col("row") == F.col("r")) & F.col("doc_id").eqNullSafe(F.col("d"))
         again = repeats.select("row", "doc_id", "remainder").join(F.broadcast(of), same).drop("r", "d")

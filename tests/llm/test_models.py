@@ -92,6 +92,36 @@ def test_counts_of_repeated_grams_are_sent_once(monkeypatch):
     assert sum(r["n"] for r in words) == n * 36 and sum(r["n"] for r in grams) == n * len(text)
 
 
+def test_counts_hold_the_grams_of_the_texts_alone_and_are_sent_in_slices(monkeypatch):
+    """Before, a task's counts went to the JVM as one batch, with grams that span two texts."""
+    monkeypatch.setattr(lm, "SENT", 7)
+    texts = ["abc abd  abe", None, "éa\nab abc"]
+    batch = pa.record_batch({"text": pa.array(texts), "remainder": pa.array([1, 0, 2], pa.int32())})
+    sent = list(lm._counts(iter([batch]), 3))
+    assert max(b.num_rows for b in sent) <= 7
+    want, words = Counter(), Counter()
+    for text, of in zip(texts, (1, 0, 1)):
+        b = b"\n" * 3 + lm.string(text)
+        for i in range(len(b) - 3):
+            want[int.from_bytes(bytes([*b[i : i + 3][::-1], b[i + 3]]))] += of
+        words.update(lm.tokens(text) * of)
+    rows = [r for b in sent for r in b.to_pylist()]
+    assert {r["gram"]: r["n"] for r in rows if r["word"] is None} == want
+    assert {r["word"]: r["n"] for r in rows if r["word"] is not None} == words
+
+
+def test_frequent_words_are_broadcast_and_the_others_joined(spark):
+    """A chunk asks for its rare words alone; where the cut lies changes no score."""
+    pairs = [(i, "the cat the dog the of " + f"rare{i} " * (i % 3)) for i in range(40)] + [(41, None), (42, "unseen? of")]
+    rows = data.frame(spark, pairs).selectExpr("doc_id", "text", "CAST(doc_id % 7 AS INT) AS remainder")
+    model = lm.train(rows, 2)
+    got = [sorted(lm.score(rows, model, 2, chunk_bytes=200, most_words=k).collect()) for k in (0, 5, 1 << 18)]
+    assert got[0] == got[1] == got[2] and len(got[0]) == len(pairs)
+    chunk = pa.table({"chunk": pa.array([3, 3], pa.int32()), "text": ["the cat  rare1 the", None]})
+    asked = lm._keys(chunk, 2, None, {b"the": -1.0, b"cat": -2.0})
+    assert asked.to_pylist() == [{"chunk": 3, "word": b"rare1", "gram": None}]
+
+
 def test_long_texts_are_cut_into_segments(monkeypatch):
     s = [b"abc abd " * 40 + b"\n", b"\n", b"xyz\n"]
     whole = {}
