@@ -18,6 +18,15 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ROWS = 500
 
 
+def given_back(result: pa.Table | None = None) -> pa.Table | None:
+    """The result of a function that has ended.  Memory that the allocators of Arrow
+    and of the C library keep for later goes back to the system: a Python worker
+    that waits for its next task, or stage, shares the executor's memory with the JVM."""
+    pa.default_memory_pool().release_unused()
+    pa.system_memory_pool().release_unused()
+    return result
+
+
 def per_batch(df: DataFrame, fn: Callable[..., dict], schema: str, *args) -> DataFrame:
     """df with fn(batch, *args) -> columns applied to slices of every Arrow batch."""
 

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ctw
-from .arrow import LOWER
+from .arrow import LOWER, given_back
 from .common import HEAVY, crc_mod, cut, read, released
 
 DEPTH, SEGMENT, BLOCK = 5, 1 << 20, 1 << 20
@@ -114,6 +114,11 @@ def blocks(strings: list[bytes], depth: int) -> Iterator[tuple[np.ndarray, np.nd
 def _counts(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
     """Partial rows (word, gram, n): one of word and gram is null.  Grams of
     texts that only are scored come with n = 0."""
+    yield from _partial(batches, depth)
+    given_back()
+
+
+def _partial(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
     words: list[tuple[pa.Array, np.ndarray]] = []
     grams: list[tuple[np.ndarray, np.ndarray]] = []
     held = held_words = 0
@@ -143,11 +148,15 @@ def _counts(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.Record
                 if held_words > TABLE:
                     yield from _rows(words[0][0], None, pa.array(words[0][1]))
                     words, held_words = [], 0
+    if grams:
+        grams = [_merged(grams)]
+        given_back()
+        yield from _rows(None, *_arrays(grams.pop()))
     if held_words:
-        own, n = _merged_words(words)
+        words = [_merged_words(words)]
+        given_back()
+        own, n = words.pop()
         yield from _rows(own, None, pa.array(n))
-    if grams:
-        yield from _rows(None, *_arrays(_merged(grams)))
 
 
 def _merged_words(words: list[tuple[pa.Array, np.ndarray]]) -> tuple[pa.Array, np.ndarray]:
@@ -294,7 +303,7 @@ def train(rows: DataFrame, depth: int = DEPTH) -> Model:
     schema = "gram bigint, n bigint, above int, p array<double>"
     under = lambda top: F.shiftrightunsigned("gram", 8 * (depth - top + 1))
     trees = grams.withColumn("under", under(top))
-    solve = lambda df, top: df.applyInArrow(lambda t: _solve(t, depth, top), schema)
+    solve = lambda df, top: df.applyInArrow(lambda t: given_back(_solve(t, depth, top)), schema)
     seconds = []
     if depth > 2:
         # pairs of nearest bytes with a large share of the grams, fewer than HEAVY, are
@@ -391,7 +400,7 @@ def _scored(chunked: DataFrame, model: Model, depth: int, most: int, most_words:
     shared = spark.sparkContext.broadcast((codes[order], table["lp"].to_numpy()[order]))
     shared_words = spark.sparkContext.broadcast(_of_words(often_words.select("word", F.col("n").alias("value")).toArrow(), base))  # at most ``most_words``
     keys = chunked.groupBy("chunk").applyInArrow(
-        lambda t: _keys(t, depth, shared.value[0] if some_rare else None, shared_words.value if some_rare_words else None), "chunk int, word binary, gram bigint"
+        lambda t: given_back(_keys(t, depth, shared.value[0] if some_rare else None, shared_words.value if some_rare_words else None)), "chunk int, word binary, gram bigint"
     )
     none = lambda kind: F.lit(None).cast(kind)
     answers = keys.where("false").withColumn("value", none("double"))
@@ -438,7 +447,7 @@ def _scored(chunked: DataFrame, model: Model, depth: int, most: int, most_words:
         columns = zip(("n_tokens", "n_known", "n_bytes", "base_score", "score"), out, (pa.int64(),) * 3 + (pa.float64(),) * 2)
         return pa.table({"doc_id": docs["doc_id"], "remainder": docs["remainder"], "row": docs["row"], **{k: pa.array(v, t) for k, v, t in columns}})
 
-    return chunked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, f"doc_id bigint, remainder int, row bigint, {SCORES}")
+    return chunked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lambda docs, answers: given_back(run(docs, answers)), f"doc_id bigint, remainder int, row bigint, {SCORES}")
 
 
 def score(rows: DataFrame, model: Model, depth: int = DEPTH, chunk_bytes: int = CHUNK, most: int = SHARED, most_words: int = SHARED_WORDS) -> DataFrame:

@@ -1,8 +1,11 @@
 import math
 import re
+import subprocess
+import sys
 import tracemalloc
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -122,6 +125,28 @@ def test_frequent_words_are_broadcast_and_the_others_joined(spark):
     assert asked.to_pylist() == [{"chunk": 3, "word": b"rare1", "gram": None}]
 
 
+HELD = """
+import numpy as np, pyarrow as pa
+from tallymill.llm import lm_scoring as lm
+
+rng = np.random.default_rng(0)
+held = lambda: next(int(line.split()[1]) for line in open("/proc/self/status") if line.startswith("RssAnon")) // 1024
+batch = lambda n: pa.record_batch({"text": pa.array([" ".join(map(str, rng.integers(0, 10**6, 300).tolist())) for _ in range(n)]), "remainder": pa.array(np.ones(n, np.int32))})
+large, few = batch(3000), list(lm._counts(iter([batch(5)]), 5))
+before = held()
+for rows in lm._counts(iter([large]), 5):
+    pass
+del rows
+print(held() - before)
+"""
+
+
+def test_a_worker_gives_memory_back_after_counting():
+    """It waits beside the JVM, whose heap may be full by then."""
+    done = subprocess.run([sys.executable, "-c", HELD], cwd=Path(__file__).parents[2], capture_output=True, text=True, timeout=100, check=True)
+    assert int(done.stdout) < 60  # MB: 35 measured, 76 to 84 before
+
+
 def test_long_texts_are_cut_into_segments(monkeypatch):
     s = [b"abc abd " * 40 + b"\n", b"\n", b"xyz\n"]
     whole = {}
